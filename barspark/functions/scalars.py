@@ -153,7 +153,7 @@ json_safe = finite_or
 
 
 def json_safe_array(xs) -> Column:
-    return F.transform(_col(xs), finite_or)
+    return F.transform(_col(xs), lambda x: finite_or(x))
 
 
 def net_log_return(net_simple) -> Column:
@@ -180,7 +180,8 @@ def over_half(p) -> Column:
 def extreme_preference(probabilities) -> Column:
     """(two highest classes) - (two lowest classes) of a probability array."""
     p = _col(probabilities)
-    return (F.element_at(p, -2) + F.element_at(p, -1)) - (F.element_at(p, 1) + F.element_at(p, 2))
+    top = F.get(p, F.size(p) - 2) + F.get(p, F.size(p) - 1)
+    return top - (F.get(p, F.lit(0)) + F.get(p, F.lit(1)))
 
 
 def threshold_signal(score, low, high) -> Column:
@@ -190,7 +191,7 @@ def threshold_signal(score, low, high) -> Column:
 
 def parse_values(raw) -> Column:
     """Comma list to array of structs (text, kind, number): bool, int, float or string."""
-    tokens = F.filter(F.transform(F.split(_col(raw), ","), F.trim), lambda t: t != "")
+    tokens = F.filter(F.transform(F.split(_col(raw), ","), lambda t: F.trim(t)), lambda t: t != "")
 
     def one(t: Column) -> Column:
         number = finite_or(t.try_cast("double"))

@@ -202,7 +202,7 @@ def event_kpis(trades: DataFrame, marks: DataFrame, start_equity: float = 10_000
     openings = curve.filter(F.col("opened").isNotNull()).select("symbol", POS, "opened")
     first_open = (
         openings.join(stats.select("symbol", "__closed"), "symbol")
-        .filter(F.col(POS) > F.coalesce("__closed", F.lit(-1)))
+        .filter(F.col(POS) >= F.coalesce("__closed", F.lit(0)))
         .groupBy("symbol")
         .agg(F.min_by("opened", POS).alias("__open"))
     )

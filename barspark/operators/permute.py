@@ -31,8 +31,8 @@ def decompose(df: DataFrame, spec: Series) -> DataFrame:
 def with_seeds(df: DataFrame, seeds: int | Iterable[int]) -> DataFrame:
     """One copy of every row per seed."""
     if isinstance(seeds, int):
-        return df.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))).cast("long"))
-    return df.withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])).cast("long"))
+        return df.withColumn("seed", F.explode(F.expr(f"sequence(0L, {seeds - 1}L)")))
+    return df.withColumn("seed", F.explode(F.array(*[F.lit(int(s)).cast("long") for s in seeds])))
 
 
 def shuffle_key(kind: str) -> Column:

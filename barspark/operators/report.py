@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barspark.functions.scalars import annualisation, floor_at, json_safe, sharpe_window
 from barspark.operators import windows as W
@@ -95,7 +96,8 @@ def report(rows: DataFrame, metrics: DataFrame, spec: Series, params: dict, run_
         F.col("__s.turnover").alias("turnover"),
     )
     numbers = [f.name for f in metrics.schema.fields if f.name not in spec.keys]
-    safe = F.struct(*[json_safe(n).alias(n) for n in numbers])
+    counts = {f.name for f in metrics.schema.fields if isinstance(f.dataType, T.IntegralType)}
+    safe = F.struct(*[F.col(n) if n in counts else json_safe(n).alias(n) for n in numbers])
     joined = packed.join(metrics.select(*spec.keys, safe.alias("metrics")), list(spec.keys))
     return joined.select(
         *spec.keys,

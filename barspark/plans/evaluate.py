@@ -179,4 +179,5 @@ def sweep_rows(table: DataFrame, x: str, metric_names: list[str], y: str | None
 
 def sweep_matrix(table: DataFrame, keys: list[str], x: str, y: str, metric: str, x_values: list) -> DataFrame:
     """Two-dimensional sweep as a matrix: one row per y, one column per x."""
-    return table.groupBy(*keys, y).pivot(x, x_values).agg(F.first(metric))
+    wide = table.groupBy(*keys, y).pivot(x, x_values).agg(F.first(metric))
+    return wide.toDF(*keys, y, *[f"{x}_{str(v).replace('.', '_')}" for v in x_values])
