@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from barspark.functions.scalars import clip, digitise, finite_or, parse_minutes, threshold_signal
 from barspark.operators import windows as W
 from barspark.operators.quantiles import exact_quantiles, interior_probabilities
-from barspark.series import POS, ROWS, Running, Series, ensure_positions, plain, running, spread_join, windowed
+from barspark.series import POS, ROWS, Running, Series, ensure_positions, plain, running, spread_join, stage, windowed
 
 
 @dataclass(frozen=True)
@@ -86,7 +86,7 @@ def features(df: DataFrame, spec: Series, f: FeatureSet) -> DataFrame:
         second["__rv"] = W.rolling_std("return", f.regime_window)
         third["__rv_median"] = W.rolling_median("__rv", 2 * f.regime_window)
         layers.append({"vol_regime": plain(F.coalesce(F.col("__rv") > F.col("__rv_median"), F.lit(False)).cast("double"))})
-    out = windowed(df, spec, *layers)
+    out = stage(windowed(df, spec, *layers))
     out = running(out, spec, {n: Running("last", finite_or(n)) for n in f.names})
     helpers = [c for c in out.columns if c.startswith("__")]
     return out.withColumns({n: zero(F.col(n)) for n in f.names}).drop(*helpers)
@@ -133,13 +133,14 @@ def quantile_labels(df: DataFrame, edges: DataFrame, spec: Series, column: str =
 
 def score_thresholds(df: DataFrame, spec: Series, score: str, low: float = 0.10, high: float = 0.90) -> DataFrame:
     out = exact_quantiles(df, list(spec.keys), score, [low, high])
-    return out.select(*spec.keys, F.element_at("quantiles", 1).alias("low"), F.element_at("quantiles", 2).alias("high"))
+    return out.select(*spec.keys, F.element_at("quantiles", 1).alias("score_low"), F.element_at("quantiles", 2).alias("score_high"))
 
 
 def scored_signals(df: DataFrame, thresholds: DataFrame, spec: Series, score: str, hold: bool = False) -> DataFrame:
     """-1, 0, 1 by the training thresholds; ``hold`` keeps a side until the opposite one."""
     out = spread_join(df, thresholds, list(spec.keys))
-    out = out.withColumn("signal", threshold_signal(score, "low", "high").cast("double")).drop("low", "high")
+    out = out.withColumn("signal", threshold_signal(score, "score_low", "score_high").cast("double"))
+    out = out.drop("score_low", "score_high")
     return W.hold_until_opposite(out.withColumnRenamed("signal", "__s"), spec, "__s", "signal").drop("__s") if hold else out
 
 

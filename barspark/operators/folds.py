@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barspark.operators import kernels
-from barspark.series import BLK, POS, ROWS, Series, ensure_positions, map_blocks, positions, spread_join
+from barspark.series import BLK, POS, ROWS, Series, ensure_positions, map_blocks, positions, spread_join, stage
 
 
 def fold_count(length: int, step: int) -> Column:
@@ -69,6 +69,8 @@ def walk_forward_signals(
     bars whatever the size of the series. Bars before the first fold come back
     with a null signal.
     """
+    if not hasattr(strategy, "folds"):
+        return _walk_forward_frames(df, spec, strategy, length, step)
     rows = ensure_positions(df, spec).drop(BLK, "signal", "fold", *strategy.params)
     per = folds_per_group or max(1, length // step)
     span = per * step
@@ -110,6 +112,18 @@ def walk_forward_signals(
     )
 
 
+def _walk_forward_frames(df: DataFrame, spec: Series, strategy, length: int, step: int) -> DataFrame:
+    """Walk-forward for strategies that only map DataFrames: the fold is one more key."""
+    keyed = spec.extend("fold")
+    rows = ensure_positions(df, spec).drop(BLK, "signal", "fold")
+    fitted = stage(strategy.fit(_restart(fold_rows(rows, spec, length, step, "train"), spec), keyed))
+    context = fold_rows(rows, spec, length, step, "context").withColumnsRenamed({POS: "__pos", ROWS: "__rows"})
+    signals = strategy.signals(positions(context, keyed), fitted, keyed)
+    oos = signals.filter(F.col("__pos") >= length + F.col("fold") * step).drop(POS, ROWS, BLK)
+    early = rows.filter(F.col(POS) < length).withColumns({"fold": F.lit(None).cast("long"), "signal": F.lit(None).cast("double")})
+    return oos.withColumnsRenamed({"__pos": POS, "__rows": ROWS}).unionByName(early, allowMissingColumns=True)
+
+
 def full_history_signals(df: DataFrame, spec: Series, strategy, length: int, step: int) -> DataFrame:
     """Legacy variant: refit every ``step`` bars, but averages run over the whole series.
 

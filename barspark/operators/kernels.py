@@ -15,29 +15,33 @@ def ma_pairs(max_window: int, min_window: int = 1) -> list[tuple[int, int]]:
 
 
 def moving_averages(price: np.ndarray, pos: np.ndarray, windows: np.ndarray) -> np.ndarray:
-    """One column per window; NaN where fewer than that many bars of the series (or stretch) exist."""
+    """One column per window (ascending); NaN where fewer than that many bars of the series exist.
+
+    Each sum extends the next smaller one, so no large sums cancel and prices
+    may span many orders of magnitude, as shuffled histories do.
+    """
     n = len(price)
-    base = price[0] if n else 0.0
-    sums = np.concatenate([[0.0], np.cumsum(price - base)])
     out = np.full((n, len(windows)), np.nan)
+    total, done = np.zeros(n), 0
     for j, w in enumerate(windows):
+        while done < min(w, n):
+            total[done:] += price[: n - done]
+            done += 1
         if w <= n:
-            out[w - 1 :, j] = (sums[w:] - sums[:-w]) / w + base
+            out[w - 1 :, j] = total[w - 1 :] / w
             out[pos < w - 1, j] = np.nan
     return out
 
 
 def average_at(price: np.ndarray, pos: np.ndarray, window: np.ndarray) -> np.ndarray:
     """Average over the last ``window[i]`` bars at row i; NaN before warm-up or without a window."""
-    n = len(price)
-    base = price[0] if n else 0.0
-    sums = np.concatenate([[0.0], np.cumsum(price - base)])
-    row = np.arange(n)
-    known = ~np.isnan(window) & (window >= 1)
-    w = np.where(known, window, 1).astype(np.int64)
-    ok = known & (pos >= w - 1) & (row >= w - 1)
-    start = np.where(ok, row + 1 - w, 0)
-    return np.where(ok, (sums[row + 1] - sums[start]) / w + base, np.nan)
+    out = np.full(len(price), np.nan)
+    for w in np.unique(window[~np.isnan(window)]).astype(np.int64):
+        mine = np.flatnonzero((window == w) & (pos >= w - 1) & (np.arange(len(price)) >= w - 1))
+        if w >= 1 and len(mine):
+            views = np.lib.stride_tricks.sliding_window_view(price, w)
+            out[mine] = views[mine - w + 1].sum(axis=1) / w
+    return out
 
 
 def prior_extremes(price: np.ndarray, m: int, upper: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,7 +152,7 @@ def ma_signal(price: np.ndarray, fast: float, slow: float) -> np.ndarray:
     """Long/short crossover with ties carried; NaN before warm-up or without parameters."""
     if np.isnan(fast) or np.isnan(slow):
         return np.full(len(price), np.nan)
-    averages = moving_averages(price, np.arange(len(price)), np.array([int(fast), int(slow)]))
+    averages = moving_averages(price, np.arange(len(price)), np.sort([int(fast), int(slow)]))
     with np.errstate(invalid="ignore"):
         raw = np.sign(averages[:, 0] - averages[:, 1])
     state = held(np.nan_to_num(raw))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barspark.series import POS, Rolling, Running, Series, running, windowed
+from barspark.series import POS, Rolling, Running, Series, running, stage, windowed
 
 
 def positions_from_signals(df: DataFrame, spec: Series, signal: str = "signal") -> DataFrame:
@@ -50,6 +50,8 @@ def ledger(
         spec,
         {"__qty": Running("last", F.when(enter, qty)), "entry_price": Running("last", F.when(enter, p))},
     )
+    # Each scan reads its input twice (block totals, then rows); staging keeps a chain of scans linear.
+    rows = stage(rows)
     fill = F.when(enter | leave, F.col("__qty"))
     rows = rows.withColumns(
         {
@@ -80,6 +82,7 @@ def ledger(
     rows = rows.withColumn("unrealized_pnl", unrealized).withColumn(
         "equity", start_equity + F.col("gross_pnl") + F.col("unrealized_pnl") - F.col("fees_total")
     )
+    rows = stage(rows)
     live = F.col("equity") if loss_limit is None else F.when(~F.col("halted"), F.col("equity"))
     rows = running(rows, spec, {"peak": Running("max", live)})
     peak = F.greatest(F.coalesce("peak", F.lit(start_equity)), F.lit(start_equity))
@@ -93,10 +96,10 @@ def _freeze(rows: DataFrame, spec: Series, limit: float) -> DataFrame:
         lambda w: F.coalesce((F.lag(F.col("gross_pnl") - F.col("fees_total")).over(w) <= -limit).cast("int"), F.lit(0)),
         back=1,
     )
-    rows = windowed(rows, spec, {"__trip": tripped})
+    rows = stage(windowed(stage(rows), spec, {"__trip": tripped}))
     rows = running(rows, spec, {"__halt": Running("max", F.col("__trip"))})
     halted = F.col("__halt") == 1
-    rows = rows.withColumn("halted", halted)
+    rows = stage(rows.withColumn("halted", halted))
     frozen = running(
         rows,
         spec,
@@ -158,11 +161,8 @@ def event_kpis(trades: DataFrame, marks: DataFrame, start_equity: float = 10_000
     realised PnL less fees per event, then once by the open position's mark.
     """
     filled = trades.filter(F.col("order.status") == "FILLED")
-    fees = F.aggregate(
-        F.coalesce("execution.fills", F.array().cast("array<struct<fee_amount:double>>")),
-        F.lit(0.0),
-        lambda a, f: a + F.coalesce(f["fee_amount"], F.lit(0.0)),
-    )
+    paid = F.aggregate("execution.fills", F.lit(0.0), lambda a, f: a + F.coalesce(f["fee_amount"], F.lit(0.0)))
+    fees = F.coalesce(paid, F.lit(0.0))
     rows = filled.select(
         "symbol",
         "timestamp",
@@ -180,8 +180,8 @@ def event_kpis(trades: DataFrame, marks: DataFrame, start_equity: float = 10_000
     spec = Series(keys=("symbol",), ts="ts", step=3600, block=65_536)
     ordered = rows.withColumn("ts", F.coalesce("ts", F.lit("1970-01-01").cast("timestamp_ntz")))
     net = F.coalesce("realized", F.lit(0.0)) - F.col("fee")
-    curve = running(ordered, spec, {"__cum": Running("sum", net)})
-    curve = running(curve, spec, {"__top": Running("max", F.col("__cum"))})
+    curve = stage(running(stage(ordered), spec, {"__cum": Running("sum", net)}))
+    curve = stage(running(curve, spec, {"__top": Running("max", F.col("__cum"))}))
     won, lost = F.col("realized") > 0, F.col("realized") < 0
     sum_win, sum_loss = F.sum(F.when(won, F.col("realized"))), F.sum(F.when(lost, F.col("realized")))
     # The entry price is that of the first buy after the last close: later buys do not move it.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barspark.functions.scalars import annualisation, parse_minutes
 from barspark.operators.quantiles import exact_quantiles
-from barspark.series import Running, Series, running, spread_join
+from barspark.series import Running, Series, running, spread_join, stage
 
 
 def _col(x: Column | str) -> Column:
@@ -52,7 +52,7 @@ def final_capital(x: Column | str, start: float = 100_000.0) -> Column:
 
 def log_max_drawdown(df: DataFrame, spec: Series, x: str) -> DataFrame:
     """Largest fall of the cumulative log return below its expanding maximum."""
-    out = running(df, spec, {"__cum": Running("sum", F.col(x))})
+    out = stage(running(df, spec, {"__cum": Running("sum", F.col(x))}).select(*spec.by("blk", "pos", "n_rows", "__cum")))
     out = running(out, spec, {"__top": Running("max", F.col("__cum"))})
     return out.groupBy(*spec.keys).agg(F.min(F.col("__cum") - F.col("__top")).alias("max_drawdown"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from barspark.functions.scalars import annualisation, floor_at, json_safe, sharpe_window
 from barspark.operators import windows as W
-from barspark.series import Running, Series, running, windowed
+from barspark.series import Running, Series, running, stage, windowed
 
 
 def series_table(rows: DataFrame, spec: Series, price: str, tf: str) -> DataFrame:
@@ -34,7 +34,7 @@ def series_table(rows: DataFrame, spec: Series, price: str, tf: str) -> DataFram
             "rolling_sharpe_net": Running("next", F.col("__rs_net")),
         },
     ).drop("__rs_gross", "__rs_net")
-    out = W.drawdown(out, spec, "strategy_simple_r", "equity_gross", "drawdown_gross")
+    out = stage(W.drawdown(stage(out), spec, "strategy_simple_r", "equity_gross", "drawdown_gross"))
     out = W.drawdown(out, spec, "strategy_simple_r_net", "equity_net", "drawdown_net")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     return out.withColumns(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from barspark.functions.scalars import fee_rate, net_log_return
 from barspark.operators import windows as W
 from barspark.operators.sizing import _HELPERS, size_positions, sizing_layers
-from barspark.series import Series, windowed
+from barspark.series import Series, stage, windowed
 
 
 def _return_layer(price: str) -> dict:
@@ -46,7 +46,7 @@ def evaluate_returns(
     """
     turnover = {"turnover": W.turnover("weight")}
     if sizing == "fixed_notional":
-        out = windowed(df, spec, _return_layer(price))
+        out = stage(windowed(df, spec, _return_layer(price)))
         out = windowed(size_positions(out, spec, sizing, sizing_params, tf), spec, turnover)
     else:
         out = windowed(df, spec, _return_layer(price), *sizing_layers(sizing, sizing_params, tf), turnover).drop(*_HELPERS)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from barspark.functions.scalars import annualisation, clip, finite_or
 from barspark.operators import windows as W
-from barspark.series import Rolling, Running, Series, plain, running, windowed
+from barspark.series import Rolling, Running, Series, plain, running, stage, windowed
 
 SIGNAL, RETURN, WEIGHT = "signal", "simple_r", "weight"
 
@@ -77,7 +77,7 @@ def fixed_notional(df: DataFrame, spec: Series, notional: float = 1.0) -> DataFr
     """
     gain = _zero_filled(SIGNAL) * _zero_filled(RETURN)
     out = running(df, spec, {"__sum": Running("sum", gain)})
-    out = out.withColumn("__equity", 1 + notional * (F.col("__sum") - gain))
+    out = stage(out.withColumn("__equity", 1 + notional * (F.col("__sum") - gain)))
     # The sum includes the own bar and equity must not, hence the subtraction;
     # ruin is tested on the sum that ends before the bar.
     out = running(out, spec, {"__low": Running("min", F.col("__equity"))})

@@ -124,50 +124,56 @@ _TYPE_NAMES = {
 }
 
 
-def _type_of(doc: Column, path: str) -> Column:
-    """Type name at a JSON path, without parameters; SQL null if the field is absent."""
-    found = F.schema_of_variant(F.try_variant_get(doc, path, "variant"))
-    return F.regexp_extract(found, "^([A-Z]+)", 1)
+def _types(doc: Column) -> Column:
+    """Field name to JSON type name of one object; null if it is not an object."""
+    fields = doc.try_cast("map<string,variant>")
+    return F.transform_values(
+        fields, lambda _k, v: F.coalesce(F.regexp_extract(F.schema_of_variant(v), "^([A-Z]+)", 1), F.lit("VOID"))
+    )
 
 
-def _violations(doc: Column, rules: Rules, base: str = "$", label: str = "") -> list[Column]:
-    checks = []
-    for name in rules.required:
-        checks.append(F.when(_type_of(doc, f"{base}.{name}").isNull(), F.lit(f"missing {label}{name}")))
+def _violations(types: Column, rules: Rules, label: str = "") -> list[Column]:
+    """One check per rule over the type map; null where the rule holds."""
+    kind = lambda name: F.try_element_at(types, F.lit(name))
+    checks = [F.when(kind(n).isNull(), F.lit(f"missing {label}{n}")) for n in rules.required]
     for name, wanted in rules.fields.items():
-        names = [n for kind in wanted.rstrip("?").split("|") for n in _TYPE_NAMES[kind]]
-        if wanted.endswith("?"):
-            names.append("VOID")
-        kind = _type_of(doc, f"{base}.{name}")
-        checks.append(F.when(kind.isNotNull() & ~kind.isin(*names), F.lit(f"type {label}{name}")))
-    for name, values in rules.allowed.items():
-        value = F.try_variant_get(doc, f"{base}.{name}", "string")
-        is_text = _type_of(doc, f"{base}.{name}") == "STRING"
-        checks.append(F.when(is_text & ~value.isin(*values), F.lit(f"value {label}{name}")))
-    for name, inner in rules.nested.items():
-        is_object = _type_of(doc, f"{base}.{name}") == "OBJECT"
-        checks += [F.when(is_object, c) for c in _violations(doc, inner, f"{base}.{name}", f"{label}{name}.")]
-    return checks
-
-
-def violations(value: Column, kind: str) -> Column:
-    """Sorted array of rule violations of one JSON line; empty when the event is valid."""
-    rules = RULES[kind]
-    doc = F.try_parse_json(value)
-    extra = F.transform(
-        F.filter(F.map_keys(F.from_json(value, "map<string,string>")), lambda k: ~k.isin(*rules.fields)),
-        lambda k: F.concat(F.lit("extra "), k),
-    )
-    found = F.array_compact(F.array(*_violations(doc, rules)))
-    return F.when(doc.isNull(), F.array(F.lit("not json"))).otherwise(
-        F.array_sort(F.concat(found, F.coalesce(extra, F.array().cast("array<string>"))))
-    )
+        names = [n for part in wanted.rstrip("?").split("|") for n in _TYPE_NAMES[part]]
+        allowed = names + ["VOID"] if wanted.endswith("?") else names
+        checks.append(F.when(~kind(name).isin(*allowed), F.lit(f"type {label}{name}")))
+    if not rules.open:
+        extra = F.filter(F.map_keys(types), lambda k: ~k.isin(*rules.fields))
+        return [F.transform(extra, lambda k: F.concat(F.lit("extra "), k)), F.array_compact(F.array(*checks))]
+    return [F.array_compact(F.array(*checks))]
 
 
 def validate(lines: DataFrame, kind: str, value: str = "value") -> DataFrame:
-    """Add ``violations`` and ``valid``."""
-    checked = lines.withColumn("violations", violations(F.col(value), kind))
-    return checked.withColumn("valid", F.size("violations") == 0)
+    """Add ``violations`` (sorted; empty when valid) and ``valid``.
+
+    Each line is parsed once into a map of field types; the rules are lookups
+    in that map.
+    """
+    rules = RULES[kind]
+    rows = lines.withColumn("__doc", F.try_parse_json(F.col(value)))
+    columns = {"__types": _types(F.col("__doc"))}
+    for name in rules.nested:
+        columns[f"__{name}"] = _types(F.try_variant_get("__doc", f"$.{name}", "variant"))
+    for name in rules.allowed:
+        columns[f"__value_{name}"] = F.try_variant_get("__doc", f"$.{name}", "string")
+    rows = rows.withColumns(columns)
+    parts = _violations(F.col("__types"), rules)
+    none = F.array().cast("array<string>")
+    for name, inner in rules.nested.items():
+        found = F.concat(*_violations(F.col(f"__{name}"), inner, f"{name}."))
+        parts.append(F.when(F.col(f"__{name}").isNotNull(), found).otherwise(none))
+    for name, values in rules.allowed.items():
+        wrong = (F.try_element_at("__types", F.lit(name)) == "STRING") & ~F.col(f"__value_{name}").isin(*values)
+        parts.append(F.when(wrong, F.array(F.lit(f"value {name}"))).otherwise(none))
+    found = F.when(F.col("__types").isNull(), F.array(F.lit("not json"))).otherwise(F.array_sort(F.concat(*parts)))
+    helpers = ["__doc", *columns]
+    # As a generator's output, the result is computed once: a filter on it cannot be
+    # pushed below and evaluate the rules a second time per rule.
+    checked = rows.select("*", F.explode(F.array(found)).alias("violations"))
+    return checked.withColumn("valid", F.size("violations") == 0).drop(*helpers)
 
 
 def parse(lines: DataFrame, kind: str, value: str = "value") -> DataFrame:

@@ -1,3 +1,3 @@
 """Importing this module registers every check."""
 
-from checks import evaluation, luck, scalars, windows  # noqa: F401
+from checks import evaluation, learning, live, luck, scalars, windows  # noqa: F401

@@ -162,13 +162,13 @@ def m09_curves_wide(spark, sf):
 
 # --- distributions: the factor per shuffle stands in as growth of each permuted history's upper half ---
 
-_FAKE = "pf AS (SELECT symbol, seed, exp(max(lc) - avg(lc)) AS pf FROM pm_c GROUP BY symbol, seed), rl AS (SELECT symbol, 1 + stddev_samp(ln(close)) AS real_pf FROM p2 GROUP BY symbol)"
+_FAKE = "pf AS (SELECT symbol, seed, 1 + max(lc) - avg(lc) AS pf FROM pm_c GROUP BY symbol, seed), rl AS (SELECT symbol, 1 + stddev_samp(ln(close)) AS real_pf FROM p2 GROUP BY symbol)"
 _PM40 = T.permuted("pm", "p2", "symbol", 0, 39)
 
 
 def _fake(spark, sf):
     bars = P.permuted_bars(_p2(spark, sf), FOUR_HOURS, 40)
-    pfs = bars.groupBy("symbol", "seed").agg(F.exp(F.max(F.log("close")) - F.avg(F.log("close"))).alias("pf"))
+    pfs = bars.groupBy("symbol", "seed").agg((1 + F.max(F.log("close")) - F.avg(F.log("close"))).alias("pf"))
     real = bars2(spark, sf).groupBy("symbol").agg((1 + F.stddev_samp(F.log("close"))).alias("real_pf"))
     return pfs, real
 
