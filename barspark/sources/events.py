@@ -212,7 +212,8 @@ def build_event(kind: str, **fields: Column) -> Column:
 def write_events(lines: DataFrame, root: str, kind: str, timestamp: Column, value: str = "value") -> None:
     """Append JSON lines below ``kind=…/date=…`` (UTC day)."""
     rows = lines.select(F.lit(kind).alias("kind"), F.date_format(timestamp, "yyyy-MM-dd").alias("date"), F.col(value).alias("value"))
-    rows.write.partitionBy("kind", "date").mode("append").text(root)
+    # One file per day, several for a day too large for one task.
+    rows.hint("rebalance", "date").write.partitionBy("kind", "date").mode("append").text(root)
 
 
 def read_lines(spark: SparkSession, root: str, kind: str, dates: list[str] | None = None) -> DataFrame:
