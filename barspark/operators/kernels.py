@@ -15,20 +15,20 @@ def ma_pairs(max_window: int, min_window: int = 1) -> list[tuple[int, int]]:
 
 
 def moving_averages(price: np.ndarray, pos: np.ndarray, windows: np.ndarray) -> np.ndarray:
-    """One column per window (ascending); NaN where fewer than that many bars of the series exist.
+    """One column per window; NaN where fewer than that many bars of the series exist.
 
-    Each sum extends the next smaller one, so no large sums cancel and prices
-    may span many orders of magnitude, as shuffled histories do.
+    Every frame is summed from its oldest bar to its newest, as an average over
+    a row frame is, so equal averages tie here exactly when they tie there, and
+    prices may span many orders of magnitude, as shuffled histories do.
     """
     n = len(price)
     out = np.full((n, len(windows)), np.nan)
-    total, done = np.zeros(n), 0
     for j, w in enumerate(windows):
-        while done < min(w, n):
-            total[done:] += price[: n - done]
-            done += 1
         if w <= n:
-            out[w - 1 :, j] = total[w - 1 :] / w
+            total = np.zeros(n - w + 1)
+            for back in range(w):
+                total += price[back : back + n - w + 1]
+            out[w - 1 :, j] = total / w
             out[pos < w - 1, j] = np.nan
     return out
 
@@ -39,8 +39,10 @@ def average_at(price: np.ndarray, pos: np.ndarray, window: np.ndarray) -> np.nda
     for w in np.unique(window[~np.isnan(window)]).astype(np.int64):
         mine = np.flatnonzero((window == w) & (pos >= w - 1) & (np.arange(len(price)) >= w - 1))
         if w >= 1 and len(mine):
-            views = np.lib.stride_tricks.sliding_window_view(price, w)
-            out[mine] = views[mine - w + 1].sum(axis=1) / w
+            total = np.zeros(len(mine))
+            for back in range(w - 1, -1, -1):
+                total += price[mine - back]
+            out[mine] = total / w
     return out
 
 

@@ -177,7 +177,7 @@ def event_kpis(trades: DataFrame, marks: DataFrame, start_equity: float = 10_000
             ),
         ).alias("opened"),
     ).withColumn("ts", F.try_to_timestamp(F.col("timestamp")).cast("timestamp_ntz"))
-    spec = Series(keys=("symbol",), ts="ts", step=3600, block=65_536)
+    spec = Series(keys=("symbol",), ts="ts", step=1, ties=("timestamp", "event_id"))
     ordered = rows.withColumn("ts", F.coalesce("ts", F.lit("1970-01-01").cast("timestamp_ntz")))
     net = F.coalesce("realized", F.lit(0.0)) - F.col("fee")
     curve = stage(running(stage(ordered), spec, {"__cum": Running("sum", net)}))

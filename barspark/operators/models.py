@@ -39,9 +39,11 @@ def fit_logistic(
     moments = stage(
         moments.select(*keys, F.array(*[F.col(f"{n}__m") for n in names]).alias("__m"), F.array(*[unit(n) for n in names]).alias("__s"))
     )
-    raw = spread_join(df.select(*keys, F.col(label).cast("double").alias("__y"), *names), moments, keys)
+    # Equal rows collapse into one with a count, so no group of copies weighs on one task.
+    counted = df.groupBy(*keys, F.col(label).cast("double").alias("__y"), *names).agg(F.count(F.lit(1)).alias("__c"))
+    raw = spread_join(counted, moments, keys)
     scaled = F.array(F.lit(1.0), *[(F.col(n) - F.col("__m")[i]) / F.col("__s")[i] for i, n in enumerate(names)])
-    rows = stage(raw.select(*keys, "__y", scaled.alias("__x")))
+    rows = stage(raw.select(*keys, "__y", "__c", scaled.alias("__x")))
     beta = moments.withColumn("__b", F.array(*[F.lit(0.0)] * (d + 1))).withColumn("__step", F.lit(float("inf")))
     out = beta.schema
     pairs = [(i, j) for i in range(d + 1) for j in range(i, d + 1)]
@@ -63,9 +65,9 @@ def fit_logistic(
         joined = spread_join(rows, beta.select(*keys, "__b"), keys)
         z = F.aggregate(F.zip_with("__x", "__b", lambda x, b: x * b), F.lit(0.0), lambda a, v: a + v)
         p = 1 / (1 + F.exp(-z))
-        terms = joined.select(*keys, "__x", "__y", p.alias("__p"))
-        gradient = [F.sum((F.col("__p") - F.col("__y")) * F.col("__x")[i]) for i in range(d + 1)]
-        curve = F.col("__p") * (1 - F.col("__p"))
+        terms = joined.select(*keys, "__x", "__y", "__c", p.alias("__p"))
+        gradient = [F.sum(F.col("__c") * (F.col("__p") - F.col("__y")) * F.col("__x")[i]) for i in range(d + 1)]
+        curve = F.col("__c") * F.col("__p") * (1 - F.col("__p"))
         hessian = [F.sum(curve * F.col("__x")[i] * F.col("__x")[j]) for i, j in pairs]
         sums = terms.groupBy(*keys).agg(F.array(*gradient).alias("__g"), F.array(*hessian).alias("__h"))
         beta = stage(sums.join(beta, keys).groupBy(*keys).applyInPandas(solve, out))
@@ -186,7 +188,7 @@ class Forecaster:
         )
         model = network.fit(assembled.select("__v", F.col("label").cast("double").alias("label")))
         unfinished = FittedForecaster(self, stats, edges, model, None)
-        thresholds = X.score_thresholds(unfinished.score(labelled), spec, "score", self.low, self.high)
+        thresholds = X.score_thresholds(stage(unfinished.score(labelled).select(*spec.by("score"))), spec, "score", self.low, self.high)
         return FittedForecaster(self, stats, edges, model, stage(thresholds))
 
 

@@ -57,7 +57,7 @@ def shuffled_slots(df: DataFrame, spec: Series, kind: str, name: str = "slot") -
     inside = Window.partitionBy(*keyed.by("__bucket")).orderBy("__md5")
     return (
         rows.withColumn("__rank", F.row_number().over(inside))
-        .join(offsets, keyed.by("__bucket"))
+        .join(offsets.hint("merge"), keyed.by("__bucket"))
         .withColumn(name, F.col("__off") + F.col("__rank") - 1)
         .drop("__md5", "__bucket", "__rank", "__off")
     )
@@ -119,7 +119,7 @@ def index_mismatches(df: DataFrame, time: str, symbol: str = "symbol", by: tuple
     """Times at which not every market has a bar; empty when the markets share one index."""
     markets = df.groupBy(*by).agg(F.count_distinct(symbol).alias("markets"))
     present = df.groupBy(*by, time).agg(F.count_distinct(symbol).alias("present"))
-    joined = present.join(F.broadcast(markets), list(by)) if by else present.crossJoin(F.broadcast(markets))
+    joined = spread_join(present, markets, list(by))
     return joined.filter(F.col("present") != F.col("markets"))
 
 

@@ -15,9 +15,24 @@ from pyspark.sql import functions as F
 from barspark.series import spread_join
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], x: str, probabilities: list[float], accuracy: int = 10_000) -> DataFrame:
-    """One row per key: ``quantiles``, linearly interpolated, in the order of ``probabilities``."""
+def counted_values(df: DataFrame, keys: list[str], x: str) -> DataFrame:
+    """Distinct values and their counts per key, as ``__x`` and ``__c``.
+
+    Copies collapse before the shuffle, and no single value weighs on one task.
+    """
+    rows = df.select(*keys, F.col(x).cast("double").alias("__x")).dropna(subset=["__x"])
+    return rows.groupBy(*keys, "__x").agg(F.count(F.lit(1)).alias("__c"))
+
+
+def exact_quantiles(
+    df: DataFrame, keys: list[str], x: str, probabilities: list[float], accuracy: int = 10_000, values: DataFrame | None = None
+) -> DataFrame:
+    """One row per key: ``quantiles``, linearly interpolated, in the order of ``probabilities``.
+
+    ``values`` may pass the table of ``counted_values`` where the caller has it.
+    """
     rows = df.select(*keys, F.col(x).cast("double").alias("__x")).dropna(subset=["__x"])
+    values = counted_values(df, keys, x) if values is None else values
     slack = 2.0 / accuracy
     cuts = sorted({min(1.0, max(0.0, p + s)) for p in probabilities for s in (-slack, slack)})
     edges = rows.groupBy(*keys).agg(
@@ -29,16 +44,12 @@ def exact_quantiles(df: DataFrame, keys: list[str], x: str, probabilities: list[
         (F.when(F.col("__x") >= F.element_at("__edges", i + 1), F.lit(1)).otherwise(F.lit(0)) for i in range(len(cuts))),
         F.lit(0),
     )
-    tagged = spread_join(rows, edges, keys).withColumn("__i", interval)
-    sizes = tagged.groupBy(*keys, "__i").agg(F.count(F.lit(1)).alias("__m"), F.first("__n").alias("__n"))
+    tagged = spread_join(values, edges, keys).withColumn("__i", interval)
+    sizes = tagged.groupBy(*keys, "__i").agg(F.sum("__c").alias("__m"), F.first("__n").alias("__n"))
     below = Window.partitionBy(*keys).orderBy("__i").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("__below", F.coalesce(F.sum("__m").over(below), F.lit(0)))
     wanted = sizes.filter(_any_rank(probabilities, F.col("__n"), F.col("__below"), F.col("__below") + F.col("__m")))
-    narrow = (
-        spread_join(tagged.drop("__edges", "__n"), wanted.select(*keys, "__i", "__below", "__n"), [*keys, "__i"])
-        .groupBy(*keys, "__i", "__below", "__n", "__x")
-        .agg(F.count(F.lit(1)).alias("__c"))
-    )
+    narrow = spread_join(tagged.drop("__edges", "__n"), wanted.select(*keys, "__i", "__below", "__n"), [*keys, "__i"])
     upto = Window.partitionBy(*keys, "__i").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
     ranked = narrow.withColumn("__end", F.col("__below") + F.sum("__c").over(upto)).withColumn(
         "__start", F.col("__end") - F.col("__c")

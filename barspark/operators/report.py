@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from barspark.functions.scalars import annualisation, floor_at, json_safe, sharpe_window
 from barspark.operators import windows as W
-from barspark.series import Running, Series, running, stage, windowed
+from barspark.series import BLK, Running, Series, running, stage, windowed
 
 
 def series_table(rows: DataFrame, spec: Series, price: str, tf: str) -> DataFrame:
@@ -52,7 +52,7 @@ def _series_struct(names: dict[str, Column]) -> Column:
 
 
 def report(rows: DataFrame, metrics: DataFrame, spec: Series, params: dict, run_type: str, price: str, tf: str) -> DataFrame:
-    """One row per run. Meant for series short enough for one document; otherwise write ``series_table``.
+    """One row per run and block of bars: ``part`` counts the blocks, a series of one block is one row.
 
     Nulls become 0 in return series; equity starts at 1 and never falls below 0.
     """
@@ -83,7 +83,7 @@ def report(rows: DataFrame, metrics: DataFrame, spec: Series, params: dict, run_
         "net_rolling_sharpe": zero("rolling_sharpe_net"),
         "turnover": zero("turnover"),
     }
-    packed = long.groupBy(*spec.keys).agg(_series_struct(names).alias("__s"))
+    packed = long.groupBy(*spec.by(BLK)).agg(_series_struct(names).alias("__s"))
 
     def side(prefix: str, fields: list[str]) -> Column:
         return F.struct(*[F.col(f"__s.{prefix}_{f}").alias(f) for f in fields])
@@ -101,6 +101,7 @@ def report(rows: DataFrame, metrics: DataFrame, spec: Series, params: dict, run_
     joined = packed.join(metrics.select(*spec.keys, safe.alias("metrics")), list(spec.keys))
     return joined.select(
         *spec.keys,
+        F.col(BLK).alias("part"),
         F.lit(run_type).alias("run_type"),
         params_map(params).alias("params"),
         "metrics",

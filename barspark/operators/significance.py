@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barspark.series import Series
+from barspark.series import Series, spread_join
 
 
 def p_value(pfs: DataFrame, real: DataFrame, spec: Series, rule: str = "oos", level: float = 0.05) -> DataFrame:
@@ -41,12 +41,13 @@ def histogram(df: DataFrame, keys: list[str], x: str, bins: int | Column) -> Dat
     finite = df.filter(F.abs(x) < float("inf"))
     edges = finite.groupBy(*keys).agg(F.min(x).alias("__lo"), F.max(x).alias("__hi"), F.count(F.lit(1)).alias("__n"))
     n_bins = F.lit(bins).cast("int") if isinstance(bins, int) else bins.cast("int")
-    joined = finite.join(edges, keys) if keys else finite.crossJoin(F.broadcast(edges))
+    counted = finite.groupBy(*keys, x).agg(F.count(F.lit(1)).alias("__c"))
+    joined = spread_join(counted, edges, keys)
     where = F.floor((F.col(x) - F.col("__lo")) / F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0)) * n_bins)
     return (
         joined.withColumn("bin", F.least(F.coalesce(where, F.lit(0)), n_bins - 1).cast("int"))
         .groupBy(*keys, "bin")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("__c").alias("n"))
     )
 
 
@@ -56,7 +57,11 @@ def pf_bins(n: Column) -> Column:
 
 
 def empirical_cdf(pfs: DataFrame, real: DataFrame, spec: Series) -> DataFrame:
-    """Shuffled values and the real one in order, with the share below each; one row per shuffle."""
+    """Shuffled values and the real one in order, with the share below each.
+
+    A series has one row per shuffle, so its window holds as many rows as the
+    caller ran seeds.
+    """
     keys = list(spec.keys)
     every = pfs.select(*keys, "pf", F.lit(False).alias("is_real")).unionByName(
         real.select(*keys, F.col("real_pf").alias("pf"), F.lit(True).alias("is_real"))

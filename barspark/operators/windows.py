@@ -269,7 +269,7 @@ def drawdown(
     carries = tops.select(*spec.by(BLK), "__scale", F.max("__blockpeak").over(before).alias("__peak"))
     here = F.col("__scale") * F.when(F.col("__scale") >= 0, F.col("__hi")).otherwise(F.col("__lo"))
     return (
-        local.join(carries, spec.by(BLK))
+        local.join(carries.hint("merge"), spec.by(BLK))
         .withColumn(equity, F.col("__scale") * F.col("__eq"))
         .withColumn(name, F.try_divide(F.col(equity), F.greatest(F.col("__peak"), here)) - 1)
         .drop("__eq", "__hi", "__lo", "__scale", "__peak")

@@ -17,7 +17,7 @@ from barspark.operators.returns import evaluate_returns
 from barspark.operators.signals import ma_long_flat_layers
 from barspark.operators.strategies import Strategy
 from barspark.operators.trades import trade_table
-from barspark.series import Series, positions, stage, windowed
+from barspark.series import Series, ensure_positions, stage, windowed
 
 
 @dataclass(frozen=True)
@@ -70,15 +70,17 @@ def crossover_summary(bars: DataFrame, spec: Series, price: str = "close", fast:
 
 def in_sample_returns(bars: DataFrame, spec: Series, strategy: Strategy, run: Run, params: DataFrame | None = None) -> DataFrame:
     """Fit and score on one slice: the returns block of every bar."""
-    rows = positions(date_slice(bars, spec, run.start, run.end), spec)
+    rows = ensure_positions(date_slice(bars, spec, run.start, run.end), spec)
     rows = with_price(rows, spec, strategy.price)
+    if params is None:
+        rows = stage(rows)
     fitted = strategy.fit(rows, spec) if params is None else params
     return evaluate_returns(strategy.signals(rows, fitted, spec), spec, strategy.price, **run.costs())
 
 
 def walk_forward_returns(bars: DataFrame, spec: Series, strategy: Strategy, run: Run, length: int, step: int) -> DataFrame:
     """Out-of-sample returns block: lead-in slice, fold signals, costs on the padded slice, then trim."""
-    rows = lead_in(bars, spec, run.start, run.end, length) if run.start else positions(bars, spec)
+    rows = lead_in(bars, spec, run.start, run.end, length) if run.start else ensure_positions(bars, spec)
     rows = with_price(rows, spec, strategy.price)
     signals = walk_forward_signals(rows, spec, strategy, length, step)
     scored = evaluate_returns(signals, spec, strategy.price, **run.costs())
@@ -91,13 +93,14 @@ def all_metrics(rows: DataFrame, spec: Series, tf: str) -> DataFrame:
     """Every metric of a returns block, one row per series.
 
     ``rows`` is read by four aggregates; stage it first when it is expensive.
+    Its positions stay valid: only rows at the ends of a series were dropped.
     """
     keys = list(spec.keys)
     base = rows.groupBy(*keys).agg(*M.return_stats(tf), *M.cost_stats(tf))
-    falls = W.drawdown(rows.drop("blk", "pos", "n_rows"), spec, "strategy_simple_r_net").groupBy(*keys).agg(
+    falls = W.drawdown(rows, spec, "strategy_simple_r_net").groupBy(*keys).agg(
         (F.avg("drawdown") * 100).alias("avg_net_drawdown_pct"), (F.min("drawdown") * 100).alias("max_net_drawdown_pct")
     )
-    trades = M.trade_stats(trade_table(rows.drop("blk", "pos", "n_rows"), spec), spec)
+    trades = M.trade_stats(trade_table(rows, spec), spec)
     parts = [base, falls, M.tail_risk(rows, spec, "strategy_simple_r_net")]
     joined = reduce(lambda a, b: a.join(b, keys), parts).join(trades, keys, "left")
     return joined.withColumn("num_trades", F.coalesce("num_trades", F.lit(0)))
@@ -131,8 +134,8 @@ def sweep(bars: DataFrame, spec: Series, strategy: Strategy, run: Run, grid: Dat
     unknown = [n for n in names if n not in _SWEEPABLE and n not in strategy.params]
     if unknown:
         raise ValueError(f"cannot sweep {', '.join(unknown)}")
-    rows = positions(date_slice(bars, spec, run.start, run.end), spec)
-    rows = with_price(rows, spec, strategy.price)
+    rows = ensure_positions(date_slice(bars, spec, run.start, run.end), spec)
+    rows = stage(with_price(rows, spec, strategy.price))
     points = [row.asDict() for row in grid.distinct().collect()]
     literal = F.array(*[F.struct(*[F.lit(p[n]).alias(n) for n in names]) for p in points])
     own = [n for n in names if n in strategy.params]

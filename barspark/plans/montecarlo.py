@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barspark.operators import metrics as M
-from barspark.operators.permute import cut_back, permutation_start, permuted_bars
-from barspark.operators.prices import vwap_bars, with_price
+from barspark.operators.permute import permutation_start, permuted_bars
+from barspark.operators.prices import with_price
 from barspark.operators.significance import p_value
 from barspark.operators.strategies import Strategy
 from barspark.plans.evaluate import Run, date_slice, in_sample_returns, walk_forward_returns
-from barspark.series import Running, Series, positions, running, stage
+from barspark.series import Running, Series, ensure_positions, positions, running, stage
+
+
+# Seed of the real history among the shuffles.
+REAL = -1
 
 
 def _score(rows: DataFrame, spec: Series, name: str, net: bool = True) -> DataFrame:
@@ -22,10 +26,16 @@ def _score(rows: DataFrame, spec: Series, name: str, net: bool = True) -> DataFr
     return rows.groupBy(*spec.keys).agg(M.profit_factor(column).alias(name))
 
 
-def _priced(bars: DataFrame, spec: Series, strategy: Strategy, stored_price: bool) -> DataFrame:
-    """Real bars with the price derived as it must be on shuffled bars, unless the stored one is wanted."""
-    derived = strategy.price in ("median", "typical") or vwap_bars(strategy.price) is not None
-    return bars.drop(strategy.price) if derived and not stored_price else bars
+def _with_real(shuffled: DataFrame, real: DataFrame, spec: Series) -> DataFrame:
+    """The real history as one more seed, so that one pipeline scores it along with the shuffles."""
+    same = [c for c in shuffled.columns if c not in (*spec.keys, "seed")]
+    return shuffled.unionByName(real.select(*spec.keys, F.lit(REAL).cast("long").alias("seed"), *same))
+
+
+def _split(scores: DataFrame, spec: Series) -> tuple[DataFrame, DataFrame]:
+    """(shuffled factors, real factor) of a staged score table."""
+    real = scores.filter(F.col("seed") == REAL).select(*spec.keys, F.col("pf").alias("real_pf"))
+    return scores.filter(F.col("seed") != REAL), real
 
 
 def in_sample_test(
@@ -44,25 +54,29 @@ def in_sample_test(
 
     The full history is shuffled and then cut to the dates; ``slice_first``
     cuts first. ``metric`` ``opt_pf`` compares the factor the fit reached
-    (gross, no costs) instead of the net factor.
+    (gross, no costs) instead of the net factor. Derived prices are derived
+    anew on both sides; ``stored_price`` takes the stored column on real bars.
     """
     seeds = list(range(1, n_perm)) if seeds is None else seeds
     keyed = spec.extend("seed")
-    real_bars = _priced(bars, spec, strategy, stored_price)
-    source = date_slice(bars, spec, run.start, run.end) if slice_first else bars
-    shuffled = stage(permuted_bars(stage(positions(source, spec)), spec, seeds, perm_start))
-    if metric == "opt_pf":
-        real = _fit_metric(real_bars, spec, strategy, run).withColumnRenamed("pf", "real_pf")
-        pfs = _fit_metric(shuffled, keyed, strategy, run)
+    source = stage(positions(date_slice(bars, spec, run.start, run.end) if slice_first else bars, spec))
+    shuffled = permuted_bars(source, spec, seeds, perm_start)
+
+    def score(table: DataFrame, by: Series) -> DataFrame:
+        if metric == "opt_pf":
+            return _fit_metric(table, by, strategy, run)
+        return _score(in_sample_returns(table, by, strategy, run), by, "pf")
+
+    if stored_price and strategy.price in bars.columns:
+        real = score(bars, spec).withColumnRenamed("pf", "real_pf")
+        pfs = stage(score(stage(shuffled), keyed))
     else:
-        real = _score(in_sample_returns(real_bars, spec, strategy, run), spec, "real_pf")
-        pfs = _score(in_sample_returns(shuffled, keyed, strategy, run), keyed, "pf")
-    pfs = stage(pfs)
+        pfs, real = _split(stage(score(stage(_with_real(shuffled, source, spec)), keyed)), spec)
     return pfs, p_value(pfs, real, spec, "in_sample")
 
 
 def _fit_metric(bars: DataFrame, spec: Series, strategy: Strategy, run: Run) -> DataFrame:
-    rows = positions(date_slice(bars, spec, run.start, run.end), spec)
+    rows = ensure_positions(date_slice(bars, spec, run.start, run.end), spec)
     fitted = strategy.fit(with_price(rows, spec, strategy.price), spec)
     return fitted.select(*spec.keys, F.coalesce("metric", F.lit(0.0)).alias("pf"))
 
@@ -82,11 +96,16 @@ def walk_forward_test(
     keyed = spec.extend("seed")
     source = stage(positions(bars, spec))
     start = permutation_start(source, spec, run.start, length) if run.start else length
-    shuffled = stage(permuted_bars(source, spec, n_perm, start))
-    real_bars = _priced(cut_back(source), spec, strategy, stored_price)
-    real = _score(walk_forward_returns(real_bars, spec, strategy, run, length, step), spec, "real_pf", net)
-    rows = walk_forward_returns(cut_back(shuffled) if run.start else shuffled, keyed, strategy, run, length, step)
-    pfs = stage(_score(rows, keyed, "pf", net))
+    shuffled = permuted_bars(source, spec, n_perm, start)
+
+    def score(table: DataFrame, by: Series) -> DataFrame:
+        return _score(walk_forward_returns(table, by, strategy, run, length, step), by, "pf", net)
+
+    if stored_price and strategy.price in bars.columns:
+        real = score(source, spec).withColumnRenamed("pf", "real_pf")
+        pfs = stage(score(stage(shuffled), keyed))
+    else:
+        pfs, real = _split(stage(score(stage(_with_real(shuffled, source, spec)), keyed)), spec)
     return pfs, p_value(pfs, real, spec, "oos")
 
 
@@ -97,7 +116,7 @@ def permutation_curves(
     keyed = spec.extend("seed")
     shuffled = permuted_bars(stage(positions(bars, spec)), spec, n_perm, length)
     rows = stage(walk_forward_returns(stage(shuffled), keyed, strategy, replace(run, start=None, end=None), length, step))
-    out = running(rows.drop("blk", "pos", "n_rows"), keyed, {"cum": Running("sum", F.col("strategy_r"))})
+    out = running(rows, keyed, {"cum": Running("sum", F.col("strategy_r"))})
     return out.select(*keyed.by(spec.ts, "cum"))
 
 

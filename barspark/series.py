@@ -37,13 +37,15 @@ class Series:
 
     ``step`` is the bar spacing in seconds; ``block`` the number of rows that
     share one window partition. Bars are unique on (keys, ts), hence a stretch
-    of ``step * block`` seconds holds at most ``block`` rows.
+    of ``step * block`` seconds holds at most ``block`` rows. Rows that may
+    share a time (events) name the columns that order them in ``ties``.
     """
 
     keys: tuple[str, ...] = ("symbol",)
     ts: str = "ts"
     step: int = 86_400
     block: int = 65_536
+    ties: tuple[str, ...] = ()
 
     def extend(self, *names: str) -> Series:
         """The same series split further, e.g. by seed, fold or parameter."""
@@ -86,10 +88,11 @@ def positions(df: DataFrame, spec: Series) -> DataFrame:
         F.coalesce(F.sum("__count").over(before), F.lit(0)).alias("__offset"),
         F.sum("__count").over(by_key).alias(ROWS),
     )
-    inside = Window.partitionBy(*spec.by("__chunk")).orderBy(spec.ts)
+    inside = Window.partitionBy(*spec.by("__chunk")).orderBy(spec.ts, *spec.ties)
+    # The rows are already clustered and sorted by chunk, so a merge join moves only the offsets.
     return (
         rows.withColumn("__row", F.row_number().over(inside))
-        .join(offsets, spec.by("__chunk"))
+        .join(offsets.hint("merge"), spec.by("__chunk"))
         .withColumn(POS, F.col("__offset") + F.col("__row") - F.lit(1))
         .drop("__chunk", "__row", "__offset")
     )
@@ -189,7 +192,8 @@ def running(df: DataFrame, spec: Series, scans: dict[str, Running]) -> DataFrame
     local = rows.withColumns(
         {f"__{name}": _fold(s.kind, s.column, onward if s.kind == "next" else upto) for name, s in scans.items()}
     )
-    joined = local.join(carries, spec.by(BLK))
+    # The rows are already clustered and sorted by block, so a merge join moves only the carries.
+    joined = local.join(carries.hint("merge"), spec.by(BLK))
     return joined.withColumns(
         {name: _combine(s.kind, F.col(f"__{name}"), F.col(f"__carry_{name}")) for name, s in scans.items()}
     ).drop(*[f"__{n}" for n in scans], *[f"__carry_{n}" for n in scans])
@@ -200,9 +204,14 @@ def spread_join(df: DataFrame, small: DataFrame, keys: list[str], how: str = "in
 
     One key may own a third of ``df``; its rows spread over ``salt`` tasks and
     ``small`` is repeated once per salt. The salt is a hash of the row itself,
-    so a recomputed task assigns the same salt. Adaptive execution still turns
-    the join into a broadcast when it measures ``small`` to be small.
+    so a recomputed task assigns the same salt; rows must therefore differ from
+    each other (carry a time or position, or be counted per distinct value
+    first). Adaptive execution still turns the join into a broadcast when it
+    measures ``small`` to be small. Without keys, ``small`` is a single row.
     """
+    if not keys:
+        joined = spread_join(df.withColumn("__all", F.lit(0)), small.withColumn("__all", F.lit(0)), ["__all"], how, salt)
+        return joined.drop("__all")
     salted = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(salt)).cast("int"))
     copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     return salted.join(copies, [*keys, "__salt"], how).drop("__salt")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -102,9 +102,15 @@ def ohlcv_rows(df: DataFrame, spec: Series, start: str, end: str, seq: str, mill
 
 
 def keep_last(df: DataFrame, spec: Series, *order: Column) -> DataFrame:
-    """One row per (series, time): the last in ``order``."""
-    latest = Window.partitionBy(*spec.by(spec.ts)).orderBy(*[o.desc() for o in order])
-    return df.withColumn("__rn", F.row_number().over(latest)).filter(F.col("__rn") == 1).drop("__rn")
+    """One row per (series, time): the last in ``order``.
+
+    An aggregate, so that copies of a bar collapse before the shuffle however
+    many there are.
+    """
+    keys = spec.by(spec.ts)
+    rest = [c for c in df.columns if c not in keys]
+    newest = F.max_by(F.struct(*rest), F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]))
+    return df.groupBy(*keys).agg(newest.alias("__row")).select(*keys, "__row.*").select(*df.columns)
 
 
 def upsert(existing: DataFrame, new: DataFrame, spec: Series, seq: str | None = None) -> DataFrame:

@@ -233,9 +233,8 @@ def with_bar_dates(events: DataFrame, bars: DataFrame, today: Column, start: Col
     first = F.coalesce(start, F.date_sub(today, days)) if start is not None else F.date_sub(today, days)
     day = F.col("date").cast("date")
     active = bars.filter(day.between(first, last)).select("date").distinct()
-    fallback = bars.sparkSession.range(1).select(F.date_format(today, "yyyy-MM-dd").alias("date"))
-    none = active.limit(1).select(F.lit(1).alias("__any"))
-    days_used = active.unionByName(fallback.join(none, how="left_anti"))
+    none = active.agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") == 0)
+    days_used = active.unionByName(none.select(F.date_format(today, "yyyy-MM-dd").alias("date")))
     return events.join(days_used, "date", "left_semi")
 
 
