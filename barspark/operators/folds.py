@@ -42,9 +42,13 @@ def lead_in(df: DataFrame, spec: Series, start: str, end: str, bars: int) -> Dat
     """[start, end) plus the ``bars`` rows before start, counted in rows. Positions restart at 0."""
     rows = ensure_positions(df.filter(F.col(spec.ts) < F.lit(end).cast("timestamp_ntz")), spec)
     before = F.count_if(F.col(spec.ts) < F.lit(start).cast("timestamp_ntz"))
-    cut = rows.groupBy(*spec.keys).agg(F.greatest(F.lit(0), before - bars).alias("__cut"))
+    cut = rows.groupBy(*spec.keys).agg(
+        F.greatest(F.lit(0), before - bars).alias("__cut"), F.count(F.lit(1)).alias("__kept")
+    )
     kept = spread_join(rows, cut, list(spec.keys)).filter(F.col(POS) >= F.col("__cut"))
-    return kept.withColumns({POS: F.col(POS) - F.col("__cut"), ROWS: F.col(ROWS) - F.col("__cut")}).drop("__cut", BLK)
+    return kept.withColumns({POS: F.col(POS) - F.col("__cut"), ROWS: F.col("__kept") - F.col("__cut")}).drop(
+        "__cut", "__kept", BLK
+    )
 
 
 def fold_report(df: DataFrame, spec: Series, length: int, step: int) -> DataFrame:

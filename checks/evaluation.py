@@ -13,7 +13,7 @@ from barspark.operators import windows as W
 from barspark.operators.quantiles import exact_quantiles
 from barspark.operators.returns import evaluate_returns
 from barspark.operators.signals import ma_long_flat
-from barspark.operators.strategies import Donchian, MovingAverage
+from barspark.operators.strategies import Donchian, MovingAverage, PandasStrategy
 from barspark.operators.trades import trade_returns, trade_table
 from barspark.plans import evaluate as E
 from barspark.series import _shared_folder, positions, stage, windowed
@@ -436,3 +436,44 @@ def s15_report_metrics(spark, sf):
 def u04_compare_runs(spark, sf):
     one = _e1(spark, sf).groupBy("symbol").agg(M.profit_factor("strategy_r").alias("pf"))
     return rounded(one.withColumn("run", F.lit("a")).unionByName(one.withColumn("run", F.lit("b"))))
+
+
+# --- plug-ins -------------------------------------------------------------------------
+
+
+def _level_strategy():
+    """A user's pandas strategy: long above the training mean, short below it."""
+    import numpy as np
+
+    return PandasStrategy(lambda train: ({"level": train["close"].mean()}, 1.0), lambda ctx, p: np.sign(ctx["close"] - p["level"]), ("level",))
+
+
+@check(
+    "g08_x01_x03_plugin_strategy",
+    sql(
+        f"""lv AS (SELECT symbol, fold, avg(close) AS level FROM p1, range(0, 1000) t(fold) WHERE fold * {S} <= pos AND pos < fold * {S} + {L} AND fold < ceil((n - {L}) / {S}) GROUP BY symbol, fold)""",
+        f"""SELECT p1.symbol, ts, CASE WHEN pos >= {L} THEN (pos - {L}) // {S} END AS fold, {r('ln(level)', 'log_level')}, sign(close - level)::DOUBLE AS signal
+        FROM p1 LEFT JOIN lv ON lv.symbol = p1.symbol AND pos >= {L} AND lv.fold = (pos - {L}) // {S}""",
+    ),
+)
+def g08_x01_x03_plugin_strategy(spark, sf):
+    out = K.walk_forward_signals(bars1(spark, sf), DAILY, _level_strategy(), L, S)
+    return keep(out.withColumn("log_level", F.log("level")), "symbol", "ts", "fold", "log_level", "signal")
+
+
+@check("k03_top_parameter", sql(*_DON, T.best("bp", "dg", "symbol", "lookback", "loss > 0"), f"SELECT symbol, lookback, {r('pf', 'metric')} FROM bp"))
+def k03_top_parameter(spark, sf):
+    return rounded(Donchian(lossless_wins=False).fit(positions(bars2(spark, sf), FOUR_HOURS), FOUR_HOURS))
+
+
+@check(
+    "u03_rows_with_different_keys",
+    sql(
+        T.averages("av", "p2", "symbol", 12), T.pairs(12), T.ma_scores("sc", "av", "symbol"), *_DON,
+        f"SELECT symbol, fast, slow, NULL::BIGINT AS lookback, {r('pf', 'pf')} FROM sc UNION ALL SELECT symbol, NULL, NULL, lookback, {r('pf', 'pf')} FROM dg",
+    ),
+)
+def u03_rows_with_different_keys(spark, sf):
+    rows = stage(positions(bars2(spark, sf), FOUR_HOURS))
+    ma, channel = MovingAverage(max_window=12).scores(rows, FOUR_HOURS), Donchian().scores(rows, FOUR_HOURS)
+    return keep(ma.unionByName(channel, allowMissingColumns=True), "symbol", "fast", "slow", "lookback", "pf")
