@@ -73,9 +73,11 @@ def ratio(gain: np.ndarray, loss: np.ndarray, lossless: float) -> np.ndarray:
 
 
 def split_returns(price: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positive and negative parts of the forward log return; 0 at the last bar."""
+    """Positive and negative parts of the forward log return; 0 where there is none."""
     r = np.zeros(len(price))
-    r[:-1] = np.diff(np.log(price))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r[:-1] = np.diff(np.log(price))
+    r[~np.isfinite(r)] = 0.0
     return np.maximum(r, 0.0), np.maximum(-r, 0.0)
 
 

@@ -18,9 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barspark.operators import kernels
-from barspark.operators import windows as W
 from barspark.operators.metrics import profit_ratio
-from barspark.series import BLK, POS, Running, Series, map_blocks, running, spread_join, windowed
+from barspark.series import BLK, POS, ROWS, Running, Series, ensure_positions, map_blocks, running, spread_join
 
 Fold = tuple[int, int, int]  # train start, train end, out-of-sample end, relative to the first bar
 
@@ -44,10 +43,8 @@ def _fields(df: DataFrame, *names: str) -> list[T.StructField]:
     return [df.schema[n] for n in names]
 
 
-def _with_moves(df: DataFrame, spec: Series, price: str) -> DataFrame:
-    out = windowed(df, spec, {"__r": W.forward_log_return(price)})
-    r = F.coalesce("__r", F.lit(0.0))
-    return out.withColumns({"__up": F.greatest(r, F.lit(0.0)), "__down": F.greatest(-r, F.lit(0.0))})
+def _prices(df: DataFrame, spec: Series, price: str) -> DataFrame:
+    return ensure_positions(df, spec).select(*spec.by(POS, ROWS), F.col(price).cast("double").alias("__p"))
 
 
 def best_params(scores: DataFrame, spec: Series, params: tuple[str, ...], pf: str = "pf", valid: Column | None = None) -> DataFrame:
@@ -77,23 +74,22 @@ class MovingAverage:
 
     def scores(self, df: DataFrame, spec: Series) -> DataFrame:
         """Gain, loss and profit factor per key and pair: block sums first, one small shuffle after."""
-        moves = _with_moves(df, spec, self.price)
-        price, high, low, keys = self.price, self.max_window, self.min_window, list(spec.keys)
-        slim = moves.select(*spec.by(POS, "n_rows"), F.col(price).alias("__p"), "__up", "__down")
+        high, low, keys = self.max_window, self.min_window, list(spec.keys)
+        slim = _prices(df, spec, self.price)
         schema = T.StructType(
             [*_fields(slim, *keys), *[T.StructField(n, T.LongType()) for n in self.params],
              T.StructField("gain", T.DoubleType()), T.StructField("loss", T.DoubleType())]
         )
 
         def kernel(block: pd.DataFrame) -> pd.DataFrame:
-            fast, slow, gain, loss = kernels.ma_block_scores(
-                block["__p"].to_numpy(), block[POS].to_numpy(), block["__up"].to_numpy(),
-                block["__down"].to_numpy(), block["__core"].to_numpy(), high, low,
-            )
+            price = block["__p"].to_numpy()
+            up, down = kernels.split_returns(price)
+            core = block["__core"].to_numpy()
+            fast, slow, gain, loss = kernels.ma_block_scores(price, block[POS].to_numpy(), up, down, core, high, low)
             out = pd.DataFrame({"fast": fast, "slow": slow, "gain": gain, "loss": loss})
             return out.assign(**{k: block[k].iloc[0] for k in keys})[[*keys, *out.columns]]
 
-        partial = map_blocks(slim, spec, kernel, schema, back=high - 1, size=self.grid_block)
+        partial = map_blocks(slim, spec, kernel, schema, back=high - 1, ahead=1, size=self.grid_block)
         return _scored(partial, spec, self.params)
 
     def fit(self, df: DataFrame, spec: Series) -> DataFrame:
@@ -152,9 +148,8 @@ class Donchian:
     params: tuple[str, ...] = ("lookback",)
 
     def scores(self, df: DataFrame, spec: Series) -> DataFrame:
-        moves = _with_moves(df, spec, self.price)
         keys, low, high = list(spec.keys), max(2, self.low), max(2, self.high)
-        slim = moves.select(*spec.by(POS, "n_rows"), F.col(self.price).alias("__p"), "__up", "__down")
+        slim = _prices(df, spec, self.price)
         values = ["open_up", "open_down", "held_gain", "held_loss", "state"]
         schema = T.StructType(
             [*_fields(slim, *keys), T.StructField(BLK, T.LongType()), T.StructField("lookback", T.LongType()),
@@ -162,14 +157,14 @@ class Donchian:
         )
 
         def kernel(block: pd.DataFrame) -> pd.DataFrame:
-            rows = kernels.donchian_block_scores(
-                block["__p"].to_numpy(), block[POS].to_numpy(), block["__up"].to_numpy(),
-                block["__down"].to_numpy(), block["__core"].to_numpy(), low, high,
-            )
+            price = block["__p"].to_numpy()
+            up, down = kernels.split_returns(price)
+            core = block["__core"].to_numpy()
+            rows = kernels.donchian_block_scores(price, block[POS].to_numpy(), up, down, core, low, high)
             out = pd.DataFrame(rows, columns=["lookback", *values]).assign(**{BLK: block[BLK].iloc[0]})
             return out.assign(**{k: block[k].iloc[0] for k in keys})[[*keys, BLK, "lookback", *values]]
 
-        partial = map_blocks(slim, spec, kernel, schema, back=high - 1, size=self.grid_block)
+        partial = map_blocks(slim, spec, kernel, schema, back=high - 1, ahead=1, size=self.grid_block)
         state = F.when(~F.isnan("state"), F.col("state"))
         before = Window.partitionBy(*spec.by("lookback")).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
         carried = partial.withColumn("__carry", F.last(state, ignorenulls=True).over(before))
