@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barspark.llm.common import slices, text_column
+from barspark.llm.common import fresh, slices, small_batches, text_column
 from barspark.llm.pretokens import Cutter
 
-GROUP_BYTES = 24 << 20
+GROUP_BYTES = 8 << 20
 
 
 def byte_letters() -> dict[str, int]:
@@ -239,6 +239,10 @@ def _id_lists(ids: np.ndarray, rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(rows.astype(np.int32)), pa.array(ids.astype(np.int32)))
 
 
+def _texts(merges: Merges, ids: np.ndarray, rows: np.ndarray) -> pa.Array:
+    return pa.array([p.decode("utf-8", "replace") for p in merges.decode(ids, rows)], pa.string())
+
+
 def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
     """Add the array of token ids of each whole text. ``path``: a byte-level BPE file that every executor can open."""
 
@@ -248,7 +252,8 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
         for column in columns:
             yield _id_lists(*encoder(column))
 
-    return text_column(df.withColumn(out, F.lit(None)), text).withColumn(out, ids(F.col(text)))
+    small_batches(df.sparkSession)
+    return text_column(df, text).withColumn(out, ids(F.col(text)))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -260,12 +265,23 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
         for column in columns:
             rows = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
             values = column.values.to_numpy(zero_copy_only=False)[rows[0] : rows[-1]]
-            parts = merges.decode(values, rows - rows[0])
-            yield pa.array([p.decode("utf-8", "replace") for p in parts], pa.string())
+            yield _texts(merges, values, rows - rows[0])
 
+    small_batches(df.sparkSession)
     return df.withColumn(out, texts(F.coalesce(F.col(ids), F.array().cast("array<int>"))))
 
 
 def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """``ids`` and ``decoded`` of each text."""
-    return decode(encode(df, path, text), path)
+    """``ids`` and ``decoded`` of each text, as ``encode`` and ``decode`` give them, in one pass of one worker."""
+
+    @F.arrow_udf("struct<ids: array<int>, decoded: string>")
+    def both(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = Encoder(path)
+        for column in columns:
+            ids, rows = encoder(column)
+            yield pa.StructArray.from_arrays([_id_lists(ids, rows), _texts(encoder.merges, ids, rows)], ["ids", "decoded"])
+
+    small_batches(df.sparkSession)
+    made = fresh(df, "both")
+    done = text_column(df, text).withColumn(made, both(F.col(text)))
+    return done.withColumns({"ids": F.col(f"{made}.ids"), "decoded": F.col(f"{made}.decoded")}).drop(made)

@@ -59,6 +59,11 @@ class Stage:
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Spark hand Python at most 8 MB (or one row) at a time: wide rows of long texts then need no memory by the thousand."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def text_column(df: DataFrame, column: str = "text") -> DataFrame:
     """Null texts become empty ones."""
     return df.withColumn(column, F.coalesce(F.col(column).cast("string"), F.lit("")))
@@ -92,6 +97,7 @@ def arrow_map(
                 if out is not None and out.num_rows:
                     yield out
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

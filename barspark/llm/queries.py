@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barspark.llm import bpe, token_counts
+from barspark.llm import bpe, ngram_join, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,6 +37,11 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), n, (n > TOKEN_LIMIT).alias("over_limit"))
 
 
+@query
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similarity_components(texts(spark, sf_dir), size=4, percent=85)
+
+
 @query
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = bpe.round_trip(texts(spark, sf_dir), public_tokenizers.path(BPE_FILE))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barspark.llm.common import arrow_map, slices, text_column
+from barspark.llm.common import arrow_map, slices, small_batches, text_column
 from barspark.llm.pretokens import Cut, Cutter
 
 TABLE = 1 << 16
@@ -155,4 +155,5 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", out: str = "n_tok
             parts = [counter(b.column(0)) for b in slices(pa.RecordBatch.from_arrays([column], ["text"]))]
             yield pa.array(np.concatenate([np.zeros(0, np.int64), *parts]))
 
-    return text_column(df.withColumn(out, F.lit(None)), text).withColumn(out, counted(F.col(text)))
+    small_batches(df.sparkSession)
+    return text_column(df, text).withColumn(out, counted(F.col(text)))
