@@ -182,8 +182,8 @@ def _powers(count: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def _words(data: np.ndarray, rows: np.ndarray, alphabet: Alphabet) -> tuple[np.ndarray, np.ndarray]:
-    """Start of each word, and its hash. ``rows``: offsets at which a word cannot go on."""
+def _words(data: np.ndarray, rows: np.ndarray, alphabet: Alphabet) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash of each word. ``rows``: offsets at which a word cannot go on."""
     inside = alphabet.member[data]
     begins, stops = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -192,31 +192,36 @@ def _words(data: np.ndarray, rows: np.ndarray, alphabet: Alphabet) -> tuple[np.n
     begins[cut], stops[cut - 1] = inside[cut], inside[cut - 1]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
     if not len(starts):
-        return starts, np.zeros(0, np.uint64)
+        return starts, starts, np.zeros(0, np.uint64)
     up, down = _powers(len(data))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(alphabet.value[data] * up[: len(data)], out=total[1:])
-    return starts, mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return starts, ends, mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
-def word_hashes(column: pa.Array, alphabet: Alphabet) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of a slice of texts in order, and the row offsets into them."""
+def word_spans(column: pa.Array, alphabet: Alphabet) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Byte offsets of start and end of all words of a slice of texts in order, their hashes, and the row offsets into them."""
     data, rows = bytes_of(column)
     if len(data) <= 2 * SLICE_BYTES:
-        starts, hashes = _words(data, rows, alphabet)
-        return hashes, np.searchsorted(starts, rows)
-    parts, first = [], 0  # one long text: in pieces that end outside words
+        starts, ends, hashes = _words(data, rows, alphabet)
+        return starts, ends, hashes, np.searchsorted(starts, rows)
+    starts, ends, hashes, first = [], [], [], 0  # long texts: in pieces that end outside words
     while first < len(data):
         last = min(first + SLICE_BYTES, len(data))
         while last < len(data) and alphabet.member[data[last]]:
             last += 1
-        parts.append(_words(data[first:last], np.zeros(0, np.int64), alphabet)[1])
+        a, b, h = _words(data[first:last], rows[(rows > first) & (rows < last)] - first, alphabet)
+        starts.append(a + first)
+        ends.append(b + first)
+        hashes.append(h)
         first = last
-    hashes = np.concatenate(parts)
-    if len(rows) == 2:
-        return hashes, np.array([0, len(hashes)])
-    begun = np.array([len(_words(data[:r], rows[rows < r], alphabet)[0]) for r in rows])
-    return hashes, begun
+    places = np.concatenate(starts)
+    return places, np.concatenate(ends), np.concatenate(hashes), np.searchsorted(places, rows)
+
+
+def word_hashes(column: pa.Array, alphabet: Alphabet) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of a slice of texts in order, and the row offsets into them."""
+    return word_spans(column, alphabet)[2:]
 
 
 def windows(hashes: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -237,3 +242,36 @@ def windows(hashes: np.ndarray, rows: np.ndarray, size: int) -> tuple[np.ndarray
 
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
+
+
+class HashTable:
+    """64-bit hashes and a positive number for each: an open-addressing table in two arrays."""
+
+    def __init__(self, bits: int) -> None:
+        self.bits, self.held = bits, 0
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+
+    def get(self, hashes: np.ndarray) -> np.ndarray:
+        """The numbers, 0 where unknown."""
+        out, todo = np.zeros(len(hashes), np.int32), np.arange(len(hashes))
+        slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(todo):
+            value = self.values[slot]
+            hit = (self.keys[slot] == hashes[todo]) & (value > 0)
+            out[todo[hit]] = value[hit]
+            on = ~hit & (value > 0)
+            slot, todo = (slot[on] + 1) & ((1 << self.bits) - 1), todo[on]
+        return out
+
+    def put(self, hashes: np.ndarray, counts: np.ndarray) -> None:
+        """Enter hashes that are not in the table yet; each once."""
+        self.held += len(hashes)
+        slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(hashes):
+            free = np.flatnonzero(self.values[slot] == 0)
+            _, first = np.unique(slot[free], return_index=True)
+            put = free[first]
+            self.keys[slot[put]], self.values[slot[put]] = hashes[put], counts[put]
+            left = np.ones(len(hashes), bool)
+            left[put] = False
+            hashes, counts, slot = hashes[left], counts[left], (slot[left] + 1) & ((1 << self.bits) - 1)

@@ -5,16 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barspark.llm import bpe, decontaminate, ngram_join, token_counts
+from barspark.llm import bpe, decontaminate, ngram_join, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 BPE_FILE = "byte_bpe_50k.json"
 TOKEN_LIMIT = 512
+TOXIC = 0.7
 
 
 def query(function: Query) -> Query:
@@ -30,6 +31,23 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def held_out() -> Column:
+    """Rows that nothing is learned from."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    return toxicity.learn(docs, table(spark, sf_dir, "labels").filter(~held_out()))
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = texts(spark, sf_dir)
+    scored = toxicity.score(docs, toxicity_model(spark, docs, sf_dir))
+    toxic = (F.col("score") >= TOXIC).cast("int")
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", toxic.alias("predicted"))
+
+
 @query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(texts(spark, sf_dir), public_tokenizers.path(BPE_FILE))

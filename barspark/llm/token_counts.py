@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barspark.llm.common import arrow_map, slices, small_batches, text_column
+from barspark.llm.common import HashTable, arrow_map, slices, small_batches, text_column
 from barspark.llm.pretokens import Cut, Cutter
 
 TABLE = 1 << 16
@@ -31,39 +31,6 @@ BATCH = 20_000
 _FOUND = T.StructType([T.StructField("hash", T.LongType()), T.StructField("seen", T.LongType()), T.StructField("tokens", T.IntegerType())])
 
 
-class Lengths:
-    """Hashes of pre-tokens and their token counts as an open-addressing table in two arrays."""
-
-    def __init__(self, bits: int) -> None:
-        self.bits, self.held = bits, 0
-        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
-
-    def get(self, hashes: np.ndarray) -> np.ndarray:
-        """Token counts, 0 where unknown."""
-        out, todo = np.zeros(len(hashes), np.int32), np.arange(len(hashes))
-        slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
-        while len(todo):
-            value = self.values[slot]
-            hit = (self.keys[slot] == hashes[todo]) & (value > 0)
-            out[todo[hit]] = value[hit]
-            on = ~hit & (value > 0)
-            slot, todo = (slot[on] + 1) & ((1 << self.bits) - 1), todo[on]
-        return out
-
-    def put(self, hashes: np.ndarray, counts: np.ndarray) -> None:
-        """Enter hashes that are not in the table yet; each once."""
-        self.held += len(hashes)
-        slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
-        while len(hashes):
-            free = np.flatnonzero(self.values[slot] == 0)
-            _, first = np.unique(slot[free], return_index=True)
-            put = free[first]
-            self.keys[slot[put]], self.values[slot[put]] = hashes[put], counts[put]
-            left = np.ones(len(hashes), bool)
-            left[put] = False
-            hashes, counts, slot = hashes[left], counts[left], (slot[left] + 1) & ((1 << self.bits) - 1)
-
-
 class Library:
     """The tokenizers library, for pre-tokens that no table knows."""
 
@@ -92,9 +59,9 @@ class Counter:
 
     def __init__(self, path: str, hashes: np.ndarray, tokens: np.ndarray) -> None:
         self.cut, self.library = Cutter(path), Library(path)
-        self.first = Lengths(max(4, int(2 * max(1, len(hashes)) - 1).bit_length() + 1))
+        self.first = HashTable(max(4, int(2 * max(1, len(hashes)) - 1).bit_length() + 1))
         self.first.put(hashes, tokens)
-        self.second = Lengths(CACHE.bit_length())
+        self.second = HashTable(CACHE.bit_length())
 
     def __call__(self, column: pa.Array) -> np.ndarray:
         cut = self.cut(column)
@@ -107,7 +74,7 @@ class Counter:
             new = self.library.counts(_unknown(cut, rest[first]))
             counts[rest] = new[which]
             if self.second.held + len(names) > CACHE:
-                self.second = Lengths(CACHE.bit_length())
+                self.second = HashTable(CACHE.bit_length())
             if len(names) <= CACHE:
                 self.second.put(names, new)
         total = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
