@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barspark.llm import bpe, decontaminate, ngram_join, token_counts, toxicity
+from barspark.llm import bpe, decontaminate, license_scan, ngram_join, secret_scan, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,6 +31,15 @@ def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+@query
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.secret_spans(texts(spark, sf_dir))
+    spans = F.col("secrets")
+    counts = [F.size(secret_scan.of_kinds(spans, [k])).cast("long").alias(f"n_{k}") for k in secret_scan.KINDS]
+    base = secret_scan.joined(secret_scan.of_kinds(spans, secret_scan.BASE))
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), secret_scan.joined(spans).alias("spans"))
+
+
 def held_out() -> Column:
     """Rows that nothing is learned from."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
@@ -85,6 +94,23 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = license_scan.scan_licenses(texts(spark, sf_dir))
+    at = F.transform("places", lambda p: p["at"].cast("long"))
+    base = F.array_distinct(F.transform("places", lambda p: p["label"]))
+    return scanned.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(at).alias("first_word"),
+        F.array_max(at).alias("last_word"),
+        F.array_join(F.sort_array(base), ",").alias("base_labels"),
+        F.array_join(F.sort_array(F.array_union(base, "found")), ",").alias("labels"),
+        "score",
+    )
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
