@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barspark.llm import bpe, decontaminate, license_scan, ngram_join, secret_scan, token_counts, toxicity
+from barspark.llm import bpe, chunk_dedup, decontaminate, license_scan, ngram_join, secret_scan, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -81,6 +81,21 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op8_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chunk_dedup.repeated_passages(texts(spark, sf_dir))
+    ranges = F.transform("passages", lambda p: F.concat_ws(":", p["first"].cast("string"), p["stop"].cast("string")))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_chunks",
+        "repeated_words",
+        "removed_words",
+        (F.col("repeated_words") > 0).alias("repeated"),
+        F.array_join(ranges, ",").alias("passages"),
+    )
+
+
 @query
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = decontaminate.contamination(texts(spark, sf_dir), table(spark, sf_dir, "benchmark"))
