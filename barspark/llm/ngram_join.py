@@ -15,10 +15,13 @@ than ``size`` is one n-gram of its own; an empty one links with nothing).
 2. Equal sets collapse to one class before tiles are dealt, and copies within a task
    enter no tiles at all.
 3. In a tile, everyone is compared with its smallest member; linked members are joined
-   to components, and only pairs of one tile in different components remain.
+   to components. Tiles with the same smallest member then form one star, and only
+   pairs of a star in different components remain. Stars are dealt in squares of at
+   most ``SQUARE`` members a side, so a large one is spread over many tasks.
 4. A pair is first bounded from above by hashed bitmaps: a bit that A has and B lacks
-   stands for at least one n-gram outside the overlap. Pairs that the bound lets
-   through are decided by intersecting the sorted arrays of their n-gram hashes.
+   stands for at least one n-gram outside the overlap. A square is bounded by array
+   arithmetic, and no pair becomes a row unless the bound lets it through. Those are
+   decided by intersecting the sorted arrays of their n-gram hashes.
 
 Copies are never expanded into pairs. N-grams count as equal when their 64-bit hashes
 are. Rows that share an id count as one document; a null id gets the component of its
@@ -28,6 +31,7 @@ set; null texts are empty.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -39,6 +43,7 @@ from barspark.llm.common import SPACED, Stage, arrow_map, mix, signed, small, sm
 from barspark.llm.components import components
 
 CUTS = 3  # ways to cut the hash space, for sets with many empty segments
+SQUARE = 2048  # members of a star on each side of what one task compares at once
 SEEN = 200_000  # sets that a task remembers in order to pass over copies
 
 _SETS = "id long, n int, h1 long, h2 long, bits binary, tiles array<long>"
@@ -112,7 +117,7 @@ def band_of(n: int, percent: int) -> int:
 
 def width(low: int) -> int:
     """Bits of the bitmaps of a band."""
-    return min(1 << 16, max(64, 1 << (2 * low - 1).bit_length()))
+    return min(1 << 16, max(64, 1 << (4 * low - 1).bit_length()))
 
 
 def bitmap(grams: np.ndarray, bits: int) -> bytes:
@@ -232,6 +237,68 @@ def _bounded(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     return both.filter(fits).filter(possible("n_a", "bits_a", "n_b", "bits_b")).select("a", "b")
 
 
+def _square(rows: list[dict], percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of a square in different components that their bitmaps let through; ``side`` tells the two sides apart."""
+    least = min(len(r["bits"]) for r in rows)
+    packed = []
+    for r in rows:
+        bits = np.frombuffer(r["bits"], np.uint8)
+        while len(bits) > least:
+            bits = _halved(bits)
+        packed.append(bits)
+    words = np.ascontiguousarray(np.stack(packed)).view(np.uint64)
+    ids, roots, sides = (np.array([r[c] for r in rows], np.int64) for c in ("id", "root", "side"))
+    n = np.array([r["n"] for r in rows], np.int64)
+    held = np.bitwise_count(words).sum(1).astype(np.int64)
+    cross = rows[0]["i"] != rows[0]["j"]
+    for first in range(0, len(rows), 256):
+        part = slice(first, first + 256)
+        shared = np.zeros((len(ids[part]), len(rows)), np.int64)
+        for w in range(words.shape[1]):
+            shared += np.bitwise_count(words[part, w, None] & words[None, :, w])
+        bound = np.minimum((n - held)[part, None], (n - held)[None, :]) + shared
+        fits = (ids[part, None] < ids[None, :]) & (roots[part, None] != roots[None, :])
+        fits &= 100 * bound >= percent * (n[part, None] + n[None, :] - bound)
+        if cross:
+            fits &= sides[part, None] != sides[None, :]
+        for a, b in np.argwhere(fits).tolist():
+            yield int(ids[first + a]), int(ids[b])
+
+
+def _open_pairs(stars: DataFrame, facts: DataFrame, roots: DataFrame, percent: int, stage: Stage) -> DataFrame:
+    """Pairs (a, b) of a star in different components that may link. ``stars``: (star, id)."""
+    placed = stars.join(roots, "id", "left").select("star", "id", F.coalesce("root", "id").alias("root"))
+    placed = stage(placed)
+    size = placed.groupBy("star").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"))
+    size = size.filter("low != high").select("star", F.ceil(F.col("members") / SQUARE).cast("int").alias("sides"))
+    dealt = placed.join(size, "star").withColumn("side", F.pmod(F.xxhash64("id"), F.col("sides")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).drop("sides")
+    dealt = dealt.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")}).drop("other")
+    dealt = dealt.join(facts, "id").select("star", "i", "j", "side", "id", "root", "n", "bits")
+    key = ["star", "i", "j"]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+            a, b = zip(*pairs, strict=True) if pairs else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        now, rows = None, []
+        for batch in batches:
+            found: set[tuple[int, int]] = set()
+            for r in batch.to_pylist():
+                at = (r["star"], r["i"], r["j"])
+                if at != now and rows:
+                    found.update(_square(rows, percent))
+                    rows = []
+                now = at
+                rows.append(r)
+            yield out(sorted(found))
+        if rows:
+            yield out(list(_square(rows, percent)))
+
+    return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(compare, "a long, b long").distinct()
+
+
 def _linked(docs: DataFrame, pairs: DataFrame, size: int, percent: int, stage: Stage) -> DataFrame:
     """Pairs that really link, by intersecting sorted arrays. Only texts of the pairs are read again."""
 
@@ -287,21 +354,16 @@ def similarity_components(
     facts = facts.filter("id = rep").select("id", "n", "bits").dropDuplicates(["id"])
 
     # everyone with the smallest member of a tile: the smallest of all its tiles
-    lowest = met_classes.groupBy("tile").agg(F.min("id").alias("a"))
-    star = met_classes.join(lowest, "tile").filter("a < id").groupBy("id").agg(F.min("a").alias("a"))
-    star = stage(star.select("a", F.col("id").alias("b")))
-    found = _linked(docs, stage(_bounded(star, facts, percent)), size, percent, stage)
+    lowest = met_classes.groupBy("tile").agg(F.min("id").alias("star"))
+    stars = stage(met_classes.join(lowest, "tile").select("star", "id").distinct())
+    stage.drop(met_classes)
+    nearest = stars.filter("star < id").groupBy("id").agg(F.min("star").alias("star"))
+    nearest = stage(nearest.select(F.col("star").alias("a"), F.col("id").alias("b")))
+    found = _linked(docs, stage(_bounded(nearest, facts, percent)), size, percent, stage)
     roots = stage(components(found, stage))
-    # pairs of a tile that are still in different components
-    placed = met_classes.join(roots, "id", "left").select("tile", "id", F.coalesce("root", "id").alias("root"))
-    placed = stage(placed)
-    mixed = placed.groupBy("tile").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high").select("tile")
-    open_ = stage(placed.join(mixed, "tile"))
-    stage.drop(placed)
-    other = open_.select("tile", F.col("id").alias("b"), F.col("root").alias("root_b"))
-    rest = open_.withColumnRenamed("id", "a").join(other, "tile").filter("a < b and root != root_b").select("a", "b").distinct()
-    rest = rest.join(star, ["a", "b"], "left_anti")
-    more = _linked(docs, stage(_bounded(stage(rest), facts, percent)), size, percent, stage)
+    # pairs of a star that are still in different components
+    rest = _open_pairs(stars, facts, roots, percent, stage).join(nearest, ["a", "b"], "left_anti")
+    more = _linked(docs, stage(rest), size, percent, stage)
     if more.limit(1).count():
         roots = stage(components(found.union(more), stage))
 
