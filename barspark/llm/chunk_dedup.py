@@ -29,7 +29,7 @@ GEAR = 4
 WORD_BITS = 40
 REACH = 3
 LONGEST = 16
-LEAST = 24
+LEAST = 28
 
 
 def chunk_ends(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
