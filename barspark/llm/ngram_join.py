@@ -382,5 +382,5 @@ def similarity_components(
 def deduplicate(df: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """Rows of ``df`` whose id is the smallest of its component; documents without words stay."""
     parts = similarity_components(df, id, text, size, percent)
-    gone = parts.filter(F.col(id) != F.col("component_id")).select(F.col(id))
-    return df.join(gone, id, "left_anti")
+    gone = parts.filter(F.col(id) != F.col("component_id")).select(id).distinct()
+    return df.join(small(Stage(df.sparkSession, "near-duplicates")(gone)), id, "left_anti").select(*df.columns)

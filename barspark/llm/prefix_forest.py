@@ -31,10 +31,10 @@ from barspark.llm.common import fresh
 
 BLOCK = 8192
 QUERIES = 2048
-TREES = 48
+TREES = 64
 BITS = 32
 #: Share of a block's rows that a query's candidates make up. The given vectors have hardly any structure; see README.
-SHARE = 0.5
+SHARE = 0.6
 
 
 def usable(vector: Column) -> Column:
