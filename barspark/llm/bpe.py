@@ -99,7 +99,6 @@ class Merges:
     def encode(self, letters: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words laid end to end in ``letters``, and the offsets of the words into them."""
         words = len(starts)
-        stops = np.append(starts[1:], len(letters))
         n = len(letters) + words + 1  # a wall before each word, and one at the end
         symbol = np.full(n, -1, np.int32)
         inside = np.ones(n, bool)
@@ -161,7 +160,6 @@ class Merges:
             rank[ahead] = self.rank(symbol[ahead], symbol[after[ahead]])
             add(np.concatenate([at, ahead]))
         counts = np.add.reduceat(inside, walls) if words else np.zeros(0, np.int64)
-        assert len(stops) == words
         return symbol[inside], np.concatenate([[0], np.cumsum(counts)])
 
     def decode(self, ids: np.ndarray, rows: np.ndarray) -> list[bytes]:
