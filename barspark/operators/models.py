@@ -21,15 +21,20 @@ from barspark.series import BLK, POS, ROWS, Series, ensure_positions, positions,
 
 # --- many small logistic regressions ------------------------------------------------
 
+#: Largest move of a standardised weight in one Newton pass.
+STRIDE = 5.0
+
 
 def fit_logistic(
-    df: DataFrame, keys: list[str], label: str, names: list[str], l2: float = 1.0, max_passes: int = 25, tolerance: float = 1e-9
+    df: DataFrame, keys: list[str], label: str, names: list[str], l2: float = 1.0, max_passes: int = 1000, tolerance: float = 1e-9
 ) -> DataFrame:
-    """Ridge-penalised logistic regression per key: ``coef`` (raw scale) and ``intercept``.
+    """Ridge-penalised logistic regression per key: ``coef`` (raw scale), ``intercept``, and whether it ``converged``.
 
-    Newton's method as aggregates: each pass sums gradient and curvature of all
-    keys in one shuffle of one row per key and task, then solves one tiny
-    system per key. Features are standardised for the arithmetic only; the
+    Newton's method as aggregates: each pass sums gradient and curvature of the keys
+    that aren't finished in one shuffle of one row per key and task, then solves one
+    tiny system per key; no weight moves more than ``STRIDE`` a pass. A key is finished
+    when its step is within ``tolerance`` of its weights' size. A key that needs more than
+    ``max_passes`` comes back as not converged. Features are standardised for the arithmetic only; the
     penalty is on the raw-scale weights, the intercept is free.
     """
     d = len(names)
@@ -57,10 +62,12 @@ def fit_logistic(
             hessian[i, j] = hessian[j, i] = value
         gradient = np.asarray(row["__g"], float) + penalty * b
         step = np.linalg.lstsq(hessian + np.diag(penalty + 1e-12), gradient, rcond=None)[0]
-        frame["__step"] = float(np.abs(step).max())
+        step *= min(1.0, STRIDE / max(float(np.abs(step).max()), 1e-300))
+        frame["__step"] = float(np.abs(step).max()) / max(1.0, float(np.abs(b).max()))
         frame["__b"] = [b - step]
         return frame[out.names]
 
+    finished = []
     for _ in range(max_passes):
         joined = spread_join(rows, beta.select(*keys, "__b"), keys)
         z = F.aggregate(F.zip_with("__x", "__b", lambda x, b: x * b), F.lit(0.0), lambda a, v: a + v)
@@ -70,12 +77,17 @@ def fit_logistic(
         curve = F.col("__c") * F.col("__p") * (1 - F.col("__p"))
         hessian = [F.sum(curve * F.col("__x")[i] * F.col("__x")[j]) for i, j in pairs]
         sums = terms.groupBy(*keys).agg(F.array(*gradient).alias("__g"), F.array(*hessian).alias("__h"))
-        beta = stage(sums.join(beta, keys).groupBy(*keys).applyInPandas(solve, out))
-        if beta.filter(F.col("__step") > tolerance).isEmpty():
+        moved = stage(sums.join(beta, keys).groupBy(*keys).applyInPandas(solve, out))
+        finished.append(moved.filter(F.col("__step") <= tolerance))
+        beta = moved.filter(F.col("__step") > tolerance)
+        if beta.isEmpty():
             break
+    beta = beta.withColumn("converged", F.lit(False))
+    for part in finished:
+        beta = beta.unionByName(part.withColumn("converged", F.lit(True)))
     weights = F.transform(F.sequence(F.lit(1), F.lit(d)), lambda i: F.element_at("__b", i + 1) / F.element_at("__s", i))
     shift = F.aggregate(F.zip_with("__w", "__m", lambda w, m: w * m), F.lit(0.0), lambda a, v: a + v)
-    return beta.withColumn("__w", weights).select(*keys, F.col("__w").alias("coef"), (F.col("__b")[0] - shift).alias("intercept"))
+    return beta.withColumn("__w", weights).select(*keys, F.col("__w").alias("coef"), (F.col("__b")[0] - shift).alias("intercept"), "converged")
 
 
 def probability(names: list[str], coef: str = "coef", intercept: str = "intercept"):
@@ -128,7 +140,7 @@ class DirectionClassifier:
         train = grid.filter("train")
         enough = train.groupBy(*point).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= self.minimum)
         fitted = fit_logistic(spread_join(train, enough.drop("__n"), point), point, "__y", self._names)
-        tested = spread_join(grid.filter(~F.col("train")), fitted, point)
+        tested = spread_join(grid.filter(~F.col("train")), fitted.filter("converged").drop("converged"), point)
         long = (probability(self._names) > 0.5).cast("int")
         scores = tested.groupBy(*point).agg(
             profit_factor(F.col("__r") * long).alias("pf"), F.first("coef").alias("coef"), F.first("intercept").alias("intercept")

@@ -1,4 +1,4 @@
-"""Reports: one nested row per run, with parameters, metrics and series arrays."""
+"""Reports: one row per run with parameters and metrics, and its series as a long table."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from barspark.functions.scalars import annualisation, floor_at, json_safe, sharpe_window
 from barspark.operators import windows as W
-from barspark.series import BLK, Running, Series, running, stage, windowed
+from barspark.series import POS, Running, Series, running, stage, windowed
 
 
 def series_table(rows: DataFrame, spec: Series, price: str, tf: str) -> DataFrame:
@@ -46,21 +46,16 @@ def series_table(rows: DataFrame, spec: Series, price: str, tf: str) -> DataFram
     )
 
 
-def _series_struct(names: dict[str, Column]) -> Column:
-    ordered = F.array_sort(F.collect_list(F.struct("pos", *[c.alias(n) for n, c in names.items()])))
-    return ordered
-
-
-def report(rows: DataFrame, metrics: DataFrame, spec: Series, params: dict, run_type: str, price: str, tf: str) -> DataFrame:
-    """One row per run and block of bars: ``part`` counts the blocks, a series of one block is one row.
+def report_series(rows: DataFrame, spec: Series, run_type: str, price: str, tf: str) -> DataFrame:
+    """The long table of a report: one row per run and bar, whatever the length of a series.
 
     Nulls become 0 in return series; equity starts at 1 and never falls below 0.
     """
     long = series_table(rows, spec, price, tf)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     equity = lambda c: floor_at(F.coalesce(F.col(c), F.lit(1.0)), 0.0)
-    names = {
-        "ts": F.date_format(spec.ts, "yyyy-MM-dd'T'HH:mm:ss"),
+    columns = {
+        "timestamp": F.date_format(spec.ts, "yyyy-MM-dd'T'HH:mm:ss"),
         "asset_ret_log": zero("r"),
         "asset_ret_simple": zero("simple_r"),
         "asset_cum_log": zero("cum_log_asset"),
@@ -83,30 +78,22 @@ def report(rows: DataFrame, metrics: DataFrame, spec: Series, params: dict, run_
         "net_rolling_sharpe": zero("rolling_sharpe_net"),
         "turnover": zero("turnover"),
     }
-    packed = long.groupBy(*spec.by(BLK)).agg(_series_struct(names).alias("__s"))
+    return long.select(*spec.keys, F.lit(run_type).alias("run_type"), POS, *[c.alias(n) for n, c in columns.items()])
 
-    def side(prefix: str, fields: list[str]) -> Column:
-        return F.struct(*[F.col(f"__s.{prefix}_{f}").alias(f) for f in fields])
 
-    strategy_fields = ["ret_log", "ret_simple", "cum_log", "cum_simple", "equity", "drawdown", "rolling_sharpe"]
-    series = F.struct(
-        F.col("__s.ts").alias("timestamps"),
-        side("asset", ["ret_log", "ret_simple", "cum_log", "cum_simple", "equity", "price"]).alias("asset"),
-        F.struct(side("gross", strategy_fields).alias("gross"), side("net", strategy_fields).alias("net")).alias("strategy"),
-        F.col("__s.turnover").alias("turnover"),
-    )
+def report_runs(metrics: DataFrame, spec: Series, params: dict, run_type: str) -> DataFrame:
+    """One row per run: its parameters and its metrics (infinite and missing numbers made safe for JSON)."""
     numbers = [f.name for f in metrics.schema.fields if f.name not in spec.keys]
     counts = {f.name for f in metrics.schema.fields if isinstance(f.dataType, T.IntegralType)}
     safe = F.struct(*[F.col(n) if n in counts else json_safe(n).alias(n) for n in numbers])
-    joined = packed.join(metrics.select(*spec.keys, safe.alias("metrics")), list(spec.keys))
-    return joined.select(
-        *spec.keys,
-        F.col(BLK).alias("part"),
-        F.lit(run_type).alias("run_type"),
-        params_map(params).alias("params"),
-        "metrics",
-        series.alias("series"),
-    )
+    return metrics.select(*spec.keys, F.lit(run_type).alias("run_type"), params_map(params).alias("params"), safe.alias("metrics"))
+
+
+def report(
+    rows: DataFrame, metrics: DataFrame, spec: Series, params: dict, run_type: str, price: str, tf: str
+) -> tuple[DataFrame, DataFrame]:
+    """A report as two tables: one row per run, and one row per run and bar (``pos`` in order)."""
+    return report_runs(metrics, spec, params, run_type), report_series(rows, spec, run_type, price, tf)
 
 
 def params_map(params: dict) -> Column:

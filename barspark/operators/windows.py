@@ -6,11 +6,13 @@ frame by default.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barspark.series import BLK, POS, Rolling, Running, Series, plain, running, windowed, with_blocks
 
@@ -165,44 +167,99 @@ def rolling_sharpe(x: Column | str, n: int, annual: float = 1.0) -> Rolling:
 
 
 def ema(df: DataFrame, spec: Series, price: str, span: int, name: str) -> DataFrame:
-    """Recursive exponential average e = a*x + (1-a)*e, seeded with the first price.
+    """Recursive exponential average, seeded with the first price that is there.
 
-    The recursion forgets: after ``reach`` bars an old value weighs less than
-    1e-18, below double precision. Each run of ``reach`` bars is therefore
-    summed locally with growing weights, and only the two runs before it can
-    contribute, so a padded block gives the full recursion's value.
+    A missing price keeps the average, and its bar still ages what came before: after
+    ``g`` bars the old value weighs ``keep**g`` against the new one's ``1 - keep``, and
+    the two are normalised. Each bar is thus an affine step; a block is summed up in
+    two numbers, those of a series are composed in order (one row per block), and every
+    block then runs from its carry. Nothing is cut off, whatever the span or block.
     """
     if span <= 1:
-        return windowed(df, spec, {name: plain(_col(price))})
-    keep = 1 - 2 / (span + 1)
-    reach = math.ceil(41.5 / -math.log(keep))
-    run, offset = F.floor(F.col(POS) / reach), F.pmod(F.col(POS), F.lit(reach))
-    weight = F.when(F.col(POS) == 0, F.lit(1.0)).otherwise(F.lit(1 - keep))
-    scaled = _col(price) * weight * F.pow(F.lit(1 / keep), offset)
-
-    def local(w: WindowSpec) -> Column:
-        inside = Window.partitionBy(*spec.by(BLK), "__run").orderBy(POS)
-        return F.sum(scaled).over(inside.rowsBetween(Window.unboundedPreceding, 0)) * F.pow(F.lit(keep), offset)
-
-    def tail(distance: int) -> Callable[[WindowSpec], Column]:
-        def build(_w: WindowSpec) -> Column:
-            runs = Window.partitionBy(*spec.by(BLK)).orderBy("__run").rangeBetween(-distance, -distance)
-            return F.coalesce(F.max(F.when(offset == reach - 1, F.col("__ema"))).over(runs), F.lit(0.0))
-
-        return build
-
-    def whole(_w: WindowSpec) -> Column:
-        carry = F.col("__tail1") + F.col("__tail2") * (keep**reach)
-        return F.col("__ema") + carry * F.pow(F.lit(keep), offset + 1)
-
-    return windowed(
-        df,
-        spec,
-        {"__run": plain(run)},
-        {"__ema": Rolling(local)},
-        {"__tail1": Rolling(tail(1), back=2 * reach), "__tail2": Rolling(tail(2), back=3 * reach)},
-        {name: Rolling(whole)},
-    ).drop("__run", "__ema", "__tail1", "__tail2")
+        x = _col(price).cast("double")
+        return running(df, spec, {name: fill_forward(F.when(~F.isnan(x), x))})
+    alpha = 2 / (span + 1)
+    rows = with_blocks(df, spec)
+    slim = rows.select(*spec.by(BLK, POS), _col(price).cast("double").alias("__x"))
+    ends = T.StructType(
+        [*[rows.schema[k] for k in spec.by(BLK)], *[T.StructField(c, T.DoubleType()) for c in ("first", "x", "last", "p", "q")]]
+    )
+    keys = list(spec.keys)
+
+    def ends_of(block: pd.DataFrame) -> pd.DataFrame:
+        row = block[[*keys, BLK]].head(1)
+        block = block[block["__x"].notna()].sort_values(POS)
+        if not len(block):
+            return row.assign(**dict.fromkeys(("first", "x", "last", "p", "q"), np.nan))
+        pos, x = block[POS].to_numpy(), block["__x"].to_numpy(float)
+        gap = np.diff(pos).astype(float)
+        tail = affine_scan(x[1:], gap, alpha, 0.0)
+        grown = float(np.exp(np.log((1 - alpha) ** gap / ((1 - alpha) ** gap + alpha)).sum())) if len(gap) else 1.0
+        return row.assign(first=float(pos[0]), x=x[0], last=float(pos[-1]), p=grown, q=tail[-1] if len(tail) else 0.0)
+
+    start = T.StructType([*[rows.schema[k] for k in spec.by(BLK)], T.StructField("__before", T.DoubleType()), T.StructField("__seen", T.DoubleType())])
+
+    def carried(blocks_: pd.DataFrame) -> pd.DataFrame:
+        blocks_ = blocks_.sort_values(BLK)
+        value, seen, out = None, None, []
+        for block in blocks_.itertuples(index=False):
+            out.append((value, seen))
+            if pd.isna(block.first):
+                continue
+            gap = np.array([1.0 if seen is None else block.first - seen])
+            at = affine_scan(np.array([block.x]), gap, alpha, value)[0]
+            value, seen = block.p * at + block.q, block.last
+        found = blocks_[[*keys, BLK]].copy()
+        found["__before"], found["__seen"] = [v for v, _ in out], [s for _, s in out]
+        return found.astype({"__before": float, "__seen": float})
+
+    totals = slim.groupBy(*spec.by(BLK)).applyInPandas(ends_of, ends)
+    if keys:
+        carries = totals.groupBy(*keys).applyInPandas(carried, start)
+    else:
+        carries = totals.groupBy(F.lit(0)).applyInPandas(carried, start)
+    done = T.StructType([*rows.schema.fields, T.StructField(name, T.DoubleType())])
+
+    def finish(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values(POS, kind="stable").reset_index(drop=True)
+        x, pos = block[price].astype(float).to_numpy(), block[POS].to_numpy(float)
+        before, seen = block["__before"].iloc[0], block["__seen"].iloc[0]
+        there = np.flatnonzero(~np.isnan(x))
+        value = np.full(len(x), before, float)
+        if len(there):
+            gap = np.diff(pos[there], prepend=pos[there[0]] - 1 if np.isnan(seen) else seen)
+            average = affine_scan(x[there], gap, alpha, None if np.isnan(before) else before)
+            held = np.searchsorted(there, np.arange(len(x)), "right") - 1
+            value = np.where(held >= 0, average[np.maximum(held, 0)], before)
+        block[name] = value
+        return block[done.names]
+
+    joined = rows.drop(name).join(carries.hint("merge"), spec.by(BLK))
+    out = joined.groupBy(*spec.by(BLK)).applyInPandas(finish, done)
+    return out.withColumn(name, F.when(~F.isnan(name), F.col(name)))
+
+
+def affine_scan(x: np.ndarray, gap: np.ndarray, alpha: float, before: float | None) -> np.ndarray:
+    """Exponential average at each x, ``gap`` bars after the one before; ``before``: the average so far, if any.
+
+    Products of the weights are taken over stretches that lose at most 400 natural
+    orders of magnitude, so they neither underflow nor need a loop over bars.
+    """
+    if not len(x):
+        return np.zeros(0)
+    weight = (1 - alpha) ** gap
+    a, b = weight / (weight + alpha), alpha * x / (weight + alpha)
+    if before is None:
+        a[0], b[0], before = 0.0, x[0], 0.0
+    depth = np.cumsum(-np.log(np.maximum(a, 1e-300)))
+    cuts = np.flatnonzero(np.diff(np.floor(depth / 400))) + 1
+    out = np.empty(len(x))
+    for low, high in zip([0, *cuts], [*cuts, len(x)], strict=True):
+        shrink = np.cumprod(np.concatenate([[1.0], a[low + 1 : high]]))
+        inner = np.concatenate([[0.0], np.cumsum(b[low + 1 : high] / shrink[1:])])
+        out[low:high] = shrink * (a[low] * before + b[low] + inner)
+        before = out[high - 1]
+    return out
 
 
 # --- unbounded scans ------------------------------------------------------------

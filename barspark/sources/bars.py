@@ -74,10 +74,14 @@ def require_time(df: DataFrame, name: str = "ts") -> DataFrame:
 
 
 def candles(pages: DataFrame, value: str = "value") -> DataFrame:
-    """Candle pages (JSON arrays of arrays of strings or numbers) to typed bars with open and close time."""
+    """Candle pages (JSON arrays of arrays of strings or numbers) to typed bars with open and close time.
+
+    A page column ``__arrived`` asks for ``__place``, the place of each bar in its page.
+    """
     page = F.from_json(value, "array<array<string>>")
     keep = [c for c in pages.columns if c != value]
-    rows = pages.select(*keep, F.explode(page).alias("c"))
+    rows = pages.select(*keep, F.posexplode(page).alias("__place", "c"))
+    keep += ["__place"] if "__arrived" in keep else []
     at = lambda i: F.element_at("c", i + 1)
     return rows.select(
         *keep,

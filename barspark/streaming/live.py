@@ -21,6 +21,8 @@ from barspark.series import POS, ROWS, Series, positions
 from barspark.sources.bars import candles, finalised, upsert_into
 
 PAGE_SCHEMA = "mode string, symbol string, tf string, value string"
+#: When and as which file a page arrived; of equal times in a batch the bar that arrived last wins.
+ARRIVAL = {"file_modification_time": "__arrived", "file_name": "__file"}
 
 
 # --- bars --------------------------------------------------------------------------
@@ -31,22 +33,32 @@ def candle_stream(spark: SparkSession, landing: str, files_per_batch: int | None
     reader = spark.readStream.schema(PAGE_SCHEMA)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return candles(reader.json(landing))
+    pages = reader.json(landing).select("*", *[F.col(f"_metadata.{m}").alias(a) for m, a in ARRIVAL.items()])
+    return candles(pages)
 
 
 def ingest(bars: DataFrame, root: str, spec: Series, checkpoint: str, now: Column | None = None, **trigger) -> StreamingQuery:
     """Merge finalised bars into the store. A re-fetched time overwrites, also in an earlier month.
 
-    The upsert is idempotent, so a batch replayed after a failure changes nothing.
+    Inside a batch the page file written last wins, then its name, line and place in the
+    page, however Spark packs the files. The upsert is idempotent, so a batch replayed
+    after a failure changes nothing.
     """
 
     def merge(batch: DataFrame, _batch_id: int) -> None:
-        ready = finalised(batch, now).withColumn("__seq", F.monotonically_increasing_id())
-        upsert_into(root, ready.drop("close_ts"), spec, seq="__seq")
+        upsert_into(root, in_order(finalised(batch, now)).drop("close_ts"), spec, seq="__seq")
 
     return _start(bars, merge, checkpoint, trigger)
 
 
+def in_order(bars: DataFrame) -> DataFrame:
+    """Order of arrival as ``__seq``: file time, file name, then line and place within the file."""
+    known = [F.col(c) for c in (*ARRIVAL.values(), "__place") if c in bars.columns]
+    arrived, line = known[:2], F.monotonically_increasing_id().alias("line")  # increases along a file
+    named = bars.withColumn("__seq", F.struct(*arrived, line, *known[2:]))
+    return named.drop(*ARRIVAL.values(), "__place")
+
+
 def _start(stream: DataFrame, work, checkpoint: str, trigger: dict) -> StreamingQuery:
     trigger = trigger or {"availableNow": True}
     return stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(**trigger).start()
@@ -78,6 +90,8 @@ def latest_signals(store: DataFrame, spec: Series, strategy, length: int, step:
 
     Only the bars the newest fold needs are read: the fold number follows from
     the series length alone, so restarting or re-batching gives the same signal.
+    A series of at most ``length`` bars is fitted on its first ``retrain_length``
+    bars; one without a bar after those 50 has a null signal.
     """
     rows = positions(store, spec)
     newest = F.floor((F.col(ROWS) - 1 - length) / step)
@@ -85,8 +99,16 @@ def latest_signals(store: DataFrame, spec: Series, strategy, length: int, step:
     recent = rows.filter((F.col(ROWS) > length) & (F.col(POS) >= begin))
     moved = recent.withColumns({"__pos": F.col(POS), POS: F.col(POS) - begin, ROWS: F.col(ROWS) - begin})
     signals = walk_forward_signals(moved, spec, strategy, length, step)
-    last = signals.filter(F.col(POS) == F.col(ROWS) - 1)
-    return last.withColumn(POS, F.col("__pos")).select(*spec.by(spec.ts, POS, strategy.price, "signal"))
+    last = signals.filter(F.col(POS) == F.col(ROWS) - 1).withColumn(POS, F.col("__pos"))
+    names = spec.by(spec.ts, POS, strategy.price, "signal")
+    trained = retrain_length(length, F.col(ROWS))
+    short = rows.filter(F.col(ROWS) <= length)
+    enough = short.filter(F.col(ROWS) > trained)
+    fitted = strategy.fit(positions(enough.filter(F.col(POS) < trained).drop(POS, ROWS), spec), spec)
+    early = strategy.signals(enough, fitted, spec).filter(F.col(POS) == F.col(ROWS) - 1)
+    none = short.filter((F.col(ROWS) <= trained) & (F.col(POS) == F.col(ROWS) - 1)).withColumn("signal", F.lit(None).cast("double"))
+    parts = [part.select(*names[:-1], F.col("signal").cast("double").alias("signal")) for part in (last, early, none)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def signal_stream(
@@ -100,7 +122,7 @@ def signal_stream(
     """
 
     def work(batch: DataFrame, batch_id: int) -> None:
-        ready = finalised(batch, now).withColumn("__seq", F.monotonically_increasing_id())
+        ready = in_order(finalised(batch, now))
         upsert_into(root, ready.drop("close_ts"), spec, seq="__seq")
         touched = ready.select(*spec.keys).distinct()
         stored = read_store(batch.sparkSession).join(touched, list(spec.keys), "left_semi")
@@ -183,7 +205,7 @@ def position_stream(signals: DataFrame, key: str, ts: str, price: str, signal: s
 
     def step(group: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         before = state.get if state.exists else (0.0, 0.0, 0.0, 0.0, -(1 << 62))
-        rows = pd.concat(list(frames), ignore_index=True)
+        rows = pd.concat(list(frames), ignore_index=True)  # all of a batch: times must be in order
         rows["signal"] = rows["signal"].astype(object).where(rows["signal"].notna(), None)
         made, after = fills(book, rows, tuple(before))
         state.update(after)

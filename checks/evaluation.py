@@ -402,33 +402,38 @@ _REP = [T.averages("av", "p2", "symbol", 20), "bp AS (SELECT DISTINCT symbol, 5
 @check(
     "r01_report",
     sql(
-        *_REP, f"c AS (SELECT *, sum(r) {_UP} AS cr, product(1 + net) {_UP} AS eq FROM e1)",
-        f"""SELECT symbol, 'in_sample' AS run_type, 'ma' AS strategy, list(strftime(ts, '%Y-%m-%dT%H:%M:%S') ORDER BY pos) AS timestamps, list(round(coalesce(r, 0), 6) + 0.0 ORDER BY pos) AS ret_log,
-        list(round(cr, 6) + 0.0 ORDER BY pos) AS cum_log, list(turnover ORDER BY pos) AS turnover, {r(T.pf_of('net_log'), 'pf_net')} FROM c GROUP BY symbol""",
+        *_REP, f"c AS (SELECT *, sum(r) {_UP} AS cr FROM e1)", f"m AS (SELECT symbol, {r(T.pf_of('net_log'), 'pf_net')} FROM e1 GROUP BY symbol)",
+        f"""SELECT symbol, 'in_sample' AS run_type, 'ma' AS strategy, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp, {r('coalesce(r, 0)', 'ret_log')},
+        {r('cr', 'cum_log')}, {r('turnover', 'turnover')}, pf_net FROM c JOIN m USING (symbol)""",
     ),
 )
 def r01_report(spark, sf):
-    six = lambda c: F.transform(c, lambda x: F.round(x, 6))
-    return _report(spark, sf).select(
-        "symbol", "run_type", F.col("params")["strategy"].alias("strategy"), F.col("series.timestamps").alias("timestamps"), six("series.asset.ret_log").alias("ret_log"),
-        six("series.asset.cum_log").alias("cum_log"), F.col("series.turnover").alias("turnover"), F.round("metrics.pf_net", 6).alias("pf_net"),
-    )
+    runs, series = _report(spark, sf)
+    head = runs.select("symbol", F.col("params")["strategy"].alias("strategy"), F.col("metrics.pf_net").alias("pf_net"))
+    return rounded(series.join(head, "symbol").select(
+        "symbol", "run_type", "strategy", "timestamp", F.col("asset_ret_log").alias("ret_log"), F.col("asset_cum_log").alias("cum_log"), "turnover", "pf_net",
+    ))
+
+
+def _stored_report(spark, sf):
+    """Both tables written as JSON and read again."""
+    base, back = f"{_shared_folder(spark)}/report-{uuid4().hex}", []
+    for name, df in zip(("runs", "series"), _report(spark, sf), strict=True):
+        df.write.json(f"{base}/{name}")
+        back.append(spark.read.schema(df.schema).json(f"{base}/{name}"))
+    return back
 
 
-@check("s14_report_json", None)
+@check("s14_report_json", sql(*_REP, f"SELECT symbol, 'in_sample' AS run_type, {r(T.pf_of('net_log'), 'pf_net')}, count(*) AS bars FROM e1 GROUP BY symbol"))
 def s14_report_json(spark, sf):
-    report = _report(spark, sf)
-    path = f"{_shared_folder(spark)}/report-{uuid4().hex}"
-    report.write.json(path)
-    return spark.read.schema(report.schema).json(path).select("symbol", "run_type", "metrics.pf_net", F.size("series.timestamps").alias("bars"))
+    runs, series = _stored_report(spark, sf)
+    bars = series.groupBy("symbol").agg(F.count("*").alias("bars"))
+    return rounded(runs.select("symbol", "run_type", "metrics.pf_net").join(bars, "symbol"))
 
 
 @check("s15_report_metrics", sql(*_REP, f"SELECT symbol, count(*) AS bars, {r(T.pf_of('gross_log'), 'pf_gross')}, {r(T.pf_of('net_log'), 'pf_net')}, {r('avg(net_log) / stddev_samp(net_log) * sqrt(2190)', 'sharpe_net')} FROM e1 GROUP BY symbol"))
 def s15_report_metrics(spark, sf):
-    report = _report(spark, sf)
-    path = f"{_shared_folder(spark)}/metrics-{uuid4().hex}"
-    report.write.json(path)
-    back = spark.read.schema(report.schema).json(path).select("symbol", "metrics.*")
+    back = _stored_report(spark, sf)[0].select("symbol", "metrics.*")
     return keep(back, "symbol", "bars", "pf_gross", "pf_net", "sharpe_net")
 
 

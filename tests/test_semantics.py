@@ -320,6 +320,18 @@ def test_logistic_fit_is_the_penalised_optimum(spark):
         assert abs((p - part.y).sum()) < 1e-6
 
 
+def test_nearly_separable_fit_runs_to_its_end(spark):
+    x = np.linspace(-1, 1, 60)
+    y = (x > 0).astype(int)
+    y[30] = 0
+    pdf = pd.DataFrame({"k": "a", "a": x, "y": y})
+    row = fit_logistic(spark.createDataFrame(pdf), ["k"], "y", ["a"], l2=1e-3).first()
+    p = 1 / (1 + np.exp(-(x * row.coef[0] + row.intercept)))
+    assert row.converged and abs(x @ (p - y) + 1e-3 * row.coef[0]) < 1e-6
+    short = fit_logistic(spark.createDataFrame(pdf), ["k"], "y", ["a"], l2=1e-3, max_passes=2).first()
+    assert not short.converged
+
+
 def test_direction_classifier_picks_by_held_out_factor(spark):
     rows = positions(frame(spark, random_walk(500, seed=101, symbols=("A",))), HOURLY)
     model = DirectionClassifier(rsi=(14,), ema=(20, 50), vol=(10,))

@@ -85,6 +85,17 @@ def test_ema_is_the_recursion(spark, pdf, span):
     np.testing.assert_allclose(got.e, want, rtol=1e-12)
 
 
+@pytest.mark.parametrize("span", [1, 2, 20, 200])
+def test_ema_with_missing_prices_at_any_block_size(spark, pdf, span):
+    gaps = pdf.assign(close=pdf.close.where(np.arange(len(pdf)) % 7 > 2))
+    gaps.loc[gaps.groupby("symbol").head(9).index, "close"] = np.nan
+    gaps.loc[gaps.groupby("symbol").cumcount().between(SMALL.block * 2, SMALL.block * 4), "close"] = np.nan  # whole blocks
+    want = gaps.groupby("symbol").close.transform(lambda s: s.ewm(span=span, adjust=False).mean())
+    for spec in (SMALL, replace(SMALL, block=SMALL.block * 3)):
+        got = collected(W.ema(frame(spark, gaps), spec, "close", span, "e"), "symbol", "ts")
+        np.testing.assert_allclose(got.e.to_numpy(float), want, rtol=1e-11, equal_nan=True)
+
+
 def test_drawdown_with_ruin(spark, pdf):
     rng = np.random.default_rng(3)
     pdf = pdf.assign(close=rng.normal(0, 0.3, len(pdf)) - (np.arange(len(pdf)) % 97 == 0) * 1.5)

@@ -42,6 +42,43 @@ def test_ingest_restarts_and_takes_corrections(spark, bars, shared):
     np.testing.assert_allclose(got.close[24:], want.close[24:])
 
 
+def test_later_file_wins_though_spark_reads_larger_files_first(spark, bars, shared):
+    import os
+    import time
+
+    os.makedirs(f"{shared}/in")
+    few, many = bars.limit(3), bars
+    _land(few.withColumn("close", F.lit(1.0)), f"{shared}/a")
+    _land(many.withColumn("close", F.lit(2.0)), f"{shared}/b")
+
+    def move(folder, name, age):
+        (page,) = [f for f in os.listdir(folder) if f.startswith("part")]
+        with open(f"{folder}/{page}") as source, open(f"{shared}/in/{name}.json", "w") as target:
+            target.write(source.read())
+        os.utime(f"{shared}/in/{name}.json", (time.time() - age,) * 2)
+
+    move(f"{shared}/b", "large", 100)  # read first, written first
+    move(f"{shared}/a", "small", 10)
+    S.ingest(S.candle_stream(spark, f"{shared}/in"), f"{shared}/store", SPEC, f"{shared}/ckpt").awaitTermination()
+    assert B.read_bars(spark, f"{shared}/store").filter("close = 1").count() == 3
+    os.utime(f"{shared}/in/small.json", (time.time() - 200,) * 2)  # now the small one is the older one
+    S.ingest(S.candle_stream(spark, f"{shared}/in"), f"{shared}/other", SPEC, f"{shared}/ckpt2").awaitTermination()
+    assert B.read_bars(spark, f"{shared}/other").filter("close = 1").count() == 0
+
+
+def test_short_series_are_fitted_on_what_they_have(spark):
+    from barspark.operators.folds import walk_forward_signals
+
+    strategy = MovingAverage(max_window=6)
+    make = lambda n, s: frame(spark, random_walk(n, seed=9, symbols=(s,)))
+    bars = make(120, "A").unionByName(make(80, "B")).unionByName(make(40, "C"))
+    got = {r.symbol: r.signal for r in S.latest_signals(bars, HOURLY, strategy, 100, 10).collect()}
+    assert got.keys() == {"A", "B", "C"} and got["C"] is None
+    # B has 80 bars: fitted on 75, signalled on the last five
+    want = walk_forward_signals(make(80, "B"), HOURLY, strategy, 75, 5).filter("pos = 79").first().signal
+    assert got["B"] == want
+
+
 def test_unfinished_bars_wait(spark, bars, shared):
     _land(bars, f"{shared}/in")
     now = F.lit("2024-01-02").cast("timestamp_ntz")
