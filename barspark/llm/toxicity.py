@@ -21,7 +21,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +49,7 @@ LONGEST = 14
 #: Least twice log likelihood ratio of a term, and its least share of toxic documents. A term's weight grows with that share.
 EVIDENCE, PURITY = 24.0, 0.5
 FUZZY_LENGTH = 5  # shorter terms are met exactly only
+STATES = 50_000
 CACHE = 1 << 20
 WINDOW = 40  # characters of context on each side
 
@@ -60,64 +61,97 @@ REPORTING = {"said", "says", "wrote", "called", "quote", "quoted", "word", "term
 ADDRESS = {"you", "your", "you're", "u", "du", "dich", "ihr", "tu", "vous", "te", "toi", "usted", "eres"}
 
 
-@dataclass
 class Trie:
-    """Terms by letter; ``terms`` are met as the beginning of a word, misspelled ones as the whole word."""
-
-    terms: dict[str, float]
-    root: dict = field(default_factory=dict)
-
-    def __post_init__(self) -> None:
-        for term in self.terms:
-            node = self.root
+    """Terms by letter; ``terms`` are met as the beginning of a word, misspelled ones as the whole word.
+
+    ``near`` runs the Levenshtein automaton of one edit over the trie. A state is the set
+    of (node, edits, letter still to come) that the letters read so far can stand for;
+    states and steps between them are made when first needed, so a word costs one look-up
+    per letter. At most ``STATES`` are remembered.
+    """
+
+    def __init__(self, terms: dict[str, float]) -> None:
+        self.children: list[dict[str, int]] = [{}]
+        self.weight = [0.0]
+        self.long = [0.0]  # the weight again, for terms that are long enough to be misspelled
+        for term, weight in terms.items():
+            node = 0
             for letter in term:
-                node = node.setdefault(letter, {})
-            node[""] = term, self.terms[term]
-        longer = [t for t in self.terms if len(t) >= FUZZY_LENGTH]
-        self.heads = {t[:2] for t in longer}
-        self.tails = {t[-2:] for t in longer}
+                if letter not in self.children[node]:
+                    self.children[node][letter] = len(self.children)
+                    self.children.append({})
+                    self.weight.append(0.0)
+                    self.long.append(0.0)
+                node = self.children[node][letter]
+            self.weight[node] = weight
+            self.long[node] = weight if len(term) >= FUZZY_LENGTH else 0.0
+        self.terms = terms
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers: dict[frozenset, int] = {}
+        self.states: list[frozenset] = []
+        self.steps: list[dict[str, int]] = []
+        self.accepted: list[float] = []
+        self._number(frozenset([(0, 0, "")]))
 
     def begins(self, word: str) -> float:
         """Weight of the term that the word begins with, or 0."""
-        node = self.root
+        node = 0
         for letter in word:
-            node = node.get(letter)
-            if node is None:
+            node = self.children[node].get(letter, -1)
+            if node < 0:
                 return 0.0
-            if "" in node:
-                return node[""][1]
+            if self.weight[node]:
+                return self.weight[node]
         return 0.0
 
     def near(self, word: str) -> float:
-        """Weight of a term that is one edit or one swap of neighbours from the word, or 0."""
-        if len(word) < FUZZY_LENGTH - 1 or (word[:2] not in self.heads and word[-2:] not in self.tails):
-            return 0.0  # one edit cannot touch both ends of a term
-        start = frozenset([(0, 0)])
-        return max([0.0, *(self._walk(node, letter, word, start, frozenset()) for letter, node in self.root.items() if letter)])
-
-    def _walk(self, node: dict, letter: str, word: str, states: frozenset, swaps: frozenset) -> float:
-        """One step of the automaton: ``states`` are (letters of the word used, edits); ``swaps`` wait for the letter before."""
-        after, waiting = set(), set()
-        n = len(word)
-        for used, edits in states:
-            if used < n and word[used] == letter:
-                after.add((used + 1, edits))
-            elif not edits:
-                after.add((used + 1, 1)) if used < n else None  # another letter
-                after.add((used, 1))  # a letter left out
-                if used + 1 < n and word[used + 1] == letter:
-                    after.add((used + 2, 1))  # a letter put in
-                    waiting.add((used, word[used]))  # or two letters swapped
-        for used, wanted in swaps:
-            if letter == wanted:
-                after.add((used + 2, 1))
-        if not after and not waiting:
-            return 0.0
-        term, weight = node.get("", ("", 0.0))
-        if len(term) >= FUZZY_LENGTH and any(n - used + edits <= 1 for used, edits in after):
-            return weight
-        states, swaps = frozenset(after), frozenset(waiting)
-        return max([0.0, *(self._walk(child, x, word, states, swaps) for x, child in node.items() if x)])
+        """Weight of a term that is at most one edit or one swap of neighbours from the word, or 0."""
+        if len(self.states) > STATES:
+            self._forget()
+        state = 0
+        for letter in word:
+            after = self.steps[state].get(letter)
+            if after is None:
+                after = self.steps[state][letter] = self._number(self._step(self.states[state], letter))
+            if after < 0:
+                return 0.0
+            state = after
+        return self.accepted[state]
+
+    def _number(self, state: frozenset) -> int:
+        if not state:
+            return -1
+        if state not in self.numbers:
+            self.numbers[state] = len(self.states)
+            self.states.append(state)
+            self.steps.append({})
+            ends = [self.long[node] for node, _, waits in state if not waits]
+            ends += [self.long[child] for node, edits, waits in state if not edits for child in self.children[node].values()]
+            self.accepted.append(max(ends, default=0.0))
+        return self.numbers[state]
+
+    def _step(self, state: frozenset, letter: str) -> frozenset:
+        after = set()
+        for node, edits, waits in state:
+            own = self.children[node]
+            if waits:  # the second of two swapped letters
+                if waits == letter:
+                    after.add((node, 1, ""))
+                continue
+            if letter in own:
+                after.add((own[letter], edits, ""))
+            if edits:
+                continue
+            after.add((node, 1, ""))  # a letter put in
+            for other, child in own.items():
+                after.add((child, 1, ""))  # another letter
+                if letter in self.children[child]:
+                    beyond = self.children[child][letter]
+                    after.add((beyond, 1, ""))  # a letter left out
+                    after.add((beyond, 1, other))  # or two letters swapped
+        return frozenset(after)
 
 
 @dataclass
