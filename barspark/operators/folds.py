@@ -159,10 +159,13 @@ def row_params_signal(df: DataFrame, spec: Series, strategy) -> DataFrame:
         with np.errstate(invalid="ignore"):
             raw = np.sign(kernels.average_at(p, pos, fast) - kernels.average_at(p, pos, slow))
         # A tie holds the last side the same parameters took, not that of another fold.
-        for i in np.flatnonzero(raw == 0):
-            past = np.full(i + 1, fast[i]), np.full(i + 1, slow[i])
-            sides = np.sign(kernels.average_at(p[: i + 1], pos[: i + 1], past[0]) - kernels.average_at(p[: i + 1], pos[: i + 1], past[1]))
-            raw[i] = kernels.held(np.nan_to_num(sides))[-1]
+        ties = np.flatnonzero(raw == 0)
+        for pair in {(fast[i], slow[i]) for i in ties}:
+            own = [kernels.average_at(p, pos, np.full(len(p), n)) for n in pair]
+            with np.errstate(invalid="ignore"):
+                sides = kernels.held(np.nan_to_num(np.sign(own[0] - own[1])))
+            mine = ties[(fast[ties] == pair[0]) & (slow[ties] == pair[1])]
+            raw[mine] = sides[mine]
         block["__raw"] = np.where(raw == 0, np.nan, raw)
         return block.loc[block["__core"], schema.names]
 

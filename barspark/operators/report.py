@@ -14,14 +14,8 @@ from barspark.series import POS, Running, Series, running, stage, windowed
 def series_table(rows: DataFrame, spec: Series, price: str, tf: str) -> DataFrame:
     """The long table behind a report: cumulative returns, equities, drawdowns, rolling Sharpe."""
     n, annual = sharpe_window(tf), annualisation(tf)
-    out = windowed(
-        rows,
-        spec,
-        {
-            "__rs_gross": W.rolling_sharpe("strategy_r", n, annual),
-            "__rs_net": W.rolling_sharpe("strategy_r_net", n, annual),
-        },
-    )
+    ratios = {"__rs_gross": "strategy_r", "__rs_net": "strategy_r_net"}
+    out = W.without_helpers(windowed(rows, spec, *W.sharpe_layers(ratios, n, annual)))
     out = running(
         out,
         spec,

@@ -163,6 +163,52 @@ def rolling_sharpe(x: Column | str, n: int, annual: float = 1.0) -> Rolling:
     return Rolling(lambda w: F.try_divide(mean.build(w), std.build(w)) * annual, back=n - 1)
 
 
+def sharpe_layers(columns: dict[str, str], n: int, annual: float = 1.0) -> list[dict[str, Rolling]]:
+    """Rolling Sharpe ratios ``name: column`` as layers for ``windowed``, in time that doesn't grow with ``n``.
+
+    Prefix sums of the values less their block's mean give each frame's mean and
+    variance as differences. Frames of one repeated value are told by a prefix count
+    of changes, so rounding can't turn no variance into a little. The layers leave
+    helper columns that begin with ``__sh_``.
+    """
+    first, second, third = {}, {}, {}
+
+    def prefix(value: Column) -> Rolling:
+        return Rolling(lambda w: F.coalesce(F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)))
+
+    def ratio(name: str, x: Column) -> Rolling:
+        def build(w: WindowSpec) -> Column:
+            def inside(c: str, back: int) -> Column:
+                total = F.col(f"__sh_{c}_{name}")
+                return total - F.coalesce(F.lag(total, back).over(w), F.lit(0.0))
+
+            shift = inside("sum", n)
+            spread = F.greatest(inside("square", n) - shift * shift / n, F.lit(0.0)) / (n - 1)
+            value = F.try_divide(F.col(f"__sh_mean_{name}") + shift / n, F.sqrt(spread)) * annual
+            return F.when((inside("count", n) >= n) & (inside("change", n - 1) > 0), value)
+
+        return Rolling(build, back=n)
+
+    for name, column in columns.items():
+        x = F.col(column)
+        off = x - F.col(f"__sh_mean_{name}")
+        first[f"__sh_mean_{name}"] = Rolling(
+            lambda w, x=x: F.avg(x).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        )
+        first[f"__sh_moved_{name}"] = Rolling(lambda w, x=x: (x != F.lag(x).over(w)).cast("int"))
+        second[f"__sh_sum_{name}"] = prefix(off)
+        second[f"__sh_square_{name}"] = prefix(off * off)
+        second[f"__sh_count_{name}"] = prefix(F.when(x.isNotNull(), 1.0))
+        second[f"__sh_change_{name}"] = prefix(F.col(f"__sh_moved_{name}").cast("double"))
+        third[name] = ratio(name, x)
+    return [first, second, third]
+
+
+def without_helpers(df: DataFrame) -> DataFrame:
+    """Drop the helper columns of ``sharpe_layers``."""
+    return df.drop(*[c for c in df.columns if c.startswith("__sh_")])
+
+
 # --- exponential average ------------------------------------------------------
 
 

@@ -91,7 +91,7 @@ _RS = f"""x AS (SELECT symbol, ts, ln(close) - ln(lag(close) OVER {OVER}) AS x F
 def w09_rolling_sharpe(spark, sf):
     n, annual = S.sharpe_window("4h"), S.annualisation("4h")
     x = F.log("close")
-    out = windowed(bars2(spark, sf), FOUR_HOURS, {"x": W.diff(x)}, {"s": W.rolling_sharpe("x", n, annual)})
+    out = windowed(bars2(spark, sf), FOUR_HOURS, {"x": W.diff(x)}, *W.sharpe_layers({"s": "x"}, n, annual))
     out = running(out, FOUR_HOURS, {"rolling_sharpe": W.fill_backward("s")})
     return keep(out.withColumn("rolling_sharpe", F.coalesce("rolling_sharpe", F.lit(0.0))), "symbol", "ts", "rolling_sharpe")
 

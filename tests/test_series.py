@@ -78,6 +78,16 @@ def test_blocked_scans_equal_pandas(spark, pdf):
         np.testing.assert_allclose(got[name].to_numpy(float), values.to_numpy(float), rtol=1e-9, equal_nan=True, err_msg=name)
 
 
+@pytest.mark.parametrize("n", [2, 5, 60])
+def test_sharpe_by_prefix_sums_equals_the_frame(spark, pdf, n):
+    x = pdf.close.pct_change().where(np.arange(len(pdf)) % 50 > 12, 0.0)  # with flat stretches
+    df = frame(spark, pdf.assign(volume=x.fillna(0.0)))
+    df = df.withColumn("x", F.when(F.col("ts") != F.lit("2024-01-02").cast("timestamp_ntz"), F.col("volume")))
+    wide = collected(W.without_helpers(windowed(df, SMALL, *W.sharpe_layers({"s": "x"}, n, 3.0))), "symbol", "ts")
+    plain_ = collected(windowed(df, SMALL, {"s": W.rolling_sharpe("x", n, 3.0)}), "symbol", "ts")
+    np.testing.assert_allclose(wide.s.to_numpy(float), plain_.s.to_numpy(float), rtol=1e-6, atol=1e-9, equal_nan=True)
+
+
 @pytest.mark.parametrize("span", [1, 3, 20])
 def test_ema_is_the_recursion(spark, pdf, span):
     got = collected(W.ema(frame(spark, pdf), SMALL, "close", span, "e"), "symbol", "ts")
