@@ -38,6 +38,8 @@ from barspark.llm.common import (
     slices,
     small_batches,
     text_column,
+    windows,
+    word_hashes,
     word_spans,
 )
 
@@ -300,14 +302,35 @@ def _curve(weights: np.ndarray, lengths: np.ndarray, labels: np.ndarray) -> tupl
     return tuple(beta.tolist())
 
 
+def _sketch(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Smallest hash of a text's three-word runs (of its words, if it has fewer): copies and most near copies share it."""
+    for column in columns:
+        out = []
+        for batch in slices(pa.RecordBatch.from_arrays([column], ["text"])):
+            hashes, rows = word_hashes(batch.column(0), ALNUM)
+            runs, first = windows(hashes, rows, 3)
+            cuts = np.searchsorted(first, rows)
+            for i in range(batch.num_rows):
+                own = runs[cuts[i] : cuts[i + 1]] if cuts[i + 1] > cuts[i] else hashes[rows[i] : rows[i + 1]]
+                out.append(int(own.view(np.int64).min()) if len(own) else 0)
+        yield pa.array(out, pa.int64())
+
+
 def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
-    """A model from the labelled rows given; the caller leaves out what is to be held out."""
+    """A model from the labelled rows given; the caller leaves out what is to be held out.
+
+    Of copies and near copies one text is learned from, or every word of a text that is
+    often copied would seem to mark its label.
+    """
     spark = docs.sparkSession
     stage = Stage(spark, "toxicity")
     own = labels.filter(F.col(label).isin(0, 1) & F.col(id).isNotNull()).groupBy(F.col(id).alias("id")).agg(F.max(label).alias("label"))
     own = own.orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
     source = text_column(docs.select(F.col(id).alias("id"), F.col(text).alias("text")))
-    sample = stage(source.join(F.broadcast(own), "id").select("text", "label"))
+    small_batches(spark)
+    sketch = F.arrow_udf(_sketch, "long")
+    sample = source.join(F.broadcast(own), "id").withColumn("sketch", sketch("text"))
+    sample = stage(sample.dropDuplicates(["sketch", "label"]).select("text", "label"))
     toxic, clean = sample.filter("label = 1"), sample.filter("label = 0")
     n_toxic, n_clean = toxic.count(), clean.count()
     if not n_toxic or not n_clean:
