@@ -156,3 +156,16 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
+
+_SPACED = _WORDS.replace("\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F", "\\x20\\x09-\\x0D")
+
+ORACLES["op6_ngram_join"] = f"""
+WITH RECURSIVE doc AS (SELECT doc_id, {_SPACED} AS w FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) < 4 THEN CASE WHEN len(w) = 0 THEN [] ELSE [array_to_string(w, ' ')] END
+         ELSE list_transform(generate_series(1, len(w) - 3), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM doc),
+one AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM sets),
+link AS (SELECT a.doc_id AS a, b.doc_id AS b FROM one a JOIN one b USING (g) WHERE a.doc_id <> b.doc_id
+         GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM doc UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
+SELECT doc_id, len(g)::BIGINT AS n_shingles, (SELECT min(b) FROM reach WHERE a = doc_id) AS component_id FROM sets
+"""
