@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barspark.llm.common import SPACED, Stage, _powers, arrow_map, mix, signed, small, small_batches, text_column, word_hashes
+from barspark.llm.common import SPACED, Stage, _powers, arrow_map, mix, signed, small_batches, text_column, word_hashes
 
 GEAR = 4
 WORD_BITS = 40
@@ -121,7 +121,7 @@ def repeated_passages(df: DataFrame, id: str = "doc_id", text: str = "text", lea
     at = F.struct("id", "i")
     known = places.groupBy("digest").agg(F.min(at).alias("first"), F.max(at).alias("last"))
     known = stage(known.filter("first != last").select("digest", "first"))
-    met = places.join(small(known), "digest").select("id", "i", (at == F.col("first")).alias("is_first"))
+    met = places.join(known, "digest").select("id", "i", (at == F.col("first")).alias("is_first"))
     marks = met.distinct().groupBy("id").agg(F.collect_list(F.struct("i", "is_first")).alias("marks"))
 
     @F.arrow_udf("struct<words: long, cut: long, passages: array<struct<first: int, stop: int>>>")
