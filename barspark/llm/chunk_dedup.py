@@ -16,14 +16,15 @@ an id and its text are one document and each is returned. Extra columns play no
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barspark.llm.common import SPACED, Stage, _powers, arrow_map, mix, signed, small_batches, text_column, word_hashes
+from barspark.llm.common import SPACED, Stage, _powers, arrow_map, fresh, mix, signed, small_batches, text_column, word_hashes
 
 GEAR = 4
 WORD_BITS = 40
@@ -95,24 +96,28 @@ def chunks(docs: DataFrame) -> DataFrame:
     return arrow_map(docs, make, f"id {form}, n_words long, digests array<long>, sizes array<smallint>")
 
 
-def passages(sizes: np.ndarray, repeated: np.ndarray, first: np.ndarray, least: int) -> tuple[int, int, list[tuple[int, int]]]:
-    """Words in repeated passages, words of them to be cut, and the passages as (first word, end word)."""
+Ranges = list[tuple[int, int]]
+_RANGES = "array<struct<first: int, stop: int>>"
+
+
+def passages(sizes: np.ndarray, repeated: np.ndarray, first: np.ndarray, least: int) -> tuple[Ranges, Ranges]:
+    """Repeated passages, and what of them is to be cut, as (first word, end word)."""
     starts = np.concatenate([[0], np.cumsum(sizes)])
     flags = np.concatenate([[False], repeated, [False]])
     change = np.flatnonzero(flags[1:] != flags[:-1])
-    words = cut = 0
-    found = []
+    found, cuts = [], []
     for a, b in zip(change[0::2], change[1::2], strict=True):
-        held = int(starts[b] - starts[a])
-        if held >= least:
-            words += held
-            cut += int(sizes[a:b][~first[a:b]].sum())
-            found.append((int(starts[a]), int(starts[b])))
-    return words, cut, found
+        if starts[b] - starts[a] < least:
+            continue
+        found.append((int(starts[a]), int(starts[b])))
+        later = np.concatenate([[False], ~first[a:b], [False]])
+        edges = np.flatnonzero(later[1:] != later[:-1]) + a
+        cuts += [(int(starts[c]), int(starts[d])) for c, d in zip(edges[0::2], edges[1::2], strict=True)]
+    return found, cuts
 
 
 def repeated_passages(df: DataFrame, id: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
-    """(id, n_words, n_chunks, repeated_words, removed_words, passages) per row; passages are word ranges."""
+    """(id, n_words, n_chunks, repeated_words, removed_words, passages, cuts) per row; passages and cuts are word ranges."""
     small_batches(df.sparkSession)
     stage = Stage(df.sparkSession, "chunk-dedup")
     docs = text_column(df.select(F.col(id).alias("id"), F.col(text).alias("text")))
@@ -124,9 +129,10 @@ def repeated_passages(df: DataFrame, id: str = "doc_id", text: str = "text", lea
     met = places.join(known, "digest").select("id", "i", (at == F.col("first")).alias("is_first"))
     marks = met.distinct().groupBy("id").agg(F.collect_list(F.struct("i", "is_first")).alias("marks"))
 
-    @F.arrow_udf("struct<words: long, cut: long, passages: array<struct<first: int, stop: int>>>")
+    @F.arrow_udf(f"struct<passages: {_RANGES}, cuts: {_RANGES}>")
     def judged(sizes: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        kind = pa.struct([("words", pa.int64()), ("cut", pa.int64()), ("passages", pa.list_(pa.struct([("first", pa.int32()), ("stop", pa.int32())])))])
+        ranges = pa.list_(pa.struct([("first", pa.int32()), ("stop", pa.int32())]))
+        kind = pa.struct([("passages", ranges), ("cuts", ranges)])
         for own, marked in sizes:
             out = []
             for i in range(len(own)):
@@ -139,8 +145,8 @@ def repeated_passages(df: DataFrame, id: str = "doc_id", text: str = "text", lea
                     inside = where < len(size)
                     repeated[where[inside]] = True
                     first[where[inside]] = flag[inside]
-                words, cut, found = passages(size, repeated, first, least)
-                out.append({"words": words, "cut": cut, "passages": [{"first": a, "stop": b} for a, b in found]})
+                found, cuts = passages(size, repeated, first, least)
+                out.append({"passages": _structs(found), "cuts": _structs(cuts)})
             yield pa.array(out, kind)
 
     light = rows.select("id", "n_words", "sizes")
@@ -151,7 +157,44 @@ def repeated_passages(df: DataFrame, id: str = "doc_id", text: str = "text", lea
         F.col("id").alias(id),
         "n_words",
         F.col("n").cast("long").alias("n_chunks"),
-        F.col("seen.words").alias("repeated_words"),
-        F.col("seen.cut").alias("removed_words"),
+        _words_in(F.col("seen.passages")).alias("repeated_words"),
+        _words_in(F.col("seen.cuts")).alias("removed_words"),
         F.col("seen.passages").alias("passages"),
+        F.col("seen.cuts").alias("cuts"),
     )
+
+
+def _structs(ranges: Ranges) -> list[dict[str, int]]:
+    return [{"first": a, "stop": b} for a, b in ranges]
+
+
+def _words_in(ranges: Column) -> Column:
+    return F.aggregate(ranges, F.lit(0).cast("long"), lambda n, r: n + (r["stop"] - r["first"]))
+
+
+def without_words(text: str, cuts: Ranges) -> str:
+    """A text without the words of the ranges; white space after a cut word goes with it."""
+    raw = text.encode()
+    starts = [m.start() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)] + [len(raw)]
+    parts, at = [], 0
+    for first, stop in cuts:
+        parts.append(raw[at : starts[first]])
+        at = starts[stop]
+    return b"".join([*parts, raw[at:]]).decode()
+
+
+def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
+    """``df`` with all but the first of the places of each repeated passage cut from its texts."""
+
+    @F.arrow_udf("string")
+    def cut(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, ranges in columns:
+            pairs = zip(texts.to_pylist(), ranges.to_pylist(), strict=True)
+            yield pa.array([t if not c else without_words(t, [(r["first"], r["stop"]) for r in c]) for t, c in pairs], pa.string())
+
+    found = repeated_passages(df, id, text, least).filter("removed_words > 0")
+    cuts, key = fresh(df, "cuts"), fresh(df, "key")
+    found = found.select(F.col(id).alias(key), F.col("cuts").alias(cuts)).dropDuplicates([key])
+    joined = df.join(found, df[id] == F.col(key), "left")
+    shorter = F.when(F.col(cuts).isNotNull(), cut(F.coalesce(F.col(text), F.lit("")), F.col(cuts))).otherwise(F.col(text))
+    return joined.withColumn(text, shorter).select(*df.columns)

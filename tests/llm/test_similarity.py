@@ -241,6 +241,12 @@ def test_chunk_edge_cases(spark):
     got = sorted((r.doc_id, r.n_words, r.repeated_words, r.removed_words) for r in chunk_dedup.repeated_passages(df).collect())
     assert got == [(1, 0, 0, 0), (2, 0, 0, 0), (3, 2, 0, 0), (4, 80, 80, 0), (5, 80, 80, 80), (5, 80, 80, 80), (6, 80, 80, 80)]
     assert chunk_dedup.repeated_passages(df.limit(0)).count() == 0
+    shorter = sorted((r.doc_id, r.text) for r in chunk_dedup.remove_repeats(df.filter("text is not null")).collect())
+    assert shorter == [(2, ""), (3, "one two"), (4, same), (5, ""), (5, ""), (6, "")]
+
+
+def test_words_are_cut_with_the_space_after_them():
+    assert chunk_dedup.without_words(" é b\tc  d\n", [(1, 2), (3, 4)]) == " é c  "
 
 
 def test_op8_over_whole_table(spark):
