@@ -341,7 +341,7 @@ def similarity_components(
     shared = tiles.groupBy("tile").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("members"))
     shared = stage(shared.filter("a != b"))
     many = shared.filter("members > 2").select("tile")
-    members = tiles.join(small(many), "tile")
+    members = tiles.join(many, "tile")
     met = stage(members.select("tile", "id").union(shared.filter("members = 2").select("tile", F.explode(F.array("a", "b")).alias("id"))))
     stage.drop(shared)
     # what is known of those members: their class, size and bitmap
