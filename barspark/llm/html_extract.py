@@ -4,9 +4,10 @@ A page is cut into blocks, each with its root-to-leaf path of block tags. Text l
 punctuation and link text are added up per path; their ratios per block are smoothed
 over neighbours in page order and fused into one value per path, and paths above a
 share of the largest value are content. The elements that hold the content blocks
-(articles or main elements, else the deepest element with nearly all of their text)
-give the text: all blocks in them but those of menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles and reader comments.
+(articles or main elements, else in each child of the body the lowest common ancestor
+of its content blocks, and headings right before) give the text: all blocks in them but
+those of menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
+reader comments. How long the content is plays no part in what holds it.
 
 Character references are decoded, white space in a block becomes one space, blocks are
 joined by two line ends. Null and empty pages, and pages without text, give an empty
@@ -36,6 +37,7 @@ RAW = set("iframe noembed noframes script style textarea title xmp".split())
 DROPPED = set("aside button dialog footer form head menu nav noscript object select svg template audio video canvas".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 HOLDERS = {"article", "main"}
+WHOLE = {"", "html", "body"}
 ROLES = {"alert", "alertdialog", "banner", "complementary", "contentinfo", "dialog", "form", "menu", "menubar", "navigation", "search"}
 # An element that may stand open when the named one begins is closed by it.
 CLOSES = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -53,8 +55,6 @@ PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？]")
 
 #: A path is content if its fused value reaches this share of the largest one.
 THRESHOLD = 0.25
-#: The deepest element with this share of the content text holds it, where there is no article.
-HELD = 0.9
 
 
 @dataclass
@@ -218,25 +218,44 @@ def main_text(page: str) -> str:
     if holders:
         kept = [b for b in blocks if _within(b.element, holders)]
         return "\n\n".join(b.text for b in kept)
-    weight: dict[int, int] = {}
-    known: dict[int, Element] = {}
+    within: dict[int, Element] = {}
     for b in chosen:
-        e = b.element
-        while e is not None:
-            weight[id(e)] = weight.get(id(e), 0) + len(b.text)
-            known[id(e)] = e
-            e = e.parent
-    total = sum(len(b.text) for b in chosen)
-    best = max((e for i, e in known.items() if weight[i] >= HELD * total), key=lambda e: e.depth, default=None)
-    if best is not None and best.tag not in ("", "html", "body") and best.tag not in HEADINGS and best.tag != "p":
-        return "\n\n".join(b.text for b in blocks if _within(b.element, [best]))
-    kept = []
-    for i, b in enumerate(blocks):
-        after = blocks[i + 1] if i + 1 < len(blocks) else None
-        heads = b.element.tag in HEADINGS and after is not None and after.element.path in paths
-        if b.element.path in paths or heads:
+        if (branch := _branch(b.element)) is not None:
+            own = within.get(id(branch))
+            within[id(branch)] = b.element if own is None else _common(own, b.element)
+    held, kept, after = {id(e) for e in within.values()}, [], None
+    for b in reversed(blocks):
+        heads = b.element.tag in HEADINGS and bool(kept) and kept[-1] is after
+        if heads or b.element.path in paths or _held(b.element, held):
             kept.append(b)
-    return "\n\n".join(b.text for b in kept)
+        after = b
+    return "\n\n".join(b.text for b in reversed(kept))
+
+
+def _branch(e: Element | None) -> Element | None:
+    """The outermost element around (or at) ``e`` that is more than the whole page; None for text of the page itself."""
+    top = None
+    while e is not None:
+        top = e if e.tag not in WHOLE else top
+        e = e.parent
+    return top
+
+
+def _common(a: Element, b: Element) -> Element:
+    """Lowest common ancestor of two elements of a page."""
+    while a is not b:
+        if a.depth < b.depth:
+            a, b = b, a
+        a = a.parent
+    return a
+
+
+def _held(e: Element | None, ids: set[int]) -> bool:
+    while e is not None:
+        if id(e) in ids:
+            return True
+        e = e.parent
+    return False
 
 
 def _within(e: Element | None, holders: list[Element]) -> bool:

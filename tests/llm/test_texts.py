@@ -266,6 +266,19 @@ def test_page_text():
         assert html_extract.main_text(page) == text
 
 
+@pytest.mark.parametrize("count", [2, 5, 20, 200])
+def test_page_text_is_whole_at_any_length(count):
+    body = [f"Paragraph {i} tells a part of the story, with marks, and goes on for a while." for i in range(count)]
+    inner = "<h1>Title</h1><p class=lead>What it is about, in one line of text.</p><div class=body>" + "".join(f"<p>{x}</p>" for x in body)
+    inner += "<ul><li>x<li>y</ul></div><p>A closing paragraph, after the body of it.</p>"
+    expected = "\n\n".join(["Title", "What it is about, in one line of text.", *body, "x", "y", "A closing paragraph, after the body of it."])
+    menu = "<div class=menu><a href=a>A link</a></div>"
+    for page in (f"<html><body>{menu}<div id=post>{inner}</div></body></html>", f"<body>{menu}{inner}</body>", inner):
+        assert html_extract.main_text(page) == expected
+    alone = "<div id=post><h1>Title</h1><div class=body>" + "".join(f"<p>{x}</p>" for x in body) + "</div></div>"
+    assert html_extract.main_text(alone) == "\n\n".join(["Title", *body])
+
+
 def test_content_paths_prefer_text_over_links():
     soup = "<div><table><tr><td>" + "".join(f"<a href={i}>link {i}</a> " for i in range(30)) + "</td></tr></table><section><p>" + "Words, and more. " * 9 + "</p></section></div>"
     paths = html_extract.content_paths(html_extract.blocks_of(soup))
