@@ -6,7 +6,13 @@ the diagonal p - q, the place where the template would begin. Votes are added up
 (document, template, diagonal); diagonals at most ``SLACK`` apart merge, so a few
 inserted or missing words do no harm; a merged span is verified by the share of the
 template's different k-grams it holds. K-grams count as equal when two hashes of 64 and
-32 bits are. Beside that, fixed phrases are found where their words stand consecutively.
+32 bits are. Where verified spans of different labels overlap, the one with the best
+coverage is kept (then the one with more k-grams; equals are all kept), so the k-grams
+that tell two licenses apart decide. Beside that, fixed phrases are found where their
+words stand consecutively.
+
+The templates are names, notices and opening clauses of the usual licenses; the rest of a
+license text plays no part.
 
 Words are runs of ASCII letters, digits and non-ASCII characters, A-Z lower-cased.
 Null and empty texts have no words, no labels and score 0. Rows with the same id and
@@ -46,6 +52,86 @@ TEMPLATES = [
         " following conditions are met",
     ),
 ]
+# Names, notices and opening clauses of further licenses, which compete with those above.
+_GNU = "it under the terms of the GNU {} as published by the Free Software Foundation"
+_CC = {
+    "cc-by": ("BY", "Attribution"),
+    "cc-by-sa": ("BY-SA", "Attribution-ShareAlike"),
+    "cc-by-nd": ("BY-ND", "Attribution-NoDerivatives"),
+    "cc-by-nc": ("BY-NC", "Attribution-NonCommercial"),
+    "cc-by-nc-sa": ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+    "cc-by-nc-nd": ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+}
+RIVALS = [
+    *[(x, f"Licensed under CC {short} 4.0") for x, (short, _) in _CC.items() if x != "cc-by-nc"],
+    *[(x, f"This work is licensed under a Creative Commons {name} 4.0 International License") for x, (_, name) in _CC.items() if x != "cc-by-nc"],
+    *[(x, f"This work is licensed under a Creative Commons {name} 3.0 Unported License") for x, (_, name) in _CC.items()],
+    *[(x, f"conditions of this Creative Commons {name} 4.0 International Public License") for x, (_, name) in _CC.items()],
+    *[(x, f"creativecommons.org/licenses/{short}/{version}") for x, (short, _) in _CC.items() for version in ("4.0", "3.0")],
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivs 3.0 Unported License"),
+    ("cc-by-nc-nd", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivs 3.0 Unported License"),
+    ("cc0", "CC0 1.0 Universal Public Domain Dedication"),
+    ("cc0", "creativecommons.org/publicdomain/zero/1.0"),
+    ("cc0", "has waived all copyright and related or neighboring rights to this work"),
+    ("lgpl", "GNU Lesser General Public License"),
+    ("lgpl", "GNU Library General Public License"),
+    ("lgpl", "This work is licensed under the GNU Lesser General Public License, version 3"),
+    ("lgpl", f"This library is free software; you can redistribute it and/or modify {_GNU.format('Lesser General Public License')}"),
+    ("lgpl", f"This program is free software: you can redistribute it and/or modify {_GNU.format('Lesser General Public License')}"),
+    ("lgpl", f"This library is free software; you can redistribute it and/or modify {_GNU.format('Library General Public License')}"),
+    (
+        "lgpl",
+        "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General"
+        " Public License, supplemented by the additional permissions listed below",
+    ),
+    ("agpl", "GNU Affero General Public License"),
+    ("agpl", "This work is licensed under the GNU Affero General Public License, version 3"),
+    ("agpl", f"This program is free software: you can redistribute it and/or modify {_GNU.format('Affero General Public License')}"),
+    (
+        "agpl",
+        "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically"
+        " designed to ensure cooperation with the community in the case of network server software",
+    ),
+    ("gpl", "The GNU General Public License is a free, copyleft license for software and other kinds of works"),
+    (
+        "gpl",
+        "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General"
+        " Public License is intended to guarantee your freedom to share and change free software",
+    ),
+    ("fdl", "GNU Free Documentation License"),
+    (
+        "fdl",
+        "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation"
+        " License as published by the Free Software Foundation",
+    ),
+    ("mpl", "Mozilla Public License"),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("mpl", "The contents of this file are subject to the Mozilla Public License Version 1.1"),
+    ("epl", "Eclipse Public License"),
+    ("epl", "The accompanying program is provided under the terms of this Eclipse Public License"),
+    ("apache", "Terms and conditions for use, reproduction, and distribution"),
+    ("bsd", "Use of this source code is governed by a BSD-style license"),
+    ("isc", "under the ISC License"),
+    (
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,"
+        " provided that the above copyright notice and this permission notice appear in all copies",
+    ),
+    (
+        "0bsd",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."
+        " THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES",
+    ),
+    ("zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely"),
+    ("bsl", "Boost Software License"),
+    (
+        "bsl",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and"
+        " accompanying documentation covered by this license",
+    ),
+    ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("wtfpl", "Do What The Fuck You Want To Public License"),
+]
 K = 3
 SLACK = 2
 #: Least share of a template's k-grams in a span.
@@ -117,26 +203,49 @@ def spans(found: DataFrame) -> DataFrame:
     merged = cut.withColumn("span", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     held = F.size(F.array_distinct(F.flatten(F.collect_list("qs"))))
     out = merged.groupBy(*own, "span").agg(held.alias("held"), F.min("first").alias("first"), (F.max("last") + K - 1).alias("last"))
-    return out.withColumn("coverage", F.col("held") / F.col("grams")).filter(F.col("coverage") >= COVERAGE).drop("held", "span")
+    return out.withColumn("coverage", F.col("held") / F.col("grams")).filter(F.col("coverage") >= COVERAGE).drop("span")
+
+
+def winners(verified: DataFrame) -> DataFrame:
+    """(id, hash, spans, share): the spans of each text that no better one of another label overlaps by half of the shorter.
+
+    Spans compete only within a stretch of spans that overlap one after the other, best first.
+    """
+    order = Window.partitionBy("id", "hash").orderBy("first", "last", "label", "template")
+    reached = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = verified.withColumn("fresh", F.when(F.col("first") <= reached, 0).otherwise(1))
+    placed = fresh.withColumn("stretch", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    one = F.struct((-F.col("coverage")).alias("coverage"), (-F.col("held")).alias("held"), "first", "last", "label")
+    rivals = placed.groupBy("id", "hash", "stretch").agg(F.array_sort(F.collect_set(one)).alias("rivals"))
+
+    def beaten(s: Column, k: Column) -> Column:
+        shared = F.least(s["last"], k["last"]) - F.greatest(s["first"], k["first"]) + 1
+        shorter = F.least(s["last"] - s["first"], k["last"] - k["first"]) + 1
+        better = (k["coverage"] < s["coverage"]) | (k["held"] < s["held"])  # k comes first
+        return (k["label"] != s["label"]) & (2 * shared >= shorter) & better
+
+    none = F.filter("rivals", lambda s: F.lit(False))
+    kept = F.aggregate("rivals", none, lambda kept, s: F.when(F.exists(kept, lambda k: beaten(s, k)), kept).otherwise(F.concat(kept, F.array(s))))
+    spans_of = F.transform("kept", lambda s: F.struct(s["label"].alias("label"), s["first"].alias("first"), s["last"].alias("last")))
+    own = rivals.withColumn("kept", kept).select("id", "hash", spans_of.alias("spans"), (-F.array_min("kept.coverage")).alias("share"))
+    return own.groupBy("id", "hash").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.max("share").alias("share"))
 
 
 def scan_licenses(
     df: DataFrame,
     id: str = "doc_id",
     text: str = "text",
-    templates: list[tuple[str, str]] = TEMPLATES,
+    templates: list[tuple[str, str]] = TEMPLATES + RIVALS,
     phrases: dict[str, str] = PHRASES,
 ) -> DataFrame:
-    """(id, n_words, places, found, score) per row: places of phrases, labels of verified spans, and the best share matched.
+    """(id, n_words, places, found, score, spans) per row: places of phrases, labels of verified spans, the best share matched, and the spans.
 
     A phrase is a template that its place covers whole, so any place scores 1.
     """
     plain = F.coalesce(F.col(text).cast("string"), F.lit(""))
     keyed = df.select(F.col(id).alias("id"), F.xxhash64(plain).alias("hash"), words_of(plain).alias("words"))
     base = keyed.select("id", "hash", F.size("words").cast("long").alias("n_words"), phrase_places(F.col("words"), phrases).alias("places"))
-    verified = spans(votes(keyed, templates)).groupBy("id", "hash").agg(
-        F.sort_array(F.collect_set("label")).alias("found"), F.max("coverage").alias("share")
-    )
+    verified = winners(spans(votes(keyed, templates))).withColumn("found", F.array_sort(F.array_distinct("spans.label")))
     same = base["id"].eqNullSafe(verified["id"]) & (base["hash"] == verified["hash"])
     out = base.join(verified, same, "left").select(
         base["id"].alias(id),
@@ -144,5 +253,16 @@ def scan_licenses(
         "places",
         F.coalesce("found", F.array().cast("array<string>")).alias("found"),
         F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
+        F.coalesce("spans", F.array().cast("array<struct<label:string,first:int,last:int>>")).alias("spans"),
     )
     return out
+
+
+def labels(places: str = "places", spans: str = "spans") -> Column:
+    """All labels of a text: those of the spans, and of the phrases that aren't a part of another license's span (as in the name of the LGPL)."""
+
+    def free(p: Column) -> Column:
+        return ~F.exists(spans, lambda s: (s["label"] != p["label"]) & p["at"].between(s["first"], s["last"]))
+
+    own = F.transform(F.filter(places, free), lambda p: p["label"])
+    return F.array_sort(F.array_union(own, F.transform(spans, lambda s: s["label"])))

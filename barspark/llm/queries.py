@@ -132,7 +132,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_min(at).alias("first_word"),
         F.array_max(at).alias("last_word"),
         F.array_join(F.sort_array(base), ",").alias("base_labels"),
-        F.array_join(F.sort_array(F.array_union(base, "found")), ",").alias("labels"),
+        F.array_join(license_scan.labels(), ",").alias("labels"),
         "score",
     )
 

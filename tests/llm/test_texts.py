@@ -154,6 +154,41 @@ def test_licenses_equal_brute_force(spark):
     assert license_scan.scan_licenses(df.limit(0)).count() == 0
 
 
+GNU = "This {} is free software{} you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation"
+CC = "This work is licensed under a Creative Commons {} License."
+NOTICES = [
+    (CC.format("Attribution 4.0 International"), "cc-by"),
+    (CC.format("Attribution-ShareAlike 4.0 International"), "cc-by-sa"),
+    (CC.format("Attribution-NonCommercial 4.0 International"), "cc-by-nc"),
+    (CC.format("Attribution-NonCommercial-ShareAlike 4.0 International"), "cc-by-nc-sa"),
+    (CC.format("Attribution-NoDerivatives 4.0 International"), "cc-by-nd"),
+    (CC.format("Attribution-ShareAlike 3.0 Unported"), "cc-by-sa"),
+    ("Licensed under CC BY 4.0", "cc-by"),
+    ("Licensed under CC BY-SA 4.0", "cc-by-sa"),
+    ("Licensed under CC BY-NC 4.0", "cc-by-nc"),
+    (GNU.format("library", ";", "Lesser "), "lgpl"),
+    (GNU.format("program", ":", "Lesser "), "lgpl"),
+    (GNU.format("program", ":", "Affero "), "agpl"),
+    (GNU.format("program", ":", ""), "gpl"),
+    ("This work is licensed under the GNU Lesser General Public License, version 3", "lgpl"),
+    ("This work is licensed under the GNU General Public License, version 3", "gpl"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mpl"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "isc"),
+]
+
+
+def test_notices_that_share_their_words_get_their_own_label(spark):
+    rows = [(i, f"Some words before. {text} Some words after.") for i, (text, _) in enumerate(NOTICES)]
+    rows.append((len(rows), " and then ".join(text for text, _ in NOTICES)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    scanned = license_scan.scan_licenses(df).withColumn("labels", license_scan.labels())
+    got = {r.doc_id: (r.found, r.labels) for r in scanned.collect()}
+    for i, (text, label) in enumerate(NOTICES):
+        assert got[i] == ([label], [label]), text
+    every = sorted({label for _, label in NOTICES})
+    assert got[len(NOTICES)] == (every, every)
+
+
 def test_license_scan_has_no_python(spark):
     plan = QUERIES["op10_license_scan"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|ExistingRDD", plan)
