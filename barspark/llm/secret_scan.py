@@ -3,8 +3,12 @@
 The base kinds (assign, access, hex) are leftmost non-overlapping matches of fixed
 patterns. Two more kinds are reported only after decoding: ``jwt`` is a signed token
 whose header and payload are JSON objects with an algorithm; ``key`` is a private key
-in PEM, bare base64 or hex, whose nested DER lengths tile the whole blob and whose
-fields are those of a private key, or an OpenSSH key whose length-prefixed fields do.
+in PEM, bare base64 (also wrapped over lines) or hex, whose nested DER lengths tile the
+whole blob and whose fields are those of a private key, an OpenSSH key whose
+length-prefixed fields do, a legacy encrypted PEM key whose cipher fits its vector and
+its length in blocks, or a PGP private key block whose packets do or whose checksum is
+right. Line ends may be written as backslash-n, lines be quoted and joined by plus signs
+or commas, as keys stand in JSON and source code.
 
 Offsets are code points, ends exclusive. Null and empty texts have no spans. Extra
 columns are kept, repeated rows are scanned one by one.
@@ -35,8 +39,21 @@ HEX = re.compile(r"[0-9a-f]{24,}", re.A)
 ASSIGN_LEAST, HEX_LEAST = 6, 24
 
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(e[yw][A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.[A-Za-z0-9_-]*", re.A)
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,-]*?)-----END \1-----", re.A)
-BLOB = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}", re.A)
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?)-----((?:[^-]|-(?!----))*+)-----END \1-----", re.A)
+# Where letters of a key begin: not within others, but after a line end that is written as backslash-n.
+_BEGIN = r"(?:(?<=\\[nrt])|(?<![A-Za-z0-9+/_-])(?!(?<=\\)[nrt]))"
+BLOB = re.compile(_BEGIN + r"[A-Za-z0-9+/_-]{40,}={0,2}", re.A)
+# The first line of a DER or OpenSSH key, and a line that follows another (line ends as they are or written out, quotes and their joins).
+WRAPPED = re.compile(_BEGIN + r"(?=M[A-P]|b3BlbnNz)[A-Za-z0-9+/_-]{20,}", re.A)
+_QUOTES = r"""[ \t]*+(?:\\*+["'][ \t]*+(?:[+,.][ \t]*+)?)?"""
+NEXT = re.compile(rf"{_QUOTES}(?:(?:\r\n?|\n|\\+[nr]){_QUOTES})++([A-Za-z0-9+/_-]+)", re.A)
+PADDING = re.compile("={0,2}(?![A-Za-z0-9+/_=-])", re.A)
+# What PEM bodies hold beside their lines: written line ends, quotes with their joins, and marks of comments or quotations.
+ESCAPED = re.compile(r"(?<!\\)\\++(?:[nrt]|u000[adAD9]|[ \t]*+\n)")
+JOINS = re.compile(r"""(?<!\\)\\*+["']\s*+(?:[+,.&]\s*+)?(?:\\*["'])?""")
+MARKS = re.compile(r"^[ \t]*(?:[#>*;|]+|//+)[ \t]+", re.M)
+LEGACY = re.compile(r"\s*Proc-Type:\s*4\s*,\s*ENCRYPTED\s+DEK-Info:\s*([A-Za-z0-9-]+)\s*,\s*([0-9A-Fa-f]+)\s+", re.A)
+BLOCK_BYTES = {"DES": 8, "RC2": 8, "BF": 8, "CAST5": 8, "IDEA": 8, "AES": 16, "CAMELLIA": 16, "ARIA": 16, "SEED": 16}
 HEX_BLOB = re.compile(r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{80,}", re.A)
 RUN_LEAST = 20
 SPANS = "array<struct<kind: string, start: int, stop: int>>"
@@ -111,6 +128,131 @@ def is_openssh_key(data: bytes) -> bool:
     return keys is not None and 1 <= keys <= 16 and fields == 3 + keys + 1
 
 
+def is_encrypted(cipher: str, vector: str, data: bytes | None) -> bool:
+    """Legacy encrypted PEM: a known cipher whose vector is one block and whose text is whole blocks."""
+    size = BLOCK_BYTES.get(cipher.upper().split("-")[0])
+    return bool(size and data) and len(vector) == 2 * size and (len(data) % size == 0 or not cipher.upper().endswith(("-CBC", "-ECB")))
+
+
+def _checksum(data: bytes) -> int:
+    """CRC-24 of OpenPGP."""
+    out = 0xB704CE
+    for byte in data:
+        out ^= byte << 16
+        for _ in range(8):
+            out <<= 1
+            if out & 0x1000000:
+                out ^= 0x1864CFB
+    return out
+
+
+def is_pgp_key(data: bytes) -> bool:
+    """OpenPGP packets that tile ``data``, the first of them a secret key."""
+    at, first = 0, None
+    while at < len(data):
+        head, at = data[at], at + 1
+        if not head & 0x80:
+            return False
+        tag, partial = (head & 0x3F, True) if head & 0x40 else (head >> 2 & 15, False)
+        first = tag if first is None else first
+        while True:
+            more = False
+            if not head & 0x40:
+                count = 1 << (head & 3)
+                if count == 8:  # up to the end
+                    return first == 5
+                size, at = int.from_bytes(data[at : at + count]), at + count
+            elif at >= len(data):
+                return False
+            elif data[at] < 192:
+                size, at = data[at], at + 1
+            elif data[at] < 224:
+                size, at = (data[at] - 192 << 8) + int.from_bytes(data[at + 1 : at + 2]) + 192, at + 2
+            elif data[at] == 255:
+                size, at = int.from_bytes(data[at + 1 : at + 5]), at + 5
+            else:
+                size, at, more = 1 << (data[at] & 31), at + 1, partial
+            at += size
+            if at > len(data):
+                return False
+            if not more:
+                break
+    return first == 5
+
+
+def _pem_lines(body: str) -> list[str]:
+    """Lines of a PEM body without what code, comments and quotations put around them."""
+    body = JOINS.sub("\n", ESCAPED.sub("\n", body).replace("\\/", "/"))
+    return [line.strip() for line in MARKS.sub("", body).splitlines()]
+
+
+def is_pem_key(label: str, body: str) -> bool:
+    """Is the body between PEM marks a private key?"""
+    lines = _pem_lines(body)
+    if label.endswith("BLOCK"):
+        lines = [line for line in lines if line and ":" not in line]  # without header lines
+        sums = [line[1:] for line in lines if line.startswith("=") and len(line) == 5]
+        data = unbase64("".join(line for line in lines if not line.startswith("=")))
+        if not data:
+            return False
+        return is_pgp_key(data) or any(unbase64(x) == _checksum(data).to_bytes(3) for x in sums)
+    legacy = LEGACY.match("\n".join(lines))
+    if legacy:
+        rest = "\n".join(lines)[legacy.end() :]
+        return is_encrypted(legacy[1], legacy[2], unbase64(re.sub(r"\s+", "", rest)))
+    return _is_key(unbase64(re.sub(r"\s+", "", "".join(line for line in lines if ":" not in line))))
+
+
+def _least(data: bytes) -> int | None:
+    """Least length of a key that begins with ``data``, as far as can be told; None if none does."""
+    magic = b"openssh-key-v1\0"
+    if data[:1] == b"\x30":
+        count = data[1] & 0x7F if data[1] >= 0x80 else 0
+        if count > 4 or data[1] == 0x80 or data[2 + count : 3 + count] not in (b"\x02", b"\x30"):
+            return None
+        return 2 + count + (int.from_bytes(data[2 : 2 + count]) if count else data[1])
+    if not data.startswith(magic[: len(data)]):
+        return None
+    at, fields, keys = len(magic), 0, None
+    while keys is None or fields < 3 + keys + 1:
+        if at + 4 > len(data):
+            return at + 4
+        number, at = int.from_bytes(data[at : at + 4]), at + 4
+        if fields == 3 and keys is None:
+            if not 1 <= number <= 16:
+                return None
+            keys = number
+            continue
+        at, fields = at + number, fields + 1
+    return at
+
+
+def wrapped_keys(text: str) -> Iterator[tuple[int, int]]:
+    """(start, stop) of keys in base64 over several lines without marks; their own lengths tell where they end."""
+    done = 0
+    for m in WRAPPED.finditer(text):
+        if m.start() < done:
+            continue
+        letters, at, looked = m[0], m.end(), 0
+        parts, have = [letters], len(letters)
+        while True:
+            letters = "".join(parts)
+            data = unbase64(letters[: len(letters) // 4 * 4])
+            least = _least(data) if data else None
+            need = 0 if least is None else (4 * least + 2) // 3
+            if need <= have or need == looked:
+                break
+            looked = need
+            while have < need and (line := NEXT.match(text, at)):
+                parts.append(line[1])
+                have, at = have + len(line[1]), line.end()
+            if have < need:
+                break
+        if len(parts) > 1 and need == have and (end := PADDING.match(text, at)) and _is_key(unbase64("".join(parts))):
+            yield m.start(), end.end()
+            done = end.end()
+
+
 def _is_key(data: bytes | None) -> bool:
     return data is not None and (is_der_key(data) or is_openssh_key(data))
 
@@ -139,9 +281,7 @@ def scan(text: str, runs: bool = True) -> list[tuple[str, int, int]]:
         out += [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[1]) >= ASSIGN_LEAST]
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            body = "".join(line for line in m[2].splitlines() if ":" not in line)  # without header lines
-            body = re.sub(r"\s+", "", body)
-            if _is_key(unbase64(body)):
+            if is_pem_key(m[1], m[2]):
                 out.append(("key", *m.span()))
     if runs:
         out += [("access", *m.span()) for m in ACCESS.finditer(text)]
@@ -151,6 +291,7 @@ def scan(text: str, runs: bool = True) -> list[tuple[str, int, int]]:
             if header and isinstance(header.get("alg"), str) and _object(m[2]) is not None:
                 out.append(("jwt", *m.span()))
         out += [("key", *m.span()) for m in BLOB.finditer(text) if _is_key(unbase64(m[0]))]
+        out += [("key", *span) for span in wrapped_keys(text)]
         for m in HEX_BLOB.finditer(text):
             if len(m[0]) % 2 == 0 and _is_key(bytes.fromhex(m[0])):
                 out.append(("key", *m.span()))

@@ -73,6 +73,64 @@ def test_keys_are_confirmed_by_structure(data):
     assert not [s for s in secret_scan.scan(b64(broken)) if s[0] == "key"]
 
 
+def lines_of(data, width=64):
+    return [b64(data)[i : i + width] for i in range(0, len(b64(data)), width)]
+
+
+def keys_in(text):
+    return [text[a:b] for kind, a, b in secret_scan.scan(text) if kind == "key"]
+
+
+@pytest.mark.parametrize("data", [RSA, PKCS8, EC, SSH])
+def test_keys_in_code_and_json(data):
+    begin, end = "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----"
+    pem = "\n".join([begin, *lines_of(data), end, ""])
+    for text in (
+        json.dumps({"type": "service_account", "private_key": pem}),
+        json.dumps(json.dumps({"private_key": pem.replace("\n", "\r\n")})),
+        "key = " + " +\n    ".join(json.dumps(line + "\n") for line in pem.splitlines()) + ";",
+        "key = [" + ",\n".join(f"'{line}'" for line in pem.splitlines()) + "].join('')",
+        "# " + pem.replace("\n", "\n# "),
+    ):
+        (found,) = [k for k in keys_in(text) if begin in k]
+        assert found.startswith(begin) and found.endswith(end)
+        assert not any(line in secret_scan.mask(text, secret_scan.scan(text)) for line in lines_of(data))
+        wrong = text.replace(lines_of(data)[0], lines_of(data)[0][4:])
+        assert not [k for k in keys_in(wrong) if begin in k]
+
+
+@pytest.mark.parametrize("data", [RSA, PKCS8, SSH])
+def test_wrapped_keys_without_marks(data):
+    for join in ("\n", "\r\n", "\n    ", "\\n", "\\r\\n", '" +\n  "', "',\n'", '\\n" +\n  "'):
+        for width in (64, 76, 25):
+            body = join.join(lines_of(data, width))
+            for text in (f"Key:\n{body}\nThe end", f'x = "{body}"', f"Aword{'x' * 30}\n{body}\nword", f'"k": "\\n{body}\\n"'):
+                assert keys_in(text) == [body], text
+            assert not keys_in(f"Key:\n{body}AAAA\n") and not keys_in(body[:-8])
+    assert keys_in('{"k": "\\n' + b64(data) + '\\n"}') == [b64(data)]
+
+
+def test_legacy_encrypted_keys():
+    for cipher, vector, size in (("AES-128-CBC", "0F" * 16, 16), ("DES-EDE3-CBC", "0F" * 8, 8)):
+        for n, good in ((608, True), (size, True), (607, False)):
+            pem = "\n".join(["-----BEGIN RSA PRIVATE KEY-----", "Proc-Type: 4,ENCRYPTED", f"DEK-Info: {cipher},{vector}", "", *lines_of(random.Random(n).randbytes(n)), "-----END RSA PRIVATE KEY-----"])
+            for text in (pem, json.dumps(pem)[1:-1]):
+                assert keys_in(f"a {text} b") == ([text] if good else []), (cipher, n)
+        assert not keys_in(pem.replace(vector, "0F"))
+        assert not keys_in(pem.replace("Proc-Type: 4,ENCRYPTED\n", ""))
+
+
+def test_pgp_private_keys():
+    body = b"\4" + random.Random(3).randbytes(400)
+    packet, other = b"\x95" + len(body).to_bytes(2) + body, b"\x99" + len(body).to_bytes(2) + body
+    new = b"\xc5\xff" + len(body).to_bytes(4) + body + b"\xcd\4name"
+    begin, end = "-----BEGIN PGP PRIVATE KEY BLOCK-----", "-----END PGP PRIVATE KEY BLOCK-----"
+    for data, good in ((packet, True), (new, True), (packet[:-3], False), (other, False)):
+        pem = "\n".join([begin, "Version: GnuPG v2.0.22 (GNU/Linux)", "Comment: https://example.org", "", *lines_of(data), "=AAAA", end])
+        for text in (pem, json.dumps(pem)[1:-1]):
+            assert keys_in(f"a {text} b") == ([text] if good else [])
+
+
 def test_signed_tokens_need_json_headers():
     good = token({"alg": "HS256", "typ": "JWT"}, {"sub": "1"})
     assert [s for s in secret_scan.scan(f"a {good} b") if s[0] == "jwt"] == [("jwt", 2, 2 + len(good))]
