@@ -2,9 +2,10 @@
 
 ``learn`` finds terms that mark toxic texts in at most ``SAMPLE`` labelled rows: whole
 words or word beginnings whose documents are toxic far beyond chance. The terms form a
-trie. A Levenshtein automaton of the word at hand (one edit, a swap of neighbours
-included) is intersected with that trie, so misspelled terms count too; words that are
-one edit from a term but known from clean texts are no misspellings.
+trie, together with the whole words of the same evidence that stand behind a beginning.
+A Levenshtein automaton of the word at hand (one edit, a swap of neighbours included) is
+intersected with that trie, so misspelled terms count too; words that are one edit from a
+term but known from clean texts are no misspellings.
 
 Each meeting is weighed by its context window: inside quotation marks, or after words
 of reporting, it is quotation and counts little; beside words that address somebody it
@@ -21,7 +22,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -64,7 +65,7 @@ ADDRESS = {"you", "your", "you're", "u", "du", "dich", "ihr", "tu", "vous", "te"
 
 
 class Trie:
-    """Terms by letter; ``terms`` are met as the beginning of a word, misspelled ones as the whole word.
+    """Terms by letter; ``terms`` are met as the beginning of a word, misspelled ones as the whole word, ``forms`` only misspelled.
 
     ``near`` runs the Levenshtein automaton of one edit over the trie. A state is the set
     of (node, edits, letter still to come) that the letters read so far can stand for;
@@ -72,11 +73,11 @@ class Trie:
     per letter. At most ``STATES`` are remembered.
     """
 
-    def __init__(self, terms: dict[str, float]) -> None:
+    def __init__(self, terms: dict[str, float], forms: dict[str, float] | None = None) -> None:
         self.children: list[dict[str, int]] = [{}]
         self.weight = [0.0]
         self.long = [0.0]  # the weight again, for terms that are long enough to be misspelled
-        for term, weight in terms.items():
+        for term, weight, begins in [*((t, w, True) for t, w in terms.items()), *((t, w, False) for t, w in (forms or {}).items())]:
             node = 0
             for letter in term:
                 if letter not in self.children[node]:
@@ -85,8 +86,10 @@ class Trie:
                     self.weight.append(0.0)
                     self.long.append(0.0)
                 node = self.children[node][letter]
-            self.weight[node] = weight
-            self.long[node] = weight if len(term) >= FUZZY_LENGTH else 0.0
+            if begins:
+                self.weight[node] = weight
+            if len(term) >= FUZZY_LENGTH:
+                self.long[node] = max(self.long[node], weight)
         self.terms = terms
         self._forget()
 
@@ -158,18 +161,20 @@ class Trie:
 
 @dataclass
 class Model:
-    """Terms with their weights, words that are no misspellings of them, and the curve from summed weight and length to a score."""
+    """Terms with their weights, words that are no misspellings of them, the curve from summed weight and length to a score,
+    and the whole words behind terms that are beginnings."""
 
     terms: dict[str, float]
     innocent: set[str]
     curve: tuple[float, float, float]
+    forms: dict[str, float] = field(default_factory=dict)
 
 
 class Matcher:
     """Summed weights of the terms in texts; built once per task."""
 
     def __init__(self, model: Model) -> None:
-        self.trie, self.innocent = Trie(model.terms), model.innocent
+        self.trie, self.innocent = Trie(model.terms, model.forms), model.innocent
         self.known = HashTable(CACHE.bit_length())
 
     def kind(self, word: str) -> tuple[float, float]:
@@ -278,12 +283,37 @@ def choose_terms(found: dict[str, tuple[int, int]], toxic: int, clean: int) -> d
         chosen[term] = hit
         if len(chosen) == TERMS:
             break
-    weights = {}
-    for term in sorted(chosen):
-        hit, other = found[term]
-        odds = math.log((hit + 0.5) / (other + 0.5)) - math.log(toxic / clean)
-        weights[term] = min(1.0, odds / 6)
-    return weights
+    return {term: _weight(*found[term], toxic, clean) for term in sorted(chosen)}
+
+
+def _weight(hit: int, other: int, toxic: int, clean: int) -> float:
+    return min(1.0, (math.log((hit + 0.5) / (other + 0.5)) - math.log(toxic / clean)) / 6)
+
+
+def _least_hits(toxic: int, clean: int) -> int:
+    """Toxic documents that a term without clean ones needs for ``EVIDENCE``."""
+    return max(1, math.ceil(EVIDENCE / (2 * math.log((toxic + clean) / toxic)) - 1e-9))
+
+
+def _whole_words(terms: dict[str, float]):
+    """Maker of a function from a text to its words that a term begins and that are long enough to be misspelled."""
+
+    def make():
+        trie = Trie(terms)
+        return lambda text: {w for w in set(WORD.findall(text.lower())) if len(w) >= FUZZY_LENGTH and w not in terms and trie.begins(w)}
+
+    return make
+
+
+def _forms(toxic: DataFrame, clean: DataFrame, terms: dict[str, float], n_toxic: int, n_clean: int) -> dict[str, float]:
+    """Whole words behind the terms, with their own weights, if they alone have the evidence and purity of a term."""
+    hits = _counted(toxic, _whole_words(terms)).filter(F.col("n") >= _least_hits(n_toxic, n_clean))
+    others = _counted(clean, _whole_words(terms)).withColumnRenamed("n", "other")
+    forms = {}
+    for r in hits.join(others, "term", "left").fillna(0, ["other"]).filter(F.col("n") >= PURITY * (F.col("n") + F.col("other"))).toLocalIterator():
+        if _ratio(r.n, r.other, n_toxic, n_clean) >= EVIDENCE:
+            forms[r.term] = _weight(r.n, r.other, n_toxic, n_clean)
+    return dict(sorted(forms.items()))
 
 
 def _curve(weights: np.ndarray, lengths: np.ndarray, labels: np.ndarray) -> tuple[float, float, float]:
@@ -346,8 +376,10 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     others = {r.term: r.n for r in _counted(clean, among).collect()}
     terms = choose_terms({t: (n, others.get(t, 0)) for t, n in hits.items()}, n_toxic, n_clean)
 
+    forms = _forms(toxic, clean, terms, n_toxic, n_clean)
+
     def near_terms():
-        matcher = Matcher(Model(terms, set(), (0.0, 1.0, 0.0)))
+        matcher = Matcher(Model(terms, set(), (0.0, 1.0, 0.0), forms))
         judged: dict[str, bool] = {}
 
         def pick(text: str) -> list[str]:
@@ -359,7 +391,7 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
         return pick
 
     found = _counted(clean, near_terms).orderBy(F.desc("n"), "term").limit(CANDIDATES)
-    model = Model(terms, {r.term for r in found.collect()}, (0.0, 1.0, 0.0))
+    model = Model(terms, {r.term for r in found.collect()}, (0.0, 1.0, 0.0), forms)
     weighed = weigh(sample, model).select("label", "weight", F.length("text").alias("chars")).toPandas()  # at most SAMPLE rows
     model.curve = _curve(weighed["weight"].to_numpy(), weighed["chars"].to_numpy(), weighed["label"].to_numpy().astype(float))
     return model

@@ -326,6 +326,22 @@ def test_toxicity_of_misspelled_and_quoted_terms(spark):
     assert toxicity.score(df.limit(0), model).count() == 0
 
 
+def test_misspellings_where_the_labels_hold_some(spark):
+    docs, labels = toy(spark)
+    text = F.col("text")
+    for i, (word, other) in enumerate([("idiot", "idioht"), ("idiot", "idiocy"), ("worthless", "worthliss"), ("worthless", "worthlss"), ("stupid", "stupiid")]):
+        text = F.when(F.col("doc_id").isin(8 + 40 * i, 20 + 40 * i, 32 + 40 * i), F.regexp_replace(text, word, other)).otherwise(text)
+    model = toxicity.learn(docs.withColumn("text", text), labels)
+    assert any("idiot".startswith(t) for t in model.terms) and not {"idiot", "worthless"} <= model.terms.keys()
+    words = ["idoit", "wrothless", "stpuid", "idiot", "worthless", "stupid"]
+    rows = [(i, f"river stone {w} window {w} paper") for i, w in enumerate(words)] + [(9, "river stone window paper")]
+    score = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert all(score[i] >= 0.7 for i in range(len(words))), score
+    assert score[9] < 0.3
+    matcher = toxicity.Matcher(model)
+    assert all(any(matcher.kind(w)) for w in words)
+
+
 def test_model_without_labels_finds_nothing(spark):
     docs, labels = toy(spark)
     for some in (labels.limit(0), labels.filter("toxic = 0"), labels.withColumn("toxic", F.lit(None).cast("int"))):
