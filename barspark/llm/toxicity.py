@@ -46,11 +46,13 @@ from barspark.llm.common import (
 
 #: Bound of the labelled rows that terms and curve are learned from: those with the smallest hashes of their id.
 SAMPLE = 20_000
-#: Bounds of the terms considered and kept.
+#: Bounds of the terms considered and kept, those with the most evidence.
 CANDIDATES, TERMS = 20_000, 2_000
 LONGEST = 14
 #: Least twice log likelihood ratio of a term, and its least share of toxic documents. A term's weight grows with that share.
 EVIDENCE, PURITY = 24.0, 0.5
+#: Minimum hashes of a text, and how many of them near copies share (which estimates a Jaccard similarity of two thirds).
+SKETCH, AGREED = 15, 10
 FUZZY_LENGTH = 5  # shorter terms are met exactly only
 STATES = 50_000
 CACHE = 1 << 20
@@ -333,17 +335,61 @@ def _curve(weights: np.ndarray, lengths: np.ndarray, labels: np.ndarray) -> tupl
 
 
 def _sketch(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    """Smallest hash of a text's three-word runs (of its words, if it has fewer): copies and most near copies share it."""
+    """``SKETCH`` minimum hashes of a text's three-word runs (of its words, if it has fewer)."""
+    draw = np.random.default_rng(1)
+    keys = draw.integers(0, 1 << 63, (SKETCH, 2), np.uint64)
     for column in columns:
         out = []
         for batch in slices(pa.RecordBatch.from_arrays([column], ["text"])):
             hashes, rows = word_hashes(batch.column(0), ALNUM)
             runs, first = windows(hashes, rows, 3)
             cuts = np.searchsorted(first, rows)
-            for i in range(batch.num_rows):
-                own = runs[cuts[i] : cuts[i + 1]] if cuts[i + 1] > cuts[i] else hashes[rows[i] : rows[i + 1]]
-                out.append(int(own.view(np.int64).min()) if len(own) else 0)
-        yield pa.array(out, pa.int64())
+            least = np.zeros((batch.num_rows, SKETCH), np.int64)
+            for values, ends, chosen in ((hashes, rows, cuts[1:] == cuts[:-1]), (runs, cuts, cuts[1:] > cuts[:-1])):
+                some = np.flatnonzero(chosen & (ends[1:] > ends[:-1]))
+                if not len(some):
+                    continue
+                # segments of other texts lie between those of the chosen ones; odd places are left out
+                at = np.stack([ends[:-1][some], ends[1:][some]], 1).ravel()
+                at = at[: -1 if at[-1] == len(values) else None]
+                for j, (key, odd) in enumerate(keys):
+                    mixed = (values.view(np.uint64) ^ key) * (odd | np.uint64(1))
+                    least[some, j] = np.minimum.reduceat(mixed ^ (mixed >> np.uint64(32)), at)[::2].view(np.int64)
+            out += least.tolist()
+        yield pa.array(out, pa.list_(pa.int64()))
+
+
+def far_apart(sketches: np.ndarray) -> np.ndarray:
+    """Numbers of the rows that no kept row before them shares ``AGREED`` hashes with."""
+    kept, numbers = np.empty_like(sketches), []
+    for i, own in enumerate(sketches):
+        m = len(numbers)
+        if not m or not ((kept[:m] == own).sum(1) >= AGREED).any():
+            kept[m] = own
+            numbers.append(i)
+    return np.array(numbers, np.int64)
+
+
+def _without_copies(sample: DataFrame) -> DataFrame:
+    """Of copies and near copies with one label one row; ``sample`` is staged, has at most about SAMPLE rows, and a number per row."""
+    rows = sample.select("row", "place", "label", "sketch").toPandas().sort_values(["label", "place", "row"])
+    kept: list[int] = []
+    for _, own in rows.groupby("label"):
+        kept += own["row"].to_numpy()[far_apart(np.stack(own["sketch"].to_list()))].tolist()
+    numbers = sample.sparkSession.createDataFrame([(i,) for i in kept], "row long")
+    return sample.join(F.broadcast(numbers), "row", "left_semi")
+
+
+def _candidates(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
+    """(term, n, other) of the beginnings with evidence and purity, those with the most evidence first if there are too many."""
+    hit, other = F.col("n"), F.col("other")
+    share = n_toxic / (n_toxic + n_clean)
+    likely = _counted(toxic, lambda: _beginnings).filter(hit >= _least_hits(n_toxic, n_clean))
+    both = likely.join(_counted(clean, lambda: _beginnings).withColumnRenamed("n", "other"), "term", "left").fillna(0, ["other"])
+    own = hit / (hit + other)
+    gain = hit * F.log(own / share) + F.when(other > 0, other * F.log((1 - own) / (1 - share))).otherwise(0.0)
+    pure = both.filter(own >= PURITY).withColumn("gain", 2 * gain).filter(F.col("gain") >= EVIDENCE - 1e-9)
+    return pure.orderBy(F.desc("gain"), "term").limit(CANDIDATES)
 
 
 def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
@@ -358,24 +404,16 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     own = own.orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
     source = text_column(docs.select(F.col(id).alias("id"), F.col(text).alias("text")))
     small_batches(spark)
-    sketch = F.arrow_udf(_sketch, "long")
-    sample = source.join(F.broadcast(own), "id").withColumn("sketch", sketch("text"))
-    sample = stage(sample.dropDuplicates(["sketch", "label"]).select("text", "label"))
+    sketch = F.arrow_udf(_sketch, "array<long>")
+    sample = source.join(F.broadcast(own), "id").withColumn("sketch", sketch("text")).dropDuplicates(["sketch", "label"])
+    sample = stage(sample.select(F.monotonically_increasing_id().alias("row"), F.xxhash64("id", "text").alias("place"), "text", "label", "sketch"))
+    sample = stage(_without_copies(sample).select("text", "label"))
     toxic, clean = sample.filter("label = 1"), sample.filter("label = 0")
     n_toxic, n_clean = toxic.count(), clean.count()
     if not n_toxic or not n_clean:
         return Model({}, set(), (-3.0, 1.0, 0.0))
-    likely = _counted(toxic, lambda: _beginnings).filter(F.col("n") >= max(3, n_toxic // 200))
-    hits = {r.term: r.n for r in likely.orderBy(F.desc("n"), "term").limit(CANDIDATES).collect()}
-    wanted = spark.sparkContext.broadcast(set(hits))
-
-    def among():
-        terms = wanted.value
-        return lambda text: _beginnings(text) & terms
-
-    others = {r.term: r.n for r in _counted(clean, among).collect()}
-    terms = choose_terms({t: (n, others.get(t, 0)) for t, n in hits.items()}, n_toxic, n_clean)
-
+    found = _candidates(toxic, clean, n_toxic, n_clean).collect()
+    terms = choose_terms({r.term: (r.n, r.other) for r in found}, n_toxic, n_clean)
     forms = _forms(toxic, clean, terms, n_toxic, n_clean)
 
     def near_terms():

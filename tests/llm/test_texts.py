@@ -342,6 +342,34 @@ def test_misspellings_where_the_labels_hold_some(spark):
     assert all(any(matcher.kind(w)) for w in words)
 
 
+def test_rare_terms_count_by_evidence_alone(spark):
+    rows = [(i, f"river {i} stone {7 * i} window {3 * i} {'zumpel' if i % 9 == 0 and i < 63 else 'idiot' if i % 9 == 0 else 'paper'}") for i in range(18_000)]
+    labels = spark.createDataFrame([(i, int(i % 9 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    assert toxicity._least_hits(2_000, 16_000) == 6 and toxicity._least_hits(50, 50) == 18
+    model = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert set(model.terms) == {"zumpel", "idiot"}
+
+
+def test_frequent_clean_beginnings_do_not_crowd_out_terms(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "CANDIDATES", 21)
+    docs, labels = toy(spark)
+    assert set(toxicity.learn(docs, labels).terms) == {"idiot", "stupid", "worthless"}
+
+
+def test_only_near_copies_are_left_out(spark):
+    import numpy as np
+
+    draw = random.Random(2)
+    words = [f"w{draw.randrange(10_000)}" for _ in range(400)]
+    near = [*words[:200], "other", *words[200:]]
+    half = [*words[:230], *[f"v{draw.randrange(10_000)}" for _ in range(170)]]  # a Jaccard of 0.4
+    texts_ = [" ".join(words), " ".join(words), " ".join(near), " ".join(half), "", "one", "two", "one"]
+    import pyarrow as pa
+
+    sketches = np.array(next(toxicity._sketch(iter([pa.array(texts_)]))).to_pylist())
+    assert toxicity.far_apart(sketches).tolist() == [0, 3, 4, 5, 6]
+
+
 def test_model_without_labels_finds_nothing(spark):
     docs, labels = toy(spark)
     for some in (labels.limit(0), labels.filter("toxic = 0"), labels.withColumn("toxic", F.lit(None).cast("int"))):
