@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barspark.llm import bpe, decontaminate, ngram_join, secret_scan, toxicity
-from barspark.llm.common import Stage, small
+from barspark.llm.common import Stage, fresh, small
 from barspark.llm.queries import BPE_FILE, TOXIC, table, toxicity_model
 
 Step = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -39,10 +39,12 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't made of benchmark text to a twentieth or more."""
-    judged = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    bad = judged.filter(decontaminate.is_contaminated(F.col("n_words"), F.col("n_hit"))).select("doc_id").distinct()
-    return docs.join(small(Stage(spark, "contaminated")(bad)), "doc_id", "left_anti").select(*docs.columns)
+    """Documents that aren't made of benchmark text to a twentieth or more; each row is judged by itself, whatever its id."""
+    stage, row = Stage(spark, "contaminated"), fresh(docs, "row")
+    numbered = stage(docs.withColumn(row, F.monotonically_increasing_id()))
+    judged = decontaminate.contamination(numbered, table(spark, sf_dir, "benchmark"), id=row)
+    bad = judged.filter(decontaminate.is_contaminated(F.col("n_words"), F.col("n_hit"))).select(row)
+    return numbered.join(small(stage(bad)), row, "left_anti").select(*docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -116,3 +116,13 @@ def test_stages_on_odd_tables(spark):
         for _, step in corpus_pipeline.STAGES:
             kept = step(spark, kept, SF)
         assert {r.doc_id for r in kept.collect()} == ({1, 2, 3, 5} if df is odd else set())
+
+
+def test_contamination_is_decided_row_by_row(spark):
+    item = table(spark, SF, "benchmark").orderBy("item_id").first().text
+    rows = [(None, item), (None, "a calm river"), (1, item), (1, "a grey stone"), (2, "a calm river"), (3, item), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 3) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.keep_uncontaminated(spark, docs, SF)
+    assert got.columns == docs.columns
+    left = [(None, "a calm river"), (1, "a grey stone"), (2, "a calm river"), (None, None)]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(left, key=str)
