@@ -7,6 +7,7 @@ is made per word; memory is bounded by ``SLICE_BYTES`` plus the hashes of one te
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -84,6 +85,41 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def attach(df: DataFrame, few: DataFrame, key: str, salt: str, how: str = "inner") -> DataFrame:
+    """Join one row per key onto many rows per key, whose ``salt`` column splits a hot key.
+
+    The pairs (key, salt) that exist are counted out first: a key with few rows gets few
+    copies of its one row, and no task gets more than a key's share of a salt.
+    """
+    copies = df.select(key, salt).distinct().join(few, key, how)
+    return df.join(copies, [key, salt])
+
+
+def numbered(df: DataFrame, stage: Stage, out: str, *order: Column | str) -> DataFrame:
+    """Add ``out``, the place of each row (from 0) in the order given: ranges are sorted apart, then shifted by the counts before them."""
+    at, part = fresh(df, "at"), fresh(df, "part")
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at, F.monotonically_increasing_id())
+    rows = stage(rows.withColumn(part, F.shiftright(at, 33)))
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(part).agg(F.count(F.lit(1)).alias(out))  # one row per range
+    shifts = counts.select(part, F.coalesce(F.sum(out).over(before), F.lit(0)).alias(out))
+    place = F.col(out) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(F.broadcast(shifts), part).withColumn(out, place).drop(at, part)
+
+
+_GAP = re.compile(rb"[\t-\r ]")
+
+
+def pieces(data: bytes, size: int = SLICE_BYTES) -> Iterator[bytes]:
+    """A text in consecutive parts of about ``size`` bytes that end at white space."""
+    first = 0
+    while first < len(data):
+        gap = _GAP.search(data, first + size)
+        last = gap.end() if gap else len(data)
+        yield data[first:last] if first or last < len(data) else data
+        first = last
+
+
 def arrow_map(
     df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: T.StructType
 ) -> DataFrame:
