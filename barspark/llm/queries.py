@@ -200,3 +200,76 @@ link AS (SELECT a.doc_id AS a, b.doc_id AS b FROM one a JOIN one b USING (g) WHE
 reach AS (SELECT doc_id AS a, doc_id AS b FROM doc UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
 SELECT doc_id, len(g)::BIGINT AS n_shingles, (SELECT min(b) FROM reach WHERE a = doc_id) AS component_id FROM sets
 """
+
+#: CRC-32 with its table made from the polynomial; ``crc(bytes)`` takes a list of byte values.
+_CRC_TABLE = """(SELECT list(r ORDER BY i) FROM (SELECT i, list_reduce(range(0, 8),
+    lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i::BIGINT) AS r FROM range(0, 256) r(i)))"""
+
+
+def _crc(value: str, tables: str) -> str:
+    codes = f"list_transform(range(0, length(hex({value})) // 2), lambda k: ('0x' || substr(hex({value}), 2 * k + 1, 2))::BIGINT)"
+    return f"xor(list_reduce({codes}, lambda c, b: xor(c >> 8, {tables}[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295)"
+
+
+def _manifest_sql(heights: int = 5) -> str:
+    """Trees of up to 16 ** heights leaves, level by level."""
+
+    def field(value: str) -> str:
+        return f"coalesce(strlen({value}::VARCHAR) || ':' || {value}::VARCHAR, '-')"
+
+    lowered = f"translate(text, '{_UPPER}', '{_LOWER}')"
+    leaf, other = (f"sha256({' || '.join(field(c) for c in ('doc_id', 'source', 'lang', 'n_chars', t))})" for t in ("text", lowered))
+    steps = []
+    for tree, group in (("doc", "source"), ("src", "grp")):
+        for k in range(heights):
+            steps.append(f"{tree}run{k} AS (SELECT {group}, i // 16 AS i, (n + 15) // 16 AS n, list(node ORDER BY i) AS nodes FROM {tree}{k} WHERE n > 1 GROUP BY {group}, i // 16, n)")
+            steps.append(f"{tree}{k + 1} AS (SELECT {group}, i, n, sha256(array_to_string(nodes, '')) AS node FROM {tree}run{k})")
+        tops = " UNION ALL ".join(f"SELECT {group}, node FROM {tree}{k} WHERE n = 1" for k in range(heights + 1))
+        steps.append(f"{tree}top AS ({tops})")
+        if tree == "doc":
+            steps.append("src0 AS (SELECT 0 AS grp, source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n, node FROM doctop)")
+    columns, last = "doc_id, source, leaf, subroot, root", "path0"
+    steps.append(
+        "path0 AS (SELECT d.doc_id, d.source, d.i AS di, s.i AS si, d.node AS leaf, s.node AS subroot, t.node AS root, '' AS chain, d.other AS folded "
+        "FROM doc0 d JOIN src0 s ON s.source IS NOT DISTINCT FROM d.source, srctop t)"
+    )
+    for tree, at, match in (("doc", "di", "r.source IS NOT DISTINCT FROM p.source AND"), ("src", "si", "")):
+        for k in range(heights):
+            own = f"(p.{at} // {16**k}) % 16"
+            left, right = f"array_to_string(r.nodes[1:{own}], '')", f"array_to_string(r.nodes[{own} + 2:], '')"
+            steps.append(
+                f"{tree}path{k} AS (SELECT {columns.replace('source', 'p.source')}, di, si, CASE WHEN r.nodes IS NULL THEN chain ELSE chain || {left} || {right} END AS chain, "
+                f"CASE WHEN r.nodes IS NULL THEN folded ELSE sha256({left} || folded || {right}) END AS folded "
+                f"FROM {last} p LEFT JOIN {tree}run{k} r ON {match} r.i = p.{at} // {16 ** (k + 1)})"
+            )
+            last = f"{tree}path{k}"
+    chain = ",\n".join(steps)
+    return f"""
+WITH tables AS (SELECT {_CRC_TABLE} AS t),
+made AS (SELECT doc_id, source, {leaf} AS node, CASE WHEN {_crc("doc_id::VARCHAR", "t")} % 5 = 0 THEN {other} ELSE {leaf} END AS other FROM documents, tables),
+doc0 AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, node) - 1 AS i, count(*) OVER (PARTITION BY source) AS n, node, other FROM made),
+{chain}
+SELECT doc_id, leaf, subroot, root, sha256(chain) AS proof_sha256, folded AS folded_root, folded = root AS verified FROM {last}
+"""
+
+
+ORACLES["op12_merkle_manifest"] = _manifest_sql()
+
+ORACLES["op11_spelling_variants"] = f"""
+WITH RECURSIVE tables AS (SELECT {_CRC_TABLE} AS t),
+run AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(
+        translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[a-z\\x{{00C0}}-\\x{{00FF}}]+')) AS w FROM documents) GROUP BY doc_id, w),
+marked AS (SELECT w, n, {_crc("(coalesce(doc_id::VARCHAR, '') || ':' || w)", "t")} AS h FROM run, tables),
+word AS (SELECT w, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN w[1:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS w, n FROM marked)
+         GROUP BY w HAVING length(w) >= 5 AND sum(n) >= 3),
+cut AS (SELECT w, n, i, w[1:i] || w[i + 2:] AS c FROM (SELECT w, n, unnest(range(0, length(w))) AS i FROM word)),
+near AS (SELECT a.w AS w, b.w AS v, b.n AS vn FROM cut a JOIN cut b ON a.i = b.i AND a.c = b.c AND a.w <> b.w
+         UNION SELECT a.w, b.w, b.n FROM cut a JOIN word b ON a.c = b.w
+         UNION SELECT b.w, a.w, a.n FROM cut a JOIN word b ON a.c = b.w),
+best AS (SELECT w, count(*) AS n_near, arg_min(v, (-vn, v)) AS form, max(vn) AS form_n FROM near GROUP BY w),
+formed AS (SELECT word.w, word.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * word.n THEN form END AS form,
+           CASE WHEN form_n >= 2 * word.n THEN form_n END AS form_n FROM word LEFT JOIN best USING (w)),
+way AS (SELECT w, w AS at FROM formed UNION SELECT way.w, formed.form FROM way JOIN formed ON formed.w = way.at WHERE formed.form IS NOT NULL),
+root AS (SELECT way.w, way.at AS root FROM way JOIN formed ON formed.w = way.at WHERE formed.form IS NULL)
+SELECT w AS word, form, root, n, n_near::BIGINT AS n_near, form_n::BIGINT AS form_n FROM formed JOIN root USING (w)
+"""
