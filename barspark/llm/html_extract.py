@@ -7,7 +7,8 @@ share of the largest value are content. The elements that hold the content block
 (articles or main elements, else in each child of the body the lowest common ancestor
 of its content blocks, and headings right before) give the text: all blocks in them but
 those of menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
-reader comments. How long the content is plays no part in what holds it.
+reader comments, and those on paths below the threshold that hold hardly anything but links.
+Elements are told by name and role, or by class and id unless they hold most of the page. How long the content is plays no part in what holds it.
 
 Character references are decoded, white space in a block becomes one space, blocks are
 joined by two line ends. Null and empty pages, and pages without text, give an empty
@@ -49,20 +50,28 @@ HINT = re.compile(
 )
 OUTER_HINT = re.compile(r"(?:^|[-_\s])(?:header|footer|masthead|login|search)(?:$|[-_\s])", re.I)
 
-TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(>|$)", re.S)
+#: A quote opens a value only after an equals sign.
+TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+\"[^\"]*+(?:\"|$)|=\s*+'[^']*+(?:'|$)|=)*+)(>|$)", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？]")
 
+#: An element that its class or id names as something beside the article stays if it holds this share of the page's unlinked text.
+MOST = 0.5
+#: A path of at least so many blocks inside an article is a list of links if this share of its text is.
+LINKS, LINKED = 3, 0.9
 #: A path is content if its fused value reaches this share of the largest one.
 THRESHOLD = 0.25
 
 
-@dataclass
+@dataclass(eq=False)
 class Element:
+    """``hint``: its class or id names something beside the article; ``holder``: it is, or stands in, an article or main element."""
+
     tag: str
     parent: Element | None
     bad: bool
     holder: bool
+    hint: bool = False
     path: tuple[str, ...] = ()
     depth: int = 0
 
@@ -75,20 +84,50 @@ class Block:
     text: str = ""
 
 
-def _is_bad(tag: str, attributes: str, within: bool) -> bool:
-    """Does an element begin something beside the article? ``within``: it stands in an article."""
+def _is_bad(tag: str, attributes: str, within: bool) -> tuple[bool, bool]:
+    """Does an element begin something beside the article, by its name or role, and by its class or id? ``within``: it stands in an article."""
     if tag in DROPPED or (tag == "header" and not within):
-        return True
-    if not attributes or "=" not in attributes:
-        return False
-    for name, value in ATTRIBUTE.findall(attributes):
+        return True, False
+    hint = False
+    for name, value in ATTRIBUTE.findall(attributes) if attributes and "=" in attributes else ():
         value = value.strip("\"'")
         if name.lower() == "role":
             if value.lower() in ROLES:
-                return True
+                return True, False
         elif HINT.search(value) or (not within and OUTER_HINT.search(value)):
-            return tag not in ("body", "html", "main")
-    return False
+            hint = tag not in ("body", "html", "main") and (tag not in HOLDERS or within)
+    return False, hint
+
+
+def _unhinted(blocks: list[Block]) -> list[Block]:
+    """Blocks outside elements whose class or id names something beside the article.
+
+    Themes mark wrappers of the whole page with such words too. So an element stays that
+    holds most of the unlinked text, or the only articles of the page.
+    """
+    held: dict[int, int] = {}
+    hinted: dict[int, Element] = {}
+    within: list[list[int]] = []
+    articles: list[set[int]] = []
+    total = 0
+    for b in blocks:
+        free, chain, e, article = max(len(b.text) - b.linked, 0), [], b.element, False
+        total += free
+        while e is not None:
+            if e.hint:
+                chain.append(id(e))
+                hinted[id(e)] = e
+                held[id(e)] = held.get(id(e), 0) + free
+            article = article or e.tag in HOLDERS
+            e = e.parent
+        within.append(chain)
+        if article and free:
+            articles.append({k for k in chain if not hinted[k].holder})
+    if not hinted:
+        return blocks
+    around = set.intersection(*articles) if articles else set()
+    bad = {k for k in hinted if k not in around and held[k] < MOST * total}
+    return [b for b, chain in zip(blocks, within, strict=True) if not bad.intersection(chain)]
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -164,9 +203,9 @@ def blocks_of(page: str) -> list[Block]:
                 text(" " if tag in ("br", "wbr") else "")
             continue
         inside = now.holder
-        bad = now.bad or _is_bad(tag, m[3], inside)
+        bad, hint = _is_bad(tag, m[3], inside)
         path = (*now.path, tag) if tag in BLOCKS else now.path
-        now = Element(tag, now, bad, inside or tag in HOLDERS, path, now.depth + 1)
+        now = Element(tag, now, now.bad or bad, inside or tag in HOLDERS, hint, path, now.depth + 1)
         links += tag == "a"
         if tag in BLOCKS:
             block = None
@@ -174,7 +213,18 @@ def blocks_of(page: str) -> list[Block]:
             close({tag}, set())
     for b in out:
         b.text = " ".join(html.unescape("".join(b.parts)).split())
-    return [b for b in out if b.text]
+    return _unhinted([b for b in out if b.text])
+
+
+def link_paths(blocks: list[Block]) -> set[tuple[str, ...]]:
+    """Paths of several blocks that hold hardly anything but links."""
+    sums: dict[tuple[str, ...], list[int]] = {}
+    for b in blocks:
+        own = sums.setdefault(b.element.path, [0, 0, 0])
+        own[0] += 1
+        own[1] += len(b.text)
+        own[2] += min(b.linked, len(b.text))
+    return {p for p, (count, chars, linked) in sums.items() if count >= LINKS and linked >= LINKED * chars}
 
 
 def content_paths(blocks: list[Block]) -> set[tuple[str, ...]]:
@@ -216,7 +266,8 @@ def main_text(page: str) -> str:
         if outer is not None and outer not in holders:
             holders.append(outer)
     if holders:
-        kept = [b for b in blocks if _within(b.element, holders)]
+        menus = link_paths(blocks) - paths
+        kept = [b for b in blocks if _within(b.element, holders) and b.element.path not in menus]
         return "\n\n".join(b.text for b in kept)
     within: dict[int, Element] = {}
     for b in chosen:

@@ -259,10 +259,5 @@ def scan_licenses(
 
 
 def labels(places: str = "places", spans: str = "spans") -> Column:
-    """All labels of a text: those of the spans, and of the phrases that aren't a part of another license's span (as in the name of the LGPL)."""
-
-    def free(p: Column) -> Column:
-        return ~F.exists(spans, lambda s: (s["label"] != p["label"]) & p["at"].between(s["first"], s["last"]))
-
-    own = F.transform(F.filter(places, free), lambda p: p["label"])
-    return F.array_sort(F.array_union(own, F.transform(spans, lambda s: s["label"])))
+    """All labels of a text: those of the phrases and those of the spans (the name of the LGPL holds the GPL's phrase, so it gets both)."""
+    return F.array_sort(F.array_union(F.transform(places, lambda p: p["label"]), F.transform(spans, lambda s: s["label"])))
