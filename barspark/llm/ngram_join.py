@@ -24,8 +24,9 @@ than ``size`` is one n-gram of its own; an empty one links with nothing).
    decided by intersecting the sorted arrays of their n-gram hashes.
 
 Copies are never expanded into pairs. N-grams count as equal when their 64-bit hashes
-are. Rows that share an id count as one document; a null id gets the component of its
-set; null texts are empty.
+are. Every row is a document, whatever its id: rows get numbers, and ids are looked at
+only for the smallest one of a component (null if all are null; an empty text has its
+own). Null texts are empty.
 """
 
 from __future__ import annotations
@@ -36,17 +37,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barspark.llm.common import SPACED, Stage, arrow_map, mix, signed, small, small_batches, text_column, windows, word_hashes
+from barspark.llm.common import SPACED, Stage, arrow_map, attach, fresh, mix, signed, small, small_batches, text_column, windows, word_hashes
 from barspark.llm.components import components
 
 CUTS = 3  # ways to cut the hash space, for sets with many empty segments
 SQUARE = 2048  # members of a star on each side of what one task compares at once
 SEEN = 200_000  # sets that a task remembers in order to pass over copies
 
-_SETS = "id long, n int, h1 long, h2 long, bits binary, tiles array<long>"
+_SETS = "own long, mark long, n int, h1 long, h2 long, bits binary, tiles array<long>"
 
 
 class Band:
@@ -195,14 +196,15 @@ def sets(df: DataFrame, size: int, percent: int) -> DataFrame:
                 ends.append(ends[-1] + made)
             return pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).cast(pa.int64()),
+                    batch.column(0),
+                    batch.column(2),
                     pa.array(counts, pa.int32()),
                     signed(np.array(firsts, np.uint64)),
                     signed(np.array(seconds, np.uint64)),
                     pa.array(bitmaps, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), signed(np.concatenate(tiles))),
                 ],
-                ["id", "n", "h1", "h2", "bits", "tiles"],
+                ["own", "mark", "n", "h1", "h2", "bits", "tiles"],
             )
 
         return kernel
@@ -299,8 +301,8 @@ def _open_pairs(stars: DataFrame, facts: DataFrame, roots: DataFrame, percent: i
     return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(compare, "a long, b long").distinct()
 
 
-def _linked(docs: DataFrame, pairs: DataFrame, size: int, percent: int, stage: Stage) -> DataFrame:
-    """Pairs that really link, by intersecting sorted arrays. Only texts of the pairs are read again."""
+def _linked(docs: DataFrame, rows: DataFrame, pairs: DataFrame, size: int, percent: int, stage: Stage) -> DataFrame:
+    """Pairs that really link, by intersecting sorted arrays. Only texts of the pairs are read again, found by id and hash of the text."""
 
     @F.arrow_udf("boolean")
     def decided(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -314,7 +316,8 @@ def _linked(docs: DataFrame, pairs: DataFrame, size: int, percent: int, stage: S
         return pa.array(out)
 
     ids = stage(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-    wanted = docs.join(small(ids), "id", "left_semi").select("id", "text")
+    named = stage(rows.select("id", "own", "mark").join(small(ids), "id")).withColumnRenamed("own", "its").withColumnRenamed("mark", "marked")
+    wanted = docs.join(small(named), F.col("own").eqNullSafe(F.col("its")) & (F.col("mark") == F.col("marked"))).select("id", "text")
     grams = stage(sorted_sets(wanted, size).dropDuplicates(["id"]))
     with_a = pairs.join(grams.select(F.col("id").alias("a"), F.col("grams").alias("grams_a")), "a")
     both = with_a.join(grams.select(F.col("id").alias("b"), F.col("grams").alias("grams_b")), "b")
@@ -324,17 +327,21 @@ def _linked(docs: DataFrame, pairs: DataFrame, size: int, percent: int, stage: S
     return out
 
 
-def similarity_components(
-    df: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80
-) -> DataFrame:
-    """(id, n_shingles, component_id) per row of ``df``: set size and the smallest id reachable by links."""
-    small_batches(df.sparkSession)
-    stage = Stage(df.sparkSession, "ngram-join")
-    docs = text_column(df.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")))
-    rows = stage(sets(docs, size, percent))
+def _documents(df: DataFrame, id: str, text: str) -> DataFrame:
+    """(own, text, mark): id, text and its hash."""
+    docs = text_column(df.select(F.col(id).cast("long").alias("own"), F.col(text).alias("text")))
+    return docs.withColumn("mark", F.xxhash64("text"))
+
+
+def _grouped(docs: DataFrame, size: int, percent: int, stage: Stage) -> DataFrame:
+    """(own, mark, n, component_id, group) per row: the group is the number of a row of its component."""
+    small_batches(docs.sparkSession)
+    rows = stage(sets(docs, size, percent).withColumn("id", F.monotonically_increasing_id()))
     first_of = F.when(F.size("tiles") > 0, F.col("id"))
     classes = stage(
-        rows.filter("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("first"), F.min(first_of).alias("rep"), F.min("n").alias("n"))
+        rows.filter("n > 0")
+        .groupBy("h1", "h2")
+        .agg(F.min("own").alias("first"), F.min("id").alias("group"), F.min(first_of).alias("rep"), F.min("n").alias("n"))
     )
     # tiles with more than one member; most have two
     tiles = rows.select("id", F.explode("tiles").alias("tile"))
@@ -359,28 +366,52 @@ def similarity_components(
     stage.drop(met_classes)
     nearest = stars.filter("star < id").groupBy("id").agg(F.min("star").alias("star"))
     nearest = stage(nearest.select(F.col("star").alias("a"), F.col("id").alias("b")))
-    found = _linked(docs, stage(_bounded(nearest, facts, percent)), size, percent, stage)
+    found = _linked(docs, rows, stage(_bounded(nearest, facts, percent)), size, percent, stage)
     roots = stage(components(found, stage))
     # pairs of a star that are still in different components
     rest = _open_pairs(stars, facts, roots, percent, stage).join(nearest, ["a", "b"], "left_anti")
-    more = _linked(docs, stage(rest), size, percent, stage)
+    more = _linked(docs, rows, stage(rest), size, percent, stage)
     if more.limit(1).count():
         roots = stage(components(found.union(more), stage))
 
     smallest = classes.join(roots.withColumnRenamed("id", "rep"), "rep")
-    lead = smallest.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = stage(smallest.join(lead, "root").select("rep", F.col("component_id").alias("joined")))
-    full = classes.join(named, "rep", "left").select("h1", "h2", F.coalesce("joined", "first").alias("component_id"))
-    out = rows.select("id", "n", "h1", "h2").join(full, ["h1", "h2"], "left")
-    return out.select(
-        F.col("id").alias(id),
-        F.col("n").cast("long").alias("n_shingles"),
-        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
-    )
+    lead = smallest.groupBy("root").agg(F.min("first").alias("joined"), F.min("group").alias("whole"))
+    named = stage(smallest.join(lead, "root").select("rep", "joined", "whole"))
+    least, group = F.when(F.col("whole").isNull(), F.col("first")).otherwise(F.col("joined")), F.coalesce("whole", "group")
+    full = classes.join(named, "rep", "left").select("h1", "h2", least.alias("least"), group.alias("group"))
+    out = rows.select("own", "mark", "n", "h1", "h2").join(full, ["h1", "h2"], "left")
+    return out.select("own", "mark", F.col("n").cast("long").alias("n"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("own")).alias("component_id"), "group")
+
+
+def similarity_components(df: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
+    """(id, n_shingles, component_id) per row of ``df``: set size and the smallest id reachable by links."""
+    stage = Stage(df.sparkSession, "ngram-join")
+    found = _grouped(_documents(df, id, text), size, percent, stage)
+    return found.select(F.col("own").alias(id), F.col("n").alias("n_shingles"), "component_id")
 
 
 def deduplicate(df: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of ``df`` whose id is the smallest of its component; documents without words stay."""
-    parts = similarity_components(df, id, text, size, percent)
-    gone = parts.filter(F.col(id) != F.col("component_id")).select(id).distinct()
-    return df.join(small(Stage(df.sparkSession, "near-duplicates")(gone)), id, "left_anti").select(*df.columns)
+    """One row of ``df`` of each component: that with the smallest id (null ids last), then the smallest hash of the text; any of equal ones.
+
+    Rows without words stay.
+    """
+    stage = Stage(df.sparkSession, "near-duplicates")
+    docs = _documents(df, id, text)
+    found = stage(_grouped(docs, size, percent, stage).filter("n > 0"))
+    rank = F.struct(F.col("own").isNull().alias("last"), "own", "mark")
+    first = found.groupBy("group").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    in_first = F.col("own").eqNullSafe(F.col("first.own")) & (F.col("mark") == F.col("first.mark"))
+    salted = found.withColumn("salt", F.pmod(F.xxhash64("own", "mark"), F.lit(64)))
+    keys = stage(attach(salted, first, "group", "salt").select("own", "mark", in_first.alias("leads")).groupBy("own", "mark").agg(F.max("leads").alias("leads"), F.count(F.lit(1)).alias("rows")))
+    gone, again = stage(keys.filter("not leads").select("own", "mark")), stage(keys.filter("leads and rows > 1").select("own", "mark"))
+    its, mark = F.col(id).cast("long"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+
+    def same(key: DataFrame) -> Column:
+        return its.eqNullSafe(key["own"]) & (mark == key["mark"])
+
+    left = df.join(small(gone), same(gone), "left_anti")
+    if not again.isEmpty():
+        number = fresh(df, "mark")
+        one = left.join(small(again), same(again), "left_semi").withColumn(number, mark).dropDuplicates([id, number]).drop(number)
+        left = left.join(small(again), same(again), "left_anti").unionByName(one)
+    return left.select(*df.columns)

@@ -117,6 +117,20 @@ def test_join_edge_cases(spark):
     assert sorted(r.doc_id for r in ngram_join.deduplicate(df, size=4, percent=85).collect()) == [1, 2, 3, 3, 5]
 
 
+def test_join_by_rows_not_ids(spark):
+    """Null and repeated ids lose no link, and one row of each component stays."""
+    t, more, other = "a b c d e f g h i j k l m n o", "a b c d e f g h i j k l m n o p", "quite another text of some words"
+    links = lambda rows: sorted(((r.doc_id, r.component_id) for r in ngram_join.similarity_components(spark.createDataFrame(rows, "doc_id long, text string"), size=4, percent=85).collect()), key=str)
+    assert links([(None, t), (7, more)]) == [(7, 7), (None, 7)]
+    assert links([(8, other), (8, t), (7, more)]) == [(7, 7), (8, 7), (8, 8)]
+    assert links([(None, t), (None, more), (None, "")]) == [(None, None)] * 3
+    rows = [(1, t, "x"), (2, t, "x"), (None, t, "x"), (None, t, "x"), (1, t, "y"), (1, other, "z"), (None, None, "e"), (None, "", "e"), (5, "", "e"), (5, "", "e")]
+    kept = ngram_join.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, mark string"), size=4, percent=85).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=str) == sorted([(1, t), (1, other), (None, None), (None, ""), (5, ""), (5, "")], key=str)
+    nulls = ngram_join.deduplicate(spark.createDataFrame([(None, t), (None, more), (None, other)], "doc_id long, text string")).collect()
+    assert len(nulls) == 2
+
+
 def test_op6_over_whole_table(spark):
     rows = [(r.doc_id, r.text) for r in texts(spark, SF).collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in QUERIES["op6_ngram_join"](spark, SF).collect()}
