@@ -88,7 +88,7 @@ def features(df: DataFrame, spec: Series, f: FeatureSet) -> DataFrame:
         layers.append({"vol_regime": plain(F.coalesce(F.col("__rv") > F.col("__rv_median"), F.lit(False)).cast("double"))})
     out = stage(windowed(df, spec, *layers))
     out = running(out, spec, {n: Running("last", finite_or(n)) for n in f.names})
-    helpers = [c for c in out.columns if c.startswith("__")]
+    helpers = [c for c in out.columns if c.startswith("__") and c not in df.columns]
     return out.withColumns({n: zero(F.col(n)) for n in f.names}).drop(*helpers)
 
 
@@ -109,9 +109,9 @@ def scaling(df: DataFrame, spec: Series, names: list[str]) -> DataFrame:
     return df.groupBy(*spec.keys).agg(*parts)
 
 
-def standardise(df: DataFrame, stats: DataFrame, spec: Series, names: list[str]) -> DataFrame:
+def standardise(df: DataFrame, stats: DataFrame, spec: Series, names: list[str], how: str = "inner") -> DataFrame:
     """z-scores from given statistics, clipped to 10, null to 0."""
-    joined = spread_join(df, stats, list(spec.keys))
+    joined = spread_join(df, stats, list(spec.keys), how)
     z = {n: F.coalesce(clip((F.col(n) - F.col(f"{n}__mean")) / F.col(f"{n}__std"), -10, 10), F.lit(0.0)) for n in names}
     return joined.withColumns(z).drop(*[f"{n}__{s}" for n in names for s in ("mean", "std")])
 
@@ -136,10 +136,13 @@ def score_thresholds(df: DataFrame, spec: Series, score: str, low: float = 0.10,
     return out.select(*spec.keys, F.element_at("quantiles", 1).alias("score_low"), F.element_at("quantiles", 2).alias("score_high"))
 
 
-def scored_signals(df: DataFrame, thresholds: DataFrame, spec: Series, score: str, hold: bool = False) -> DataFrame:
-    """-1, 0, 1 by the training thresholds; ``hold`` keeps a side until the opposite one."""
-    out = spread_join(df, thresholds, list(spec.keys))
-    out = out.withColumn("signal", threshold_signal(score, "score_low", "score_high").cast("double"))
+def scored_signals(
+    df: DataFrame, thresholds: DataFrame, spec: Series, score: str, hold: bool = False, how: str = "inner"
+) -> DataFrame:
+    """-1, 0, 1 by the training thresholds, null without them; ``hold`` keeps a side until the opposite one."""
+    out = spread_join(df, thresholds, list(spec.keys), how)
+    signal = F.when(F.col("score_low").isNotNull(), threshold_signal(score, "score_low", "score_high").cast("double"))
+    out = out.withColumn("signal", signal)
     out = out.drop("score_low", "score_high")
     return W.hold_until_opposite(out.withColumnRenamed("signal", "__s"), spec, "__s", "signal").drop("__s") if hold else out
 

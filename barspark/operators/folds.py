@@ -75,6 +75,7 @@ def walk_forward_signals(
     """
     if not hasattr(strategy, "folds"):
         return _walk_forward_frames(df, spec, strategy, length, step)
+    names = getattr(strategy, "fold_params", strategy.params)
     rows = ensure_positions(df, spec).drop(BLK, "signal", "fold", *strategy.params)
     per = folds_per_group or max(1, length // step)
     span = per * step
@@ -86,7 +87,7 @@ def walk_forward_signals(
     grouped = rows.withColumn("__group", F.explode(F.sequence(low, F.greatest(low, high))))
     out = T.StructType(
         [*rows.schema.fields, T.StructField("fold", T.LongType()), T.StructField("signal", T.DoubleType()),
-         *[T.StructField(p, T.DoubleType()) for p in strategy.params], T.StructField("metric", T.DoubleType())]
+         *[T.StructField(p, T.DoubleType()) for p in names], T.StructField("metric", T.DoubleType())]
     )
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -96,7 +97,7 @@ def walk_forward_signals(
         mine = range(group * per, min((group + 1) * per, total))
         edges = [(k * step - origin, k * step + length - origin, min(k * step + length + step, n) - origin) for k in mine]
         bars["fold"], bars["signal"], bars["metric"] = -1, np.nan, np.nan
-        for p in strategy.params:
+        for p in names:
             bars[p] = np.nan
         keep = (bars[POS] < length).to_numpy() if group == 0 else np.zeros(len(bars), bool)
         if edges:
@@ -104,13 +105,13 @@ def walk_forward_signals(
                 where = slice(end, stop)
                 bars.loc[bars.index[where], ["fold", "metric"]] = k, metric
                 bars.loc[bars.index[where], "signal"] = signal
-                for p in strategy.params:
+                for p in names:
                     bars.loc[bars.index[where], p] = float(params[p])
                 keep[where] = True
         return bars.loc[keep, out.names]
 
     done = grouped.groupBy(*spec.by("__group")).applyInPandas(run, out)
-    nullable = ["signal", "metric", *strategy.params]
+    nullable = ["signal", "metric", *names]
     return done.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in nullable}).withColumn(
         "fold", F.when(F.col("fold") >= 0, F.col("fold"))
     )

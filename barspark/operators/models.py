@@ -1,23 +1,20 @@
-"""Learned strategies: a quantile forecaster and a direction classifier."""
+"""A learned strategy: the direction classifier, from many small logistic regressions."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barspark.functions.scalars import extreme_preference, up_label
+from barspark.functions.scalars import up_label
 from barspark.operators import features as X
 from barspark.operators import windows as W
 from barspark.operators.metrics import profit_factor
-from barspark.series import BLK, POS, ROWS, Series, ensure_positions, positions, spread_join, stage, windowed
+from barspark.series import BLK, POS, ROWS, Series, positions, spread_join, stage, windowed
 
 # --- many small logistic regressions ------------------------------------------------
 
@@ -159,68 +156,3 @@ class DirectionClassifier:
             out = out.withColumn(name, F.coalesce(*[F.when(F.col(param) == n, F.col(f"{stem}_{n}")) for n in periods]))
         signal = (probability(self._names) > 0.5).cast("double")
         return out.withColumn("signal", signal).drop(*made, *self._names, *self.params)
-
-
-# --- quantile forecaster ----------------------------------------------------------------
-
-
-@dataclass(frozen=True)
-class Forecaster:
-    """Classify the future normalised return into quantiles; trade the extremes.
-
-    Statistics, edges and thresholds are per series and come from the first
-    ``ratio`` of it. The network has one hidden layer and is trained on all
-    given series together (give one series to get its own network).
-    """
-
-    features: X.FeatureSet = field(default_factory=X.FeatureSet)
-    classes: int = 5
-    hidden: int = 64
-    ratio: float = 0.8
-    low: float = 0.10
-    high: float = 0.90
-    hold: bool = False
-    iterations: int = 30
-    seed: int = 42
-
-    def _features(self, df: DataFrame, spec: Series) -> DataFrame:
-        return X.features(X.normalised_return(df, spec, self.features), spec, self.features)
-
-    def fit(self, df: DataFrame, spec: Series) -> FittedForecaster:
-        train = X.time_split(df, spec, self.ratio).filter("train").drop("train", POS, ROWS, BLK)
-        rows = stage(self._features(train, spec))
-        stats = stage(X.scaling(rows, spec, self.features.names))
-        scaled = X.standardise(rows, stats, spec, self.features.names)
-        labelled = stage(X.future_return(scaled.drop(POS, ROWS, BLK), spec, self.features.horizon_bars))
-        edges = stage(X.label_edges(labelled, spec, self.classes))
-        assembled = VectorAssembler(inputCols=self.features.names, outputCol="__v").transform(X.quantile_labels(labelled, edges, spec))
-        network = MultilayerPerceptronClassifier(
-            layers=[len(self.features.names), self.hidden, self.classes], seed=self.seed, maxIter=self.iterations,
-            featuresCol="__v", labelCol="label", probabilityCol="__prob",
-        )
-        model = network.fit(assembled.select("__v", F.col("label").cast("double").alias("label")))
-        unfinished = FittedForecaster(self, stats, edges, model, None)
-        thresholds = X.score_thresholds(stage(unfinished.score(labelled).select(*spec.by("score"))), spec, "score", self.low, self.high)
-        return FittedForecaster(self, stats, edges, model, stage(thresholds))
-
-
-@dataclass(frozen=True)
-class FittedForecaster:
-    settings: Forecaster
-    stats: DataFrame
-    edges: DataFrame
-    model: MultilayerPerceptronClassificationModel
-    thresholds: DataFrame | None
-
-    def score(self, scaled: DataFrame) -> DataFrame:
-        """Add class ``probabilities`` and the extreme-preference ``score`` to standardised features."""
-        vectors = VectorAssembler(inputCols=self.settings.features.names, outputCol="__v").transform(scaled)
-        out = self.model.transform(vectors).withColumn("probabilities", vector_to_array("__prob"))
-        return out.withColumn("score", extreme_preference("probabilities")).drop("__v", "__prob", "rawPrediction", "prediction")
-
-    def signals(self, df: DataFrame, spec: Series) -> DataFrame:
-        rows = self.settings._features(ensure_positions(df, spec), spec)
-        scored = self.score(X.standardise(rows, self.stats, spec, self.settings.features.names))
-        return X.scored_signals(scored, self.thresholds, spec, "score", self.settings.hold)
-
-

@@ -6,7 +6,11 @@ from pyspark.sql import functions as F
 
 from barspark.operators import features as X
 from barspark.operators.folds import walk_forward_signals
-from barspark.operators.models import DirectionClassifier, Forecaster, fit_logistic
+from barspark.operators.forecaster import Forecaster
+from barspark.operators.models import DirectionClassifier, fit_logistic
+from barspark.operators.networks import Training
+from barspark.plans import evaluate as E
+from barspark.plans import montecarlo as MC
 from barspark.series import positions
 from checks import DAILY, FOUR_HOURS, bars1, bars2, bars3, check, frame, keep, r, rounded, sql, table
 from checks import W as OVER
@@ -125,8 +129,91 @@ def l08_direction_classifier(spark, sf):
 
 @check("l05_l06_forecaster", None)
 def l05_l06_forecaster(spark, sf):
-    model = Forecaster(features=FS, hidden=8, iterations=15).fit(bars1(spark, sf), DAILY)
-    return model.signals(bars1(spark, sf), DAILY).select("symbol", "ts", "score", "signal")
+    model, rows = Forecaster(FS, Training(hidden=8, epochs=15)), positions(bars1(spark, sf), DAILY)
+    return model.signals(rows, model.fit(rows, DAILY), DAILY).select("symbol", "ts", "score", "signal")
+
+
+# One epoch of one batch without dropout can be said in SQL: weights from md5, forward pass, gradient, first step, scores, thresholds.
+ONE = Training(hidden=3, dropout=0.0, epochs=1, rate=0.05, decay=0.1, batch=1 << 30)
+_D, _H, _C = len(FS.names), ONE.hidden, ONE.classes
+
+
+def _normal(first: int) -> str:
+    return f"(('0x' || substr(md5('{ONE.seed}:' || k), {first}, 8))::BIGINT + 0.5) / 4294967296"
+
+
+def _forward(weights: str, x: str = "x") -> str:
+    """before, hidden, logits of a row from lists w1 (h lists of d), b1, w2 (c lists of h), b2."""
+    return f"""SELECT *, list_transform(logits, lambda l: exp(l) / list_sum(list_transform(logits, lambda q: exp(q)))) AS p FROM (
+    SELECT *, list_transform(range(1, {_C + 1}), lambda c: list_dot_product(w2[c], hidden) + b2[c]) AS logits FROM (
+    SELECT *, list_transform(before, lambda v: greatest(v, 0.0)) AS hidden FROM (
+    SELECT *, list_transform(range(1, {_H + 1}), lambda j: list_dot_product(w1[j], {x}) + b1[j]) AS before FROM {weights})))"""
+
+
+_STEP = f"w * {1 - ONE.rate * ONE.decay} - {ONE.rate} * g / (abs(g) + 1e-8)"
+_PREFER = "p[4] + p[5] - p[1] - p[2]"
+_X = ", ".join(f"coalesce(greatest(least(({n} - {n}_m) / {n}_s, 10), -10), 0)" for n in FS.names)
+_ONE_EPOCH = [
+    _NR,
+    _FT,
+    "cut AS (SELECT *, floor(n * 0.8) AS edge, CASE WHEN pos + 3 < floor(n * 0.8) THEN lead(norm_return, 3) OVER (PARTITION BY symbol ORDER BY pos) END AS f FROM ft)",
+    f"sc AS (SELECT symbol, {_SC} FROM cut WHERE pos < edge GROUP BY symbol)",
+    "ed AS (SELECT symbol, quantile_cont(f, [0.2, 0.4, 0.6, 0.8]) AS e FROM cut WHERE f IS NOT NULL GROUP BY symbol)",
+    f"rw AS (SELECT symbol, ts, f, len(list_filter(e, lambda q: q <= f)) AS label, [{_X}] AS x FROM cut JOIN sc USING (symbol) JOIN ed USING (symbol))",
+    f"z AS (SELECT k, sqrt(-2 * ln({_normal(1)})) * cos(2 * pi() * ({_normal(9)})) AS z FROM range(0, {_D * _H + _H * _C}) t(k))",
+    f"z1 AS (SELECT k // {_H} AS i, k % {_H} AS j, z * sqrt(2.0 / {_D + _H}) AS w FROM z WHERE k < {_D * _H})",
+    f"z2 AS (SELECT (k - {_D * _H}) // {_C} AS j, (k - {_D * _H}) % {_C} AS c, z * sqrt(2.0 / {_H + _C}) AS w FROM z WHERE k >= {_D * _H})",
+    f"""w0 AS (SELECT (SELECT list(w ORDER BY j) FROM (SELECT j, list(w ORDER BY i) AS w FROM z1 GROUP BY j)) AS w1, list_transform(range({_H}), lambda j: 0.0) AS b1,
+    (SELECT list(w ORDER BY c) FROM (SELECT c, list(w ORDER BY j) AS w FROM z2 GROUP BY c)) AS w2, list_transform(range({_C}), lambda c: 0.0) AS b2)""",
+    f"fw AS ({_forward('(SELECT * FROM rw, w0 WHERE f IS NOT NULL)')})",
+    f"dl AS (SELECT *, list_transform(range(0, {_C}), lambda c: p[c + 1] - (label = c)::INT) AS d FROM fw)",
+    f"bk AS (SELECT *, list_transform(range(1, {_H + 1}), lambda j: CASE WHEN before[j] > 0 THEN list_dot_product(d, list_transform(w2, lambda w: w[j])) ELSE 0 END) AS b FROM dl)",
+    "g1 AS (SELECT symbol, i, j, avg(x[i + 1] * b[j + 1]) AS g FROM bk, (SELECT DISTINCT i, j FROM z1) GROUP BY ALL)",
+    "h1 AS (SELECT symbol, j, avg(b[j + 1]) AS g, 0.0 AS w FROM bk, (SELECT DISTINCT j FROM z1) GROUP BY ALL)",
+    "g2 AS (SELECT symbol, j, c, avg(hidden[j + 1] * d[c + 1]) AS g FROM bk, (SELECT DISTINCT j, c FROM z2) GROUP BY ALL)",
+    "h2 AS (SELECT symbol, c, avg(d[c + 1]) AS g, 0.0 AS w FROM bk, (SELECT DISTINCT c FROM z2) GROUP BY ALL)",
+    f"""nw AS (SELECT symbol, n1 AS w1, m1 AS b1, n2 AS w2, m2 AS b2
+    FROM (SELECT symbol, list(w ORDER BY j) AS n1 FROM (SELECT symbol, j, list({_STEP} ORDER BY i) AS w FROM g1 JOIN z1 USING (i, j) GROUP BY symbol, j) GROUP BY symbol)
+    JOIN (SELECT symbol, list({_STEP} ORDER BY j) AS m1 FROM h1 GROUP BY symbol) USING (symbol)
+    JOIN (SELECT symbol, list(w ORDER BY c) AS n2 FROM (SELECT symbol, c, list({_STEP} ORDER BY j) AS w FROM g2 JOIN z2 USING (j, c) GROUP BY symbol, c) GROUP BY symbol) USING (symbol)
+    JOIN (SELECT symbol, list({_STEP} ORDER BY c) AS m2 FROM h2 GROUP BY symbol) USING (symbol))""",
+    f"sd AS (SELECT symbol, ts, f, {_PREFER} AS score FROM ({_forward('(SELECT * FROM rw JOIN nw USING (symbol))')}))",
+    "th AS (SELECT symbol, quantile_cont(score, 0.1) AS lo, quantile_cont(score, 0.9) AS hi FROM sd WHERE f IS NOT NULL GROUP BY symbol)",
+]
+
+
+@check("l05_l06_first_epoch", sql(*_ONE_EPOCH, f"SELECT symbol, ts, {r('score', 'score')}, CASE WHEN score < lo THEN -1.0 WHEN score > hi THEN 1.0 ELSE 0.0 END::DOUBLE AS signal FROM sd JOIN th USING (symbol)"))
+def l05_l06_first_epoch(spark, sf):
+    model, rows = Forecaster(FS, ONE), positions(bars1(spark, sf), DAILY)
+    return keep(model.signals(rows, model.fit(rows, DAILY), DAILY), "symbol", "ts", "score", "signal")
+
+
+@check("l06_thresholds_of_training", sql(*_ONE_EPOCH, f"SELECT symbol, {r('lo', 'score_low')}, {r('hi', 'score_high')}, 1.0::DOUBLE AS metric FROM th"))
+def l06_thresholds_of_training(spark, sf):
+    return keep(Forecaster(FS, ONE).fit(positions(bars1(spark, sf), DAILY), DAILY), "symbol", "score_low", "score_high", "metric")
+
+
+_QUICK = Forecaster(FS, Training(hidden=8, epochs=5, rate=1e-3))
+
+
+@check("e02_forecaster_in_sample", None)
+def e02_forecaster_in_sample(spark, sf):
+    return E.in_sample(bars1(spark, sf), DAILY, _QUICK, E.Run(start="1993-01-01", end="1997-01-01"))[1]
+
+
+@check("e03_forecaster_walk_forward", None)
+def e03_forecaster_walk_forward(spark, sf):
+    return walk_forward_signals(bars1(spark, sf), DAILY, _QUICK, 600, 200).select("symbol", "ts", "fold", "score_low", "score_high", "signal")
+
+
+@check("m06_forecaster_test", None)
+def m06_forecaster_test(spark, sf):
+    return MC.in_sample_test(bars1(spark, sf), DAILY, _QUICK, E.Run(), 4)[1]
+
+
+@check("m07_forecaster_test", None)
+def m07_forecaster_test(spark, sf):
+    return MC.walk_forward_test(bars1(spark, sf), DAILY, _QUICK, E.Run(), 900, 500, 3)[1]
 
 
 @check("e03_classifier_walk_forward", None)

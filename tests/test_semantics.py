@@ -14,7 +14,9 @@ from barspark.operators import metrics as M
 from barspark.operators import permute as P
 from barspark.operators import windows as W
 from barspark.operators.folds import fold_report, fold_rows, full_history_signals, walk_forward_signals
-from barspark.operators.models import DirectionClassifier, Forecaster, fit_logistic
+from barspark.operators import networks as N
+from barspark.operators.forecaster import Features, Forecaster
+from barspark.operators.models import DirectionClassifier, fit_logistic
 from barspark.operators.prices import vwap, with_price
 from barspark.operators.quality import series_quality
 from barspark.operators.returns import evaluate_returns
@@ -249,7 +251,7 @@ def test_pandas_strategy_plugs_in(spark):
 
 
 def test_strategies_follow_the_protocol():
-    assert isinstance(MovingAverage(), Strategy) and isinstance(Donchian(), Strategy)
+    assert all(isinstance(s, Strategy) for s in (MovingAverage(), Donchian(), Forecaster()))
 
 
 def test_folds_tile_the_out_of_sample_bars(spark):
@@ -342,19 +344,97 @@ def test_direction_classifier_picks_by_held_out_factor(spark):
     assert signals.count() == 500 and {r.signal for r in signals.select("signal").distinct().collect()} <= {0.0, 1.0}
 
 
-def test_forecaster_uses_only_the_past_for_its_statistics(spark):
-    fs = X.FeatureSet(tf="1h", sma=(5,), momentum=(7,), rsi=(7,), regime_window=None)
-    pdf = random_walk(300, seed=111, symbols=("A",))
+FS = X.FeatureSet(tf="1h", horizon_hours=3, vol_hours=12, sma=(5,), momentum=(7,), rsi=(7,), regime_window=6)
+SMALL = N.Training(hidden=6, epochs=6, batch=32, rate=0.01)
+
+
+def test_gradient_is_the_slope_of_the_loss():
+    t = N.Training(hidden=4, classes=3)
+    draw = np.random.default_rng(5)
+    x, y = draw.normal(size=(30, 5)), draw.integers(0, 3, 30)
+    w = N.initial(5, t) + draw.normal(size=len(N.initial(5, t))) / 5
+    slopes = [(N.losses(w + e, x, y, t).mean() - N.losses(w - e, x, y, t).mean()) / 2e-6 for e in np.eye(len(w)) * 1e-6]
+    np.testing.assert_allclose(N.gradient(w, x, y, t), slopes, atol=1e-8)
+    mask = np.ones((30, 4))
+    np.testing.assert_allclose(N.gradient(w, x, y, t, mask), slopes, atol=1e-8)
+    assert not N.gradient(w, x, y, t, 0 * mask)[: 5 * 4 + 4].any()
+
+
+def test_training_ends_where_the_gradient_vanishes():
+    t = N.Training(hidden=4, classes=2, dropout=0.0, epochs=6000, decay=0.0, rate=0.002, batch=100, patience=6000)
+    draw = np.random.default_rng(6)
+    x = draw.normal(size=(100, 2))
+    y = (x[:, 0] + draw.normal(size=100) > 0).astype(int)
+    w = N.train(x, y, x[:0], y[:0], t)
+    assert np.abs(N.gradient(w, x, y, t)).max() < 0.01 < 0.1 < np.abs(N.gradient(N.initial(2, t), x, y, t)).max()
+
+
+def _networks(spark, blocks, t, block):
+    rows = [(k, i, len(y), [float(v) for v in x[i]], int(y[i]), bool(i < 0.8 * len(y))) for k, (x, y) in blocks.items() for i in range(len(y))]
+    df = spark.createDataFrame(rows, "k string, place long, whole long, x array<double>, label int, train boolean")
+    return {r.k: np.array(r.network) for r in N.fit_networks(df, ["k"], 3, t, block).collect()}
+
+
+def test_networks_in_blocks_are_averaged_epoch_by_epoch(spark):
+    draw = np.random.default_rng(7)
+    data = {k: (draw.normal(size=(n, 3)), draw.integers(0, 5, n)) for k, n in (("a", 90), ("b", 40), ("c", 230))}
+    t = N.Training(hidden=3, epochs=5, batch=16, rate=0.01, patience=2)
+    got = _networks(spark, data, t, 100)
+    for k, (x, y) in data.items():
+        cut = int(np.ceil(0.8 * len(y)))
+        parts = [slice(a, min(a + 100, cut)) for a in range(0, cut, 100)]
+        s, best, bad = N.State.start(3, t), np.inf, 0
+        for number in range(t.epochs):
+            new = [N.epoch(s, x[p], y[p], t, number, b) for b, p in enumerate(parts)]
+            sizes = [p.stop - p.start for p in parts]
+            mean = lambda name: sum(getattr(o, name) * n for o, n in zip(new, sizes)) / sum(sizes)  # noqa: B023, E731
+            s = N.State(mean("w"), mean("m"), mean("v"), max(o.steps for o in new))
+            loss = N.losses(s.w, x[cut:], y[cut:], t).mean()
+            best, bad = (loss, 0) if loss < best else (best, bad + 1)
+            if bad >= t.patience:
+                break
+        np.testing.assert_allclose(got[k], s.w, atol=1e-9)
+    alone = _networks(spark, {"b": data["b"]}, t, 100)
+    np.testing.assert_array_equal(alone["b"], got["b"])
+
+
+def test_stretches_have_their_own_warm_ups(spark):
+    pdf = random_walk(160, seed=113, symbols=("A",))
+    shared = Features(pdf.close.to_numpy(), FS)
+    for first, stop in ((0, 160), (37, 120), (100, 112)):
+        rows = frame(spark, pdf[first:stop])
+        built = collected(X.features(X.normalised_return(rows, HOURLY, FS), HOURLY, FS), "ts")
+        x, norm = shared.part(first, stop)
+        np.testing.assert_allclose(x, built[FS.names].to_numpy(float), atol=1e-9)
+        np.testing.assert_allclose(norm, built.norm_return.to_numpy(float), atol=1e-9)
+
+
+def test_forecaster_uses_only_the_past_and_its_own_series(spark):
+    pdf = random_walk(300, seed=111, symbols=("A", "B"))
     changed = pdf.copy()
-    changed.loc[250:, ["open", "high", "low", "close"]] *= 3
-    a, b = (Forecaster(features=fs, hidden=4, iterations=5).fit(frame(spark, p), HOURLY) for p in (pdf, changed))
-    assert a.edges.first() == b.edges.first() and a.thresholds.first() == b.thresholds.first()
-    out = a.signals(frame(spark, pdf), HOURLY)
-    sums = out.select(F.aggregate("probabilities", F.lit(0.0), lambda x, y: x + y).alias("s")).toPandas().s
-    np.testing.assert_allclose(sums, 1)
-    low, high = a.thresholds.first().score_low, a.thresholds.first().score_high
-    assert out.filter((F.col("signal") == 1) != (F.col("score") > high)).count() == 0
-    assert out.filter((F.col("signal") == -1) != (F.col("score") < low)).count() == 0
+    changed.loc[(pdf.symbol == "A") & (pdf.ts >= pdf.ts.min() + pd.Timedelta(hours=250)), ["open", "high", "low", "close"]] *= 3
+    model = Forecaster(FS, N.Training(hidden=6, epochs=3, batch=32, patience=9))
+    a, b, alone = (
+        {r.symbol: r for r in model.fit(positions(frame(spark, p), HOURLY), HOURLY).collect()} for p in (pdf, changed, pdf[pdf.symbol == "B"])
+    )
+    assert a["A"] == b["A"] and a["B"] == b["B"] == alone["B"] and a["A"].network != a["B"].network and a["A"].metric == 1
+    params = model.fit(positions(frame(spark, pdf), HOURLY), HOURLY)
+    out = model.signals(positions(frame(spark, pdf), HOURLY), params, HOURLY).join(params, "symbol")
+    assert out.count() == 600 and out.filter("signal is null or score is null").count() == 0
+    assert out.filter((F.col("signal") == 1) != (F.col("score") > F.col("score_high"))).count() == 0
+    assert out.filter((F.col("signal") == -1) != (F.col("score") < F.col("score_low"))).count() == 0
+    short = positions(frame(spark, pdf[:3]), HOURLY)
+    assert model.signals(short, model.fit(short, HOURLY), HOURLY).filter("signal is not null").count() == 0
+
+
+def test_forecaster_folds_equal_folds_as_a_key(spark):
+    bars = frame(spark, random_walk(260, seed=112))
+    for hold in (False, True):
+        model = Forecaster(FS, SMALL, hold=hold)
+        a = collected(walk_forward_signals(bars, HOURLY, model, 120, 50), "symbol", "ts")
+        b = collected(walk_forward_signals(bars, HOURLY, _FramesOnly(model), 120, 50), "symbol", "ts")
+        np.testing.assert_array_equal(a.signal.to_numpy(float), b.signal.to_numpy(float))
+        assert a.signal[120:].notna().any() and set(a.signal.dropna()) <= {-1.0, 0.0, 1.0}
 
 
 # --- ledger ---
