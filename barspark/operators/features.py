@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -171,7 +173,12 @@ def impute_both_ways(df: DataFrame, spec: Series, names: list[str], causal: bool
     return out.withColumns(filled).drop(*[f"__{n}_{s}" for n in names for s in "bf"])
 
 
-def profit_by(df: DataFrame, keys: list[str], signal: Column, ret: Column) -> DataFrame:
-    from barspark.operators.metrics import profit_factor
+def over_windows(x: np.ndarray, n: int, fold) -> np.ndarray:
+    """``fold`` over each full window of ``n`` values that ends at a place; missing before."""
+    if len(x) < n:
+        return np.full(len(x), np.nan)
+    return np.append(np.full(n - 1, np.nan), fold(sliding_window_view(x, n), axis=1))
 
-    return df.groupBy(*keys).agg(profit_factor(signal * ret).alias("pf"))
+
+def window_means(x: np.ndarray, n: int) -> np.ndarray:
+    return over_windows(x, n, np.mean)

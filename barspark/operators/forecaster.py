@@ -6,7 +6,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -146,22 +145,22 @@ class Features:
             self.change = np.append(np.nan, price[1:] / price[:-1] - 1)
             columns, self.warm = [], []
             for n in f.sma:
-                columns.append(price / _over(price, n, np.mean) - 1)
+                columns.append(price / X.over_windows(price, n, np.mean) - 1)
                 self.warm.append(n - 1)
             for n in f.momentum:
                 columns.append(np.append(np.full(min(n, len(price)), np.nan), price[n:] / price[:-n] - 1))
                 self.warm.append(n)
             columns = [np.clip(c, -1, 1) for c in columns]
             for n in f.rsi:
-                up, down = _over(np.maximum(move, 0), n, np.mean), _over(np.maximum(-move, 0), n, np.mean)
+                up, down = X.over_windows(np.maximum(move, 0), n, np.mean), X.over_windows(np.maximum(-move, 0), n, np.mean)
                 columns.append((50 - 100 / (1 + up / (down + 1e-8))) / 50)
                 self.warm.append(n)
             if f.regime_window:
                 n = f.regime_window
-                spread = _over(self.change, n, _sample)
-                columns.append(np.where(np.isnan(spread), 0.0, spread > _over(spread, 2 * n, np.median)))
+                spread = X.over_windows(self.change, n, _sample)
+                columns.append(np.where(np.isnan(spread), 0.0, spread > X.over_windows(spread, 2 * n, np.median)))
                 self.warm.append(3 * n - 1)
-            self.spread = _over(self.change, f.vol_bars, _sample)
+            self.spread = X.over_windows(self.change, f.vol_bars, _sample)
             self.columns = np.column_stack(columns)
 
     def part(self, first: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
@@ -185,9 +184,3 @@ class Features:
 def _sample(a: np.ndarray, axis: int) -> np.ndarray:
     return np.std(a, axis=axis, ddof=1)
 
-
-def _over(x: np.ndarray, n: int, fold) -> np.ndarray:
-    """``fold`` over each full window of ``n`` values that ends at a place; missing before."""
-    if len(x) < n:
-        return np.full(len(x), np.nan)
-    return np.append(np.full(n - 1, np.nan), fold(sliding_window_view(x, n), axis=1))

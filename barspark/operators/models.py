@@ -1,20 +1,13 @@
-"""A learned strategy: the direction classifier, from many small logistic regressions."""
+"""Many small logistic regressions as aggregates, one per key."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from itertools import product
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barspark.functions.scalars import up_label
-from barspark.operators import features as X
-from barspark.operators import windows as W
-from barspark.operators.metrics import profit_factor
-from barspark.series import BLK, POS, ROWS, Series, positions, spread_join, stage, windowed
+from barspark.series import spread_join, stage
 
 # --- many small logistic regressions ------------------------------------------------
 
@@ -85,74 +78,3 @@ def fit_logistic(
     weights = F.transform(F.sequence(F.lit(1), F.lit(d)), lambda i: F.element_at("__b", i + 1) / F.element_at("__s", i))
     shift = F.aggregate(F.zip_with("__w", "__m", lambda w, m: w * m), F.lit(0.0), lambda a, v: a + v)
     return beta.withColumn("__w", weights).select(*keys, F.col("__w").alias("coef"), (F.col("__b")[0] - shift).alias("intercept"), "converged")
-
-
-def probability(names: list[str], coef: str = "coef", intercept: str = "intercept"):
-    z = sum((F.col(coef)[i] * F.col(n) for i, n in enumerate(names)), F.col(intercept))
-    return 1 / (1 + F.exp(-z))
-
-
-@dataclass(frozen=True)
-class DirectionClassifier:
-    """Long when RSI, exponential average and average volume predict a rise, else flat.
-
-    Every combination of periods is fitted on the first 70 % of a series and
-    judged by profit factor on the rest; each part computes its own features.
-    """
-
-    price: str = "close"
-    rsi: tuple[int, ...] = (14, 21, 28)
-    ema: tuple[int, ...] = (20, 50, 100)
-    vol: tuple[int, ...] = (10, 20, 50)
-    ratio: float = 0.7
-    minimum: int = 100
-    causal: bool = False
-    params: tuple[str, ...] = ("rsi_period", "ema_period", "vol_period", "coef", "intercept")
-
-    _names = ["f_rsi", "f_ema", "f_vol"]
-
-    def _grid(self, df: DataFrame) -> DataFrame:
-        """One copy of every row per combination of periods, with that combination's features."""
-        points = F.array(
-            *[
-                F.struct(
-                    F.lit(i).cast("long").alias("point"), F.lit(a).cast("long").alias("rsi_period"),
-                    F.lit(b).cast("long").alias("ema_period"), F.lit(c).cast("long").alias("vol_period"),
-                    F.col(f"RSI_{a}").alias("f_rsi"), F.col(f"EMA_{b}").alias("f_ema"), F.col(f"VOL_AVG_{c}").alias("f_vol"),
-                )
-                for i, (a, b, c) in enumerate(product(self.rsi, self.ema, self.vol))
-            ]
-        )
-        return df.withColumn("__pt", F.explode(points)).select("*", "__pt.*").drop("__pt").dropna(subset=self._names)
-
-    def fit(self, df: DataFrame, spec: Series) -> DataFrame:
-        rows = windowed(df, spec, {"__r": W.forward_log_return(self.price)})
-        rows = X.time_split(rows, spec, self.ratio).withColumn("__y", up_label("__r"))
-        volume = ["volume"] if "volume" in df.columns else []
-        own = spec.extend("train")
-        rows = positions(rows.select(*own.by(spec.ts, self.price, *volume, "__r", "__y")), own)
-        built = X.direction_features(rows, own, self.price, self.rsi, self.ema, self.vol)
-        grid = stage(self._grid(built.drop(POS, ROWS, BLK)))
-        point = [*spec.keys, "point", *self.params[:3]]
-        train = grid.filter("train")
-        enough = train.groupBy(*point).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") >= self.minimum)
-        fitted = fit_logistic(spread_join(train, enough.drop("__n"), point), point, "__y", self._names)
-        tested = spread_join(grid.filter(~F.col("train")), fitted.filter("converged").drop("converged"), point)
-        long = (probability(self._names) > 0.5).cast("int")
-        scores = tested.groupBy(*point).agg(
-            profit_factor(F.col("__r") * long).alias("pf"), F.first("coef").alias("coef"), F.first("intercept").alias("intercept")
-        )
-        chosen = F.max_by(F.struct(*self.params, F.col("pf").alias("metric")), F.struct("pf", -F.col("point")))
-        return scores.groupBy(*spec.keys).agg(chosen.alias("__best")).select(*spec.keys, "__best.*")
-
-    def signals(self, df: DataFrame, params: DataFrame, spec: Series) -> DataFrame:
-        built = X.direction_features(df, spec, self.price, self.rsi, self.ema, self.vol)
-        made = [c for c in built.columns if c not in df.columns and c not in (POS, ROWS, BLK)]
-        out = X.impute_both_ways(built, spec, made, self.causal)
-        out = spread_join(out, params.select(*spec.by(*self.params)), list(spec.keys), "left")
-        for name, stem, periods, param in (
-            ("f_rsi", "RSI", self.rsi, "rsi_period"), ("f_ema", "EMA", self.ema, "ema_period"), ("f_vol", "VOL_AVG", self.vol, "vol_period"),
-        ):
-            out = out.withColumn(name, F.coalesce(*[F.when(F.col(param) == n, F.col(f"{stem}_{n}")) for n in periods]))
-        signal = (probability(self._names) > 0.5).cast("double")
-        return out.withColumn("signal", signal).drop(*made, *self._names, *self.params)

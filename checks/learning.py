@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from barspark.operators import features as X
 from barspark.operators.folds import walk_forward_signals
 from barspark.operators.forecaster import Forecaster
-from barspark.operators.models import DirectionClassifier, fit_logistic
+from barspark.operators.direction import DirectionClassifier
+from barspark.operators.models import fit_logistic
 from barspark.operators.networks import Training
 from barspark.plans import evaluate as E
 from barspark.plans import montecarlo as MC

@@ -1,5 +1,7 @@
 """Micro series, known results and brute force."""
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -16,7 +18,8 @@ from barspark.operators import windows as W
 from barspark.operators.folds import fold_report, fold_rows, full_history_signals, walk_forward_signals
 from barspark.operators import networks as N
 from barspark.operators.forecaster import Features, Forecaster
-from barspark.operators.models import DirectionClassifier, fit_logistic
+from barspark.operators.direction import DirectionClassifier
+from barspark.operators.models import fit_logistic
 from barspark.operators.prices import vwap, with_price
 from barspark.operators.quality import series_quality
 from barspark.operators.returns import evaluate_returns
@@ -344,6 +347,45 @@ def test_direction_classifier_picks_by_held_out_factor(spark):
     assert signals.count() == 500 and {r.signal for r in signals.select("signal").distinct().collect()} <= {0.0, 1.0}
 
 
+@pytest.mark.parametrize("causal", [False, True])
+def test_direction_folds_equal_folds_as_a_key(spark, causal):
+    bars = frame(spark, random_walk(230, seed=102))
+    model = DirectionClassifier(rsi=(5, 9), ema=(4, 12), vol=(6,), minimum=30, causal=causal)
+    a = collected(walk_forward_signals(bars, HOURLY, model, 110, 40), "symbol", "ts")
+    b = collected(walk_forward_signals(bars, HOURLY, _FramesOnly(model), 110, 40), "symbol", "ts")
+    np.testing.assert_array_equal(a.signal.to_numpy(float), b.signal.to_numpy(float))
+    assert a.signal[110:150].notna().all() and len(a.ema_period.dropna().unique()) > 1
+    none = walk_forward_signals(bars, HOURLY, replace(model, minimum=9_999), 110, 40)
+    assert none.filter("signal is not null").isEmpty()
+
+
+def test_direction_fits_in_blocks_are_those_of_one_block(spark):
+    rows = positions(frame(spark, random_walk(400, seed=103)), HOURLY)
+    model = DirectionClassifier(rsi=(5, 9), ema=(4, 12), vol=(6,))
+    a, b = ({r.symbol: r for r in model.fit(rows, s).collect()} for s in (HOURLY, replace(HOURLY, block=64)))
+    for symbol, row in a.items():
+        other = b[symbol]
+        assert (row.rsi_period, row.ema_period, row.vol_period, row.converged) == (other.rsi_period, other.ema_period, other.vol_period, True)
+        np.testing.assert_allclose([*row.coef, row.intercept, row.metric], [*other.coef, other.intercept, other.metric], rtol=1e-7)
+    short = replace(model, max_passes=1)
+    assert {r.converged for r in short.fit(rows, HOURLY).collect()} == {False}
+
+
+def test_direction_weights_are_the_penalised_optimum(spark):
+    pdf = random_walk(400, seed=104, symbols=("A",))
+    model = DirectionClassifier(rsi=(9,), ema=(12,), vol=(6,))
+    row = model.fit(positions(frame(spark, pdf), HOURLY), HOURLY).first()
+    price = pdf.close.to_numpy()
+    x = model._part(price, pdf.volume.to_numpy(float), 0, 280)
+    y = (_forward(price)[:280] > 0).astype(float)
+    mine = ~np.isnan(x).any(axis=1)
+    x, y, w = x[mine], y[mine], np.array(row.coef)
+    p = 1 / (1 + np.exp(-(x @ w + row.intercept)))
+    scale = np.abs(x).sum(axis=0)
+    np.testing.assert_allclose((x.T @ (p - y) + w) / scale, 0, atol=1e-7)
+    assert abs((p - y).sum()) < 1e-6
+
+
 FS = X.FeatureSet(tf="1h", horizon_hours=3, vol_hours=12, sma=(5,), momentum=(7,), rsi=(7,), regime_window=6)
 SMALL = N.Training(hidden=6, epochs=6, batch=32, rate=0.01)
 
