@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barspark.functions.scalars import annualisation, parse_minutes
-from barspark.operators.quantiles import counted_values, exact_quantiles
+from barspark.operators.quantiles import exact_quantiles, salted_values
 from barspark.series import Running, Series, running, spread_join, stage
 
 
@@ -60,13 +60,12 @@ def log_max_drawdown(df: DataFrame, spec: Series, x: str) -> DataFrame:
 def tail_risk(df: DataFrame, spec: Series, x: str, level: float = 0.05) -> DataFrame:
     """Value at risk and expected shortfall in percent: exact quantile, then the mean at or below it."""
     keys = list(spec.keys)
-    rows = stage(df.select(*keys, x))
-    values = stage(counted_values(rows, keys, x))
-    cut = exact_quantiles(rows, keys, x, [level], values=values).select(*keys, F.element_at("quantiles", 1).alias("__q"))
+    values = salted_values(df, keys, x)
+    cut = exact_quantiles(df, keys, x, [level], values=values).select(*keys, F.element_at("quantiles", 1).alias("__q"))
     tail = spread_join(values, cut, keys).filter(F.col("__x") <= F.col("__q"))
     return tail.groupBy(*keys).agg(
         (-F.first("__q") * 100).alias("var95_net_pct"),
-        (-F.sum(F.col("__x") * F.col("__c")) / F.sum("__c") * 100).alias("cvar95_net_pct"),
+        (-F.avg("__x") * 100).alias("cvar95_net_pct"),
     )
 
 

@@ -199,22 +199,35 @@ def running(df: DataFrame, spec: Series, scans: dict[str, Running]) -> DataFrame
     ).drop(*[f"__{n}" for n in scans], *[f"__carry_{n}" for n in scans])
 
 
-def spread_join(df: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", salt: int = 32) -> DataFrame:
+#: Rows of one key that share a copy of what is joined to the key.
+SHARE = 262_144
+SALT = "__salt"
+
+
+def spread_join(df: DataFrame, small: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join a few rows per key (parameters, statistics, edges) onto many rows per key.
 
-    One key may own a third of ``df``; its rows spread over ``salt`` tasks and
-    ``small`` is repeated once per salt. The salt is a hash of the row itself,
-    so a recomputed task assigns the same salt; rows must therefore differ from
-    each other (carry a time or position, or be counted per distinct value
-    first). Adaptive execution still turns the join into a broadcast when it
-    measures ``small`` to be small. Without keys, ``small`` is a single row.
+    One key may own a third of ``df``. Its rows are cut into shares: by position where
+    the rows carry one, by a ``__salt`` column where the caller gives it, else by a hash of the
+    row. The shares that exist are listed first, and ``small`` is repeated once for each
+    of them, so a key of few rows keeps one copy and a long one gets as many as it has
+    shares. A recomputed task assigns the same share. Adaptive execution still turns
+    either join into a broadcast when it measures the copies to be small. Without keys,
+    ``small`` is a single row.
     """
     if not keys:
-        joined = spread_join(df.withColumn("__all", F.lit(0)), small.withColumn("__all", F.lit(0)), ["__all"], how, salt)
+        joined = spread_join(df.withColumn("__all", F.lit(0)), small.withColumn("__all", F.lit(0)), ["__all"], how)
         return joined.drop("__all")
-    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(salt)).cast("int"))
-    copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    return salted.join(copies, [*keys, "__salt"], how).drop("__salt")
+    given = SALT in df.columns
+    if given:
+        salted = df
+    elif POS in df.columns:
+        salted = df.withColumn(SALT, F.floor(F.col(POS) / F.lit(SHARE)))
+    else:
+        salted = df.withColumn(SALT, F.pmod(F.xxhash64(*df.columns), F.lit(32)))
+    copies = salted.select(*keys, SALT).distinct().join(small, keys, how)
+    out = salted.join(copies, [*keys, SALT], how)
+    return out if given else out.drop(SALT)
 
 
 def map_blocks(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from barspark.operators import ledger as L
 from barspark.operators import permute as P
+from barspark.operators import quantiles as Q
 from barspark.operators import windows as W
 from barspark.operators.quantiles import exact_quantiles
 from barspark.operators.signals import donchian, ma_crossover, ma_long_flat
@@ -172,6 +173,32 @@ def test_exact_quantiles_on_ties_and_skew(spark):
         np.testing.assert_allclose(got[k], np.quantile(part.x, qs), rtol=1e-12, atol=1e-12)
 
 
+@pytest.mark.parametrize("ranked", [1, 7, 300])
+def test_quantiles_in_levels(spark, monkeypatch, ranked):
+    """Intervals of more than ``RANKED`` rows are cut again, whatever the values' distribution; no rank is put in order among more."""
+    monkeypatch.setattr(Q, "RANKED", ranked)
+    monkeypatch.setattr(Q, "PARTS", 9)
+    rng = np.random.default_rng(6)
+    x = np.concatenate([np.exp(rng.normal(0, 40, 3000)), -np.exp(rng.normal(0, 40, 2000)), np.full(2500, 1.5), np.repeat(rng.normal(size=40), 30), [np.inf, -0.0, 5e-324]])
+    qs = [0.0, 0.001, 0.2, 0.5, 0.51, 0.9999, 1.0]
+    got = exact_quantiles(spark.createDataFrame(pd.DataFrame({"x": x})).withColumn("k", F.lit("hot")), ["k"], "x", qs, accuracy=40).first().quantiles
+    np.testing.assert_allclose(got[:-2], np.quantile(x, qs)[:-2], rtol=1e-14)
+    assert exact_quantiles(spark.createDataFrame([], "k string, x double"), ["k"], "x", qs).count() == 0
+
+
+def test_joins_to_one_long_series_are_spread(spark, pdf, monkeypatch):
+    """Every share of a long series gets one copy, a short series one in all, and the copies meet every row."""
+    from barspark import series as S
+
+    monkeypatch.setattr(S, "SHARE", 100)
+    bars = positions(frame(spark, pdf), HOURLY)
+    small = spark.createDataFrame([("A", 1.0), ("B", 2.0)], "symbol string, p double")
+    joined = spread_join(bars, small, ["symbol"])
+    assert joined.count() == 2 * N and joined.filter("p is null").isEmpty() and joined.columns == [*bars.columns, "p"]
+    wide = bars.withColumn(S.SALT, F.floor(F.col("pos") / 100))
+    assert spread_join(wide, small, ["symbol"]).groupBy("symbol", S.SALT).count().filter("count > 100").isEmpty()
+
+
 def test_spread_join_keeps_every_row(spark, pdf):
     bars = frame(spark, pdf)
     small = spark.createDataFrame([("A", 1.0)], "symbol string, p double")
