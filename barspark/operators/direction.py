@@ -293,30 +293,47 @@ class DirectionClassifier:
     # Walk-forward: neighbouring folds share their bars in one task
 
     def folds(self, bars: pd.DataFrame, folds):
-        price = bars[self.price].astype(float).to_numpy()
-        volume = bars["volume"].astype(float).to_numpy() if "volume" in bars else None
-        with np.errstate(all="ignore"):
-            r = np.append(np.log(price[1:]) - np.log(price[:-1]), np.nan)
+        price, volume = self._columns(bars)
         out = []
         for start, end, stop in folds:
-            cut = start + int((end - start) * self.ratio)
-            known = np.append(r[start : end - 1], np.nan)
-            x, tx = self._part(price, volume, start, cut), self._part(price, volume, cut, end)
-            scores = self._search(x, (known[: cut - start] > 0).astype(float), tx, known[cut - start :])
+            fitted = self._fitted(price, volume, start, end)
+            signal = self._signals(fitted, price, volume, start, stop)[end - start :]
             params = dict.fromkeys(self.fold_params, np.nan)
-            if not scores:
-                out.append((params, np.nan, np.full(stop - end, np.nan)))
-                continue
-            factors = [gain / loss if loss > 0 else (np.inf if gain > 0 else 0.0) for *_, gain, loss in scores]
-            number, coef, intercept, *_ = scores[int(np.argmax(factors))]
-            whole = _imputed(self._part(price, volume, start, stop)[:, self.points[number]], self.causal)
-            with np.errstate(over="ignore"):
-                chance = 1 / (1 + np.exp(-(whole @ np.array(coef) + intercept)))
-            signal = np.where(np.isnan(chance), np.nan, (chance > 0.5).astype(float))
-            params |= dict(zip(self.fold_params[:3], map(float, self.periods[number]))) | {"intercept": intercept}
-            out.append((params, float(max(factors)), signal[end - start :]))
+            if fitted:
+                params |= dict(zip(self.fold_params[:3], map(float, self.periods[fitted["point"]]))) | {"intercept": fitted["intercept"]}
+            out.append((params, fitted["metric"] if fitted else np.nan, signal))
         return out
 
+    def fit_bars(self, bars: pd.DataFrame) -> dict | None:
+        """Everything fitted on one bounded run of training bars."""
+        return self._fitted(*self._columns(bars), 0, len(bars))
+
+    def signal_bars(self, bars: pd.DataFrame, params: dict | None) -> np.ndarray:
+        return self._signals(params, *self._columns(bars), 0, len(bars))
+
+    def _columns(self, bars: pd.DataFrame) -> tuple[np.ndarray, np.ndarray | None]:
+        return bars[self.price].astype(float).to_numpy(), bars["volume"].astype(float).to_numpy() if "volume" in bars else None
+
+    def _fitted(self, price: np.ndarray, volume: np.ndarray | None, start: int, end: int) -> dict | None:
+        cut = start + int((end - start) * self.ratio)
+        with np.errstate(all="ignore"):
+            r = np.append(np.diff(np.log(price[start:end])), np.nan)
+        x, tx = self._part(price, volume, start, cut), self._part(price, volume, cut, end)
+        scores = self._search(x, (r[: cut - start] > 0).astype(float), tx, r[cut - start :])
+        if not scores:
+            return None
+        factors = [gain / loss if loss > 0 else (np.inf if gain > 0 else 0.0) for *_, gain, loss in scores]
+        number, coef, intercept, *_ = scores[int(np.argmax(factors))]
+        return {"point": number, "coef": np.array(coef), "intercept": intercept, "metric": float(max(factors))}
+
+    def _signals(self, fitted: dict | None, price: np.ndarray, volume: np.ndarray | None, start: int, stop: int) -> np.ndarray:
+        if fitted is None:
+            return np.full(stop - start, np.nan)
+        x = _imputed(self._part(price, volume, start, stop)[:, self.points[fitted["point"]]], self.causal)
+        with np.errstate(over="ignore"):
+            chance = 1 / (1 + np.exp(-(x @ fitted["coef"] + fitted["intercept"])))
+        return np.where(np.isnan(chance), np.nan, (chance > 0.5).astype(float))
+
     def _part(self, price: np.ndarray, volume: np.ndarray | None, first: int, stop: int) -> np.ndarray:
         """All indicators of a stretch, built from that stretch alone; missing in warm-ups."""
         p = pd.Series(price[first:stop])

@@ -98,31 +98,46 @@ class Forecaster:
         shared = Features(bars[self.price].to_numpy(float), self.features)
         out = []
         for start, end, stop in folds:
-            cut = start + int((end - start) * self.ratio)
-            (x, norm), (vx, vnorm) = shared.part(start, cut), shared.part(cut, end)
-            params, signal = self._fold(x, norm, vx, vnorm, shared.part(start, stop)[0])
-            out.append((params, 1.0 if params["score_low"] == params["score_low"] else np.nan, signal[end - start :]))
+            fitted = self._fitted(shared, start, end)
+            signal = self._signals(fitted, shared, start, stop)[end - start :]
+            low, high = (fitted["low"], fitted["high"]) if fitted else (np.nan, np.nan)
+            out.append(({"score_low": low, "score_high": high}, 1.0 if fitted else np.nan, signal))
         return out
 
-    def _fold(self, x: np.ndarray, norm: np.ndarray, vx: np.ndarray, vnorm: np.ndarray, whole: np.ndarray) -> tuple[dict, np.ndarray]:
-        ahead, t = self.features.horizon_bars, self.training
-        none = {"score_low": np.nan, "score_high": np.nan}
+    def fit_bars(self, bars) -> dict | None:
+        """Everything fitted on one bounded run of training bars."""
+        return self._fitted(Features(bars[self.price].to_numpy(float), self.features), 0, len(bars))
+
+    def signal_bars(self, bars, params: dict | None) -> np.ndarray:
+        return self._signals(params, Features(bars[self.price].to_numpy(float), self.features), 0, len(bars))
+
+    def _fitted(self, shared: Features, start: int, end: int) -> dict | None:
+        cut, ahead, t = start + int((end - start) * self.ratio), self.features.horizon_bars, self.training
+        (x, norm), (vx, vnorm) = shared.part(start, cut), shared.part(cut, end)
         if len(norm) <= ahead or len(x) < 2:
-            return none, np.full(len(whole), np.nan)
-        mean, deviation = x.mean(axis=0), x.std(axis=0, ddof=1)
-        deviation[deviation == 0] = 1e-8
+            return None
+        fitted = {"mean": x.mean(axis=0), "deviation": x.std(axis=0, ddof=1)}
+        fitted["deviation"][fitted["deviation"] == 0] = 1e-8
         edges = np.quantile(norm[ahead:], np.arange(1, t.classes) / t.classes)
-        scale = lambda a: np.clip((a - mean) / deviation, -10, 10)
-        label = lambda future: np.searchsorted(edges, future, "right")
-        tx, vx = scale(x[: len(x) - ahead]), scale(vx[: max(0, len(vx) - ahead)])
-        w = N.train(tx, label(norm[ahead:]), vx, label(vnorm[ahead:]), t)
-        low, high = np.quantile(preference(w, tx, t), [self.low, self.high])
-        score = preference(w, scale(whole), t)
-        signal = np.where(score < low, -1.0, np.where(score > high, 1.0, 0.0))
+        tx, vx = (_scaled(a[: max(0, len(a) - ahead)], fitted) for a in (x, vx))
+        label, vlabel = (np.searchsorted(edges, a[ahead:], "right") for a in (norm, vnorm))
+        fitted["network"] = N.train(tx, label, vx, vlabel, t)
+        fitted["low"], fitted["high"] = np.quantile(preference(fitted["network"], tx, t), [self.low, self.high])
+        return fitted
+
+    def _signals(self, fitted: dict | None, shared: Features, start: int, stop: int) -> np.ndarray:
+        if fitted is None:
+            return np.full(stop - start, np.nan)
+        score = preference(fitted["network"], _scaled(shared.part(start, stop)[0], fitted), self.training)
+        signal = np.where(score < fitted["low"], -1.0, np.where(score > fitted["high"], 1.0, 0.0))
         if self.hold:
             last = np.maximum.accumulate(np.where(signal != 0, np.arange(len(signal)), -1))
             signal = np.where(last >= 0, signal[last], 0.0)
-        return {"score_low": low, "score_high": high}, signal
+        return signal
+
+
+def _scaled(x: np.ndarray, fitted: dict) -> np.ndarray:
+    return np.clip((x - fitted["mean"]) / fitted["deviation"], -10, 10)
 
 
 def preference(w: np.ndarray, x: np.ndarray, t: N.Training) -> np.ndarray:

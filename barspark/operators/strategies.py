@@ -121,6 +121,14 @@ class MovingAverage:
             out.append(({"fast": fast, "slow": slow}, m, kernels.ma_signal(price[start:stop], fast, slow)[end - start :]))
         return out
 
+    def fit_bars(self, bars: pd.DataFrame) -> tuple:
+        """Parameters from one bounded run of training bars."""
+        chosen, _ = kernels.ma_fold_fits(bars[self.price].to_numpy(float), [(0, len(bars), len(bars))], self.max_window, self.min_window)
+        return tuple(chosen[0])
+
+    def signal_bars(self, bars: pd.DataFrame, params: tuple) -> np.ndarray:
+        return kernels.ma_signal(bars[self.price].to_numpy(float), *params)
+
 
 def _scored(partial: DataFrame, spec: Series, params: tuple[str, ...]) -> DataFrame:
     sums = partial.groupBy(*spec.by(*params)).agg(F.sum("gain").alias("gain"), F.sum("loss").alias("loss"))
@@ -203,18 +211,57 @@ class Donchian:
             out.append(({"lookback": lookback}, m, kernels.donchian_signal(price[start:stop], lookback)[end - start :]))
         return out
 
+    def fit_bars(self, bars: pd.DataFrame) -> float:
+        """The lookback from one bounded run of training bars."""
+        best = np.inf if self.lossless_wins else 0.0
+        chosen, _ = kernels.donchian_fold_fits(bars[self.price].to_numpy(float), [(0, len(bars), len(bars))], max(2, self.low), max(2, self.high), best)
+        return chosen[0]
+
+    def signal_bars(self, bars: pd.DataFrame, params: float) -> np.ndarray:
+        return kernels.donchian_signal(bars[self.price].to_numpy(float), params)
+
 
 @dataclass(frozen=True)
 class PandasStrategy:
-    """A user's own pandas strategy, run per walk-forward fold (a bounded number of bars).
+    """A user's own pandas strategy: ``optimise(train) -> (params, metric)``, ``generate(context, params) -> series of signals``.
 
-    ``optimise(train) -> (params, metric)`` and ``generate(context, params) -> series of signals``.
+    Walk-forward and streams call it on folds. In sample, a series is one call, so a
+    series of more than ``most`` bars is refused rather than gathered in one task.
+    ``params`` names the parameters, which are numbers.
     """
 
     optimise: Callable[[pd.DataFrame], tuple[dict, float]]
     generate: Callable[[pd.DataFrame, dict], np.ndarray]
     params: tuple[str, ...] = ()
     price: str = "close"
+    most: int = 2_000_000
+
+    def _bounded(self, df: DataFrame, spec: Series) -> DataFrame:
+        rows = ensure_positions(df, spec)
+        fits = F.when(F.col(ROWS) <= self.most, F.col(ROWS)).otherwise(F.raise_error(F.concat(F.lit(f"a series of more than {self.most} bars in sample: "), F.col(ROWS))))
+        return rows.withColumn(ROWS, fits.cast("long"))
+
+    def fit(self, df: DataFrame, spec: Series) -> DataFrame:
+        rows, keys = self._bounded(df, spec), list(spec.keys)
+        out = T.StructType([*_fields(rows, *keys), *[T.StructField(n, T.DoubleType()) for n in (*self.params, "metric")]])
+
+        def run(frame: pd.DataFrame) -> pd.DataFrame:
+            params, metric = self.optimise(frame.sort_values(POS, kind="stable").reset_index(drop=True))
+            return pd.DataFrame([{**{k: frame[k].iloc[0] for k in keys}, **{p: float(params[p]) for p in self.params}, "metric": float(metric)}])
+
+        return rows.groupBy(*keys).applyInPandas(run, out)
+
+    def signals(self, df: DataFrame, params: DataFrame, spec: Series) -> DataFrame:
+        rows = _attach(self._bounded(df, spec).drop(BLK, "signal"), params, spec, self.params)
+        out = T.StructType([*[f for f in rows.schema.fields if f.name not in self.params], T.StructField("signal", T.DoubleType())])
+
+        def run(frame: pd.DataFrame) -> pd.DataFrame:
+            bars = frame.sort_values(POS, kind="stable").reset_index(drop=True)
+            own = {p: bars[p].iloc[0] for p in self.params}
+            return bars.assign(signal=np.asarray(self.generate(bars, own), float))[out.names]
+
+        done = rows.groupBy(*spec.keys).applyInPandas(run, out)
+        return done.withColumn("signal", F.when(~F.isnan("signal"), F.col("signal")))
 
     def folds(self, bars: pd.DataFrame, folds: list[Fold]):
         out = []
@@ -224,6 +271,12 @@ class PandasStrategy:
             out.append((params, metric, signal[end - start :]))
         return out
 
+    def fit_bars(self, bars: pd.DataFrame) -> dict:
+        return self.optimise(bars)[0]
+
+    def signal_bars(self, bars: pd.DataFrame, params: dict) -> np.ndarray:
+        return np.asarray(self.generate(bars, params), float)
+
 
 def fit_and_signal(strategy: Strategy, df: DataFrame, spec: Series, params: DataFrame | None = None) -> DataFrame:
     """Signals from given parameters, or from parameters fitted on the same rows."""

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from barspark.operators.prices import with_derived_prices
 from barspark.series import Series, stage
+from barspark.sources import store
 
 # Column names of bars and of their time column in raw files, in order of preference.
 PRICE_COLUMNS = ("open", "high", "low", "close", "volume")
@@ -18,6 +19,7 @@ BAR_SCHEMA = T.StructType(
     [
         T.StructField("ts", T.TimestampNTZType()),
         *[T.StructField(c, T.DoubleType()) for c in (*PRICE_COLUMNS, "typical", "median", "vwap")],
+        T.StructField("arrived", T.StringType()),
         *[T.StructField(c, T.StringType()) for c in PARTITIONS],
     ]
 )
@@ -26,14 +28,11 @@ BAR_SCHEMA = T.StructType(
 def read_bars(
     spark: SparkSession, root: str, mode: str | None = None, symbol: str | None = None, tf: str | None = None
 ) -> DataFrame:
-    """Stored bars; the arguments prune partitions. Asking for a series that is absent fails."""
-    bars = spark.read.schema(BAR_SCHEMA).parquet(root)
-    for name, value in (("mode", mode), ("symbol", symbol), ("tf", tf)):
-        if value is not None:
-            bars = bars.filter(F.col(name) == value)
+    """Bars of the store's newest snapshot; the arguments prune partitions. Asking for a series that is absent fails."""
+    bars = store.read(spark, root, BAR_SCHEMA, PARTITIONS, mode=mode, symbol=symbol, tf=tf)
     if symbol is not None and bars.isEmpty():
         raise FileNotFoundError(f"no bars for {mode}/{symbol}/{tf} under {root}")
-    return bars.drop("month")
+    return bars.drop("month", "arrived")
 
 
 def utc_naive(ts: Column, zone: str = "UTC") -> Column:
@@ -144,41 +143,34 @@ def bars_from_ticks(
     )
 
 
-def write_bars(df: DataFrame, root: str) -> None:
-    """Replace exactly the (mode, tf, symbol, month) partitions present in ``df``."""
+def write_bars(df: DataFrame, root: str, base: int | None = None) -> int:
+    """Replace exactly the (mode, tf, symbol, month) partitions present in ``df``, in one commit on snapshot ``base`` (default: the newest)."""
     rows = df.withColumn("month", F.date_format("ts", "yyyy-MM"))
-    for column in ("typical", "median", "vwap"):
-        if column not in rows.columns:
-            rows = with_derived_prices(rows)
-            break
-    ordered = rows.select(*BAR_SCHEMA.names)
-    (
-        ordered.repartition(*PARTITIONS)
-        .sortWithinPartitions(*PARTITIONS, "ts")
-        .write.partitionBy(*PARTITIONS)
-        .option("partitionOverwriteMode", "dynamic")
-        .mode("overwrite")
-        .parquet(root)
-    )
+    if "arrived" not in rows.columns:
+        rows = rows.withColumn("arrived", F.lit(None).cast("string"))
+    if not {"typical", "median", "vwap"} <= set(rows.columns):
+        rows = with_derived_prices(rows)
+    base = store.newest(df.sparkSession, root) if base is None else base
+    return store.commit(rows.select(*BAR_SCHEMA.names), root, PARTITIONS, "ts", base)
 
 
-def upsert_into(root: str, batch: DataFrame, spec: Series, seq: str | None = None) -> None:
-    """Merge a batch into stored bars, rewriting only the months it touches.
+def upsert_into(root: str, batch: DataFrame, spec: Series, seq: str | None = None) -> int:
+    """Merge a batch into stored bars, rewriting only the months it touches; the new snapshot's number.
 
-    The merged months are staged before the swap, because they are read from
-    the files about to be replaced.
+    ``seq`` is a text that orders bars by arrival (see ``streaming.live.in_order``). It is kept
+    with each bar, so the bar that arrived last wins in whatever order the batches come. A
+    batch without it counts as arriving now. If another writer commits meanwhile,
+    ``store.Conflict`` is raised and nothing has changed.
     """
     spark = batch.sparkSession
-    new = batch.withColumn("month", F.date_format("ts", "yyyy-MM"))
-    if not _exists(spark, root):
-        write_bars(keep_last(new, spec, F.col(seq) if seq else F.col(spec.ts)), root)
-        return
-    stored = spark.read.schema(BAR_SCHEMA).parquet(root)
-    touched = stored.join(new.select(*PARTITIONS).distinct(), list(PARTITIONS), "left_semi")
-    merged = upsert(touched, new, spec, seq)
-    write_bars(stage(merged.select(*[c for c in BAR_SCHEMA.names if c in merged.columns and c not in ("typical", "median", "vwap")])), root)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+    now = F.lpad(F.unix_micros(F.current_timestamp()).cast("string"), 20, "0")
+    new = batch.withColumn("month", F.date_format("ts", "yyyy-MM")).withColumn("arrived", F.col(seq) if seq else now)
+    base = store.newest(spark, root)
+    names = [c for c in BAR_SCHEMA.names if c not in ("typical", "median", "vwap")]
+    new = stage(new.select(*[c for c in names if c in new.columns], F.lit(1).alias("__batch")))
+    if base:
+        stored = store.read(spark, root, BAR_SCHEMA, PARTITIONS, base)
+        touched = stored.join(new.select(*PARTITIONS).distinct(), list(PARTITIONS), "left_semi")
+        new = touched.select(*names, F.lit(0).alias("__batch")).unionByName(new, allowMissingColumns=True)
+    merged = keep_last(new, spec, F.col("arrived"), F.col("__batch")).drop("__batch")
+    return write_bars(merged, root, base)

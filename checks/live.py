@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from barspark.operators import ledger as L
 from barspark.operators.signals import ma_long_flat
 from barspark.operators.strategies import MovingAverage
-from barspark.series import _shared_folder, stage
+from barspark.series import _shared_folder, positions, stage
 from barspark.sources import events as V
 from barspark.streaming import live as S
 from checks import FOUR_HOURS, bars2, check, keep, r, rounded, sql, table
+from checks import sqltext as T
 
 # Trade events from orders: six forms by order key, one valid and five broken in a known way.
 
@@ -261,7 +262,10 @@ def t04_retrain_schedule(spark, sf):
     return S.retrain_schedule(bars2(spark, sf), FOUR_HOURS, 60, 20).select("symbol", "ts", "fit", "retrains")
 
 
-@check("t03_latest_signals", None)  # against a fit by hand in the tests
+_WALK = [T.averages("av", "p2", "symbol", 12), T.pairs(12), *T.walk("wf", "av", "symbol", 60, 20, 12)]
+
+
+@check("t03_latest_signals", sql(*_WALK, "SELECT symbol, ts, pos, close, signal::DOUBLE AS signal FROM wf_sig WHERE pos = n - 1"))
 def t03_latest_signals(spark, sf):
     return S.latest_signals(bars2(spark, sf), FOUR_HOURS, MovingAverage(max_window=12), 60, 20)
 
@@ -314,3 +318,57 @@ def t05_t10_position_stream(spark, sf):
         query = made.writeStream.format("parquet").option("path", f"{base}/fills").option("checkpointLocation", f"{base}/checkpoint")
         query.trigger(availableNow=True).start().awaitTermination()
     return keep(spark.read.parquet(f"{base}/fills"), "symbol", "ts", "action", "fill_qty", "fee", "realized_pnl", "gross_pnl")
+
+
+def _in_batches(spark, rows, batch, stream, **options):
+    """Rows landed batch by batch, each read by a run of the stream that goes on from the last one's checkpoint; what it has written."""
+    base = f"{_shared_folder(spark)}/batches-{uuid4().hex}"
+    rows = stage(rows.withColumn("batch", batch))
+    for number in sorted(r[0] for r in rows.select("batch").distinct().collect()):
+        rows.filter(F.col("batch") == number).drop("batch").write.mode("append").parquet(f"{base}/in")
+        made = stream(spark.readStream.schema(rows.drop("batch").schema).parquet(f"{base}/in"))
+        query = made.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
+        query.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
+#: Bars come in three batches, every fifth one a batch early or late by up to ten bars; they wait two days for those before them.
+_SHUFFLED = "floor((pos + if(pos % 5 = 0, 10, 0)) / 64)"
+_WAIT = 2 * 86_400
+_TURN = "ts <= (SELECT max(ts) FROM p2 m WHERE m.symbol = {0}.symbol) - INTERVAL 2 DAY"
+
+
+@check("t03_signal_stream", sql(*_WALK, f"SELECT symbol, ts, pos, close AS price, fold::BIGINT AS fold, signal::DOUBLE AS signal, false AS late FROM wf_sig WHERE pos >= 60 AND {_TURN.format('wf_sig')}"))
+def t03_signal_stream(spark, sf):
+    rows = positions(bars2(spark, sf), FOUR_HOURS).select("symbol", "ts", "close", "pos")
+    return _in_batches(spark, rows, F.expr(_SHUFFLED), lambda s: S.signal_stream(s, FOUR_HOURS, MovingAverage(max_window=12), 60, 20, _WAIT))
+
+
+@check(
+    "t05_t10_shuffled_stream",
+    sql(
+        *_LEDGER,
+        f"SELECT symbol, ts, action, {r('close', 'price')}, {r('gross', 'gross_pnl')}, {r('fees', 'fees_total')} FROM cu WHERE action IS NOT NULL AND {_TURN.format('cu')} "
+        "UNION ALL SELECT symbol, ts, 'LATE', round(close, 6) + 0.0, NULL, NULL FROM p2 WHERE pos < 10",
+    ),
+)
+def t05_t10_shuffled_stream(spark, sf):
+    """The first ten bars come again in the last batch."""
+    rows = positions(_signals(spark, sf), FOUR_HOURS).select("symbol", "ts", "close", "signal", "pos").withColumn("again", F.lit(False))
+    rows = rows.unionByName(rows.filter("pos < 10").withColumn("again", F.lit(True)))
+    batch = F.when(F.col("again"), F.lit(9)).otherwise(F.expr(_SHUFFLED))
+    made = _in_batches(spark, rows, batch, lambda s: S.position_stream(s, "symbol", "ts", "close", "signal", S.Book(_BASE, _CAP, _FEE), _WAIT))
+    return keep(made, "symbol", "ts", "action", "price", "gross_pnl", "fees_total")
+
+
+@check("t02_corrections_in_any_order", sql("SELECT symbol, ts, CASE WHEN ts < TIMESTAMP '2024-01-04' THEN close + 1 ELSE close END AS close FROM b2"))
+def t02_corrections_in_any_order(spark, sf):
+    """The corrections are merged first, the pages that they correct in a later batch."""
+    from barspark.sources.bars import read_bars, upsert_into
+
+    root = f"{_shared_folder(spark)}/corrected-{uuid4().hex}"
+    bars = bars2(spark, sf).withColumns({"mode": F.lit("spot"), "tf": F.lit("4h")})
+    late = bars.filter(F.col("ts") < F.lit("2024-01-04").cast("timestamp_ntz")).withColumn("close", F.col("close") + 1)
+    upsert_into(root, late.withColumn("page", F.lit("2/late")), _STREAM_SPEC, seq="page")
+    upsert_into(root, bars.withColumn("page", F.lit("1/first")), _STREAM_SPEC, seq="page")
+    return read_bars(spark, root).select("symbol", "ts", "close")

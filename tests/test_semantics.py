@@ -251,6 +251,14 @@ def test_pandas_strategy_plugs_in(spark):
     got = collected(walk_forward_signals(frame(spark, pdf), HOURLY, plug, 30, 10), "ts")
     assert got.signal[:30].isna().all()
     assert got.signal[45] == np.sign(pdf.close[45] - pdf.close[10:40].mean())
+    rows, metrics = E.in_sample(frame(spark, pdf), HOURLY, plug, E.Run(tf="1h"))
+    whole = np.sign(pdf.close - pdf.close.mean())[:89]
+    assert collected(rows, "ts").signal.tolist() == whole.tolist() and metrics.count() == 1
+    pfs, result = MC.in_sample_test(frame(spark, pdf), HOURLY, plug, E.Run(tf="1h"), 4)
+    assert pfs.count() == 3 and result.first().draws == 3
+    with pytest.raises(Exception, match="more than 50 bars"):
+        plug_short = replace(plug, most=50)
+        plug_short.fit(positions(frame(spark, pdf), HOURLY), HOURLY).collect()
 
 
 def test_strategies_follow_the_protocol():

@@ -1,14 +1,20 @@
 """Streams: restart, late corrections, and agreement with the batch twin."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from fixtures import HOURLY, collected, frame, random_walk
 from pyspark.sql import functions as F
 
+from barspark.operators import features as X
 from barspark.operators import ledger as L
-from barspark.operators.strategies import MovingAverage
+from barspark.operators.direction import DirectionClassifier
+from barspark.operators.forecaster import Forecaster
+from barspark.operators.networks import Training
+from barspark.operators.strategies import Donchian, MovingAverage, PandasStrategy
 from barspark.sources import bars as B
 from barspark.sources import events as V
+from barspark.sources import store
 from barspark.streaming import live as S
 
 SPEC = HOURLY.extend("mode", "tf")
@@ -86,16 +92,57 @@ def test_unfinished_bars_wait(spark, bars, shared):
     assert B.read_bars(spark, f"{shared}/store").agg(F.max("ts")).first()[0].isoformat() == "2024-01-01T23:00:00"
 
 
-def test_signal_stream_equals_batch(spark, bars, shared):
-    strategy = MovingAverage(max_window=6)
-    _land(bars, f"{shared}/in")
-    read = lambda s: B.read_bars(s, f"{shared}/store")
-    S.signal_stream(S.candle_stream(spark, f"{shared}/in"), f"{shared}/store", read, SPEC, strategy, 40, 10, f"{shared}/signals", f"{shared}/ckpt").awaitTermination()
-    streamed = collected(spark.read.parquet(f"{shared}/signals"), "symbol")
+def _runs(spark, shared, name, parts, stream):
+    """What a stream has written after one run per part of its input."""
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(f"{shared}/{name}/in")
+        made = stream(spark.readStream.schema(part.schema).parquet(f"{shared}/{name}/in"))
+        writer = made.writeStream.format("parquet").option("path", f"{shared}/{name}/out").option("checkpointLocation", f"{shared}/{name}/ckpt")
+        writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{shared}/{name}/out")
+
+
+@pytest.mark.parametrize(
+    "strategy, columns",
+    [
+        (MovingAverage(max_window=6), ()),
+        (Donchian(high=9), ()),
+        (DirectionClassifier(rsi=(5,), ema=(4, 8), vol=(6,), minimum=10), ("volume",)),
+        (Forecaster(X.FeatureSet(tf="1h", horizon_hours=2, vol_hours=6, sma=(3,), momentum=(4,), rsi=(5,), regime_window=None), Training(hidden=3, epochs=2)), ()),
+        (PandasStrategy(lambda t: ({"level": t.close.mean()}, 1.0), lambda c, p: np.sign(c.close - p["level"]), ("level",)), ()),
+    ],
+)
+def test_signal_stream_equals_batch_at_any_split(spark, bars, shared, strategy, columns):
     from barspark.operators.folds import walk_forward_signals
 
-    batch = collected(walk_forward_signals(bars, HOURLY, strategy, 40, 10).filter("pos = 119"), "symbol")
-    assert streamed.signal.tolist() == batch.signal.tolist() and len(streamed) == 2
+    bars = bars.select("symbol", "ts", "close", "volume")
+    hour = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600) - 473_352  # since the first bar
+    cuts = [hour < 17, (hour >= 17) & (hour < 75), (hour >= 75) & (hour < 76), hour >= 76]
+    run = lambda s: S.signal_stream(s, HOURLY, strategy, 40, 10, columns=columns)
+    got = collected(_runs(spark, shared, "four", [bars.filter(c) for c in cuts], run), "symbol", "ts")
+    want = collected(walk_forward_signals(bars, HOURLY, strategy, 40, 10).filter("pos >= 40"), "symbol", "ts")
+    assert got.pos.tolist() == want.pos.tolist() and got.fold.tolist() == want.fold.tolist() and not got.late.any()
+    np.testing.assert_array_equal(got.signal.to_numpy(float), want.signal.to_numpy(float))
+
+
+def test_bars_wait_their_turn_and_late_ones_are_told(spark, bars, shared):
+    signals = bars.withColumn("signal", F.signum(F.col("close") - F.col("open"))).select("symbol", "ts", "close", "signal")
+    hour = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600) - 473_352  # since the first bar
+    moved = hour + F.when(hour % 4 == 0, 6).otherwise(0)
+    wrong = signals.withColumn("close", F.lit(1e6)).filter(hour == 58)  # replaced while it waits
+    parts = [signals.filter((moved < 60) & (hour != 58)).unionByName(wrong), signals.filter((moved >= 60) | (hour == 58)), signals.filter(hour < 3)]
+    book = S.Book(2.0, 150.0, 0.001)
+    got = collected(_runs(spark, shared, "p", parts, lambda s: S.position_stream(s, "symbol", "ts", "close", "signal", book, 8 * 3600)), "symbol", "ts")
+    want = collected(L.ledger(signals, HOURLY, base_qty=2.0, max_notional=150.0, fee_rate=0.001).filter("action is not null"), "symbol", "ts")
+    turn = want[want.ts <= bars.agg(F.max("ts")).first()[0] - pd.Timedelta(hours=8)]
+    late = got[got.action == "LATE"]
+    assert len(late) == 6 and late.position_qty.isna().all() and (late.price < 1e6).all()
+    done = got[got.action != "LATE"]
+    assert done.action.tolist() == turn.action.tolist() and done.ts.tolist() == turn.ts.tolist()
+    np.testing.assert_allclose(done.gross_pnl, turn.gross_pnl)
+    queue = S.Queue(S.NEVER, S.NEVER, {})
+    assert queue.take([(5, "a"), (3, "b"), (5, "c")], 0) == ([(3, "b"), (5, "c")], [])
+    assert queue.take([(5, "d"), (9, "e"), (7, "f")], 2) == ([(7, "f")], [(5, "d")]) and queue.held == {9: (9, "e")}
 
 
 def test_position_stream_with_loss_limit_equals_ledger(spark, bars, shared):
@@ -116,10 +163,48 @@ def test_position_stream_with_loss_limit_equals_ledger(spark, bars, shared):
     np.testing.assert_allclose(got.fees_total, want.fees_total)
 
 
-def test_watermark_needs_zone(spark, bars, shared):
-    _land(bars, f"{shared}/in")
-    stream = S.with_event_time(S.candle_stream(spark, f"{shared}/in"), "ts", "2 hours")
-    assert stream.isStreaming and dict(stream.dtypes)["event_ts"] == "timestamp"
+# --- store ---
+
+
+def test_commits_are_seen_whole_or_not_at_all(spark, bars, shared):
+    keyed = bars.withColumns({"mode": F.lit("spot"), "tf": F.lit("1h")})
+    B.write_bars(keyed, shared)
+    before = B.read_bars(spark, shared)  # a reader that began before the commits
+    first = store.newest(spark, shared)
+    for factor in (2.0, 3.0):
+        B.upsert_into(shared, keyed.filter("symbol = 'A'").withColumn("close", F.lit(factor)), SPEC)
+    assert before.filter("close in (2, 3)").isEmpty() and before.count() == 240
+    after = B.read_bars(spark, shared)
+    assert after.filter("close = 3").count() == 120 and after.count() == 240
+    with pytest.raises(store.Conflict):  # another writer that began when the first did
+        B.write_bars(keyed, shared, base=first)
+    assert store.newest(spark, shared) == first + 2 and B.read_bars(spark, shared).filter("close = 3").count() == 120
+    assert not B.read_bars(spark, shared, "spot", "B", "1h").isEmpty()
+
+
+def test_old_snapshots_are_removed_with_their_files(spark, bars, shared):
+    import os
+
+    keyed = bars.withColumns({"mode": F.lit("spot"), "tf": F.lit("1h")})
+    for factor in range(1, 7):
+        B.write_bars(keyed.withColumn("close", F.lit(float(factor))), shared)
+    assert len(os.listdir(f"{shared}/data")) == len([f for f in os.listdir(f"{shared}/lists") if not f.startswith(".")]) == store.KEPT
+    assert B.read_bars(spark, shared).filter("close = 6").count() == 240
+    empty = keyed.limit(0)
+    assert B.write_bars(empty, shared) == store.newest(spark, shared) == 6
+    assert B.write_bars(empty, f"{shared}/other") == 1 and B.read_bars(spark, f"{shared}/other").count() == 0
+    with pytest.raises(FileNotFoundError):
+        B.read_bars(spark, f"{shared}/none")
+
+
+def test_the_bar_that_arrived_last_wins_in_any_batch_order(spark, bars, shared):
+    keyed = bars.limit(5).withColumns({"mode": F.lit("spot"), "tf": F.lit("1h")})
+    page = lambda close, name: keyed.withColumns({"close": F.lit(close), "page": F.lit("0" * 19 + name)})
+    for close, name in ((2.0, "2"), (1.0, "1"), (3.0, "3"), (2.5, "2/5")):
+        B.upsert_into(shared, page(close, name), SPEC, seq="page")
+    assert {r.close for r in B.read_bars(spark, shared).collect()} == {3.0}
+    B.upsert_into(shared, keyed.withColumn("close", F.lit(4.0)), SPEC)  # by hand: arrives now
+    assert {r.close for r in B.read_bars(spark, shared).collect()} == {4.0}
 
 
 # --- event log ---
