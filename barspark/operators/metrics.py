@@ -83,13 +83,13 @@ def trade_stats(trades: DataFrame, spec: Series, net: str = "net_return_simple")
     )
 
 
-def cost_stats(tf: str) -> list[Column]:
+def cost_stats(tf: str, cost: str = "cost_simple") -> list[Column]:
     per_day = max(1.0, 24.0 / ((parse_minutes(tf) or 60) / 60))
     turnover = F.sum("turnover")
     return [
         F.avg("turnover").alias("avg_turnover_per_bar"),
         (F.avg("turnover") * per_day).alias("avg_turnover_per_day"),
-        F.sum("cost_simple").alias("total_cost_simple"),
+        F.sum(cost).alias("total_cost_simple"),
         turnover.alias("total_turnover"),
         (F.when(turnover > 0, F.try_divide(F.sum("strategy_simple_r"), turnover)) * 10_000).alias(
             "breakeven_fee_bps_per_side"
@@ -97,20 +97,20 @@ def cost_stats(tf: str) -> list[Column]:
     ]
 
 
-def return_stats(tf: str) -> list[Column]:
+def return_stats(tf: str, net_log: str = "strategy_r_net", net_simple: str = "strategy_simple_r_net") -> list[Column]:
     annual = annualisation(tf)
     return [
         F.count(F.lit(1)).alias("bars"),
         profit_factor("strategy_r").alias("pf_gross"),
-        profit_factor("strategy_r_net").alias("pf_net"),
+        profit_factor(net_log).alias("pf_net"),
         sharpe("strategy_r", annual).alias("sharpe_gross"),
-        sharpe("strategy_r_net", annual).alias("sharpe_net"),
+        sharpe(net_log, annual).alias("sharpe_net"),
         (total_log("r") * 100).alias("pct_return_asset_log"),
         (total_log("strategy_r") * 100).alias("pct_return_log_gross"),
-        (total_log("strategy_r_net") * 100).alias("pct_return_log_net"),
+        (total_log(net_log) * 100).alias("pct_return_log_net"),
         (total_simple("simple_r") * 100).alias("pct_return_asset_simple"),
         (total_simple("strategy_simple_r") * 100).alias("pct_return_simple_gross"),
-        (total_simple("strategy_simple_r_net") * 100).alias("pct_return_simple_net"),
+        (total_simple(net_simple) * 100).alias("pct_return_simple_net"),
     ]
 
 

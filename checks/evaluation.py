@@ -16,6 +16,7 @@ from barspark.operators.signals import ma_long_flat
 from barspark.operators.strategies import Donchian, MovingAverage, PandasStrategy
 from barspark.operators.trades import trade_returns, trade_table
 from barspark.plans import evaluate as E
+from barspark.plans import sweep as SW
 from barspark.series import _shared_folder, positions, stage, windowed
 from checks import DAILY, FOUR_HOURS, bars1, bars2, check, keep, r, rounded, sql, table
 from checks import sqltext as T
@@ -325,8 +326,8 @@ def e03_donchian_walk_forward(spark, sf):
 
 
 def _fee_sweep(spark, sf):
-    grid = spark.createDataFrame([(f, s) for f in (2.0, 10.0, 25.0) for s in (0.0, 5.0)], "fee_bps double, slippage_bps double")
-    return E.sweep(bars2(spark, sf), FOUR_HOURS, MovingAverage(max_window=12), E.Run(tf="4h"), grid)
+    points = SW.grid(fee_bps=[2.0, 10.0, 25.0], slippage_bps=[0.0, 5.0])
+    return SW.sweep(bars2(spark, sf), FOUR_HOURS, MovingAverage(max_window=12), E.Run(tf="4h"), points)
 
 
 _SW = [T.averages("av", "p2", "symbol", 12), T.pairs(12), T.ma_scores("sc", "av", "symbol"), T.best("bp", "sc", "symbol", "fast, slow"), T.ma_signal("sg", "av", "symbol", "bp")]
@@ -340,7 +341,7 @@ def e09_fee_sweep(spark, sf):
 
 @check("e09_sweep_matrix", sql(*_FEES, "m AS (SELECT symbol, fee_bps, slippage_bps, " + T.pf_of("net_log") + " AS pf FROM e1 GROUP BY ALL)", f"""SELECT symbol, slippage_bps::DOUBLE AS slippage_bps, {r('max(pf) FILTER (fee_bps = 2)', 'fee_bps_2_0')}, {r('max(pf) FILTER (fee_bps = 10)', 'fee_bps_10_0')}, {r('max(pf) FILTER (fee_bps = 25)', 'fee_bps_25_0')} FROM m GROUP BY ALL"""))
 def e09_sweep_matrix(spark, sf):
-    return rounded(E.sweep_matrix(_fee_sweep(spark, sf), ["symbol"], "fee_bps", "slippage_bps", "pf_net", [2.0, 10.0, 25.0]))
+    return rounded(SW.sweep_matrix(_fee_sweep(spark, sf), ["symbol"], "fee_bps", "slippage_bps", "pf_net", [2.0, 10.0, 25.0]))
 
 
 @check(
@@ -354,9 +355,68 @@ def e09_sweep_matrix(spark, sf):
     ),
 )
 def e09_parameter_sweep(spark, sf):
-    grid = spark.createDataFrame([(f, s) for f in (2, 3) for s in (8, 12)], "fast long, slow long")
-    out = E.sweep(bars2(spark, sf), FOUR_HOURS, MovingAverage(max_window=12), E.Run(tf="4h"), grid)
-    return keep(out, "symbol", "fast", "slow", "pf_net", "total_turnover")
+    out = SW.sweep(bars2(spark, sf), FOUR_HOURS, MovingAverage(max_window=12), E.Run(tf="4h"), SW.grid(fast=[2, 3], slow=[8, 12]))
+    return keep(out.withColumns({c: F.col(c).cast("long") for c in ("fast", "slow")}), "symbol", "fast", "slow", "pf_net", "total_turnover")
+
+
+_WEIGHT = "coalesce(signal, 0)::DOUBLE"
+_SIZED = [*_SW, T.returns("r1", "sg", "symbol", weight=f"{_WEIGHT} * 0.2"), T.returns("r2", "sg", "symbol", weight=f"{_WEIGHT} * 0.4"), T.returns("r3", "sg", "symbol", "0.0025", weight=f"{_WEIGHT} * 0.2"), T.returns("r4", "sg", "symbol", "0.0025", weight=f"{_WEIGHT} * 0.4")]
+_OF = f"{r(T.pf_of('net_log'), 'pf_net')}, {r('sum(net_log) * 100', 'pct_return_log_net')}, {r('sum(turnover)', 'total_turnover')}"
+
+
+@check(
+    "e09_sizing_sweep",
+    sql(*_SIZED, " UNION ALL ".join(f"SELECT symbol, {risk}::DOUBLE AS sizing_params_risk_per_trade_frac, {fee}::DOUBLE AS fee_bps, {_OF} FROM {src} GROUP BY symbol" for src, risk, fee in (("r1", 0.01, 10), ("r2", 0.02, 10), ("r3", 0.01, 25), ("r4", 0.02, 25)))),
+)
+def e09_sizing_sweep(spark, sf):
+    run = E.Run(tf="4h", sizing="risk_stop", sizing_params={"stop_loss_pct": 0.05})
+    points = SW.grid(sizing_params__risk_per_trade_frac=[0.01, 0.02], fee_bps=[10.0, 25.0])
+    out = SW.sweep(bars2(spark, sf), FOUR_HOURS, MovingAverage(max_window=12), run, points)
+    return keep(out, "symbol", "sizing_params_risk_per_trade_frac", "fee_bps", "pf_net", "pct_return_log_net", "total_turnover")
+
+
+def _priced(tag: str, price: str, top: int) -> list[str]:
+    at = f"x{tag}"
+    return [
+        f"{at} AS (SELECT *, {price} AS px FROM p2)", T.averages(f"a{tag}", at, "symbol", top, "px"), f"pairs{tag} AS (SELECT f, s FROM range(1, {top + 1}) x(f), range(1, {top + 1}) y(s) WHERE s > f)",
+        T.ma_scores(f"s{tag}", f"a{tag}", "symbol").replace("pairs GROUP", f"pairs{tag} GROUP"), T.best(f"b{tag}", f"s{tag}", "symbol", "fast, slow"),
+        T.ma_signal(f"g{tag}", f"a{tag}", "symbol", f"b{tag}"), T.returns(f"e{tag}", f"g{tag}", "symbol", price="px"),
+    ]
+
+
+_PRICES = {"close": "close", "median": "(high + low) / 2", "typical": "(high + low + close) / 3"}
+
+
+@check(
+    "e09_price_and_strategy_sweep",
+    sql(
+        *[c for p, e in _PRICES.items() for top in (6, 12) for c in _priced(f"_{p}{top}", e, top)],
+        " UNION ALL ".join(f"SELECT symbol, '{p}' AS price, {top} AS strategy_max_window, {_OF} FROM e_{p}{top} GROUP BY symbol" for p in _PRICES for top in (6, 12)),
+    ),
+)
+def e09_price_and_strategy_sweep(spark, sf):
+    points = SW.grid(price=list(_PRICES), strategy__max_window=[6, 12])
+    out = SW.sweep(bars2(spark, sf), FOUR_HOURS, MovingAverage(), E.Run(tf="4h"), points)
+    return keep(out, "symbol", "price", "strategy_max_window", "pf_net", "pct_return_log_net", "total_turnover")
+
+
+@check(
+    "e09_time_frame_sweep",
+    sql(
+        *[c for t, src in (("4h", "p2"), ("1d", "q2")) for c in [
+            *([] if t == "4h" else ["q1 AS (SELECT symbol, time_bucket(INTERVAL '1 day', ts) AS ts, max_by(close, ts) AS close FROM b2 GROUP BY ALL)", "q2 AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS pos, count(*) OVER (PARTITION BY symbol) AS n FROM q1)"]),
+            T.averages(f"a{t}", src, "symbol", 5), *([T.pairs(5)] if t == "4h" else []), T.ma_scores(f"s{t}", f"a{t}", "symbol"), T.best(f"b{t}", f"s{t}", "symbol", "fast, slow"), T.ma_signal(f"g{t}", f"a{t}", "symbol", f"b{t}"),
+            T.returns(f"e{t}", f"g{t}", "symbol"),
+        ]],
+        " UNION ALL ".join(f"SELECT symbol, '{t}' AS tf, {_OF}, {r(f'avg(net_log) / stddev_samp(net_log) * sqrt({f})', 'sharpe_net')} FROM e{t} GROUP BY symbol" for t, f in (("4h", 365 * 6), ("1d", 365))),
+    ),
+)
+def e09_time_frame_sweep(spark, sf):
+    fine = bars2(spark, sf)
+    days = fine.groupBy("symbol", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts")).agg(F.max_by("close", "ts").alias("close"))
+    sources = {"4h": (fine, FOUR_HOURS), "1d": (days, DAILY)}
+    out = SW.sweep(sources, FOUR_HOURS, MovingAverage(max_window=5), E.Run(tf="4h"), SW.grid(tf=["4h", "1d"]))
+    return keep(out, "symbol", "tf", "pf_net", "pct_return_log_net", "total_turnover", "sharpe_net")
 
 
 @check(
@@ -369,8 +429,8 @@ def e09_parameter_sweep(spark, sf):
 )
 def s13_sweep_csv(spark, sf):
     table_ = stage(_fee_sweep(spark, sf))
-    one = E.sweep_rows(table_.filter("slippage_bps = 0").drop("slippage_bps"), "fee_bps", ["pf_net"])
-    two = E.sweep_rows(table_, "fee_bps", ["pf_net"], y="slippage_bps")
+    one = SW.sweep_rows(table_.filter("slippage_bps = 0").drop("slippage_bps"), "fee_bps", ["pf_net"])
+    two = SW.sweep_rows(table_, "fee_bps", ["pf_net"], y="slippage_bps")
     path = f"{_shared_folder(spark)}/sweep-{uuid4().hex}"
     one.unionByName(two, allowMissingColumns=True).write.option("header", True).csv(path)
     back = spark.read.option("header", True).schema("symbol string, x_param string, x_value double, pf_net double, y_param string, y_value double").csv(path)
