@@ -83,12 +83,13 @@ def features(df: DataFrame, spec: Series, f: FeatureSet) -> DataFrame:
     second |= {f"rsi_{n}": W.rsi_centred("__move", n) for n in f.rsi}
     third = {f"sma_{n}": plain(clip(zero(F.try_divide(p, F.col(f"__sma_{n}")) - 1), -1, 1)) for n in f.sma}
     third |= {f"mom_{n}": plain(clip(zero(F.col(f"__mom_{n}")), -1, 1)) for n in f.momentum}
-    layers = [first, second, third]
     if f.regime_window:
         second["__rv"] = W.rolling_std("return", f.regime_window)
-        third["__rv_median"] = W.rolling_median("__rv", 2 * f.regime_window)
-        layers.append({"vol_regime": plain(F.coalesce(F.col("__rv") > F.col("__rv_median"), F.lit(False)).cast("double"))})
-    out = stage(windowed(df, spec, *layers))
+    out = windowed(df, spec, first, second, third)
+    if f.regime_window:
+        out = W.with_rolling_median(out, spec, "__rv", 2 * f.regime_window, "__rv_median")
+        out = out.withColumn("vol_regime", F.coalesce(F.col("__rv") > F.col("__rv_median"), F.lit(False)).cast("double"))
+    out = stage(out)
     out = running(out, spec, {n: Running("last", finite_or(n)) for n in f.names})
     helpers = [c for c in out.columns if c.startswith("__") and c not in df.columns]
     return out.withColumns({n: zero(F.col(n)) for n in f.names}).drop(*helpers)
@@ -96,9 +97,8 @@ def features(df: DataFrame, spec: Series, f: FeatureSet) -> DataFrame:
 
 def volatility_regime(df: DataFrame, spec: Series, ret: str, window: int, name: str = "vol_regime") -> DataFrame:
     """1 where the rolling std is above its own rolling median over twice the window."""
-    out = windowed(
-        df, spec, {"__rv": W.rolling_std(ret, window)}, {"__med": W.rolling_median("__rv", 2 * window)}
-    )
+    out = windowed(df, spec, {"__rv": W.rolling_std(ret, window)})
+    out = W.with_rolling_median(out, spec, "__rv", 2 * window, "__med")
     return out.withColumn(name, F.coalesce(F.col("__rv") > F.col("__med"), F.lit(False)).cast("double")).drop("__rv", "__med")
 
 

@@ -6,7 +6,10 @@ frame by default.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections import deque
 from collections.abc import Callable
+from uuid import uuid4
 
 import numpy as np
 import pandas as pd
@@ -14,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barspark.series import BLK, POS, Rolling, Running, Series, plain, running, windowed, with_blocks
+from barspark.series import BLK, POS, Rolling, Running, Series, append_scan, plain, running, windowed, with_blocks
 
 
 def _col(x: Column | str) -> Column:
@@ -101,17 +104,80 @@ def rolling_mean_abs(x, n, floor: float | None = None) -> Rolling:
     return Rolling(build, back=inner.back)
 
 
-def rolling_median(x, n, min_periods=None) -> Rolling:
-    return _frame(x, n, lambda c: F.percentile(c, F.lit(0.5)), min_periods)
+def with_rolling_median(df: DataFrame, spec: Series, x: str, n: int, name: str) -> DataFrame:
+    """Add the median of the last ``n`` values of column ``x``, null until all are there.
+
+    A frame of Spark would sort ``n`` values for every row. Here the values of the frame
+    stay in order while it slides: one goes out and one comes in, so the cost hardly
+    depends on ``n``. Blocks are padded with the ``n - 1`` rows that their frames reach.
+    """
+    return append_scan(df, spec, x, lambda: SlidingMedian(n), name, back=n - 1)
+
+
+class SlidingMedian:
+    """Median of each full window of ``n`` values that ends at a place; missing where one of them is."""
+
+    def __init__(self, n: int) -> None:
+        self.n, self.low, self.high = n, (n - 1) // 2, n // 2
+        self.recent: deque[float] = deque()
+        self.held: list[float] = []
+
+    def __call__(self, values: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        out, recent, held, n = np.full(len(values), np.nan), self.recent, self.held, self.n
+        for i, (value, first) in enumerate(zip(values.tolist(), begins.tolist())):
+            if first:
+                recent.clear()
+                held.clear()
+            if len(recent) == n:
+                gone = recent.popleft()
+                if gone == gone:
+                    del held[bisect_left(held, gone)]
+            recent.append(value)
+            if value == value:
+                insort(held, value)
+            if len(held) == n:
+                out[i] = (held[self.low] + held[self.high]) / 2
+        return out
+
+
+#: Frames of up to so many rows are scanned for each row; wider ones are put together from halves.
+SCANNED = 32
+
+
+def _extreme(x, n: int, agg: Callable[[Column], Column], of_two: Callable[..., Column], end: int) -> Rolling:
+    """Largest or smallest of a full frame of ``n`` rows in about log2(n) steps a row.
+
+    The extreme of 2w rows is that of w rows and of the w rows before them, and any frame
+    is two overlapping ones of a power of two; the count of values comes from a running
+    count. So the cost is nearly flat in ``n``, where Spark's own frames grow with it.
+    """
+    if n <= SCANNED:
+        return _frame(x, n, agg, end=end)
+    tag = f"__{'high' if of_two is F.greatest else 'low'}_{uuid4().hex[:8]}_"
+    column = _col(x)
+    steps = n.bit_length() - 1
+    count = Rolling(lambda w: F.count(column).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    before = [{f"{tag}0": plain(column), f"{tag}n": count}]
+    for k in range(steps):
+        below = f"{tag}{k}"
+        before.append({f"{tag}{k + 1}": Rolling(lambda w, c=below, far=1 << k: of_two(F.col(c), F.lag(c, far).over(w)))})
+    widest, rest = f"{tag}{steps}", n - (1 << steps)
+
+    def build(w: WindowSpec) -> Column:
+        at = lambda c, far: F.lag(c, far).over(w) if far else F.col(c)
+        seen = at(f"{tag}n", -end) - F.coalesce(F.lag(f"{tag}n", n - end).over(w), F.lit(0))
+        return F.when(seen >= n, of_two(at(widest, -end), at(widest, rest - end)))
+
+    return Rolling(build, back=n - end, before=tuple(before))
 
 
 def prior_max(x, lookback) -> Rolling:
     """Highest value of the ``lookback - 1`` bars before the current one."""
-    return _frame(x, lookback - 1, F.max, end=-1)
+    return _extreme(x, lookback - 1, F.max, F.greatest, end=-1)
 
 
 def prior_min(x, lookback) -> Rolling:
-    return _frame(x, lookback - 1, F.min, end=-1)
+    return _extreme(x, lookback - 1, F.min, F.least, end=-1)
 
 
 def rolling_vwap(n: int, high="high", low="low", close="close", volume="volume") -> Rolling:

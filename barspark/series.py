@@ -19,10 +19,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,11 +64,16 @@ class Series:
 
 @dataclass(frozen=True)
 class Rolling:
-    """A column over a bounded frame reaching ``back`` rows behind and ``ahead`` rows beyond."""
+    """A column over a bounded frame reaching ``back`` rows behind and ``ahead`` rows beyond.
+
+    ``before`` are layers of helper columns that the frame is built from; they count in
+    the reach and are dropped after use.
+    """
 
     build: Callable[[WindowSpec], Column]
     back: int = 0
     ahead: int = 0
+    before: tuple[dict[str, Rolling], ...] = ()
 
 
 def plain(column: Column) -> Rolling:
@@ -124,7 +131,12 @@ def windowed(df: DataFrame, spec: Series, *layers: dict[str, Rolling]) -> DataFr
     ahead = sum(max((r.ahead for r in layer.values()), default=0) for layer in layers)
     out = blocks(ensure_positions(df, spec).drop(BLK), spec, back, ahead)
     for layer in layers:
-        out = out.withColumns({name: r.build(spec.window) for name, r in layer.items()})
+        helpers: list[str] = []
+        for depth in range(max((len(r.before) for r in layer.values()), default=0)):
+            made = {n: b for r in layer.values() for n, b in (r.before[depth].items() if depth < len(r.before) else ())}
+            out = out.withColumns({n: b.build(spec.window) for n, b in made.items()})
+            helpers += made
+        out = out.withColumns({name: r.build(spec.window) for name, r in layer.items()}).drop(*helpers)
     return out.filter(_CORE).drop(_CORE)
 
 
@@ -252,6 +264,32 @@ def map_blocks(
     return padded.groupBy(*spec.by(BLK)).applyInPandas(run, schema)
 
 
+def append_scan(
+    df: DataFrame, spec: Series, x: str, make: Callable[[], Callable[[np.ndarray, np.ndarray], np.ndarray]], name: str, back: int = 0
+) -> DataFrame:
+    """Add a column that a scan over ``x`` gives, in padded blocks reaching ``back`` rows behind.
+
+    ``make`` gives a scan with a memory of its own: called with values in series order and
+    with a mask of those that begin a block, it returns a value for each. Blocks follow
+    one another in a task, however short they are. The other columns pass as Arrow
+    buffers; nothing of them is turned into Python values.
+    """
+    padded = blocks(ensure_positions(df, spec).drop(BLK, name), spec, back)
+    begins = F.col(POS) == F.greatest(F.lit(0), F.col(BLK) * spec.block - back)
+    rows = padded.withColumn("__begins", begins).repartition(*spec.by(BLK)).sortWithinPartitions(*spec.by(BLK, POS))
+    schema = T.StructType([*[f for f in padded.schema.fields if f.name != _CORE], T.StructField(name, T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan = make()
+        for batch in batches:
+            values = batch.column(x).cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
+            out = scan(values, batch.column("__begins").to_numpy(zero_copy_only=False))
+            done = batch.append_column(name, pa.array(out, mask=np.isnan(out)))
+            yield done.filter(batch.column(_CORE)).select(schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Cut lineage: write ``df`` once as a table in the shared folder and read it back.
 

@@ -122,7 +122,7 @@ def w12_prior_range(spark, sf):
 
 @check("w13_rolling_median", sql(f"SELECT symbol, ts, {r(_full('quantile_cont(close, 0.5)', 21) + ' / close', 'median_ratio')} FROM b1"))
 def w13_rolling_median(spark, sf):
-    out = windowed(bars1(spark, sf), DAILY, {"m": W.rolling_median("close", 21)})
+    out = W.with_rolling_median(bars1(spark, sf), DAILY, "close", 21, "m")
     return rounded(out.select("symbol", "ts", (F.col("m") / F.col("close")).alias("median_ratio")))
 
 

@@ -55,10 +55,10 @@ def test_blocked_windows_equal_whole_series(spark, pdf):
     layers = [
         {"sma": W.sma("close", 50), "lead": W.lead("close", 90), "r": W.forward_log_return("close"), "d": W.diff("close")},
         {"std": W.rolling_std("r", 80), "rsi": W.rsi("d", 14), "top": W.prior_max("close", 60)},
-        {"med": W.rolling_median("std", 45)},
     ]
-    names = [n for layer in layers for n in layer]
-    _same(windowed(bars, SMALL, *layers), windowed(bars, HOURLY, *layers), names)
+    names = ["med", *[n for layer in layers for n in layer]]
+    small, whole = (W.with_rolling_median(windowed(bars, s, *layers), s, "std", 45, "med") for s in (SMALL, HOURLY))
+    _same(small, whole, names)
 
 
 def test_blocked_scans_equal_pandas(spark, pdf):
@@ -173,6 +173,21 @@ def test_exact_quantiles_on_ties_and_skew(spark):
         np.testing.assert_allclose(got[k], np.quantile(part.x, qs), rtol=1e-12, atol=1e-12)
 
 
+@pytest.mark.parametrize("n", [2, 3, 33, 47, 64, 100, 129])
+def test_wide_extremes_and_medians_equal_the_frame(spark, pdf, n):
+    holes = pdf.copy()
+    holes.loc[holes.index % 37 == 5, "close"] = np.nan
+    for source, spec in ((pdf, replace(HOURLY, block=16)), (holes, replace(HOURLY, block=50))):
+        bars = frame(spark, source).withColumn("close", F.when(~F.isnan("close"), F.col("close")))
+        out = windowed(bars, spec, {"high_": W.prior_max("close", n), "low_": W.prior_min("close", n)})
+        got = collected(W.with_rolling_median(out, spec, "close", n, "mid"), "symbol", "ts")
+        assert not [c for c in got.columns if c.startswith("__")]
+        for _, part in got.groupby("symbol"):
+            x = part.close.astype(float)
+            for name, want in (("high_", x.rolling(n - 1).max().shift(1)), ("low_", x.rolling(n - 1).min().shift(1)), ("mid", x.rolling(n).median())):
+                np.testing.assert_allclose(part[name].astype(float), want, err_msg=name)
+
+
 @pytest.mark.parametrize("ranked", [1, 7, 300])
 def test_quantiles_in_levels(spark, monkeypatch, ranked):
     """Intervals of more than ``RANKED`` rows are cut again, whatever the values' distribution; no rank is put in order among more."""
