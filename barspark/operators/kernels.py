@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Factors that differ by this share are equal: sums of equal terms may differ in their last digits.
+TIE = 1e-12
+
 
 def ma_pairs(max_window: int, min_window: int = 1) -> list[tuple[int, int]]:
     """All fast < slow pairs in search order: fast first, then slow."""
@@ -144,7 +147,8 @@ def ma_fold_fits(price: np.ndarray, folds: list[tuple[int, int, int]], max_windo
         loss[:, :j, j] = d[ends] - d[begin]
     pick = np.triu_indices(size, 1)
     scores = ratio(gain[:, pick[0], pick[1]], loss[:, pick[0], pick[1]], 0.0)
-    top = scores.argmax(axis=1) if scores.size else np.zeros(len(folds), int)
+    near = scores >= scores.max(axis=1, keepdims=True, initial=-np.inf) * (1 - TIE)
+    top = near.argmax(axis=1) if scores.size else np.zeros(len(folds), int)
     for k in range(len(folds)):
         if scores.size and scores[k, top[k]] > 0:
             best[k] = scores[k, top[k]]
@@ -186,7 +190,7 @@ def donchian_fold_fits(
         begin = np.where(nxt < len(hits), hits[np.minimum(nxt, len(hits) - 1)] if len(hits) else n, n)
         begin = np.minimum(begin, ends)
         score = ratio(g[ends] - g[begin], d[ends] - d[begin], lossless)
-        better = score > best
+        better = score > best * (1 + TIE)
         best[better], chosen[better] = score[better], m + 1
     return chosen, best
 

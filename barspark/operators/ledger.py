@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barspark.series import POS, Rolling, Running, Series, running, stage, windowed
+from barspark.series import POS, Rolling, Running, Series, positions_in_order, running, stage, windowed
 
 
 def positions_from_signals(df: DataFrame, spec: Series, signal: str = "signal") -> DataFrame:
@@ -157,8 +157,9 @@ def account_snapshots(book: DataFrame, spec: Series, price: str, bars_per_day: i
 def event_kpis(trades: DataFrame, marks: DataFrame, start_equity: float = 10_000.0) -> DataFrame:
     """Key figures per symbol from filled trade events, in event order, marked at the last close.
 
-    The order of a symbol's fills is (timestamp, event_id). Equity moves by
-    realised PnL less fees per event, then once by the open position's mark.
+    The order of a symbol's fills is (timestamp, event_id) as text, so an unreadable
+    time keeps its place and any number of fills may share one. Equity moves by realised
+    PnL less fees per event, then once by the open position's mark.
     """
     filled = trades.filter(F.col("order.status") == "FILLED")
     paid = F.aggregate("execution.fills", F.lit(0.0), lambda a, f: a + F.coalesce(f["fee_amount"], F.lit(0.0)))
@@ -176,11 +177,11 @@ def event_kpis(trades: DataFrame, marks: DataFrame, start_equity: float = 10_000
                 F.col("pnl.position_qty_after").alias("qty"),
             ),
         ).alias("opened"),
-    ).withColumn("ts", F.try_to_timestamp(F.col("timestamp")).cast("timestamp_ntz"))
-    spec = Series(keys=("symbol",), ts="ts", step=1, ties=("timestamp", "event_id"))
-    ordered = rows.withColumn("ts", F.coalesce("ts", F.lit("1970-01-01").cast("timestamp_ntz")))
+    )
+    spec = Series(keys=("symbol",), ts="timestamp", ties=("event_id",))
+    ordered = stage(positions_in_order(rows, spec, "timestamp", "event_id"))
     net = F.coalesce("realized", F.lit(0.0)) - F.col("fee")
-    curve = stage(running(stage(ordered), spec, {"__cum": Running("sum", net)}))
+    curve = stage(running(ordered, spec, {"__cum": Running("sum", net)}))
     curve = stage(running(curve, spec, {"__top": Running("max", F.col("__cum"))}))
     won, lost = F.col("realized") > 0, F.col("realized") < 0
     sum_win, sum_loss = F.sum(F.when(won, F.col("realized"))), F.sum(F.when(lost, F.col("realized")))

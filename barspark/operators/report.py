@@ -93,14 +93,3 @@ def report(
 def params_map(params: dict) -> Column:
     pairs = [F.lit(str(x)) for kv in params.items() for x in kv]
     return F.create_map(*pairs).cast("map<string,string>")
-
-
-def permutation_report(pfs: DataFrame, result: DataFrame, spec: Series, params: dict, run_type: str) -> DataFrame:
-    """Permutation test as one nested row per series: metrics and the shuffled factors in seed order."""
-    packed = pfs.groupBy(*spec.keys).agg(F.array_sort(F.collect_list(F.struct("seed", "pf"))).alias("__p"))
-    series = F.struct(F.transform("__p", lambda s: json_safe(s["pf"])).alias("permutation_pfs_net"))
-    metrics = F.struct(*[json_safe(c).alias(c) for c in ("real_pf", "p_value")])
-    joined = packed.join(result, list(spec.keys))
-    return joined.select(
-        *spec.keys, F.lit(run_type).alias("run_type"), params_map(params).alias("params"), metrics.alias("metrics"), series.alias("series")
-    )

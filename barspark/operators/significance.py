@@ -37,18 +37,23 @@ def significant(p: Column, level: float = 0.05) -> Column:
 
 
 def histogram(df: DataFrame, keys: list[str], x: str, bins: int | Column) -> DataFrame:
-    """Equal-width bin counts between the smallest and largest finite value; empty bins are absent."""
-    finite = df.filter(F.abs(x) < float("inf"))
-    edges = finite.groupBy(*keys).agg(F.min(x).alias("__lo"), F.max(x).alias("__hi"), F.count(F.lit(1)).alias("__n"))
+    """Equal-width bin counts between the smallest and largest finite value; empty bins are absent.
+
+    Infinite values have bins of their own, -1 below and the number of bins above, so the
+    counts add up to the rows (missing values aside).
+    """
+    finite, limit = F.abs(x) < float("inf"), float("inf")
+    there = df.dropna(subset=[x])
+    edges = there.groupBy(*keys).agg(
+        F.min(F.when(finite, F.col(x))).alias("__lo"), F.max(F.when(finite, F.col(x))).alias("__hi"), F.count(F.lit(1)).alias("__n")
+    )
     n_bins = F.lit(bins).cast("int") if isinstance(bins, int) else bins.cast("int")
-    counted = finite.groupBy(*keys, x).agg(F.count(F.lit(1)).alias("__c"))
+    counted = there.groupBy(*keys, x).agg(F.count(F.lit(1)).alias("__c"))
     joined = spread_join(counted, edges, keys)
     where = F.floor((F.col(x) - F.col("__lo")) / F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0)) * n_bins)
-    return (
-        joined.withColumn("bin", F.least(F.coalesce(where, F.lit(0)), n_bins - 1).cast("int"))
-        .groupBy(*keys, "bin")
-        .agg(F.sum("__c").alias("n"))
-    )
+    inner = F.least(F.coalesce(where, F.lit(0)), n_bins - 1)
+    bin_of = F.when(F.col(x) == limit, n_bins).when(F.col(x) == -limit, F.lit(-1)).otherwise(inner)
+    return joined.withColumn("bin", bin_of.cast("int")).groupBy(*keys, "bin").agg(F.sum("__c").alias("n"))
 
 
 def pf_bins(n: Column) -> Column:

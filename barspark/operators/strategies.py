@@ -48,13 +48,15 @@ def _prices(df: DataFrame, spec: Series, price: str) -> DataFrame:
 
 
 def best_params(scores: DataFrame, spec: Series, params: tuple[str, ...], pf: str = "pf", valid: Column | None = None) -> DataFrame:
-    """Highest score above 0; among equals the first in search order, i.e. the smallest parameters."""
+    """Highest score above 0; among equals the first in search order, i.e. the smallest parameters.
+
+    A key has as many rows as the grid has points.
+    """
     ok = F.col(pf) > 0
     ok = ok if valid is None else ok & valid
-    rank = F.when(ok, F.struct(F.col(pf), *[-F.col(p) for p in params]))
-    best = scores.groupBy(*spec.keys).agg(
-        F.max_by(F.struct(*params, F.col(pf).alias("metric")), rank).alias("__best")
-    )
+    top = F.max(F.when(ok, F.col(pf))).over(Window.partitionBy(*spec.keys))
+    equal = F.when(ok & (F.col(pf) >= F.col("__top") * (1 - kernels.TIE)), F.struct(*params))
+    best = scores.withColumn("__top", top).groupBy(*spec.keys).agg(F.min_by(F.struct(*params, F.col(pf).alias("metric")), equal).alias("__best"))
     return best.select(*spec.keys, "__best.*")
 
 

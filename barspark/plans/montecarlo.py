@@ -8,9 +8,11 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barspark.functions.scalars import json_safe
 from barspark.operators import metrics as M
 from barspark.operators.permute import permutation_start, permuted_bars
 from barspark.operators.prices import with_price
+from barspark.operators.report import report_runs
 from barspark.operators.significance import p_value
 from barspark.operators.strategies import Strategy
 from barspark.plans.evaluate import Run, date_slice, in_sample_returns, walk_forward_returns
@@ -49,9 +51,12 @@ def in_sample_test(
     metric: str = "net_pf",
     stored_price: bool = False,
     seeds: list[int] | None = None,
+    histories: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(shuffled factors per seed, test result). Draws ``n_perm - 1`` shuffles, seeds 1 .. n_perm-1.
 
+    ``histories`` may pass the table of ``shuffled_histories``, so that several strategies share one.
+
     The full history is shuffled and then cut to the dates; ``slice_first``
     cuts first. ``metric`` ``opt_pf`` compares the factor the fit reached
     (gross, no costs) instead of the net factor. Derived prices are derived
@@ -59,8 +64,6 @@ def in_sample_test(
     """
     seeds = list(range(1, n_perm)) if seeds is None else seeds
     keyed = spec.extend("seed")
-    source = stage(positions(date_slice(bars, spec, run.start, run.end) if slice_first else bars, spec))
-    shuffled = permuted_bars(source, spec, seeds, perm_start)
 
     def score(table: DataFrame, by: Series) -> DataFrame:
         if metric == "opt_pf":
@@ -68,13 +71,21 @@ def in_sample_test(
         return _score(in_sample_returns(table, by, strategy, run), by, "pf")
 
     if stored_price and strategy.price in bars.columns:
+        source = stage(positions(date_slice(bars, spec, run.start, run.end) if slice_first else bars, spec))
         real = score(bars, spec).withColumnRenamed("pf", "real_pf")
-        pfs = stage(score(stage(shuffled), keyed))
+        pfs = stage(score(stage(permuted_bars(source, spec, seeds, perm_start)), keyed))
     else:
-        pfs, real = _split(stage(score(stage(_with_real(shuffled, source, spec)), keyed)), spec)
+        histories = shuffled_histories(bars, spec, run, seeds, perm_start, slice_first) if histories is None else histories
+        pfs, real = _split(stage(score(histories, keyed)), spec)
     return pfs, p_value(pfs, real, spec, "in_sample")
 
 
+def shuffled_histories(bars: DataFrame, spec: Series, run: Run, seeds: list[int], perm_start: int = 0, slice_first: bool = False) -> DataFrame:
+    """The shuffles and, as seed ``REAL``, the real history, staged."""
+    source = stage(positions(date_slice(bars, spec, run.start, run.end) if slice_first else bars, spec))
+    return stage(_with_real(permuted_bars(source, spec, seeds, perm_start), source, spec))
+
+
 def _fit_metric(bars: DataFrame, spec: Series, strategy: Strategy, run: Run) -> DataFrame:
     rows = ensure_positions(date_slice(bars, spec, run.start, run.end), spec)
     fitted = strategy.fit(with_price(rows, spec, strategy.price), spec)
@@ -131,8 +142,9 @@ def compare_strategies(
 ) -> DataFrame:
     """Fit factor, p-value and significance of several strategies on the same shuffles."""
     parts = []
+    histories = shuffled_histories(bars, spec, run, list(range(1, n_perm)), slice_first=True)
     for name, strategy in strategies.items():
-        _, result = in_sample_test(bars, spec, strategy, run, n_perm, metric="opt_pf", slice_first=True)
+        _, result = in_sample_test(bars, spec, strategy, run, n_perm, metric="opt_pf", slice_first=True, histories=histories)
         parts.append(result.withColumn("strategy", F.lit(name)))
     return reduce(DataFrame.unionByName, parts)
 
@@ -146,3 +158,15 @@ def full_analysis(
         rows = stage(in_sample_returns(bars, spec, strategy, run))
         tables.append(M.compare_market(rows, spec).withColumn("strategy", F.lit(name)))
     return reduce(DataFrame.unionByName, tables), compare_strategies(bars, spec, strategies, run, n_perm)
+
+
+def test_report(pfs: DataFrame, result: DataFrame, rows: DataFrame, spec: Series, params: dict, run_type: str) -> tuple[DataFrame, DataFrame]:
+    """Report of a permutation test as two tables: one row per run with its metrics, one row per run and shuffle.
+
+    ``pfs`` and ``result`` come from a test, ``rows`` is the returns block of the real history.
+    """
+    keys = list(spec.keys)
+    gross = rows.groupBy(*keys).agg(M.profit_factor("strategy_r").alias("pf_gross"))
+    metrics = result.join(gross, keys).select(*keys, "pf_gross", F.col("real_pf").alias("pf_net"), F.col("p_value").alias("p_value_net"))
+    shuffles = pfs.select(*keys, F.lit(run_type).alias("run_type"), "seed", json_safe("pf").alias("permutation_pf_net"))
+    return report_runs(metrics, spec, params, run_type), shuffles

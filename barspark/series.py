@@ -105,6 +105,27 @@ def positions(df: DataFrame, spec: Series) -> DataFrame:
     )
 
 
+def positions_in_order(df: DataFrame, spec: Series, *order: str) -> DataFrame:
+    """``pos`` and ``n_rows`` by the columns of ``order``, however many rows share a time.
+
+    Rows are range-partitioned by keys and order, so ties of any number spread over tasks
+    as long as the order tells rows apart; each range is numbered apart and shifted by
+    the counts before it. Rows that are equal in keys and order stand in any order. The
+    rows are staged.
+    """
+    by = [*spec.keys, *order]
+    at = F.monotonically_increasing_id()
+    rows = df.drop(POS, ROWS, BLK).repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", at)
+    rows = stage(rows.withColumn(SALT, F.shiftright("__at", 33)))
+    before = Window.orderBy(SALT).rowsBetween(Window.unboundedPreceding, -1)
+    shifts = rows.groupBy(SALT).agg(F.count(F.lit(1)).alias("__shift"))  # one row per range
+    shifts = shifts.select(SALT, F.coalesce(F.sum("__shift").over(before), F.lit(0)).alias("__shift"))
+    numbered = rows.join(F.broadcast(shifts), SALT).withColumn("__at", F.col("__shift") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
+    first = numbered.groupBy(*spec.keys).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias(ROWS))
+    out = spread_join(numbered, first, list(spec.keys))
+    return out.withColumn(POS, F.col("__at") - F.col("__first")).drop("__at", "__first", "__shift", SALT)
+
+
 def ensure_positions(df: DataFrame, spec: Series) -> DataFrame:
     return df if {POS, ROWS} <= set(df.columns) else positions(df, spec)
 

@@ -56,7 +56,10 @@ def e00_crossover_summary(spark, sf):
     return E.crossover_summary(bars1(spark, sf), DAILY)
 
 
-@check("e00_crossover_many_series", None)
+_LF3 = ["p3 AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS pos FROM b3)", *[c.replace("FROM p1", "FROM p3") for c in _LF]]
+
+
+@check("e00_crossover_many_series", sql(*_LF3, f"SELECT symbol, {r(T.pf_of('gross_log'), 'profit_factor')}, {r('avg(gross_log) / stddev_samp(gross_log)', 'sharpe')} FROM e1 GROUP BY symbol"))
 def e00_crossover_many_series(spark, sf):
     from checks import bars3
 
@@ -316,10 +319,20 @@ def e05_walk_forward_metrics(spark, sf):
     return keep(metrics, "symbol", "bars", "pf_gross", "pf_net", "sharpe_net", "pct_return_log_net", "avg_turnover_per_bar", "var95_net_pct")
 
 
-@check("e03_donchian_walk_forward", None)
+@check(
+    "e03_donchian_walk_forward",
+    sql(
+        f"""cx AS (SELECT p.*, fold, CASE WHEN pos < fold * {S} + {L} - 1 THEN ln(nx) - ln(close) END AS r FROM (SELECT *, lead(close) OVER (PARTITION BY symbol ORDER BY pos) AS nx FROM p1) p,
+        range(0, 100000) f(fold) WHERE fold * {S} <= pos AND pos < fold * {S} + {L + S} AND fold < ceil((n - {L}) / {S}))""",
+        *T.donchian("d", "cx", "symbol, fold", 20, f"fold * {S}"), T.best("bp", "d_sc", "symbol, fold", "lookback", "true"),
+        f"""SELECT symbol, ts, CASE WHEN pos >= {L} THEN (pos - {L}) // {S} END AS fold, bp.lookback::DOUBLE AS lookback, {r('bp.pf', 'metric')}, s::DOUBLE AS signal FROM p1
+        LEFT JOIN bp ON bp.symbol = p1.symbol AND pos >= {L} AND bp.fold = (pos - {L}) // {S}
+        LEFT JOIN d_sg ON d_sg.symbol = bp.symbol AND d_sg.fold = bp.fold AND d_sg.lookback = bp.lookback AND d_sg.pos = p1.pos""".replace("SELECT symbol, ts", "SELECT p1.symbol, p1.ts").replace("CASE WHEN pos", "CASE WHEN p1.pos").replace("(pos -", "(p1.pos -").replace("AND pos >=", "AND p1.pos >="),
+    ),
+)
 def e03_donchian_walk_forward(spark, sf):
     out = K.walk_forward_signals(bars1(spark, sf), DAILY, Donchian(high=20), L, S)
-    return out.select("symbol", "ts", "fold", "lookback", "metric", "signal")
+    return keep(out, "symbol", "ts", "fold", "lookback", "metric", "signal")
 
 
 # --- sweeps -----------------------------------------------------------------------

@@ -223,8 +223,11 @@ def e03_classifier_walk_forward(spark, sf):
     return walk_forward_signals(bars2(spark, sf), FOUR_HOURS, model, 120, 60).select("symbol", "ts", "fold", "signal")
 
 
-@check("l02_features_many_series", None)
+_P3 = "p3 AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS pos FROM b3)"
+
+
+@check("l02_features_many_series", sql(_P3, _NR.replace("FROM p1", "FROM p3"), _FT, f"SELECT symbol, ts, {', '.join(r(n, n) for n in FS.names)} FROM ft"))
 def l02_features_many_series(spark, sf):
-    return X.features(X.normalised_return(bars3(spark, sf), DAILY, FS), DAILY, FS).select("symbol", "ts", *FS.names)
+    return keep(X.features(X.normalised_return(bars3(spark, sf), DAILY, FS), DAILY, FS), "symbol", "ts", *FS.names)
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from barspark.operators import permute as P
+from barspark.operators import report as R
 from barspark.operators import significance as Q
 from barspark.operators.strategies import Donchian, MovingAverage
 from barspark.plans import evaluate as E
 from barspark.plans import montecarlo as MC
-from barspark.series import positions, running
+from barspark.series import _shared_folder, positions, running
 from barspark.series import Running as Scan
 from checks import DAILY, FOUR_HOURS, bars1, bars2, check, keep, r, rounded, sql
 from checks import sqltext as T
@@ -154,46 +157,50 @@ def m09_permutation_curves(spark, sf):
     return rounded(MC.permutation_curves(bars2(spark, sf), FOUR_HOURS, MovingAverage(max_window=TOP), RUN, WL, WS, 3))
 
 
-@check("m09_curves_wide", None)
+@check(
+    "m09_curves_wide",
+    sql(
+        T.pairs(TOP), *T.permuted("pm", "p2", "symbol", 0, 2, str(WL)), T.averages("av", "pm", "symbol, seed", TOP), *T.walk("w", "av", "symbol, seed", WL, WS, TOP),
+        T.returns("e1", "w_sig", "symbol, seed", RATE), "c AS (SELECT symbol, seed, ts, sum(gross_log) OVER (PARTITION BY symbol, seed ORDER BY pos ROWS UNBOUNDED PRECEDING) AS cum FROM e1)",
+        "SELECT symbol, ts, " + ", ".join(r(f"max(cum) FILTER (seed = {i})", f"perm_{i}") for i in range(3)) + " FROM c GROUP BY symbol, ts",
+    ),
+)
 def m09_curves_wide(spark, sf):
     curves = MC.permutation_curves(bars2(spark, sf), FOUR_HOURS, MovingAverage(max_window=TOP), RUN, WL, WS, 3)
-    return MC.curves_wide(curves, FOUR_HOURS, 3)
+    return rounded(MC.curves_wide(curves, FOUR_HOURS, 3))
 
 
-# --- distributions: the factor per shuffle stands in as growth of each permuted history's upper half ---
+# --- distributions of the factors of an in-sample test ---
 
-_FAKE = "pf AS (SELECT symbol, seed, 1 + max(lc) - avg(lc) AS pf FROM pm_c GROUP BY symbol, seed), rl AS (SELECT symbol, 1 + stddev_samp(ln(close)) AS real_pf FROM p2 GROUP BY symbol)"
-_PM40 = T.permuted("pm", "p2", "symbol", 0, 39)
+_TEST, _AS_PF = _IS, "pf AS (SELECT symbol, seed, pf FROM sh)"
 
 
-def _fake(spark, sf):
-    bars = P.permuted_bars(_p2(spark, sf), FOUR_HOURS, 40)
-    pfs = bars.groupBy("symbol", "seed").agg((1 + F.max(F.log("close")) - F.avg(F.log("close"))).alias("pf"))
-    real = bars2(spark, sf).groupBy("symbol").agg((1 + F.stddev_samp(F.log("close"))).alias("real_pf"))
-    return pfs, real
+def _factors(spark, sf):
+    pfs, result = MC.in_sample_test(bars2(spark, sf), FOUR_HOURS, MovingAverage(max_window=TOP), RUN, N)
+    return pfs, result.select("symbol", "real_pf")
 
 
-@check("a10_p_value", sql(*_PM40, _FAKE, T.p_value("pv", "pf", "rl", "symbol"), f"SELECT symbol, {r('real_pf', 'real_pf')}, draws, better, {r('p_value', 'p_value')} FROM pv"))
+@check("a10_p_value", sql(*_TEST, _AS_PF, T.p_value("pv", "pf", "rl", "symbol"), f"SELECT symbol, {r('real_pf', 'real_pf')}, draws, better, {r('p_value', 'p_value')} FROM pv"))
 def a10_p_value(spark, sf):
-    pfs, real = _fake(spark, sf)
+    pfs, real = _factors(spark, sf)
     return rounded(Q.p_value(pfs, real, FOUR_HOURS).drop("significant"))
 
 
-@check("a11_significance", sql(*_PM40, _FAKE, T.p_value("pv", "pf", "rl", "symbol"), "SELECT symbol, p_value <= 0.5 AS significant FROM pv"))
+@check("a11_significance", sql(*_TEST, _AS_PF, T.p_value("pv", "pf", "rl", "symbol"), "SELECT symbol, p_value <= 0.5 AS significant FROM pv"))
 def a11_significance(spark, sf):
-    pfs, real = _fake(spark, sf)
+    pfs, real = _factors(spark, sf)
     return Q.p_value(pfs, real, FOUR_HOURS, level=0.5).select("symbol", "significant")
 
 
 @check(
     "a12_histogram",
     sql(
-        *_PM40, _FAKE, "e AS (SELECT symbol, min(pf) AS lo, max(pf) AS hi, greatest(10, count(*) // 3) AS k FROM pf GROUP BY symbol)",
+        *_TEST, _AS_PF, "e AS (SELECT symbol, min(pf) AS lo, max(pf) AS hi, greatest(10, count(*) // 3) AS k FROM pf GROUP BY symbol)",
         "SELECT symbol, least(floor((pf - lo) / (hi - lo) * k), k - 1)::INT AS bin, count(*) AS n FROM pf JOIN e USING (symbol) GROUP BY ALL",
     ),
 )
 def a12_histogram(spark, sf):
-    pfs, _ = _fake(spark, sf)
+    pfs, _ = _factors(spark, sf)
     return Q.histogram(pfs, ["symbol"], "pf", Q.pf_bins(F.col("__n")))
 
 
@@ -206,17 +213,33 @@ def a12_return_histogram(spark, sf):
     return Q.histogram(rows, [], "x", 50)
 
 
-@check("a13_empirical_cdf", sql(*_PM40, _FAKE, "u AS (SELECT symbol, pf, false AS is_real FROM pf UNION ALL SELECT symbol, real_pf, true FROM rl)", f"SELECT symbol, {r('pf', 'pf')}, is_real, {r('(row_number() OVER (PARTITION BY symbol ORDER BY pf, is_real DESC) - 1) / count(*) OVER (PARTITION BY symbol)', 'cumulative')} FROM u"))
+@check("a13_empirical_cdf", sql(*_TEST, _AS_PF, "u AS (SELECT symbol, pf, false AS is_real FROM pf UNION ALL SELECT symbol, real_pf, true FROM rl)", f"SELECT symbol, {r('pf', 'pf')}, is_real, {r('(row_number() OVER (PARTITION BY symbol ORDER BY pf, is_real DESC) - 1) / count(*) OVER (PARTITION BY symbol)', 'cumulative')} FROM u"))
 def a13_empirical_cdf(spark, sf):
-    return rounded(Q.empirical_cdf(*_fake(spark, sf), FOUR_HOURS))
+    return rounded(Q.empirical_cdf(*_factors(spark, sf), FOUR_HOURS))
+
 
 
 
+def _don(prefix: str, src: str, k: str, name: str) -> list[str]:
+    """The best factor of all lookbacks up to 20."""
+    return [
+        f"{prefix}_in AS (SELECT *, ln(lead(close) OVER (PARTITION BY {k} ORDER BY pos)) - ln(close) AS r FROM {src})", *T.donchian(prefix, f"{prefix}_in", k, 20),
+        T.best(f"{prefix}_bp", f"{prefix}_sc", k, "lookback", "true"), f"{prefix} AS (SELECT {k}, pf AS {name} FROM {prefix}_bp)",
+    ]
+
+
+def _compared(shuffles: int) -> str:
+    row = lambda name, pv: f"SELECT symbol, '{name}' AS strategy, {r('real_pf', 'real_pf')}, draws, better, {r('p_value', 'p_value')}, p_value <= 0.05 AS significant FROM {pv}"
+    return sql(
+        T.pairs(TOP), *T.permuted("pm", "p2", "symbol", 1, shuffles), *_opt("rl", "p2", "symbol", "real_pf"), *_opt("sh", "pm", "symbol, seed", "pf"), T.p_value("pv", "sh", "rl", "symbol"),
+        *_don("rd", "p2", "symbol", "real_pf"), *_don("sd", "pm", "symbol, seed", "pf"), T.p_value("pd", "sd", "rd", "symbol"), f"{row('ma', 'pv')} UNION ALL {row('donchian', 'pd')}",
+    )
+
 
-@check("a22_compare_strategies", None)
+@check("a22_compare_strategies", _compared(4))
 def a22_compare_strategies(spark, sf):
     strategies = {"ma": MovingAverage(max_window=TOP), "donchian": Donchian(high=20)}
-    return MC.compare_strategies(bars2(spark, sf), FOUR_HOURS, strategies, RUN, 5)
+    return rounded(MC.compare_strategies(bars2(spark, sf), FOUR_HOURS, strategies, RUN, 5))
 
 
 @check("a22_compare_ma_ranges", sql(
@@ -239,9 +262,56 @@ def a21_market_table(spark, sf):
     return rounded(MC.full_analysis(bars2(spark, sf), FOUR_HOURS, {"ma": MovingAverage(max_window=TOP)}, RUN, 3)[0])
 
 
-@check("e11_full_analysis", None)
+@check("e11_full_analysis", _compared(3))
 def e11_full_analysis(spark, sf):
-    return MC.full_analysis(bars2(spark, sf), FOUR_HOURS, {"ma": MovingAverage(max_window=TOP), "donchian": Donchian(high=20)}, RUN, 4)[1]
+    return rounded(MC.full_analysis(bars2(spark, sf), FOUR_HOURS, {"ma": MovingAverage(max_window=TOP), "donchian": Donchian(high=20)}, RUN, 4)[1])
+
+
+_MC_RUN = "symbol, '{0}' AS run_type, 'ma' AS strategy"
+
+
+def _told(report):
+    """A test's two report tables, written as JSON lines and read back, as one row per shuffle."""
+    runs, shuffles = report
+    root = f"{_shared_folder(runs.sparkSession)}/report-{uuid4().hex}"
+    for table_, name in ((runs, "runs"), (shuffles, "shuffles")):
+        table_.write.json(f"{root}/{name}")
+    spark = runs.sparkSession
+    back = spark.read.schema(runs.schema).json(f"{root}/runs").select("symbol", "run_type", F.col("params.strategy").alias("strategy"), "metrics.*")
+    return rounded(back.join(spark.read.schema(shuffles.schema).json(f"{root}/shuffles"), ["symbol", "run_type"]))
+
+
+@check(
+    "s14_in_sample_test_report",
+    sql(*_IS, T.p_value("pv", "sh", "rl", "symbol"), f"gr AS (SELECT symbol, {T.pf_of('gross_log')} AS g FROM rl_e1 GROUP BY symbol)", f"SELECT {_MC_RUN.format('in_sample_permutation')}, {r('g', 'pf_gross')}, {r('pv.real_pf', 'pf_net')}, {r('p_value', 'p_value_net')}, seed, {r('pf', 'permutation_pf_net')} FROM pv JOIN gr USING (symbol) JOIN sh USING (symbol)"),
+)
+def s14_in_sample_test_report(spark, sf):
+    bars, strategy = bars2(spark, sf), MovingAverage(max_window=TOP)
+    pfs, result = MC.in_sample_test(bars, FOUR_HOURS, strategy, RUN, N)
+    rows = E.in_sample_returns(bars, FOUR_HOURS, strategy, RUN)
+    return _told(MC.test_report(pfs, result, rows, FOUR_HOURS, {"strategy": "ma"}, "in_sample_permutation"))
+
+
+@check(
+    "s14_walk_forward_test_report",
+    sql(*_OOS, T.p_value("pv", "sh", "rl", "symbol"), f"gr AS (SELECT symbol, {T.pf_of('gross_log')} AS g FROM rl_e1 GROUP BY symbol)", f"SELECT {_MC_RUN.format('oos_walkforward_permutation')}, {r('g', 'pf_gross')}, {r('pv.real_pf', 'pf_net')}, {r('p_value', 'p_value_net')}, seed, {r('pf', 'permutation_pf_net')} FROM pv JOIN gr USING (symbol) JOIN sh USING (symbol)"),
+)
+def s14_walk_forward_test_report(spark, sf):
+    bars, strategy = bars2(spark, sf), MovingAverage(max_window=TOP)
+    pfs, result = MC.walk_forward_test(bars, FOUR_HOURS, strategy, RUN, WL, WS, WN)
+    rows = E.walk_forward_returns(bars, FOUR_HOURS, strategy, RUN, WL, WS)
+    return _told(MC.test_report(pfs, result, rows, FOUR_HOURS, {"strategy": "ma"}, "oos_walkforward_permutation"))
+
+
+@check(
+    "s14_walk_forward_report",
+    sql(*_OOS, f"m AS (SELECT symbol, {T.pf_of('gross_log')} AS g, {T.pf_of('net_log')} AS t FROM rl_e1 GROUP BY symbol)", f"SELECT symbol, 'oos_walkforward' AS run_type, {r('g', 'pf_gross')}, {r('t', 'pf_net')}, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp, {r('sum(net_log) OVER (PARTITION BY symbol ORDER BY pos ROWS UNBOUNDED PRECEDING)', 'net_cum_log')} FROM rl_e1 JOIN m USING (symbol)"),
+)
+def s14_walk_forward_report(spark, sf):
+    rows, metrics = E.walk_forward(bars2(spark, sf), FOUR_HOURS, MovingAverage(max_window=TOP), RUN, WL, WS)
+    runs, series = R.report(rows, metrics, FOUR_HOURS, {"strategy": "ma"}, "oos_walkforward", "close", "4h")
+    both = series.select("symbol", "run_type", "timestamp", "net_cum_log").join(runs.select("symbol", "metrics.pf_gross", "metrics.pf_net"), "symbol")
+    return rounded(both)
 
 
 @check("w07_seeded_scan", sql(*T.permuted("pm", "p2", "symbol", 0, 1), f"SELECT symbol, seed, pos, {r('sum(volume) OVER (PARTITION BY symbol, seed ORDER BY pos ROWS UNBOUNDED PRECEDING)', 'total')} FROM pm"))

@@ -108,12 +108,30 @@ def walk(prefix: str, src: str, k: str, length: int, step: int, top: int) -> lis
     ]
 
 
+def donchian(prefix: str, src: str, k: str, high: int, start: str = "0") -> list[str]:
+    """CTEs ending in ``{prefix}_sc``: held signals ``s`` of every lookback 2..high in ``{prefix}_sg``, and their scores (needs ``r``).
+
+    Windows begin at position ``start``.
+    """
+    edge = lambda f, lb: f"{f}(close) OVER {over(k, f'ROWS BETWEEN {lb - 1} PRECEDING AND 1 PRECEDING')}"
+    cells = ", ".join(
+        f"CASE WHEN pos - {start} >= {lb - 1} THEN CASE WHEN close < {edge('min', lb)} THEN -1.0 WHEN close > {edge('max', lb)} THEN 1.0 END END" for lb in range(2, high + 1)
+    )
+    return [
+        f"{prefix}_raw AS (SELECT *, [{cells}] AS raws FROM {src})",
+        f"""{prefix}_sg AS (SELECT *, last_value(raw IGNORE NULLS) OVER (PARTITION BY {k}, lookback ORDER BY pos ROWS UNBOUNDED PRECEDING) AS s
+        FROM (SELECT * EXCLUDE (raws), unnest(range(2, {high + 1})) AS lookback, unnest(raws) AS raw FROM {prefix}_raw))""",
+        f"""{prefix}_sc AS (SELECT *, {PF} AS pf FROM (SELECT {k}, lookback, coalesce(sum(s * r) FILTER (s * r > 0), 0) AS gain,
+        coalesce(-sum(s * r) FILTER (s * r < 0), 0) AS loss FROM {prefix}_sg GROUP BY {k}, lookback))""",
+    ]
+
+
 def p_value(name: str, pfs: str, real: str, k: str) -> str:
     return f"""{name} AS (SELECT {k}, any_value(real_pf) AS real_pf, count(*) AS draws, count(*) FILTER (pf >= real_pf) AS better,
     (count(*) FILTER (pf >= real_pf) + 1) / (count(*) + 1) AS p_value FROM {pfs} JOIN {real} USING ({k}) GROUP BY {k})"""
 
 
 __all__ = [
-    "averages", "best", "decomposed", "ma_scores", "ma_signal", "over", "p_value", "pairs", "permuted", "pf_of", "r",
+    "averages", "best", "decomposed", "donchian", "ma_scores", "ma_signal", "over", "p_value", "pairs", "permuted", "pf_of", "r",
     "returns", "trades", "walk",
 ]
