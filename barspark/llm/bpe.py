@@ -62,7 +62,7 @@ class Merges:
         self.place = np.concatenate([[0], np.cumsum(self.width)])[:-1]
         self.spelling = np.frombuffer(b"".join(spelled), np.uint8)
         keys = self.left << 32 | self.right
-        self.bits = 19
+        self.bits = max(19, (2 * len(keys)).bit_length())
         self.keys = np.full(1 << self.bits, -1, np.int64)
         self.ranks = np.full(1 << self.bits, -1, np.int32)
         self.probes = 0
@@ -270,7 +270,13 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
 
 
 def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """``ids`` and ``decoded`` of each text, as ``encode`` and ``decode`` give them, in one pass of one worker."""
+    """``ids`` and ``decoded`` of each text, as ``encode`` and ``decode`` give them, in one pass of one worker.
+
+    A table that has columns of these names already is refused.
+    """
+    taken = {"ids", "decoded"} & {c.lower() for c in df.columns}
+    if taken:
+        raise ValueError(f"the table already has {', '.join(sorted(taken))}")
 
     @F.arrow_udf("struct<ids: array<int>, decoded: string>")
     def both(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -20,6 +20,7 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,7 +86,7 @@ def _elements(data: bytes) -> list[tuple[int, bytes]] | None:
 
 
 def is_der_key(data: bytes) -> bool:
-    """PKCS#1, PKCS#8 (also encrypted) or SEC1 private key, whose nested lengths all fit."""
+    """PKCS#1, PKCS#8 (also encrypted), SEC1 or DSA private key, whose nested lengths all fit."""
     outer = _elements(data)
     if not outer or len(outer) != 1 or outer[0][0] != 0x30:
         return False
@@ -95,6 +96,8 @@ def is_der_key(data: bytes) -> bool:
     tags = [t for t, _ in fields]
     if len(fields) >= 9 and tags[:9] == [0x02] * 9:
         return len(fields[0][1]) == 1 and fields[0][1][0] in (0, 1) and len(fields[1][1]) >= 32
+    if tags == [0x02] * 6:  # DSA: version, three parameters, both halves
+        return fields[0][1] == b"\x00" and len(fields[1][1]) >= 64 and 20 <= len(fields[2][1]) <= 33
     if tags[:3] == [0x02, 0x30, 0x04]:
         algorithm = _elements(fields[1][1])
         return len(fields[0][1]) == 1 and bool(algorithm) and algorithm[0][0] == 0x06 and len(fields[2][1]) >= 32
@@ -227,34 +230,63 @@ def _least(data: bytes) -> int | None:
     return at
 
 
+class _Lines:
+    """Lines of key letters that follow one another, from one on: where each begins, and the letters before it."""
+
+    def __init__(self, text: str, first: re.Match) -> None:
+        self.parts, self.stops, self.before, at = [first[0]], [first.end()], [0, len(first[0])], first.end()
+        self.number = {first.start(): 0}
+        while line := NEXT.match(text, at):
+            at = line.end()
+            self.number[line.start(1)] = len(self.parts)
+            self.parts.append(line[1])
+            self.stops.append(at)
+            self.before.append(self.before[-1] + len(line[1]))
+
+    def until(self, first: int, letters: int) -> int | None:
+        """The line after the one with which ``letters`` from line ``first`` on are there; None if there are not so many."""
+        last = bisect_left(self.before, self.before[first] + letters)
+        return last if last < len(self.before) else None
+
+
 def wrapped_keys(text: str) -> Iterator[tuple[int, int]]:
-    """(start, stop) of keys in base64 over several lines without marks; their own lengths tell where they end."""
-    done = 0
+    """(start, stop) of keys in base64 over several lines without marks; their own lengths tell where they end.
+
+    Lines that follow one another are gone through once, whatever lengths they declare.
+    """
+    done, lines = 0, None
     for m in WRAPPED.finditer(text):
         if m.start() < done:
             continue
-        letters, at, looked = m[0], m.end(), 0
-        parts, have = [letters], len(letters)
+        if lines is None or m.start() not in lines.number:
+            lines = _Lines(text, m)
+        first = lines.number[m.start()]
+        last, need = first + 1, 0
         while True:
-            letters = "".join(parts)
+            letters = "".join(lines.parts[first:last])
             data = unbase64(letters[: len(letters) // 4 * 4])
             least = _least(data) if data else None
-            need = 0 if least is None else (4 * least + 2) // 3
-            if need <= have or need == looked:
-                break
-            looked = need
-            while have < need and (line := NEXT.match(text, at)):
-                parts.append(line[1])
-                have, at = have + len(line[1]), line.end()
-            if have < need:
+            wanted = 0 if least is None else (4 * least + 2) // 3
+            reach = lines.until(first, wanted) if wanted > len(letters) else None
+            need = wanted
+            # A key ends with a line; lengths that end within one are told without reading on.
+            if reach is None or reach == last or (data[:1] == b"\x30" and lines.before[reach] - lines.before[first] != wanted):
                 break
-        if len(parts) > 1 and need == have and (end := PADDING.match(text, at)) and _is_key(unbase64("".join(parts))):
+            last = reach
+        whole = last > first + 1 and need == lines.before[last] - lines.before[first]
+        if whole and (end := PADDING.match(text, lines.stops[last - 1])) and _is_key(unbase64(letters)):
             yield m.start(), end.end()
             done = end.end()
 
 
 def _is_key(data: bytes | None) -> bool:
-    return data is not None and (is_der_key(data) or is_openssh_key(data))
+    return data is not None and (is_der_key(data) or is_openssh_key(data) or _is_pem_file(data))
+
+
+def _is_pem_file(data: bytes) -> bool:
+    """A whole PEM file, encoded once more (as in the secrets of cluster manifests)."""
+    inner = PEM.search(data.decode("latin-1")) if data.startswith(b"-----BEGIN ") else None
+    return inner is not None and is_pem_key(inner[1], inner[2])
 
 
 def unbase64(text: str) -> bytes | None:

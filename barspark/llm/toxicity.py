@@ -47,7 +47,6 @@ from barspark.llm.common import (
 #: Bound of the labelled rows that terms and curve are learned from: those with the smallest hashes of their id.
 SAMPLE = 20_000
 #: Bounds of the terms considered and kept, those with the most evidence.
-CANDIDATES, TERMS = 20_000, 2_000
 LONGEST = 14
 #: Least twice log likelihood ratio of a term, and its least share of toxic documents. A term's weight grows with that share.
 EVIDENCE, PURITY = 24.0, 0.5
@@ -283,8 +282,6 @@ def choose_terms(found: dict[str, tuple[int, int]], toxic: int, clean: int) -> d
             continue
         chosen = {c: n for c, n in chosen.items() if not c.startswith(term)}
         chosen[term] = hit
-        if len(chosen) == TERMS:
-            break
     return {term: _weight(*found[term], toxic, clean) for term in sorted(chosen)}
 
 
@@ -381,15 +378,14 @@ def _without_copies(sample: DataFrame) -> DataFrame:
 
 
 def _candidates(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
-    """(term, n, other) of the beginnings with evidence and purity, those with the most evidence first if there are too many."""
+    """(term, n, other) of the beginnings with evidence and purity: parts of words of at most ``SAMPLE`` texts."""
     hit, other = F.col("n"), F.col("other")
     share = n_toxic / (n_toxic + n_clean)
     likely = _counted(toxic, lambda: _beginnings).filter(hit >= _least_hits(n_toxic, n_clean))
     both = likely.join(_counted(clean, lambda: _beginnings).withColumnRenamed("n", "other"), "term", "left").fillna(0, ["other"])
     own = hit / (hit + other)
     gain = hit * F.log(own / share) + F.when(other > 0, other * F.log((1 - own) / (1 - share))).otherwise(0.0)
-    pure = both.filter(own >= PURITY).withColumn("gain", 2 * gain).filter(F.col("gain") >= EVIDENCE - 1e-9)
-    return pure.orderBy(F.desc("gain"), "term").limit(CANDIDATES)
+    return both.filter(own >= PURITY).withColumn("gain", 2 * gain).filter(F.col("gain") >= EVIDENCE - 1e-9)
 
 
 def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
@@ -428,7 +424,8 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
 
         return pick
 
-    found = _counted(clean, near_terms).orderBy(F.desc("n"), "term").limit(CANDIDATES)
+    spread = clean.repartition(spark.sparkContext.defaultParallelism * 4)  # a word near a term costs more than reading it
+    found = _counted(spread, near_terms)
     model = Model(terms, {r.term for r in found.collect()}, (0.0, 1.0, 0.0), forms)
     weighed = weigh(sample, model).select("label", "weight", F.length("text").alias("chars")).toPandas()  # at most SAMPLE rows
     model.curve = _curve(weighed["weight"].to_numpy(), weighed["chars"].to_numpy(), weighed["label"].to_numpy().astype(float))

@@ -273,6 +273,35 @@ def test_marked_wrappers_several_articles_and_stray_quotes(page, text):
     assert all(html_extract.main_text(page) == got for _ in range(5))
 
 
+def test_hostile_lines_are_read_once():
+    import base64
+    import time
+
+    huge = base64.b64encode(b"\x30\x84\x7f\xff\xff\xff\x02\x01\x00" + bytes(39)).decode()
+    begin = time.perf_counter()
+    assert list(secret_scan.wrapped_keys("\n".join([huge] * 40_000))) == []
+    assert time.perf_counter() - begin < 20
+
+
+def test_dsa_keys_and_encoded_pem_files_are_confirmed():
+    import base64
+
+    def der(tag, body):
+        size = len(body)
+        return bytes([tag, size] if size < 128 else [tag, 0x81, size] if size < 256 else [tag, 0x82, *size.to_bytes(2)]) + body
+
+    numbers = [b"\x00", b"\x7f" * 128, b"\x7f" * 20, b"\x7f" * 128, b"\x7f" * 128, b"\x7f" * 20]
+    key = der(0x30, b"".join(der(2, n) for n in numbers))
+    assert secret_scan.is_der_key(key) and not secret_scan.is_der_key(key[:-1] + b"\x30\x00")
+    lines = base64.encodebytes(key).decode()
+    pem = f"-----BEGIN DSA PRIVATE KEY-----\n{lines}-----END DSA PRIVATE KEY-----\n"
+    assert [k for k, *_ in secret_scan.scan(f"x {pem} y")][0] == "key"
+    encoded = base64.b64encode(pem.encode()).decode()
+    assert secret_scan.scan(f"tls.key: {encoded}") == [("key", 9, 9 + len(encoded))]
+    wrapped = base64.encodebytes(key).decode()
+    assert list(secret_scan.wrapped_keys(f"a:\n{wrapped}\nend")) == [(3, 3 + len(wrapped.rstrip()))]
+
+
 def test_license_scan_has_no_python(spark):
     plan = QUERIES["op10_license_scan"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|ExistingRDD", plan)
@@ -383,8 +412,7 @@ def test_rare_terms_count_by_evidence_alone(spark):
     assert set(model.terms) == {"zumpel", "idiot"}
 
 
-def test_frequent_clean_beginnings_do_not_crowd_out_terms(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "CANDIDATES", 21)
+def test_frequent_clean_beginnings_do_not_crowd_out_terms(spark):
     docs, labels = toy(spark)
     assert set(toxicity.learn(docs, labels).terms) == {"idiot", "stupid", "worthless"}
 
