@@ -56,8 +56,17 @@ class Stage:
     def drop(self, df: DataFrame) -> None:
         """Delete the files of a staged table that no later plan reads."""
         for path in [p for d, p in self.paths if d is df]:
-            where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+            self._delete(path)
+
+    def clear(self) -> None:
+        """Delete all tables of this stage, when what was made of them is written."""
+        self._delete(self.root)
+
+    def _delete(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        # Shuffle files of finished plans go when the driver collects those plans; it may have no need to for long.
+        self.spark._jvm.System.gc()
 
 
 def small_batches(spark: SparkSession) -> None:

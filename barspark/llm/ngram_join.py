@@ -397,7 +397,9 @@ def deduplicate(df: DataFrame, id: str = "doc_id", text: str = "text", size: int
     """
     stage = Stage(df.sparkSession, "near-duplicates")
     docs = _documents(df, id, text)
-    found = stage(_grouped(docs, size, percent, stage).filter("n > 0"))
+    inner = Stage(df.sparkSession, "ngram-join")
+    found = stage(_grouped(docs, size, percent, inner).filter("n > 0"))
+    inner.clear()
     rank = F.struct(F.col("own").isNull().alias("last"), "own", "mark")
     first = found.groupBy("group").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     in_first = F.col("own").eqNullSafe(F.col("first.own")) & (F.col("mark") == F.col("first.mark"))
