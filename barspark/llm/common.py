@@ -65,7 +65,10 @@ class Stage:
     def _delete(self, path: str) -> None:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
-        # Shuffle files of finished plans go when the driver collects those plans; it may have no need to for long.
+        self.release()
+
+    def release(self) -> None:
+        """Let the shuffle files of finished plans go: they do when the driver collects those plans, for which it may have no need for long."""
         self.spark._jvm.System.gc()
 
 

@@ -347,6 +347,7 @@ def _grouped(docs: DataFrame, size: int, percent: int, stage: Stage) -> DataFram
     tiles = rows.select("id", F.explode("tiles").alias("tile"))
     shared = tiles.groupBy("tile").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("members"))
     shared = stage(shared.filter("a != b"))
+    stage.release()  # the tiles are dealt out once more below
     many = shared.filter("members > 2").select("tile")
     members = tiles.join(many, "tile")
     met = stage(members.select("tile", "id").union(shared.filter("members = 2").select("tile", F.explode(F.array("a", "b")).alias("id"))))
