@@ -324,7 +324,7 @@ def e05_walk_forward_metrics(spark, sf):
     sql(
         f"""cx AS (SELECT p.*, fold, CASE WHEN pos < fold * {S} + {L} - 1 THEN ln(nx) - ln(close) END AS r FROM (SELECT *, lead(close) OVER (PARTITION BY symbol ORDER BY pos) AS nx FROM p1) p,
         range(0, 100000) f(fold) WHERE fold * {S} <= pos AND pos < fold * {S} + {L + S} AND fold < ceil((n - {L}) / {S}))""",
-        *T.donchian("d", "cx", "symbol, fold", 20, f"fold * {S}"), T.best("bp", "d_sc", "symbol, fold", "lookback", "true"),
+        *T.donchian("d", "cx", "symbol, fold", 20, f"fold * {S}"), T.best("bp", "d_sc", "symbol, fold", "lookback", "true").replace("ORDER BY pf", "ORDER BY round(pf, 9)"),  # sums of equal terms tie
         f"""SELECT symbol, ts, CASE WHEN pos >= {L} THEN (pos - {L}) // {S} END AS fold, bp.lookback::DOUBLE AS lookback, {r('bp.pf', 'metric')}, s::DOUBLE AS signal FROM p1
         LEFT JOIN bp ON bp.symbol = p1.symbol AND pos >= {L} AND bp.fold = (pos - {L}) // {S}
         LEFT JOIN d_sg ON d_sg.symbol = bp.symbol AND d_sg.fold = bp.fold AND d_sg.lookback = bp.lookback AND d_sg.pos = p1.pos""".replace("SELECT symbol, ts", "SELECT p1.symbol, p1.ts").replace("CASE WHEN pos", "CASE WHEN p1.pos").replace("(pos -", "(p1.pos -").replace("AND pos >=", "AND p1.pos >="),

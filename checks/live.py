@@ -332,8 +332,8 @@ def _in_batches(spark, rows, batch, stream, **options):
     return spark.read.parquet(f"{base}/out")
 
 
-#: Bars come in three batches, every fifth one a batch early or late by up to ten bars; they wait two days for those before them.
-_SHUFFLED = "floor((pos + if(pos % 5 = 0, 10, 0)) / 64)"
+#: Bars come in batches of some ten days, every fifth one up to 40 hours late; they wait two days for those before them.
+_SHUFFLED = "floor((unix_seconds(cast(ts AS timestamp)) + if(pos % 5 = 0, 144000, 0)) / 921600)"
 _WAIT = 2 * 86_400
 _TURN = "ts <= (SELECT max(ts) FROM p2 m WHERE m.symbol = {0}.symbol) - INTERVAL 2 DAY"
 
@@ -356,7 +356,7 @@ def t05_t10_shuffled_stream(spark, sf):
     """The first ten bars come again in the last batch."""
     rows = positions(_signals(spark, sf), FOUR_HOURS).select("symbol", "ts", "close", "signal", "pos").withColumn("again", F.lit(False))
     rows = rows.unionByName(rows.filter("pos < 10").withColumn("again", F.lit(True)))
-    batch = F.when(F.col("again"), F.lit(9)).otherwise(F.expr(_SHUFFLED))
+    batch = F.when(F.col("again"), F.lit(1 << 40)).otherwise(F.expr(_SHUFFLED))
     made = _in_batches(spark, rows, batch, lambda s: S.position_stream(s, "symbol", "ts", "close", "signal", S.Book(_BASE, _CAP, _FEE), _WAIT))
     return keep(made, "symbol", "ts", "action", "price", "gross_pnl", "fees_total")
 
