@@ -20,8 +20,9 @@ than ``size`` is one n-gram of its own; an empty one links with nothing).
    most ``SQUARE`` members a side, so a large one is spread over many tasks.
 4. A pair is first bounded from above by hashed bitmaps: a bit that A has and B lacks
    stands for at least one n-gram outside the overlap. A square is bounded by array
-   arithmetic, and no pair becomes a row unless the bound lets it through. Those are
-   decided by intersecting the sorted arrays of their n-gram hashes.
+   arithmetic; members that the bound leaves a partner are met there once more with the
+   sorted arrays of their n-gram hashes. Those are intersected until the square's
+   components are joined: a square gives at most one link for each member, never its pairs.
 
 Copies are never expanded into pairs. N-grams count as equal when their 64-bit hashes
 are. Every row is a document, whatever its id: rows get numbers, and ids are looked at
@@ -32,19 +33,22 @@ own). Null texts are empty.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from barspark.llm.common import SPACED, Stage, arrow_map, attach, fresh, mix, signed, small, small_batches, text_column, windows, word_hashes
 from barspark.llm.components import components
 
 CUTS = 3  # ways to cut the hash space, for sets with many empty segments
 SQUARE = 2048  # members of a star on each side of what one task compares at once
+SQUARE_GRAMS = 8_000_000  # n-grams of those members (64 MB a side), as hashing deals them; one text is never cut
 SEEN = 200_000  # sets that a task remembers in order to pass over copies
 
 _SETS = "own long, mark long, n int, h1 long, h2 long, bits binary, tiles array<long>"
@@ -239,8 +243,16 @@ def _bounded(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
     return both.filter(fits).filter(possible("n_a", "bits_a", "n_b", "bits_b")).select("a", "b")
 
 
-def _square(rows: list[dict], percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs of a square in different components that their bitmaps let through; ``side`` tells the two sides apart."""
+def _overlap(x: np.ndarray, y: np.ndarray) -> int:
+    """How many hashes two sorted arrays share."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    return int((y[at] == x).sum())
+
+
+def _square(rows: list[dict], percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each member of a square, and those after it in another component that its bitmap lets through; ``side`` tells the two sides apart."""
     least = min(len(r["bits"]) for r in rows)
     packed = []
     for r in rows:
@@ -263,67 +275,107 @@ def _square(rows: list[dict], percent: int) -> Iterator[tuple[int, int]]:
         fits &= 100 * bound >= percent * (n[part, None] + n[None, :] - bound)
         if cross:
             fits &= sides[part, None] != sides[None, :]
-        for a, b in np.argwhere(fits).tolist():
-            yield int(ids[first + a]), int(ids[b])
+        for at in np.flatnonzero(fits.any(1)).tolist():
+            yield first + at, np.flatnonzero(fits[at])
 
 
-def _open_pairs(stars: DataFrame, facts: DataFrame, roots: DataFrame, percent: int, stage: Stage) -> DataFrame:
-    """Pairs (a, b) of a star in different components that may link. ``stars``: (star, id)."""
-    placed = stars.join(roots, "id", "left").select("star", "id", F.coalesce("root", "id").alias("root"))
-    placed = stage(placed)
-    size = placed.groupBy("star").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"))
-    size = size.filter("low != high").select("star", F.ceil(F.col("members") / SQUARE).cast("int").alias("sides"))
-    dealt = placed.join(size, "star").withColumn("side", F.pmod(F.xxhash64("id"), F.col("sides")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).drop("sides")
-    dealt = dealt.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")}).drop("other")
-    dealt = dealt.join(facts, "id").select("star", "i", "j", "side", "id", "root", "n", "bits")
+def _open(rows: list[dict], percent: int) -> list[dict]:
+    """Members of a square that may link with another one of it."""
+    found = np.zeros(len(rows), bool)
+    for at, others in _square(rows, percent):
+        found[at] = True
+        found[others] = True
+    return [{c: rows[i][c] for c in ("star", "i", "j", "side", "id", "root")} for i in np.flatnonzero(found).tolist()]
+
+
+def _joined(rows: list[dict], percent: int) -> list[dict]:
+    """Links of a square that join two of its components, by exact sets: at most one for each member, not one for each pair."""
+    label = np.unique([r["root"] for r in rows], return_inverse=True)[1]
+    grams = [np.frombuffer(r["grams"], np.uint64) for r in rows]
+    out = []
+    for at, others in _square(rows, percent):
+        for other in others.tolist():
+            if label[at] != label[other] and links(len(grams[at]), len(grams[other]), _overlap(grams[at], grams[other]), percent):
+                label[label == label[other]] = label[at]
+                out.append({"a": rows[at]["id"], "b": rows[other]["id"]})
+    return out
+
+
+def _by_square(dealt: DataFrame, work: Callable[[list[dict], int], list[dict]], percent: int, schema: str) -> DataFrame:
+    """Rows that ``work`` gives for the members of each square (star, i, j)."""
     key = ["star", "i", "j"]
+    kinds = T.StructType.fromDDL(schema)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-            a, b = zip(*pairs, strict=True) if pairs else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        def out(found: list[dict]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist(found, to_arrow_schema(kinds))
 
         now, rows = None, []
         for batch in batches:
-            found: set[tuple[int, int]] = set()
             for r in batch.to_pylist():
                 at = (r["star"], r["i"], r["j"])
                 if at != now and rows:
-                    found.update(_square(rows, percent))
+                    yield out(work(rows, percent))
                     rows = []
                 now = at
                 rows.append(r)
-            yield out(sorted(found))
         if rows:
-            yield out(list(_square(rows, percent)))
+            yield out(work(rows, percent))
+
+    return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(compare, kinds)
 
-    return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(compare, "a long, b long").distinct()
+
+def _open_links(
+    stars: DataFrame, docs: DataFrame, rows: DataFrame, facts: DataFrame, roots: DataFrame, size: int, percent: int, stage: Stage
+) -> DataFrame:
+    """Links (a, b) between members of a star in different components, enough to join them. ``stars``: (star, id).
+
+    Bitmaps tell in each square whose sets are needed; only those are read again and dealt to the squares that ask for them.
+    """
+    sized = stars.join(facts.select("id", "n"), "id")
+    placed = stage(sized.join(roots, "id", "left").select("star", "id", "n", F.coalesce("root", "id").alias("root")))
+    spread = placed.groupBy("star").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("members"), F.sum("n").alias("grams"))
+    sides = F.ceil(F.greatest(F.col("members") / SQUARE, F.col("grams") / SQUARE_GRAMS)).cast("int")
+    spread = spread.filter("low != high").select("star", sides.alias("sides"))
+    dealt = placed.drop("n").join(spread, "star").withColumn("side", F.pmod(F.xxhash64("id"), F.col("sides")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).drop("sides")
+    dealt = dealt.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")}).drop("other")
+    dealt = dealt.select("star", "i", "j", "side", "id", "root")
+    asked = stage(_by_square(dealt.join(facts, "id"), _open, percent, "star long, i int, j int, side int, id long, root long"))
+    grams = _grams(docs, rows, asked.select("id").distinct(), size, stage)
+    out = stage(_by_square(asked.join(facts, "id").join(grams, "id"), _joined, percent, "a long, b long"))
+    for done in (grams, asked, placed):
+        stage.drop(done)
+    return out
+
+
+def _grams(docs: DataFrame, rows: DataFrame, ids: DataFrame, size: int, stage: Stage) -> DataFrame:
+    """(id, grams) of some rows. Only their texts are read again, found by id and hash of the text."""
+    ids = stage(ids)
+    named = stage(rows.select("id", "own", "mark").join(small(ids), "id")).withColumnRenamed("own", "its").withColumnRenamed("mark", "marked")
+    wanted = docs.join(small(named), F.col("own").eqNullSafe(F.col("its")) & (F.col("mark") == F.col("marked"))).select("id", "text")
+    grams = stage(sorted_sets(wanted, size).dropDuplicates(["id"]))
+    stage.drop(ids)
+    return grams
 
 
 def _linked(docs: DataFrame, rows: DataFrame, pairs: DataFrame, size: int, percent: int, stage: Stage) -> DataFrame:
-    """Pairs that really link, by intersecting sorted arrays. Only texts of the pairs are read again, found by id and hash of the text."""
+    """Pairs that really link, by intersecting sorted arrays."""
 
     @F.arrow_udf("boolean")
     def decided(a: pa.Array, b: pa.Array) -> pa.Array:
         out = []
         for x, y in zip(a, b, strict=True):
             p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            if len(p) > len(q):
-                p, q = q, p
-            at = np.minimum(np.searchsorted(q, p), len(q) - 1)
-            out.append(links(len(p), len(q), int((q[at] == p).sum()), percent))
+            out.append(links(len(p), len(q), _overlap(p, q), percent))
         return pa.array(out)
 
-    ids = stage(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct())
-    named = stage(rows.select("id", "own", "mark").join(small(ids), "id")).withColumnRenamed("own", "its").withColumnRenamed("mark", "marked")
-    wanted = docs.join(small(named), F.col("own").eqNullSafe(F.col("its")) & (F.col("mark") == F.col("marked"))).select("id", "text")
-    grams = stage(sorted_sets(wanted, size).dropDuplicates(["id"]))
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    grams = _grams(docs, rows, ids, size, stage)
     with_a = pairs.join(grams.select(F.col("id").alias("a"), F.col("grams").alias("grams_a")), "a")
     both = with_a.join(grams.select(F.col("id").alias("b"), F.col("grams").alias("grams_b")), "b")
     out = stage(both.filter(decided("grams_a", "grams_b")).select("a", "b"))
     stage.drop(grams)
-    stage.drop(ids)
     return out
 
 
@@ -369,9 +421,8 @@ def _grouped(docs: DataFrame, size: int, percent: int, stage: Stage) -> DataFram
     nearest = stage(nearest.select(F.col("star").alias("a"), F.col("id").alias("b")))
     found = _linked(docs, rows, stage(_bounded(nearest, facts, percent)), size, percent, stage)
     roots = stage(components(found, stage))
-    # pairs of a star that are still in different components
-    rest = _open_pairs(stars, facts, roots, percent, stage).join(nearest, ["a", "b"], "left_anti")
-    more = _linked(docs, rows, stage(rest), size, percent, stage)
+    # members of a star that are still in different components
+    more = _open_links(stars, docs, rows, facts, roots, size, percent, stage)
     if more.limit(1).count():
         roots = stage(components(found.union(more), stage))
 

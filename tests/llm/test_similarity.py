@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from barspark.llm import chunk_dedup, decontaminate, ngram_join
@@ -82,6 +83,24 @@ def test_large_star_is_dealt_in_squares(spark, monkeypatch):
     assert got == brute_components(rows, 4, 85)
 
 
+def test_a_square_gives_a_forest_not_its_pairs():
+    draw = np.random.default_rng(3)
+    base = draw.integers(0, 2**63, 1000).astype(np.uint64)
+    rows = []
+    for i in range(90):  # 50 near copies of one set, 40 that share half of it with nobody else's half
+        own = base.copy()
+        own[: 10 if i < 50 else 500] = draw.integers(0, 2**63, 10 if i < 50 else 500).astype(np.uint64)
+        own = np.unique(own)
+        bits = ngram_join.bitmap(own, ngram_join.width(800))
+        rows.append({"star": 1, "i": 0, "j": 0, "side": 0, "id": i, "root": i, "n": len(own), "bits": bits, "grams": own.tobytes()})
+    found = ngram_join._joined(rows, 80)
+    assert len(found) == 49 and {x for r in found for x in (r["a"], r["b"])} == set(range(50))
+    assert {r["id"] for r in ngram_join._open(rows, 80)} >= set(range(50))
+    one = [{**r, "root": 0} for r in rows[:50]]
+    assert ngram_join._joined(one, 80) == [] and ngram_join._open(one, 80) == []
+    assert len(ngram_join._joined([{**r, "root": r["id"] % 5} for r in rows[:50]], 80)) == 4
+
+
 def test_every_linked_pair_shares_a_tile():
     import numpy as np
 
