@@ -34,7 +34,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +49,7 @@ from barspark.llm.components import components
 CUTS = 3  # ways to cut the hash space, for sets with many empty segments
 SQUARE = 2048  # members of a star on each side of what one task compares at once
 SQUARE_GRAMS = 8_000_000  # n-grams of those members (64 MB a side), as hashing deals them; one text is never cut
+PARTS = 4  # tiles are dealt in so many parts, one after the other, so that the shuffle files of one stand at a time
 SEEN = 200_000  # sets that a task remembers in order to pass over copies
 
 _SETS = "own long, mark long, n int, h1 long, h2 long, bits binary, tiles array<long>"
@@ -396,21 +397,25 @@ def _grouped(docs: DataFrame, size: int, percent: int, stage: Stage) -> DataFram
         .agg(F.min("own").alias("first"), F.min("id").alias("group"), F.min(first_of).alias("rep"), F.min("n").alias("n"))
     )
     # tiles with more than one member; most have two
-    tiles = rows.select("id", F.explode("tiles").alias("tile"))
-    shared = tiles.groupBy("tile").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("members"))
-    shared = stage(shared.filter("a != b"))
-    stage.release()  # the tiles are dealt out once more below
-    many = shared.filter("members > 2").select("tile")
-    members = tiles.join(many, "tile")
-    met = stage(members.select("tile", "id").union(shared.filter("members = 2").select("tile", F.explode(F.array("a", "b")).alias("id"))))
-    stage.drop(shared)
+    tiles, parts = rows.select("id", F.explode("tiles").alias("tile")), []
+    for part in range(PARTS):
+        own = tiles.filter(F.pmod("tile", F.lit(PARTS)) == part)
+        shared = own.groupBy("tile").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("members"))
+        shared = stage(shared.filter("a != b"))
+        stage.release()  # the tiles are dealt out once more below
+        members = own.join(shared.filter("members > 2").select("tile"), "tile")
+        pairs = shared.filter("members = 2").select("tile", F.explode(F.array("a", "b")).alias("id"))
+        parts.append(stage(members.select("tile", "id").union(pairs)))
+        stage.drop(shared)
+    met = reduce(DataFrame.union, parts)
     # what is known of those members: their class, size and bitmap
     known = rows.filter(F.size("tiles") > 0).join(met.select("id").distinct(), "id", "left_semi").select("id", "h1", "h2", "bits")
     facts = known.join(classes.filter("rep is not null").select("h1", "h2", "rep", "n"), ["h1", "h2"])
     facts = stage(facts.select("id", "rep", "n", "bits"))
     met_ids = met.join(facts.select("id", "rep"), "id").select("tile", F.col("rep").alias("id")).distinct()
     met_classes = stage(met_ids)
-    stage.drop(met)
+    for part in parts:
+        stage.drop(part)
     facts = facts.filter("id = rep").select("id", "n", "bits").dropDuplicates(["id"])
 
     # everyone with the smallest member of a tile: the smallest of all its tiles
