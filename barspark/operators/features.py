@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from barspark.functions.scalars import clip, digitise, finite_or, parse_minutes, threshold_signal
 from barspark.operators import windows as W
 from barspark.operators.quantiles import exact_quantiles, interior_probabilities
-from barspark.series import POS, ROWS, Running, Series, ensure_positions, plain, running, spread_join, stage, windowed
+from barspark.series import POS, ROWS, Rolling, Running, Series, ensure_positions, plain, running, spread_join, windowed, windowed_filled
 
 
 @dataclass(frozen=True)
@@ -71,7 +71,8 @@ def normalised_return(df: DataFrame, spec: Series, f: FeatureSet) -> DataFrame:
 def features(df: DataFrame, spec: Series, f: FeatureSet) -> DataFrame:
     """Add every feature of ``f`` in one windowed pass: SMA ratio, momentum, centred RSI, volatility regime.
 
-    Infinite values become null, then the last known value, then 0.
+    Infinite values become null, then the last known value, then 0. Nothing is written: a caller
+    that reads the result several times stages it.
     """
     p = F.col(f.price)
     zero = lambda c: F.coalesce(c, F.lit(0.0))
@@ -83,23 +84,24 @@ def features(df: DataFrame, spec: Series, f: FeatureSet) -> DataFrame:
     second |= {f"rsi_{n}": W.rsi_centred("__move", n) for n in f.rsi}
     third = {f"sma_{n}": plain(clip(zero(F.try_divide(p, F.col(f"__sma_{n}")) - 1), -1, 1)) for n in f.sma}
     third |= {f"mom_{n}": plain(clip(zero(F.col(f"__mom_{n}")), -1, 1)) for n in f.momentum}
+    after: tuple[dict[str, Rolling], ...] = ()
     if f.regime_window:
         second["__rv"] = W.rolling_std("return", f.regime_window)
-    out = windowed(df, spec, first, second, third)
-    if f.regime_window:
-        out = W.with_rolling_median(out, spec, "__rv", 2 * f.regime_window, "__rv_median")
-        out = out.withColumn("vol_regime", F.coalesce(F.col("__rv") > F.col("__rv_median"), F.lit(False)).cast("double"))
-    out = stage(out)
-    out = running(out, spec, {n: Running("last", finite_or(n)) for n in f.names})
+        after = {"__rv_median": W.rolling_median("__rv", 2 * f.regime_window)}, {"vol_regime": _regime("__rv", "__rv_median")}
+    fill = {n: finite_or(n) for n in f.names if n != "vol_regime"}  # the regime is 0 or 1
+    out = windowed_filled(df, spec, first, second, third, fill=fill, after=after)
     helpers = [c for c in out.columns if c.startswith("__") and c not in df.columns]
     return out.withColumns({n: zero(F.col(n)) for n in f.names}).drop(*helpers)
 
 
+def _regime(std: str, median: str) -> Rolling:
+    return plain(F.coalesce(F.col(std) > F.col(median), F.lit(False)).cast("double"))
+
+
 def volatility_regime(df: DataFrame, spec: Series, ret: str, window: int, name: str = "vol_regime") -> DataFrame:
     """1 where the rolling std is above its own rolling median over twice the window."""
-    out = windowed(df, spec, {"__rv": W.rolling_std(ret, window)})
-    out = W.with_rolling_median(out, spec, "__rv", 2 * window, "__med")
-    return out.withColumn(name, F.coalesce(F.col("__rv") > F.col("__med"), F.lit(False)).cast("double")).drop("__rv", "__med")
+    layers = {"__rv": W.rolling_std(ret, window)}, {"__med": W.rolling_median("__rv", 2 * window)}, {name: _regime("__rv", "__med")}
+    return windowed(df, spec, *layers).drop("__rv", "__med")
 
 
 def scaling(df: DataFrame, spec: Series, names: list[str]) -> DataFrame:

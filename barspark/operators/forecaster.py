@@ -85,7 +85,7 @@ class Forecaster:
         names, keys = self.features.names, list(spec.keys)
         taken = [c for c in df.columns if c not in (POS, ROWS, BLK, "score", "signal", *self.params)]
         built = X.features(X.normalised_return(df.select(*taken, *[c for c in (POS, ROWS) if c in df.columns]), spec, self.features), spec, self.features)
-        rows = with_blocks(built, spec)
+        rows = stage(with_blocks(built, spec))
         known = params.select(*keys, *[F.col(c)[i].alias(f"{n}__{s}") for c, s in (("means", "mean"), ("deviations", "std")) for i, n in enumerate(names)])
         scaled = X.standardise(rows, known, spec, names, "left")
         scaled = scaled.select(*taken, POS, ROWS, BLK, F.array(*[F.col(n).cast("double") for n in names]).alias("x"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from collections import deque
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from uuid import uuid4
 
 import numpy as np
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barspark.series import BLK, POS, Rolling, Running, Series, append_scan, plain, running, windowed, with_blocks
+from barspark.series import BLK, POS, Rolling, Running, Series, plain, running, windowed, with_blocks
 
 
 def _col(x: Column | str) -> Column:
@@ -104,14 +104,33 @@ def rolling_mean_abs(x, n, floor: float | None = None) -> Rolling:
     return Rolling(build, back=inner.back)
 
 
-def with_rolling_median(df: DataFrame, spec: Series, x: str, n: int, name: str) -> DataFrame:
-    """Add the median of the last ``n`` values of column ``x``, null until all are there.
+def rolling_median(x: Column | str, n: int) -> Rolling:
+    """The median of the last ``n`` values, null until all are there.
 
     A frame of Spark would sort ``n`` values for every row. Here the values of the frame
     stay in order while it slides: one goes out and one comes in, so the cost hardly
-    depends on ``n``. Blocks are padded with the ``n - 1`` rows that their frames reach.
+    depends on ``n``. Python gets the values in the order in which the window leaves them and
+    a mask of those that begin a block; the other columns stay where they are.
     """
-    return append_scan(df, spec, x, lambda: SlidingMedian(n), name, back=n - 1)
+    begins = f"__begins_{uuid4().hex[:8]}"
+    first = Rolling(lambda w: F.row_number().over(w) == 1)
+    return Rolling(lambda _w: _sliding_median(n)(_col(x).cast("double"), F.col(begins)), back=n - 1, before=({begins: first},))
+
+
+def _sliding_median(n: int):
+    @F.pandas_udf("double")
+    def slide(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        scan = SlidingMedian(n)  # blocks follow one another in a task
+        for values, begins in batches:
+            yield pd.Series(scan(values.to_numpy(float), begins.to_numpy(bool)))
+
+    # It remembers rows, so the filter that takes the padding away must stay above it.
+    return slide.asNondeterministic()
+
+
+def with_rolling_median(df: DataFrame, spec: Series, x: str, n: int, name: str) -> DataFrame:
+    """Add ``rolling_median`` of column ``x``."""
+    return windowed(df, spec, {name: rolling_median(x, n)})
 
 
 class SlidingMedian:

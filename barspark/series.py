@@ -19,12 +19,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -204,34 +202,59 @@ def with_blocks(df: DataFrame, spec: Series) -> DataFrame:
     return blocks(ensure_positions(df, spec), spec).drop(_CORE)
 
 
-def running(df: DataFrame, spec: Series, scans: dict[str, Running]) -> DataFrame:
-    """Add unbounded scans as block scan + carry from the one-row-per-block table."""
-    rows = with_blocks(df, spec)
+def carries(rows: DataFrame, spec: Series, scans: dict[str, Running]) -> DataFrame:
+    """One row per block: what the blocks before it (for ``next``, after it) leave to each scan, as ``__carry_`` columns."""
     totals = rows.groupBy(*spec.by(BLK)).agg(
         *[_block_total(s.kind, s.column).alias(f"__{name}") for name, s in scans.items()]
     )
     by_key = Window.partitionBy(*spec.keys).orderBy(BLK)
     before = by_key.rowsBetween(Window.unboundedPreceding, -1)
     after = by_key.rowsBetween(1, Window.unboundedFollowing)
-    carries = totals.select(
+    return totals.select(
         *spec.by(BLK),
         *[
             _fold(s.kind, F.col(f"__{name}"), after if s.kind == "next" else before).alias(f"__carry_{name}")
             for name, s in scans.items()
         ],
     )
+
+
+def running(df: DataFrame, spec: Series, scans: dict[str, Running]) -> DataFrame:
+    """Add unbounded scans as block scan + carry from the one-row-per-block table."""
+    rows = with_blocks(df, spec)
     upto = spec.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     onward = spec.window.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     local = rows.withColumns(
         {f"__{name}": _fold(s.kind, s.column, onward if s.kind == "next" else upto) for name, s in scans.items()}
     )
     # The rows are already clustered and sorted by block, so a merge join moves only the carries.
-    joined = local.join(carries.hint("merge"), spec.by(BLK))
+    joined = local.join(carries(rows, spec, scans).hint("merge"), spec.by(BLK))
     return joined.withColumns(
         {name: _combine(s.kind, F.col(f"__{name}"), F.col(f"__carry_{name}")) for name, s in scans.items()}
     ).drop(*[f"__{n}" for n in scans], *[f"__carry_{n}" for n in scans])
 
 
+def windowed_filled(df: DataFrame, spec: Series, *layers: dict[str, Rolling], fill: dict[str, Column], after: tuple[dict[str, Rolling], ...] = ()) -> DataFrame:
+    """``windowed``, where each column of ``fill`` becomes its last known value, with the shuffle and sort of the windows.
+
+    The fill runs inside the blocks before the layers of ``after``. Only a series of several blocks
+    has something to carry between them: their carries, at most one row per ``block / 2`` rows of
+    such series, are broadcast, and their blocks alone are evaluated a second time to get them.
+    """
+
+    def known(column: Column) -> Rolling:
+        # The padding's own frames are cut off, so it leaves nothing to the block.
+        upto = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return Rolling(lambda w: F.last(F.when(F.col(_CORE), column), ignorenulls=True).over(upto(w)))
+
+    out = windowed(df, spec, *layers, {f"__last_{n}": known(c) for n, c in fill.items()}, *after)
+    scans = {n: Running("last", c) for n, c in fill.items()}
+    carried = carries(out.filter(F.col(ROWS) > F.lit(spec.block)), spec, scans)
+    out = out.join(F.broadcast(carried), spec.by(BLK), "left")
+    filled = {n: F.coalesce(F.col(f"__last_{n}"), F.col(f"__carry_{n}")) for n in fill}
+    return out.withColumns(filled).drop(*[f"__last_{n}" for n in fill], *[f"__carry_{n}" for n in fill])
+
+
 #: Rows of one key that share a copy of what is joined to the key.
 SHARE = 262_144
 SALT = "__salt"
@@ -285,32 +308,6 @@ def map_blocks(
     return padded.groupBy(*spec.by(BLK)).applyInPandas(run, schema)
 
 
-def append_scan(
-    df: DataFrame, spec: Series, x: str, make: Callable[[], Callable[[np.ndarray, np.ndarray], np.ndarray]], name: str, back: int = 0
-) -> DataFrame:
-    """Add a column that a scan over ``x`` gives, in padded blocks reaching ``back`` rows behind.
-
-    ``make`` gives a scan with a memory of its own: called with values in series order and
-    with a mask of those that begin a block, it returns a value for each. Blocks follow
-    one another in a task, however short they are. The other columns pass as Arrow
-    buffers; nothing of them is turned into Python values.
-    """
-    padded = blocks(ensure_positions(df, spec).drop(BLK, name), spec, back)
-    begins = F.col(POS) == F.greatest(F.lit(0), F.col(BLK) * spec.block - back)
-    rows = padded.withColumn("__begins", begins).repartition(*spec.by(BLK)).sortWithinPartitions(*spec.by(BLK, POS))
-    schema = T.StructType([*[f for f in padded.schema.fields if f.name != _CORE], T.StructField(name, T.DoubleType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan = make()
-        for batch in batches:
-            values = batch.column(x).cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
-            out = scan(values, batch.column("__begins").to_numpy(zero_copy_only=False))
-            done = batch.append_column(name, pa.array(out, mask=np.isnan(out)))
-            yield done.filter(batch.column(_CORE)).select(schema.names)
-
-    return rows.mapInArrow(run, schema)
-
-
 def stage(df: DataFrame) -> DataFrame:
     """Cut lineage: write ``df`` once as a table in the shared folder and read it back.
 

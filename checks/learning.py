@@ -12,7 +12,7 @@ from barspark.operators.models import fit_logistic
 from barspark.operators.networks import Training
 from barspark.plans import evaluate as E
 from barspark.plans import montecarlo as MC
-from barspark.series import positions
+from barspark.series import positions, stage
 from checks import DAILY, FOUR_HOURS, bars1, bars2, bars3, check, frame, keep, r, rounded, sql, table
 from checks import W as OVER
 from checks.windows import _full
@@ -56,7 +56,7 @@ def a16_scaling(spark, sf):
 
 @check("l03_standardise", sql(_NR, _FT, f"sc AS (SELECT symbol, {_SC} FROM ft GROUP BY symbol)", "SELECT symbol, ts, " + ", ".join(r(f"coalesce(greatest(least(({n} - {n}_m) / {n}_s, 10), -10), 0)", n) for n in FS.names) + " FROM ft JOIN sc USING (symbol)"))
 def l03_standardise(spark, sf):
-    rows = _feat(spark, sf)
+    rows = stage(_feat(spark, sf))
     return keep(X.standardise(rows, X.scaling(rows, DAILY, FS.names), DAILY, FS.names), "symbol", "ts", *FS.names)
 
 
