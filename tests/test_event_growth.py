@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barspark.sources import events as V
+from checks.live import k04_sorted_events
 
 GOOD = {
     "event_type": "FILLED", "event_id": "1", "timestamp": "2024-01-01T00:00:00", "strategy_id": "s", "exchange": "x", "symbol": "A",
@@ -64,3 +65,16 @@ def test_lines_that_are_no_objects_are_not_json(spark):
 def test_rules_look_at_a_type_map_not_once_per_field(spark):
     """The plan names a field's type lookup no more often than there are kinds of rules."""
     assert _plan(V.validate(_lines(spark, "{}"), "trade")).count("element_at(") <= 2
+
+
+def test_sorted_events_are_parsed_before_the_sort(spark, tmp_path):
+    day = F.expr("timestamp_ntz'1995-01-01' + make_dt_interval(cast(pmod(o_orderkey * 7, 50) as int))")
+    orders = spark.range(60).select(
+        F.col("id").alias("o_orderkey"), (F.col("id") % 9).alias("o_custkey"), F.lit("O").alias("o_orderstatus"), F.lit(2.5).alias("o_totalprice"),
+        F.lit("5-LOW").alias("o_orderpriority"),
+    )
+    orders.withColumn("o_orderdate", day).write.parquet(f"{tmp_path}/orders.parquet")
+    df = k04_sorted_events(spark, str(tmp_path))
+    assert "from_json" not in _plan(df) and "Sort" in _plan(df)
+    times = [r.timestamp for r in df.collect()]
+    assert len(times) == 50 and times == sorted(times)
