@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import barspark.series
 from barspark.operators import features as X
+from barspark.operators import windows as W
 from barspark.series import positions
 
 FS = X.FeatureSet(tf="1h", vol_hours=20, sma=(5,), momentum=(7,), rsi=(7,), regime_window=10)
@@ -45,3 +46,11 @@ def test_volatility_regime_of_blocks(spark):
     want = whole.groupby("symbol").r.rolling(10).std().reset_index(drop=True)
     middle = want.groupby(whole.symbol).rolling(20).median().reset_index(drop=True)
     assert small.vol_regime.tolist() == whole.vol_regime.tolist() == (want > middle).astype(float).tolist()
+
+
+def test_a_median_begins_anew_where_a_series_lacks_its_first_bar(spark):
+    """A bar without time is counted and dropped, so the series' first position is 1."""
+    bars = positions(frame(spark, random_walk(30, seed=9)), HOURLY).filter("pos > 0").coalesce(1)
+    got = collected(W.with_rolling_median(bars, HOURLY, "close", 5, "mid"), "symbol", "ts")
+    want = got.groupby("symbol").close.transform(lambda x: x.rolling(5).median())
+    np.testing.assert_allclose(got.mid.astype(float), want)
